@@ -365,6 +365,8 @@ def _repeated_windows(stretches: list[tuple[int, bytes, int]], length: int) -> l
     m = len(members)
     for o in range(int(low.min()), int(left.max()) + 1):
         at = np.flatnonzero((low <= o) & (o <= left))
+        if not len(at):
+            continue
         key = np.cumsum(right_lcp < length - o)[right_rank[at]] * (m + 1) + np.cumsum(left_lcp < o)[left_rank[at]]
         order = np.argsort(key)
         ordered = key[order]
