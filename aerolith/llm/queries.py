@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from aerolith.llm.simhash import op10_simhash
 from aerolith.llm.suffix_dedup import op1_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
