@@ -6,6 +6,7 @@ from aerolith.llm.bpe import op3_byte_bpe
 from aerolith.llm.langid import op5_language_id
 from aerolith.llm.simhash import op10_simhash
 from aerolith.llm.suffix_dedup import op1_suffix_dedup
+from aerolith.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_byte_bpe, op5_language_id, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op5_language_id, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
