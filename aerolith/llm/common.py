@@ -51,8 +51,8 @@ def n_groups(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> int:
     return int(max(1, -(-size // group_bytes), min(least, -(-size // (1 << 18)))))
 
 
-def grouped_texts(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """Table (g int, id long, text binary), bucketed by g, and the number of groups.
+def grouped_texts(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, more: dict | None = None) -> tuple[DataFrame, int]:
+    """Table (id, text binary, g int, and the columns in more), bucketed by g, and the number of groups.
 
     Rows are dealt by the hash of id and text, so copies of one text spread over all groups.
     Null texts count as empty ones. Rows alike in id and text share a group.
@@ -62,7 +62,7 @@ def grouped_texts(docs: DataFrame, id_col: str, text_col: str, group_bytes: int
     name = f"aerolith_{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col), F.lit(""))
     (
-        docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("g"))
+        docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("g"), *(c.alias(k) for k, c in (more or {}).items()))
         .repartition(min(n, MAX_BUCKETS), "g")
         .write.option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{name}")
