@@ -5,9 +5,10 @@ from __future__ import annotations
 from aerolith.llm.bpe import op3_byte_bpe
 from aerolith.llm.langid import op5_language_id
 from aerolith.llm.lm_score import op9_ctw_score
+from aerolith.llm.media import op4_media_columns
 from aerolith.llm.simhash import op10_simhash
 from aerolith.llm.suffix_dedup import op1_suffix_dedup
 from aerolith.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op5_language_id, op9_ctw_score, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op4_media_columns, op5_language_id, op9_ctw_score, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
