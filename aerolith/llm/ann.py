@@ -28,7 +28,7 @@ NEAREST = 5
 SAMPLE_ROWS = 20_000
 BLOCK = 4096
 QUERY_BLOCK = 256
-RERANK = 48
+RERANK = 96
 SUBSPACE = 2
 CENTRES = 16
 #: Inner products that matter are above this share of the norms; sets how much parallel error weighs.

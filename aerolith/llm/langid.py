@@ -32,6 +32,8 @@ SAMPLE_ROWS = 3000
 TRAIN_CHARS = 1200
 #: Share of the kept-aside rows that the rejection threshold may turn away.
 REJECTED = 0.0005
+#: The rejection threshold, at most.
+CEILING = 0.4
 CHUNK = 1 << 17
 UNKNOWN = "und"
 
@@ -154,7 +156,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, r
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(tested)), y[tested]] + 1e-12).mean()
     temperature = min(np.geomspace(0.25, 8, 26), key=loss) if len(tested) else 1.0
     sure = _softmax(z / temperature).max(axis=1) if len(tested) else np.ones(1)
-    threshold = min(float(np.quantile(sure, REJECTED)), 0.5) if len(languages) > 1 else 0.0
+    threshold = min(float(np.quantile(sure, REJECTED)), CEILING) if len(languages) > 1 else 0.0
     return Model(languages, table / temperature, b / temperature, threshold)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from aerolith.llm.ann import op8_anisotropic_ann
 from aerolith.llm.bpe import op3_byte_bpe
 from aerolith.llm.langid import op5_language_id
+from aerolith.llm.licenses import op6_license_scan
 from aerolith.llm.lm_score import op9_ctw_score
 from aerolith.llm.media import op4_media_columns
 from aerolith.llm.packing import op7_packing
@@ -12,5 +13,5 @@ from aerolith.llm.simhash import op10_simhash
 from aerolith.llm.suffix_dedup import op1_suffix_dedup
 from aerolith.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op4_media_columns, op5_language_id, op7_packing, op8_anisotropic_ann, op9_ctw_score, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op4_media_columns, op5_language_id, op6_license_scan, op7_packing, op8_anisotropic_ann, op9_ctw_score, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,6 +188,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return groups.groupBy("g").applyInPandas(_variants(n), _PACKED).groupBy("r").applyInPandas(_meet(radius, n_groups), _PACKED).groupBy("g").applyInPandas(_gather, "a long, b long")
 
 
+def _components_of(prints: DataFrame) -> DataFrame:
+    """(f, component, component_id) of each distinct fingerprint: the least linked fingerprint and the least linked id."""
+    roots = components(links(prints)).select(F.col("a").alias("f"), F.col("b").alias("root"))
+    per_print = prints.groupBy("f").agg(F.min("id").alias("least")).join(roots, "f", "left").withColumn("component", F.coalesce("root", "f"))
+    named = per_print.groupBy("component").agg(F.min("least").alias("component_id"))
+    return per_print.join(named, "component").select("f", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each row: component_id is the least id reachable over links, its own included.
 
@@ -195,11 +203,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component but name none; a component of null ids alone has a null component_id.
     """
     prints = stored(docs.select(F.col(id_col).alias("id"), fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("f")), "prints")
-    roots = components(links(prints)).select(F.col("a").alias("f"), F.col("b").alias("root"))
-    per_print = prints.groupBy("f").agg(F.min("id").alias("least")).join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    named = per_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = per_print.join(named, "root").select("f", "component_id")
-    return prints.join(of_print, "f").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_components_of(prints), "f").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least id (nulls last; ties by the text's hash).
+
+    Winners are found on ids and hashes alone, so texts are shuffled only once they may stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprints(text).alias("f")), "prints")
+    key = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
+    winners = prints.join(_components_of(prints), "f").groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
+    hashed = docs.withColumn("__key", F.xxhash64(text))
+    kept = hashed.join(winners, hashed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
+    # rows alike in id and text: one of them
+    place = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(1)))
+    return kept.withColumn("__place", place).where("__place = 1").drop("__key", "__place")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolith.llm.common import BASES, U64, grouped_texts, mix, ranges, route, slices, span_hashes, squeeze, unsqueeze
 
@@ -453,7 +454,7 @@ def spans_of(found: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]
     return out
 
 
-def _remove(length: int, keep_text: bool):
+def _remove(length: int, keep_text: bool, carried: list[str]):
     def apply(texts_pdf: pd.DataFrame, found_pdf: pd.DataFrame) -> pd.DataFrame:
         texts, _, which = _distinct(texts_pdf)
         parts = [np.frombuffer(p, dtype=_FOUND) for p in found_pdf["payload"]]
@@ -467,13 +468,14 @@ def _remove(length: int, keep_text: bool):
             kept.append(t[at:])
             rest = b"".join(kept)
             done.append((len(t), len(t) - len(rest), len(mine), hashlib.sha256(rest).hexdigest(), rest if keep_text else None, [list(x) for x in mine]))
-        return pd.DataFrame([(i, *done[k]) for i, k in zip(texts_pdf["id"], which)], columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+        out = pd.DataFrame([done[k] for k in which], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+        return pd.concat([texts_pdf[["id", *carried]].reset_index(drop=True), out], axis=1)
 
     return apply
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (start, end).
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, hot_anchor: int = HOT_ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, columns to carry, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (start, end).
 
     Removes every byte under a `length`-byte string that starts more than once in docs,
     copies in one text and overlapping ones included. Null texts count as empty; ids may be
@@ -481,13 +483,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     if length < ANCHOR + 16:
         raise ValueError(f"length must be at least {ANCHOR + 16}")
-    texts, n = grouped_texts(docs, id_col, text_col)
+    kinds = dict(docs.dtypes)
+    carried = {f"carried_{k}": F.col(c) for k, c in enumerate(carry)}
+    texts, n = grouped_texts(docs, id_col, text_col, more=carried)
     flags = texts.groupBy("g").applyInPandas(_anchors(length, n), _PACKED).groupBy("r").applyInPandas(_count(hot_anchor), _PACKED)
     cut = texts.groupBy("g").cogroup(flags.groupBy("g")).applyInPandas(_stretches(length, n), _PACKED)
     found = cut.groupBy("r").applyInPandas(_sort(length), _PACKED)
-    schema = f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>"
-    out = texts.groupBy("g").cogroup(found.groupBy("g")).applyInPandas(_remove(length, keep_text), schema)
-    return out.withColumnRenamed("id", id_col)
+    extra = "".join(f"{k} {kinds[c]}, " for k, c in zip(carried, carry))
+    schema = f"id {kinds[id_col]}, {extra}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>"
+    out = texts.groupBy("g").cogroup(found.groupBy("g")).applyInPandas(_remove(length, keep_text, list(carried)), schema)
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(carried, carry)), *out.columns[1 + len(carry) :])
+
+
+@F.pandas_udf(T.StringType())
+def readable(kept: pd.Series) -> pd.Series:
+    """Column function: the remaining bytes as text, without the parts of characters that were cut in two."""
+    return pd.Series([b.decode("utf-8", "ignore") if b is not None else None for b in kept])
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
