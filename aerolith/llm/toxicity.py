@@ -326,10 +326,19 @@ def train(texts: list[str], toxic: list[int], rounds: int = 400, seed: int = 3)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the labels that are 0 or 1, from at most about sample_rows rows of either."""
+    """A model of the labels that are 0 or 1, from at most about sample_rows rows of either.
+
+    Ids are sampled first, without their texts; only the sample's texts are then read, by a
+    broadcast of its ids, which are as few as the sample.
+    """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(marks, "id").select("t", "y")
-    got = [r for y in (0, 1) for r in sampled(rows.where(F.col("y") == y), ["t", "y"], sample_rows)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    known = rows.select("id").join(marks, "id")
+    picked = [(r["id"], int(r["y"])) for y in (0, 1) for r in sampled(known.where(F.col("y") == y), ["id", "y"], sample_rows)]
+    if not picked:
+        return train([], [])
+    chosen = docs.sparkSession.createDataFrame(sorted(set(picked)), f"id {dict(rows.dtypes)['id']}, y int")
+    got = sorted(map(tuple, rows.join(F.broadcast(chosen), "id").select("t", "y").limit(4 * sample_rows).collect()))
     return train([r[0] for r in got], [int(r[1]) for r in got])
 
 
