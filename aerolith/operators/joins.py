@@ -57,8 +57,8 @@ def radius_cohorts(distances: DataFrame, key: str, km: str, radii: list[float])
 def checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """A many-to-one join that fails, while it runs, if a key occurs twice on the right."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*on))
-    one = F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.lit("the right side of a many-to-one join repeats a key")).cast("boolean"))
-    return left.join(right.where(one), on, how)
+    one = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("the right side of a many-to-one join repeats a key")).cast("boolean"))
+    return left.join(right.withColumn("__n", n).where(one).drop("__n"), on, how)
 
 
 def shifted(left: DataFrame, right: DataFrame, on: list[str], ts: str, hours: int, columns: list[str], how: str = "left") -> DataFrame:
