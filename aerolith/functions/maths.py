@@ -73,3 +73,10 @@ def average_rank(x: Column, partition: list[str]) -> Column:
 
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: Pearson's r over rows where both are known; null (never an error) where one is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import circular_mean, circular_resultant
+from aerolith.functions.maths import circular_mean, circular_resultant, correlation
 
 
 def daily(df: DataFrame, keys: list[str], ts: str, value: str, usable: Column | None = None, circular: Column | None = None, expected: int = 24, least: int = 16) -> DataFrame:
@@ -102,7 +102,7 @@ def pair_diagnostics(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     ratio = F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return df.where(both).groupBy(*by).agg(
         F.count(F.lit(1)).alias("pairs"),
-        F.round(F.corr(a, b), 6).alias("corr"),
+        F.round(correlation(a, b), 6).alias("corr"),
         F.count_if(F.col(a) > F.col(b)).alias("impossible"),
         F.count_if(F.col(a) == F.col(b)).alias("identical"),
         F.count_if(F.col(b) == 0).alias("zero"),

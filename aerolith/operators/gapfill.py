@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.functions.maths import correlation
+
 
 def donors(df: DataFrame, edges: DataFrame, entity: str, ts: str, value: str, overlaps: int = 24, least_r: float = 0.7) -> DataFrame:
     """Per entity the neighbour with the highest correlation (ties to the nearer, then the smaller name), with the line that maps it.
@@ -14,7 +16,7 @@ def donors(df: DataFrame, edges: DataFrame, entity: str, ts: str, value: str, ov
     own = df.where(F.col(value).isNotNull()).select(entity, ts, F.col(value).alias("__y"))
     other = own.select(F.col(entity).alias("neighbour"), ts, F.col("__y").alias("__x"))
     met = own.join(edges.select(entity, "neighbour", "km"), entity).join(other, ["neighbour", ts])
-    fit = met.groupBy(entity, "neighbour").agg(F.count(F.lit(1)).alias("n"), F.corr("__y", "__x").alias("r"), F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept"), F.min("km").alias("km"))
+    fit = met.groupBy(entity, "neighbour").agg(F.count(F.lit(1)).alias("n"), correlation("__y", "__x").alias("r"), F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept"), F.min("km").alias("km"))
     place = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("r"), "km", "neighbour"))
     return fit.where((F.col("n") >= overlaps) & (F.col("r") >= least_r)).withColumn("__n", place).where("__n = 1").drop("__n")
 

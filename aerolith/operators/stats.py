@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import average_rank
+from aerolith.functions.maths import average_rank, correlation
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def association(df: DataFrame, by: list[str], a: str, b: str, within: str) -> Da
     w = Window.partitionBy(*by, within)
     rows = rows.select(*by, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"), (F.col(a) - F.avg(a).over(w)).alias("__da"), (F.col(b) - F.avg(b).over(w)).alias("__db"))
     rows = rows.withColumn("__ra", average_rank(F.col("__a"), by)).withColumn("__rb", average_rank(F.col("__b"), by))
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("__a").alias("__sa"), F.stddev_pop("__b").alias("__sb"), F.corr("__a", "__b").alias("p"), F.corr("__ra", "__rb").alias("s"), F.corr("__da", "__db").alias("w"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("__a").alias("__sa"), F.stddev_pop("__b").alias("__sb"), correlation("__a", "__b").alias("p"), correlation("__ra", "__rb").alias("s"), correlation("__da", "__db").alias("w"))
     refusal = F.when(F.col("n") < 3, "too_few").when((F.col("__sa") == 0) | (F.col("__sb") == 0), "constant")
     keep = lambda c, name: F.when(refusal.isNull(), F.round(c, 6)).alias(name)
     return out.select(*by, "n", keep(F.col("p"), "pearson"), keep(F.col("s"), "spearman"), keep(F.col("w"), "within"), refusal.alias("refusal"))

@@ -100,10 +100,15 @@ def detect_dialect(headers: list[str]) -> Dialect:
     return Dialect(found["date"], found["station"], found["item"], hours)
 
 
+def _day(text):
+    """A date in one of the archives' forms, else null."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in DATES))
+
+
 def to_long(wide: DataFrame, dialect: Dialect) -> DataFrame:
     """station, item, ts, value, flag, value_retained: one row for each hour cell; rows without a readable date go."""
     raw = wide.unpivot([dialect.date, dialect.station, dialect.item], list(dialect.hours), "__hour", "__raw")
-    day = F.coalesce(*(F.try_to_date(F.trim(dialect.date), F.lit(f)) for f in DATES)) if hasattr(F, "try_to_date") else F.coalesce(*(F.try_to_timestamp(F.trim(dialect.date), F.lit(f)).cast("date") for f in DATES))
+    day = _day(F.trim(dialect.date))
     hour = F.create_map(*(F.lit(x) for kv in dialect.hours.items() for x in kv))[F.col("__hour")]
     ts = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour)
     return raw.select(F.trim(dialect.station).alias("station"), F.trim(dialect.item).alias("item"), ts.alias("ts"), parse_cell("__raw").alias("c")).where("ts is not null").select("station", "item", "ts", "c.*")
@@ -137,7 +142,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def cells_to_observations(cells: DataFrame) -> DataFrame:
     """Cells of `read_archives` as long observations."""
-    day = F.coalesce(*(F.try_to_timestamp("date", F.lit(f)).cast("date") for f in DATES))
+    day = _day(F.col("date"))
     ts = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), "hour")
     return cells.select("member", "station", "item", ts.alias("ts"), parse_cell("raw").alias("c")).where("ts is not null").select("member", "station", "item", "ts", "c.*")
 
