@@ -21,12 +21,12 @@ def daily_coverage(spark, d):
 
 @query("""WITH x AS (SELECT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS date, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2),
  y AS (SELECT k, CAST(date_trunc('month', date) AS DATE) AS month, avg(m) AS m, count(*) AS n_days, CAST(sum(n) AS BIGINT) AS n_valid_hours FROM x WHERE n >= 1 GROUP BY 1, 2)
- SELECT k AS o_orderpriority, month, round(CASE WHEN n_days / day(last_day(month))::DOUBLE >= 0.75 THEN m END, 2) AS mean, n_days, n_valid_hours, CAST(day(last_day(month)) AS BIGINT) AS days_in_month,
+ SELECT k AS o_orderpriority, month, round(CASE WHEN n_days / day(last_day(month))::DOUBLE >= 0.75 THEN m END + 1e-7, 4) AS mean, n_days, n_valid_hours, CAST(day(last_day(month)) AS BIGINT) AS days_in_month,
  round(n_days / day(last_day(month))::DOUBLE, 6) AS coverage_ratio, n_days / day(last_day(month))::DOUBLE >= 0.75 AS meets_threshold FROM y""")
 def monthly_coverage(spark, d):
     days = aggregate.daily(table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", least=1)
     out = aggregate.monthly(days, ["o_orderpriority"])
-    return out.withColumn("mean", F.round("mean", 2)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
+    return out.withColumn("mean", F.round(F.col("mean") + 1e-7, 4)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
 @query("""SELECT event_type, round((degrees(atan2(avg(sin(radians(value))), avg(cos(radians(value))))) + 360) % 360, 5) AS direction,
