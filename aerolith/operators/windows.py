@@ -128,12 +128,27 @@ def interpolate(df: DataFrame, entity: list[str], ts: str, value: str, longest:
     return rows.select(*(c for c in df.columns if c != value), F.when(fill, line).otherwise(F.col(value)).alias(value), fill.alias(f"{value}_imputed"))
 
 
+def numbered(df: DataFrame, order: list[str], coarse: Column, name: str) -> DataFrame:
+    """Rows with their place (from 0) in a total order, without one task for all rows.
+
+    coarse rises with the order (a day, say): rows are numbered within it and shifted by the
+    counts of the coarse values before, which are few.
+    """
+    marked = df.withColumn("__c", coarse)
+    counts = marked.groupBy("__c").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("__c")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__c").alias("__d"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy("__c").orderBy(*order)) - 1
+    met = marked.withColumn("__inside", inside).join(offsets, F.col("__c").eqNullSafe(F.col("__d")))
+    return met.withColumn(name, F.col("__inside") + F.col("__ahead")).drop("__c", "__d", "__inside", "__ahead")
+
+
 def rolling_origin(df: DataFrame, order: list[str], splits: int, test_share: float = 0.1) -> DataFrame:
-    """Rows with fold and role: fold f trains on the rows before its test slice, slices march to the end (few folds)."""
+    """Rows with fold and role: fold f trains on the rows before its test slice, slices march to the end (few folds). order begins with a timestamp."""
     n = df.count()
     size = max(1, int(n * test_share))
     first = [n - size * (splits - f) for f in range(splits)]
-    ranked = df.withColumn("__n", F.row_number().over(Window.orderBy(*order)) - 1)
+    ranked = numbered(df, order, F.to_date(order[0]), "__n")
     folds = F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a")) for f, a in enumerate(first))))
     role = F.when(F.col("__f.a") > F.col("__n"), "train").when(F.col("__n") < F.col("__f.a") + size, "test")
     return ranked.withColumn("__f", folds).select(*df.columns, F.col("__f.fold").alias("fold"), role.alias("role")).where("role is not null")
