@@ -140,3 +140,31 @@ def clustered_errors(spark, d):
 def page_titles(spark, d):
     """The catalogue parser's work on the given pages: labelled fields out of HTML text."""
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("SELECT round(regr_r2(value, user_id), 6) AS r2_raw, CAST(NULL AS DOUBLE) IS NULL AS has_encoded FROM events")
+def encoding_gain(spark, d):
+    from aerolith.operators import pitfalls
+
+    out = pitfalls.encoding_gain(table(spark, d, "events"), "value", "user_id")
+    return out.select(F.round("r2_raw", 6).alias("r2_raw"), F.col("r2_encoded").isNotNull().alias("has_encoded"))
+
+
+@query()
+def regression_pitfalls(spark, d):
+    """Leakage, optimism and sign stability on lineitem, one row each term or fold."""
+    from aerolith.operators import pitfalls
+
+    li = table(spark, d, "lineitem").withColumn("fold", F.col("l_orderkey") % 4)
+    leak = pitfalls.leakage_price(li, "l_extendedprice", ["l_discount"], "l_quantity").select(F.lit("leak_share").alias("what"), F.lit(None).cast("string").alias("of"), F.col("leak_share").alias("value"))
+    opt = pitfalls.optimism(li, "l_extendedprice", ["l_quantity", "l_tax"], "fold").select(F.lit("optimism").alias("what"), F.col("fold").cast("string").alias("of"), (F.col("r2_in") - F.col("r2_out")).alias("value"))
+    sign = pitfalls.sign_stability(li, "l_extendedprice", ["l_quantity", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"]).select(F.lit("same_sign").alias("what"), F.col("term").alias("of"), F.col("same_sign").alias("value"))
+    return leak.unionByName(opt).unionByName(sign)
+
+
+@query("""WITH f AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1), e AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey <> 0) SELECT coalesce(f.k, e.k) AS k, coalesce(n, 0) AS rows, CASE WHEN e.k IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'present' END AS state FROM f FULL JOIN e ON f.k = e.k""")
+def key_ledger(spark, d):
+    from aerolith.sources.imports import key_ledger as ledger
+
+    found = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
+    return ledger(found, table(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("k")), ["k"])
