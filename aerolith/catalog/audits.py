@@ -168,3 +168,40 @@ def key_ledger(spark, d):
 
     found = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
     return ledger(found, table(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("k")), ["k"])
+
+
+@query("""WITH x AS (SELECT o_custkey AS c, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders), d AS (SELECT DISTINCT c, y FROM x), p AS (SELECT a.c, a.y AS train_year, b.y AS test_year FROM d a JOIN d b ON a.c = b.c AND a.y < b.y)
+ SELECT train_year, test_year, CASE WHEN y = train_year THEN 'train' ELSE 'test' END AS role, count(*) AS n FROM x JOIN p USING (c) WHERE y = train_year OR y = test_year GROUP BY 1, 2, 3""")
+def transfer_folds(spark, d):
+    from aerolith.operators.scores import transfer_folds as folds
+
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("y"))
+    return folds(x, "c", "y").groupBy("train_year", "test_year", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {HOURS}, e AS (SELECT DISTINCT entity FROM hours) SELECT a.entity, b.entity AS neighbour, count(*) AS n, round(1 - corr(a.value, b.value), 6) AS dissimilarity FROM hours a JOIN hours b ON a.ts = b.ts AND a.entity <> b.entity GROUP BY 1, 2""")
+def series_dissimilarity(spark, d):
+    from aerolith.operators.stats import dissimilarity
+
+    h = hours(spark, d)
+    names = h.select("entity").distinct()
+    edges = names.crossJoin(names.withColumnRenamed("entity", "neighbour")).where("entity <> neighbour")
+    return dissimilarity(h, edges, "entity", "neighbour", "ts", "value")
+
+
+@query()
+def moran_permutations(spark, d):
+    from aerolith.catalog.statistics import _edges
+    from aerolith.operators import stats
+
+    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return stats.moran_null(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), "s_suppkey", "neighbour", "s_acctbal", draws=49)
+
+
+@query()
+def weights_sensitivity(spark, d):
+    from aerolith.catalog.statistics import _edges
+    from aerolith.operators import stats
+
+    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return stats.weights_sensitivity(v, _edges(spark, d), "s_suppkey", "neighbour", "s_acctbal", [100.0, 250.0])

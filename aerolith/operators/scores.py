@@ -93,3 +93,17 @@ def delta_summary(deltas: DataFrame, by: list[str], rmse: str, r2: str) -> DataF
         F.round(F.median(rmse), 6).alias("median_d_rmse"),
         F.round(F.median(r2), 6).alias("median_d_r2"),
     )
+
+
+def transfer_folds(df: DataFrame, entity: str, year: str) -> DataFrame:
+    """Forward transfer: rows with train_year, test_year and role for each pair of an entity's years, the earlier training (years are few)."""
+    years = df.select(entity, F.col(year).alias("__y")).distinct()
+    pairs = years.select(entity, F.col("__y").alias("train_year")).join(years.select(entity, F.col("__y").alias("test_year")), entity).where("train_year < test_year")
+    role = F.when(F.col(year) == F.col("train_year"), "train").otherwise("test")
+    return df.join(pairs, entity).where((F.col(year) == F.col("train_year")) | (F.col(year) == F.col("test_year"))).withColumn("role", role)
+
+
+def held_station_scores(predictions: DataFrame, fold: str, entity: str, truth: str, predicted: str, exceeds: float) -> DataFrame:
+    """Metrics of each held station on its own, then how they spread over a fold's stations."""
+    own = metrics(predictions, [fold, entity], truth, predicted, exceeds)
+    return own.groupBy(fold).agg(F.count(F.lit(1)).alias("stations"), F.round(F.median("rmse"), 6).alias("median_rmse"), F.round(F.max("rmse"), 6).alias("worst_rmse"))

@@ -175,3 +175,38 @@ def permutation_p(df: DataFrame, by: list[str], group: str, value: str, draws: i
 
     types = dict(df.dtypes)
     return df.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, difference double, p double")
+
+
+def moran_null(values: DataFrame, edges: DataFrame, key: str, neighbour: str, value: str, draws: int = 99, seed: int = 1) -> DataFrame:
+    """Moran's I, its mean under permuted values and a pseudo p: all draws are groups of one plan; a draw permutes by the order of hashes.
+
+    values is one month's (or one statistic's) table of stations.
+    """
+    known = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws)))
+    w = Window.partitionBy("draw")
+    spots = known.select(key, draw.alias("draw")).withColumn("__n", F.row_number().over(w.orderBy(key)))
+    shuffled = known.select(F.col(key).alias("__k"), value, draw.alias("draw"))
+    order = F.when(F.col("draw") == 0, F.lit(0)).otherwise(F.xxhash64("__k", "draw", F.lit(seed)))
+    shuffled = shuffled.withColumn("__n", F.row_number().over(w.orderBy(order, "__k"))).drop("__k")
+    per = morans_i(spots.join(shuffled, ["draw", "__n"]), edges, ["draw"], key, neighbour, value)
+    real = F.broadcast(per.where("draw = 0").select(F.col("moran_i").alias("real")))
+    null = per.where("draw > 0").crossJoin(real)
+    return null.groupBy(F.col("real").alias("moran_i")).agg(F.round(F.avg("moran_i"), 6).alias("null_mean"), ((F.count_if(F.abs("moran_i") >= F.abs("real")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+def dissimilarity(series: DataFrame, edges: DataFrame, key: str, neighbour: str, ts: str, value: str, least: int = 3) -> DataFrame:
+    """1 - r of the series of neighbouring points, over times that both have; null under `least` of them."""
+    own = series.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("__a"))
+    other = own.select(F.col(key).alias(neighbour), ts, F.col("__a").alias("__b"))
+    met = own.join(edges.select(key, neighbour), key).join(other, [neighbour, ts])
+    return met.groupBy(key, neighbour).agg(F.count(F.lit(1)).alias("n"), F.round(F.when(F.count(F.lit(1)) >= least, 1 - correlation("__a", "__b")), 6).alias("dissimilarity"))
+
+
+def weights_sensitivity(values: DataFrame, distances: DataFrame, key: str, neighbour: str, value: str, radii: list[float]) -> DataFrame:
+    """Moran's I under each of a few radii."""
+    out = None
+    for r in radii:
+        one = morans_i(values, row_standardised(distances.where(F.col("km") <= r), key), [], key, neighbour, value).select(F.lit(float(r)).alias("radius"), "n", "moran_i")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -217,3 +217,20 @@ def test_operators_on_empty_frames(spark):
     empty = series(spark, [])
     for df in (aggregate.daily(empty, ["entity"], "ts", "value"), windows.hourly_grid(empty, ["entity"], "ts"), windows.stuck_runs(empty, ["entity"], "ts", "value"), windows.robust_scores(empty, ["entity"], "value"), windows.interpolate(empty, ["entity"], "ts", "value", 2), stats.ols(empty, "value", [])):
         assert df.collect() == []
+
+
+def test_permutations_tell_a_gradient_from_noise(spark):
+    edges = stats.row_standardised(spark.createDataFrame([(i, j) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30], "k int, neighbour int"), "k")
+    up = stats.moran_null(spark.createDataFrame([(i, float(i)) for i in range(30)], "k int, v double"), edges, "k", "neighbour", "v", draws=39).first()
+    assert up["p"] <= 0.05 and abs(up["null_mean"]) < 0.2
+    import random
+
+    rng = random.Random(5)
+    mixed = stats.moran_null(spark.createDataFrame([(i, rng.random()) for i in range(30)], "k int, v double"), edges, "k", "neighbour", "v", draws=39).first()
+    assert mixed["p"] > 0.05
+
+
+def test_transfer_trains_on_earlier_years_only(spark):
+    df = spark.createDataFrame([("a", 2015), ("a", 2016), ("a", 2018), ("b", 2015)], "s string, y int")
+    out = scores.transfer_folds(df, "s", "y").collect()
+    assert all(r["train_year"] < r["test_year"] for r in out) and {r["s"] for r in out} == {"a"} and len(out) == 6
