@@ -20,18 +20,18 @@ def _raw(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
 
 
-@query(f"""WITH {_RAW}, t AS (SELECT *, trim(coalesce(raw, '')) AS x FROM raw), p AS (SELECT *, nullif(regexp_extract(x, '^([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+))', 1), '') AS n, trim(regexp_replace(x, '^([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+))', '')) AS m FROM t),
- f AS (SELECT *, CASE WHEN x = '' THEN 'missing' WHEN n IS NULL AND m = '' THEN 'unparseable' WHEN m = '' THEN 'valid' WHEN m = '#' THEN 'instrument_invalid' WHEN m = '*' THEN 'program_invalid' WHEN m IN ('x', 'X') THEN 'manual_invalid' WHEN m = 'NR' THEN 'no_rain' ELSE 'unparseable' END AS flag FROM p)
+@query(f"""WITH {_RAW}, t AS (SELECT *, trim(coalesce(raw, '')) AS x FROM raw), p AS (SELECT *, nullif(regexp_extract(x, '^(-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+))', 1), '') AS n, trim(regexp_replace(x, '^(-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+))', '')) AS m FROM t),
+ f AS (SELECT *, CASE WHEN x = '' THEN 'missing' WHEN m = '' THEN 'valid' WHEN m = '#' THEN 'instrument_check_invalid' WHEN m = '*' THEN 'program_check_invalid' WHEN m IN ('x', 'X') THEN 'manual_check_invalid' WHEN m = 'NR' THEN 'no_rain' ELSE 'unparseable' END AS flag FROM p)
  SELECT l_orderkey, l_linenumber, CASE WHEN n IS NOT NULL AND flag <> 'unparseable' THEN CAST(n AS DOUBLE) END AS value, flag, n IS NOT NULL AND flag NOT IN ('unparseable', 'valid') AS value_retained FROM f""")
 def parse_cells(spark, d):
     return _raw(spark, d).select("l_orderkey", "l_linenumber", parse_cell("raw").alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
-_OBS = "obs AS (SELECT l_orderkey, l_linenumber, l_returnflag AS item, l_quantity AS value, CASE WHEN l_discount > 0.08 THEN 'no_rain' WHEN l_discount > 0.06 THEN 'instrument_invalid' ELSE 'valid' END AS flag FROM lineitem)"
+_OBS = "obs AS (SELECT l_orderkey, l_linenumber, l_returnflag AS item, l_quantity AS value, CASE WHEN l_discount > 0.08 THEN 'no_rain' WHEN l_discount > 0.06 THEN 'instrument_check_invalid' ELSE 'valid' END AS flag FROM lineitem)"
 
 
 def _obs(spark, d):
-    flag = F.when(F.col("l_discount") > 0.08, "no_rain").when(F.col("l_discount") > 0.06, "instrument_invalid").otherwise("valid")
+    flag = F.when(F.col("l_discount") > 0.08, "no_rain").when(F.col("l_discount") > 0.06, "instrument_check_invalid").otherwise("valid")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("item"), F.col("l_quantity").alias("value"), flag.alias("flag"))
 
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from aerolith.functions.maths import safe_ratio
 
 
+# Magnus' coefficients for saturation over water, and the first day of the trend.
+MAGNUS_A, MAGNUS_B = 17.625, 243.04
+TREND_FROM = "1982-01-01"
+
+
 def cyclic(x: Column, period: float, name: str) -> list[Column]:
     """sin and cos of a quantity that repeats after `period`."""
     angle = x * (2 * math.pi / period)
@@ -24,7 +29,7 @@ def temporal_features(ts: Column) -> list[Column]:
         *cyclic(F.dayofyear(ts), 365.25, "year"),
         *cyclic(day, 7, "week"),
         (day >= 5).alias("is_weekend"),
-        F.datediff(ts.cast("date"), F.lit("1982-01-01").cast("date")).cast("long").alias("trend_days"),
+        F.datediff(ts.cast("date"), F.lit(TREND_FROM).cast("date")).cast("long").alias("trend_days"),
     ]
 
 
@@ -42,7 +47,7 @@ def wind_components(speed: Column, bearing: Column) -> list[Column]:
 def weather_features(u: Column, v: Column, t_kelvin: Column, dew_kelvin: Column, pressure_pa: Column) -> list[Column]:
     """Wind speed, degrees Celsius, relative humidity by Magnus, and hectopascals."""
     t, d = t_kelvin - 273.15, dew_kelvin - 273.15
-    magnus = lambda c: F.exp(17.625 * c / (243.04 + c))
+    magnus = lambda c: F.exp(MAGNUS_A * c / (MAGNUS_B + c))
     return [F.sqrt(u * u + v * v).alias("wind_speed"), t.alias("t_c"), F.least(F.lit(100.0), 100 * magnus(d) / magnus(t)).alias("rh"), (pressure_pa / 100).alias("pressure_hpa")]
 
 

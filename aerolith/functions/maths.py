@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The earth's mean radius in km, and the factor that makes a MAD comparable to a standard deviation.
 EARTH_KM = 6371.0088
+MAD_FACTOR = 0.67449
 
 
 def circular_mean(degrees: Column) -> Column:

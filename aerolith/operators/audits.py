@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import correlation, right_closed
+from aerolith.functions.maths import MAD_FACTOR, correlation, right_closed
 
 
 def exceedance_rates(scored: DataFrame, by: list[str], cell: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def agency_agreement(rejected: DataFrame, accepted: DataFrame, cell: list[str],
     w = Window.partitionBy(*cell)
     base = accepted.select(*cell, F.col(value).alias("__v")).withColumn("__m", F.median("__v").over(w)).withColumn("__d", F.abs(F.col("__v") - F.col("__m")))
     cells = base.groupBy(*cell).agg(F.first("__m").alias("__m"), F.median("__d").alias("__mad"), F.count(F.lit(1)).alias("__n")).where((F.col("__n") >= least) & (F.col("__mad") > 0))
-    extreme = lambda v: F.abs(0.67449 * (v - F.col("__m")) / F.col("__mad")) >= threshold
+    extreme = lambda v: F.abs(MAD_FACTOR * (v - F.col("__m")) / F.col("__mad")) >= threshold
     usual = accepted.join(cells, cell).agg((F.count_if(extreme(F.col(value))) / F.count(F.lit(1))).alias("__base"))
     out = rejected.join(cells, cell, "left").groupBy(*by).agg(F.count(F.lit(1)).alias("rejected"), F.count("__m").alias("scored"), F.count_if(extreme(F.col(value))).alias("extreme"))
     rate = F.try_divide(F.col("extreme"), F.col("scored"))

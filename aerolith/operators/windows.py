@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = F.expr  # "interval 1 hour" is written where it is used
-
+from aerolith.functions.maths import MAD_FACTOR
 
 def hourly_grid(df: DataFrame, entity: list[str], ts: str) -> DataFrame:
     """Every hour from each entity's first to its last, absent ones with nulls; ts must be unique per entity."""
@@ -84,7 +83,7 @@ def robust_scores(df: DataFrame, cell: list[str], value: str, least: int = 20, t
     rows = df.withColumn("cell_n", F.count(value).over(w)).withColumn("cell_median", F.median(value).over(w)).withColumn("deviation", F.col(value) - F.col("cell_median"))
     rows = rows.withColumn("cell_mad", F.median(F.abs("deviation")).over(w))
     can = (F.col("cell_n") >= least) & (F.col("cell_mad") > 0) & F.col(value).isNotNull()
-    z = F.when(can, 0.67449 * F.col("deviation") / F.col("cell_mad"))
+    z = F.when(can, MAD_FACTOR * F.col("deviation") / F.col("cell_mad"))
     reason = F.when(F.col(value).isNull(), "no_value").when(F.col("cell_n") < least, "small_cell").when(F.col("cell_mad") == 0, "no_spread")
     return rows.withColumn("z", z).withColumn("excursion", F.abs("z") >= threshold).withColumn("direction", F.when(F.col("excursion"), F.signum("z").cast("int"))).withColumn("unscored", reason)
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.flags import parse_cell
 
-ENCODINGS = ("utf-8-sig", "cp950", "big5", "gb18030")
-DATES = ("yyyy/M/d", "yyyy-M-d", "yyyyMMdd")
+# The archives' encodings in the order to try, their dates, and their column labels.
+ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5", "gb18030")
+DATES = ("yyyy/M/d", "M/d/yyyy", "yyyy-M-d")
+LABELS = {"date": ("日期", "監測日期", "date"), "station": ("測站", "測站名稱", "station"), "item": ("測項", "測項簡稱", "item")}
 #: Copies of a repeated spreadsheet cell, at most; beyond it the rest of a row is blank.
 REPEATS = 64
 _PRECEDENCE = {"csv": 0, "ods": 1}
@@ -83,11 +85,9 @@ class Dialect(NamedTuple):
 
 def detect_dialect(headers: list[str]) -> Dialect:
     """Which columns hold date, station, item and hours; hours are labelled 0-23, or 1-24 (then an hour less)."""
-    # The archives' column labels.
-    labels = {"date": ("date", "日期", "監測日期"), "station": ("station", "測站"), "item": ("item", "測項", "pollutant")}
     clean = {h: h.strip().lower() for h in headers}
     found = {}
-    for role, names in labels.items():
+    for role, names in LABELS.items():
         got = [h for h in headers if clean[h] in names]
         if len(got) != 1:
             raise ValueError(f"{len(got)} columns for {role}")

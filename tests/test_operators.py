@@ -23,7 +23,7 @@ def series(spark, values, entity="a"):
 
 @pytest.mark.parametrize(
     "raw,want",
-    [("12.3", (12.3, "valid", False)), ("15#", (15.0, "instrument_invalid", True)), ("#", (None, "instrument_invalid", False)), ("NR", (None, "no_rain", False)), (".33", (0.33, "valid", False)), ("", (None, "missing", False)), (None, (None, "missing", False)), ("7?", (None, "unparseable", False)), ("abc", (None, "unparseable", False)), (" -3 x", (-3.0, "manual_invalid", True))],
+    [("12.3", (12.3, "valid", False)), ("15#", (15.0, "instrument_check_invalid", True)), ("#", (None, "instrument_check_invalid", False)), ("NR", (None, "no_rain", False)), (".33", (0.33, "valid", False)), ("", (None, "missing", False)), (None, (None, "missing", False)), ("7?", (None, "unparseable", False)), ("abc", (None, "unparseable", False)), ("NA#", (None, "instrument_check_invalid", False)), ("*nr", (None, "program_check_invalid", False)), ("--", (None, "missing", False)), ("N/A", (None, "not_applicable", False)), ("A", (None, "rain_present", False)), (" -3 x", (-3.0, "manual_check_invalid", True))],
 )
 def test_parse_cell(spark, raw, want):
     got = spark.createDataFrame([(raw,)], "raw string").select(parse_cell("raw").alias("c")).first()["c"]
@@ -51,9 +51,9 @@ def test_monthly_needs_three_quarters(spark):
 
 
 def test_sentinels_and_ranges_only_touch_valid(spark):
-    df = spark.createDataFrame([("WS", 888.0, "valid"), ("WS", 888.0, "manual_invalid"), ("WS", 60.0, "valid"), ("X", 888.0, "valid"), ("WS", None, "valid")], "item string, value double, flag string")
+    df = spark.createDataFrame([("WS", 888.0, "valid"), ("WS", 888.0, "manual_check_invalid"), ("WS", 60.0, "valid"), ("X", 888.0, "valid"), ("WS", None, "valid")], "item string, value double, flag string")
     out = qc.ranges(qc.sentinels(df, "item", "value", "flag", {"WS": {888: "calm"}}), "item", "value", "flag", {"WS": (0, 50)}).collect()
-    assert [tuple(r) for r in out] == [("WS", None, "calm"), ("WS", 888.0, "manual_invalid"), ("WS", 60.0, "out_of_range"), ("X", 888.0, "valid"), ("WS", None, "valid")]
+    assert [tuple(r) for r in out] == [("WS", None, "calm"), ("WS", 888.0, "manual_check_invalid"), ("WS", 60.0, "out_of_range"), ("X", 888.0, "valid"), ("WS", None, "valid")]
 
 
 def test_null_counts_as_a_version(spark):

@@ -7,13 +7,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from aerolith.functions.flags import MARKERS
+from aerolith.functions.flags import FLAGS
 from aerolith.plans import jobs
 from aerolith.sources import archives, stores
 from aerolith.streaming import windows
 
 HOURS = [f"{h:02d}" for h in range(24)]
-FLAGS = ["missing", "unparseable", "out_of_range", "calm", *MARKERS.values()]
 
 
 def sheet(rows):
@@ -55,7 +54,7 @@ def test_dialects():
 
 
 def test_wide_to_long(spark):
-    wide = spark.createDataFrame([("2015/1/2", " s ", "PM", *map(str, range(24))), ("20150103", "s", "PM", *["#"] * 24), ("?", "s", "PM", *["1"] * 24)], ["date", "station", "item", *HOURS])
+    wide = spark.createDataFrame([("2015/1/2", " s ", "PM", *map(str, range(24))), ("1/3/2015", "s", "PM", *["#"] * 24), ("?", "s", "PM", *["1"] * 24)], ["date", "station", "item", *HOURS])
     out = archives.to_long(wide, archives.detect_dialect(wide.columns))
     assert out.count() == 48
     r = out.where("value = 23").first()
@@ -78,8 +77,8 @@ def test_build_store_repair_and_aggregate(spark, archive, tmp_path):
     got = {r["item"]: r for r in days.collect()}
     assert got["PM2.5"]["n_valid"] == 20 and got["RAIN"]["mean"] == 0.0 and "WIND" not in got
     assert all(r["mean"] is None for r in months.collect())
-    changed = stores.repair(spark, store, str(tmp_path / "staging"), lambda df: df.withColumn("flag", F.when(F.col("value") == 12, "manual_invalid").otherwise(F.col("flag"))))
-    assert changed == 1 and stores.scan_observations(spark, store).where("flag = 'manual_invalid'").count() == 1
+    changed = stores.repair(spark, store, str(tmp_path / "staging"), lambda df: df.withColumn("flag", F.when(F.col("value") == 12, "manual_check_invalid").otherwise(F.col("flag"))))
+    assert changed == 1 and stores.scan_observations(spark, store).where("flag = 'manual_check_invalid'").count() == 1
 
 
 def test_store_refuses(spark, tmp_path):
