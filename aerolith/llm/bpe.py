@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import ranges
+from aerolith.llm.common import ranges, text_batches
 
 # classes of codepoints
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE, S_T_M_D, R_, V_, L_, E_ = range(11)
@@ -308,5 +308,6 @@ def digests(name: str):
 
 
 def op3_byte_bpe(spark, sf_dir: str, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", digests(name)("text").alias("d")).select("doc_id", "d.*")

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group: what one Python call holds at a time.
 GROUP_BYTES = 8 << 20
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1000
 #: Buckets of a stored table; groups beyond it share buckets.
 MAX_BUCKETS = 20_000
 
@@ -37,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Arrow batches of at most `rows` rows in this session: texts are long, and a batch is held whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import crc_rest
+from aerolith.llm.common import crc_rest, text_batches
 
 BUCKETS = 1 << 12
 DIMENSIONS = 24
@@ -201,6 +201,7 @@ def predictor(model: Model):
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_rest("doc_id", 4) == 2
     model = fit(docs.where(~held))

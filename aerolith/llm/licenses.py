@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolith.llm.common import text_batches
+
 #: Cosine from which a notice names a licence, and words of a template it must share.
 THRESHOLD = 0.55
 SHARED = 3
@@ -168,6 +170,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, declares=N
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     """documents as files source/lang/<hundred>/<id>.txt; every file with a notice speaks for its directory."""
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("_")), F.lit(".txt"))).alias("path"))
     return scan(files, "doc_id", "path", "text", declares=F.lit(True))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolith.llm.common import text_batches
+
 UNKNOWN = "application/octet-stream"
 ROW = 64
 
@@ -353,5 +355,6 @@ def media_digests(texts: pd.Series) -> pd.DataFrame:
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", media_digests("text").alias("m")).select("doc_id", "m.*")

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import U64, mix, route, stored
+from aerolith.llm.common import mix, route, stored, text_batches, U64
 from aerolith.llm.components import components
 
 RADIUS = 3
 SEED = 42
 WORDS = 3
 #: Fingerprints in a group; their number in it fits 15 bits.
-GROUP = 4096
+GROUP = 2048
 #: Variants for a reducer, about.
 REDUCER_VARIANTS = 2_000_000
 _PACKED = "r int, g int, payload binary"
@@ -223,4 +223,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

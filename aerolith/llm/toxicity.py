@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import crc_rest
+from aerolith.llm.common import crc_rest, text_batches
 from aerolith.llm.langid import sampled
 
 #: Labelled rows that lexicon and weights are learned from, at most, of either label.
@@ -363,6 +363,7 @@ def scorer(model: Model):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_rest("doc_id", 5) == 0
     model = fit(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -10,30 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm import langid, packing, simhash, suffix_dedup, toxicity
-from aerolith.llm.common import stored
+from aerolith.llm.common import stored, text_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language the model knows, go."""
+    text_batches(spark)
     model = langid.fit(docs)
     return docs.withColumn("__p", langid.predictor(model)("text")).where("not __p.rejected").select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    text_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn("__s", toxicity.scorer(model)("text")).where("__s.predicted = 0").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    text_batches(spark)
     return simhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that occur more than once are cut out of every text; characters cut in two go whole."""
+    text_batches(spark)
     kept = suffix_dedup.dedup(docs, carry=("lang", "source"))
     return kept.select("doc_id", suffix_dedup.readable("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
