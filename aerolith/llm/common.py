@@ -66,20 +66,25 @@ def grouped_texts(docs: DataFrame, id_col: str, text_col: str, group_bytes: int
     Rows are dealt by the hash of id and text, so copies of one text spread over all groups.
     Null texts count as empty ones. Rows alike in id and text share a group.
     """
-    spark = docs.sparkSession
     n = n_groups(docs, text_col, group_bytes)
-    name = f"aerolith_{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("g"), *(c.alias(k) for k, c in (more or {}).items()))
+    return bucketed(rows, "g", n), n
+
+
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key of n values, so that passes by key need no shuffle."""
+    spark = df.sparkSession
+    name = f"aerolith_{uuid.uuid4().hex}"
     (
-        docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("g"), *(c.alias(k) for k, c in (more or {}).items()))
-        .repartition(min(n, MAX_BUCKETS), "g")
+        df.repartition(min(n, MAX_BUCKETS), key)
         .write.option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{name}")
-        .bucketBy(min(n, MAX_BUCKETS), "g")
-        .sortBy("g")
+        .bucketBy(min(n, MAX_BUCKETS), key)
+        .sortBy(key)
         .saveAsTable(name)
     )
-    return spark.table(name), n
+    return spark.table(name)
 
 
 def route(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -121,3 +121,24 @@ def test_bounded_tables_and_pieces(spark, monkeypatch):
     codes = [np.concatenate([c for c, _ in lm_score._grams([t.encode()])]) for t in texts]
     monkeypatch.setattr(lm_score, "CHUNK", 100)
     assert all((np.concatenate([c for c, _ in lm_score._grams([t.encode()])]) == k).all() for t, k in zip(texts, codes))
+
+
+def test_every_context_is_a_node(spark):
+    import random
+
+    rng = random.Random(4)
+    # more contexts of five bytes than any table of 65,536
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12_000)]
+    texts = [" ".join(rng.sample(vocabulary, len(vocabulary))) for _ in range(4)]
+    texts.append(texts[0][:500] + "held out " + texts[1][700:900])
+    rows = spark.createDataFrame([(i, t, i < 4) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(rows, F.col("learn")).collect()}
+    pieces = [np.concatenate([c for c, _ in lm_score._grams([t.encode()])]) for t in texts]
+    c, n = np.unique(np.concatenate(pieces[:4]), return_counts=True)
+    assert len(np.unique(c >> np.uint64(8))) > 1 << 16
+    every = [(lm_score._tagged(c, lm_score.DEPTH), n), *(lm_score._summed(lm_score._tagged(c, d), n) for d in range(2, lm_score.DEPTH))]
+    c, n = (np.concatenate(x) for x in zip(*every))
+    order = np.argsort(c)
+    table = lm_score.Table(c[order], n[order])
+    for i, code in enumerate(pieces):
+        assert abs(table.of(code).sum() / got[i] - 1) < 1e-5
