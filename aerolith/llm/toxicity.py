@@ -5,16 +5,19 @@ toxic rows is far above that among the rest (`mine`). It becomes a trie; running
 Levenshtein automata of distance 1 over that trie at once, and making the product
 deterministic, gives one automaton that reads a word and ends in (term, distance) pairs
 (`Automaton`). All words of a chunk of text step through its table together, column by
-column, and most leave it within three letters, so whole corpora can be scanned.
+column, and most leave it within three letters, so whole corpora can be scanned. A digit or
+symbol between letters is an edit too. Stems take edits before their last letter.
 
 Each hit is weighed by its window: words within WINDOW places, where quotation (quote marks
 around it, or words of reporting) lowers it and further hits or words of address raise it.
 A logistic regression on the weighed hits, trained on a bounded sample of labelled rows,
-gives the score. Nulls and empty texts have no hits and get the score of such texts.
+gives the score. A misspelled term counts as the exact one times one learned discount; forms
+that clean rows use as words of their own are no misspellings. Nulls and empty texts have no hits and get the score of such texts.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 from typing import NamedTuple
@@ -33,6 +36,10 @@ SAMPLE_ROWS = 4000
 #: Terms of the lexicon, at most.
 TERMS = 64
 STEMS = (4, 5, 6)
+#: Letters of a term that may be misspelled, at least.
+FUZZY = 5
+#: What a misspelled hit may count for, of an exact one.
+DISCOUNTS = (0.25, 0.5, 0.75, 1.0)
 WINDOW = 8
 CHUNK = 1 << 18
 #: Words that report or discuss another's words, in the languages at hand.
@@ -74,14 +81,14 @@ def build(terms: list[Term], distance: int = 1) -> Automaton:
     columns = np.zeros(0x110000, dtype=np.uint8 if len(letters) < 255 else np.uint16)
     for i, ch in enumerate(letters):
         columns[ord(ch)] = i + 1
-    allowed = {}  # edits that a node's terms may still have: short terms and stems match exactly
+    allowed = {}  # edits that a node's terms may still have: short terms match exactly
     order = [(0, ())]
     for node, path in order:
         order += [(c, (*path, node)) for c in children[node].values()]
     fuzzy = np.zeros(len(children), dtype=bool)
     paths = dict(order)
     for node, k in final.items():
-        if not terms[k].stem and len(terms[k].text) >= 5:
+        if len(terms[k].text) >= FUZZY:
             fuzzy[[node, *paths[node]]] = True
     allowed = {n: distance if fuzzy[n] else 0 for n in range(len(children))}
 
@@ -97,22 +104,23 @@ def build(terms: list[Term], distance: int = 1) -> Automaton:
         return frozenset(pairs.items())
 
     hits: list[tuple[int, int]] = []
-    number: dict = {frozenset(): 0}
+    number: dict = {(frozenset(), None): 0}
     rows, ends, absorbing = [[0] * (len(letters) + 1)], [-1], [False]
 
     def state(pairs: frozenset, stem) -> int:
-        key = (pairs, stem) if stem is not None else pairs
+        """stem: (distance, term) of the best stem that the word begins with; nothing beats an exact one."""
+        key = (pairs, stem)
         if key not in number:
             number[key] = len(rows)
             rows.append(None)
-            found = [(d, final[n]) for n, d in pairs if n in final and (d == 0 or (not terms[final[n]].stem and len(terms[final[n]].text) >= 5))]
-            best = (0, stem) if stem is not None else min(found, default=None)
+            found = [(d, final[n]) for n, d in pairs if n in final and not terms[final[n]].stem and (d == 0 or len(terms[final[n]].text) >= FUZZY)]
+            best = min([*found, *([stem] if stem is not None else [])], default=None)
             if best is None:
                 ends.append(-1)
             else:
                 ends.append(len(hits))
                 hits.append((best[1], best[0]))
-            absorbing.append(stem is not None)
+            absorbing.append(not pairs)
             todo.append(key)
         return number[key]
 
@@ -120,23 +128,25 @@ def build(terms: list[Term], distance: int = 1) -> Automaton:
     first = state(close({0: 0}), None)
     while todo:
         key = todo.pop()
-        pairs, stem = (key[0], key[1]) if isinstance(key, tuple) else (key, None)
+        pairs, stem = key
         row = []
         for ch in (None, *letters):
-            if stem is not None:
+            if not pairs:
                 row.append(number[key])
                 continue
             after: dict[int, int] = {}
+            met = [stem] if stem is not None else []  # a stem is met when its last letter is read
             for node, d in pairs:
                 for c_ch, c in children[node].items():
                     e = d + (c_ch != ch)
                     if e <= allowed[c] and e < after.get(c, 99):
                         after[c] = e
+                    if c_ch == ch and c in final and terms[final[c]].stem and d <= allowed[c]:
+                        met.append((d, final[c]))
                 if d < allowed[node] and d + 1 < after.get(node, 99):
                     after[node] = d + 1
-            closed = close(after)
-            met = [final[n] for n, d in closed if d == 0 and n in final and terms[final[n]].stem]
-            row.append(state(frozenset(), met[0]) if met else state(closed, None) if closed else 0)
+            best = min(met, default=None)
+            row.append(state(frozenset() if best is not None and best[0] == 0 else close(after), best))
         rows[number[key]] = row
     assert first == 1
     return Automaton(columns, np.array(rows, dtype=np.int32), np.array(ends, dtype=np.int32), np.array(absorbing), hits)
@@ -188,6 +198,11 @@ def _scan_held(held, auto: Automaton, out) -> None:
     letter = np.concatenate([[False], points > 0, [False]])
     start = np.flatnonzero(letter[1:] & ~letter[:-1])
     end = np.flatnonzero(letter[:-1] & ~letter[1:])
+    # words that one digit or symbol parts are read whole, too
+    runs = len(start)
+    parted = np.flatnonzero(start[1:] - end[:-1] == 1)
+    parted = parted[[not joined[i].isspace() for i in end[parted].tolist()]]
+    start, end = np.concatenate([start, start[parted]]), np.concatenate([end, end[parted + 1]])
     column = auto.columns[points]
     width = auto.table.shape[1]
     flat = auto.table.ravel()
@@ -213,7 +228,10 @@ def _scan_held(held, auto: Automaton, out) -> None:
         word, state, size = word[live], state[live], size[live]
     found = np.concatenate(hits) if hits else np.zeros((0, 2), dtype=np.int64)
     begins = np.cumsum([0, *(len(t) + 1 for _, _, t in held)])
-    for w, h in sorted(found.tolist()):
+    met = np.unique(found[:, 0])
+    clear = np.append(np.ones(runs, dtype=bool), ~(np.isin(parted, met) | np.isin(parted + 1, met)))
+    found = found[clear[found[:, 0]]]
+    for w, h in sorted(found.tolist(), key=lambda x: (start[x[0]], x)):
         i = int(np.searchsorted(begins, start[w], side="right")) - 1
         k, shift, _ = held[i]
         term, distance = auto.hits[h]
@@ -239,19 +257,46 @@ class Model(NamedTuple):
     auto: Automaton
     weights: np.ndarray
     bias: float
+    discount: float  # what a misspelled hit counts for, of an exact one
+    innocent: frozenset  # words near a term that clean rows use
 
 
-def _features(n_terms: int, weighed) -> np.ndarray:
-    """Saturating counts of exact and fuzzy hits of each term outside quotation; then quoted, addressed, and all hits."""
-    x = np.zeros(2 * n_terms + 3)
+def meant(text: str, hits: list[tuple[int, int, int, int]], innocent: frozenset) -> list[tuple[int, int, int, int]]:
+    """Hits without words that only look like a term."""
+    return [h for h in hits if h[1] == 0 or text[h[2] : h[3]].lower() not in innocent]
+
+
+def _counts(n_terms: int, weighed) -> np.ndarray:
+    """Of exact hits and of fuzzy ones: those of each term outside quotation; then quoted, addressed, and all of them."""
+    x = np.zeros((2, n_terms + 3))
     for term, distance, quoted, addressed in weighed:
+        row = x[int(distance > 0)]
         if quoted:
-            x[-3] += 1
+            row[-3] += 1
         else:
-            x[term + n_terms * (distance > 0)] += 1
-            x[-1] += distance == 0
-        x[-2] += addressed and not quoted
-    return np.log1p(x)
+            row[term] += 1
+            row[-1] += 1
+        row[-2] += addressed and not quoted
+    return x
+
+
+def _features(counts: np.ndarray, discount: float) -> np.ndarray:
+    """Saturating counts; a fuzzy hit counts as the exact one times the discount."""
+    return np.log1p(counts[..., 0, :] + discount * counts[..., 1, :])
+
+
+def misspelled(word: str, rng: random.Random) -> str:
+    """The word with one letter doubled, dropped or changed, or a digit or symbol for it, never the last."""
+    i = rng.randrange(1, len(word) - 1)
+    return word[:i] + rng.choice([word[i] * 2, "", rng.choice("abcdefghijklmnopqrstuvwxyz".replace(word[i].lower(), "")), rng.choice("0134@*$")]) + word[i + 1 :]
+
+
+def _innocent(texts: list[str], toxic: list[int], found: list) -> frozenset:
+    """Words within an edit of a term that are in two clean texts or more, and in no greater share of the toxic ones."""
+    seen, n = (Counter(), Counter()), Counter(map(bool, toxic))
+    for t, y, hits in zip(texts, toxic, found):
+        seen[bool(y)].update({t[a:b].lower() for _, d, a, b in hits if d})
+    return frozenset(w for w, k in seen[0].items() if k >= 2 and k * n[True] >= seen[1][w] * n[False])
 
 
 def mine(texts: list[str], toxic: list[int], limit: int = TERMS) -> list[Term]:
@@ -302,27 +347,53 @@ def mine(texts: list[str], toxic: list[int], limit: int = TERMS) -> list[Term]:
     return [Term(c.rstrip("*"), c.endswith("*")) for c in plain]
 
 
+def _regress(x: np.ndarray, y: np.ndarray, share: np.ndarray, n_terms: int, rounds: int) -> tuple[float, np.ndarray, float]:
+    """(loss, weights, bias) of a logistic regression on rows that count for their share."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    w[:n_terms] = 1.0
+    m = [np.zeros_like(w), np.zeros_like(w), 0.0, 0.0]
+    for k in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        off = share * (p - y) / share.sum()
+        gw, gb = x.T @ off + 1e-4 * w, off.sum()
+        m[0], m[1] = 0.9 * m[0] + 0.1 * gw, 0.99 * m[1] + 0.01 * gw * gw
+        m[2], m[3] = 0.9 * m[2] + 0.1 * gb, 0.99 * m[3] + 0.01 * gb * gb
+        c1, c2 = 1 - 0.9**k, 1 - 0.99**k
+        w -= 0.1 * m[0] / c1 / (np.sqrt(m[1] / c2) + 1e-8)
+        b -= 0.1 * m[2] / c1 / (np.sqrt(m[3] / c2) + 1e-8)
+    z = np.clip(x @ w + b, -30, 30)
+    return float((share * (np.logaddexp(0, z) - y * z)).sum() / share.sum()), w, float(b)
+
+
 def train(texts: list[str], toxic: list[int], rounds: int = 400, seed: int = 3) -> Model:
-    """Lexicon, automaton and weights; half of the rows mine the lexicon's fuzzy weights anew by cross fitting."""
+    """Lexicon, automaton, weights and discount; rows with exact hits are trained on as they are and with these misspelled, half each."""
     terms = mine(texts, toxic)
     auto = build(terms)
-    x = np.array([_features(len(terms), weigh(t, h)) for t, h in zip(texts, scan(texts, auto))]).reshape(len(texts), 2 * len(terms) + 3)
-    y = np.array(toxic, dtype=np.float64)
-    w, b = np.zeros(x.shape[1]), 0.0
+    found = scan(texts, auto)
+    innocent = _innocent(texts, toxic, found)
+    rng = random.Random(seed)
+    rows, y, share = list(texts), list(toxic), [1.0] * len(texts)
+    for i, hits in enumerate(found):
+        spans = [(a, b) for k, d, a, b in hits if d == 0 and len(terms[k].text) >= FUZZY]
+        if spans:
+            t, parts, at = texts[i], [], 0
+            for a, b in spans:
+                k = len(terms[next(h[0] for h in hits if h[2] == a)].text)  # of a stem's word, the stem
+                parts += [t[at:a], misspelled(t[a : a + k], rng), t[a + k : b]]
+                at = b
+            rows.append("".join([*parts, t[at:]]))
+            y.append(toxic[i])
+            share[i] = 0.5
+            share.append(0.5)
+    found = found + scan(rows[len(texts) :], auto)
+    counts = np.array([_counts(len(terms), weigh(t, meant(t, h, innocent))) for t, h in zip(rows, found)]).reshape(len(rows), 2, len(terms) + 3)
+    y, share = np.array(y, dtype=np.float64), np.array(share)
     if len(y) and 0 < y.sum() < len(y):
-        w[: len(terms)] = 1.0
-        m = [np.zeros_like(w), np.zeros_like(w), 0.0, 0.0]
-        for k in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-            gw, gb = x.T @ (p - y) / len(y) + 1e-4 * w, (p - y).mean()
-            m[0], m[1] = 0.9 * m[0] + 0.1 * gw, 0.99 * m[1] + 0.01 * gw * gw
-            m[2], m[3] = 0.9 * m[2] + 0.1 * gb, 0.99 * m[3] + 0.01 * gb * gb
-            c1, c2 = 1 - 0.9**k, 1 - 0.99**k
-            w -= 0.1 * m[0] / c1 / (np.sqrt(m[1] / c2) + 1e-8)
-            b -= 0.1 * m[2] / c1 / (np.sqrt(m[3] / c2) + 1e-8)
-    elif len(y):
-        b = 5.0 if y.all() else -5.0
-    return Model(terms, auto, w, float(b))
+        fits = [(*_regress(_features(counts, d), y, share, len(terms), rounds), d) for d in DISCOUNTS]
+        _, w, b, discount = min(fits, key=lambda f: f[0])
+    else:
+        w, b, discount = np.zeros(len(terms) + 3), (5.0 if y.all() else -5.0) if len(y) else 0.0, 1.0
+    return Model(terms, auto, w, b, discount, innocent)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -353,8 +424,9 @@ def scorer(model: Model):
         for a in range(0, len(texts), 256):
             part = [t or "" for t in texts.iloc[a : a + 256]]
             for t, hits in zip(part, scan(part, model.auto)):
+                hits = meant(t, hits, model.innocent)
                 weighed = weigh(t, hits)
-                z = float(_features(len(model.terms), weighed) @ model.weights + model.bias)
+                z = float(_features(_counts(len(model.terms), weighed), model.discount) @ model.weights + model.bias)
                 p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
                 rows.append((p, int(p >= 0.5), [{"term": model.terms[h[0]].text, "distance": h[1], "start": h[2], "end": h[3], "quoted": w[2]} for h, w in zip(hits, weighed)]))
         return pd.DataFrame(rows, columns=["score", "predicted", "hits"])

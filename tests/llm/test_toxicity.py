@@ -67,3 +67,44 @@ def test_held_out_accuracy(spark):
     held = [(got[r["doc_id"]], r["toxic"]) for r in marks if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["toxic"] is not None]
     assert all(r["held_out"] for r, _ in held)
     assert sum(r["predicted"] == y for r, y in held) >= 0.95 * len(held)
+
+
+def test_digits_symbols_and_edits_of_stems():
+    auto = tox.build([tox.Term("idiot", True), tox.Term("stupid", False)])
+    text = "idi0t st*pid idiiots id-iotic idiom idio stupid-idiot stu pid"
+    got = [(text[a:b], auto_term, d) for auto_term, d, a, b in tox.scan([text], auto)[0]]
+    assert got == [("idi0t", 0, 1), ("st*pid", 1, 1), ("idiiots", 0, 1), ("id-iotic", 0, 1), ("stupid", 1, 0), ("idiot", 0, 0)]
+
+
+def test_misspelled_terms_are_predicted_toxic():
+    rng = random.Random(5)
+    terms = ["stupid", "idiot", "moron"]
+    plain = "garden river window morning letter music paper bottle".split()
+
+    def text(word):
+        words = rng.choices(plain, k=20)
+        words[rng.randrange(20)] = word
+        return " ".join(words)
+
+    # a chance word near a term is a word of its own
+    rows = [(text(rng.choice(terms)), 1) if i % 2 else (text("oron" if i % 20 == 0 else "flower"), 0) for i in range(600)]
+    model = tox.train([t for t, _ in rows], [y for _, y in rows])
+
+    def predicted(t):
+        hits = tox.meant(t, tox.scan([t], model.auto)[0], model.innocent)
+        return tox._features(tox._counts(len(model.terms), tox.weigh(t, hits)), model.discount) @ model.weights + model.bias >= 0
+
+    held = [text(w) for w in ["idiiot", "stupld", "id1ot", "st*pid", "morron", "mor0n", "sstupid", "idiott"] * 5]
+    assert all(predicted(t) for t in held)
+    assert not any(predicted(text(w)) for w in ["oron", "flower", "garden"] * 5)
+    assert all(predicted(text(w)) for w in terms)
+
+
+def test_misspelled_rows_by_the_scorer(spark):
+    rows = [(i, f"plain stuff {i} and {'stupid idiot' if i % 3 == 0 else 'flowers'} here") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    odd = spark.createDataFrame([(i, f"plain stuff and {w} here") for i, w in enumerate(["stupld", "idiiot", "st*pid", "flowers"])], "doc_id long, text string")
+    got = {r[0]: r[1] for r in odd.select("doc_id", tox.scorer(model)("text").predicted).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
