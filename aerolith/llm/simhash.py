@@ -6,24 +6,24 @@ radius: all within 1 bit (rounded down), and, as the radius is odd, half of the
 also variants at 2 bits (rounded up). Two facts keep these few, and exact:
 
 * fingerprints 3 bits apart differ in parity, so only odd ones need variants at 2 bits;
-* of three bits on a ring of 64, some two are at most 21 apart, so only such pairs are
-  flipped (1,344 of 2,016), and the other side flips the third bit.
-
-Groups of fingerprints deal their variants to reducers as packed arrays (32 bits of hash
-beyond those that pick the reducer, and the owner). A run of equal variants links every
-owner to one of them, never all pairs; each link is verified on whole fingerprints, and a
-run with a failed link (a hash collision) is compared pair by pair. Links go back to the
-groups, which drop repeats, and then to connected components.
+* of three bits, some two lie in the same half of the 64, so only such pairs are flipped (992
+  of 2,016, the fewest that hit every three), and the other side flips the third bit.
+
+Groups of fingerprints deal their variants to reducers by a hash of the variant. A packed row
+names each fingerprint that owns a variant there once, with the numbers of its flips: at most
+12 bytes a variant whatever the number of reducers, and never the group's other fingerprints.
+At most 1,057 distinct fingerprints can share a variant, so no reducer gets hot. The reducer
+rebuilds the variants and links every owner of one to an owner at 1 bit or less, never all
+pairs; that is within the radius by construction, and checked. Links go back to the groups,
+which drop repeats, and then to connected components.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,17 @@ from aerolith.llm.components import components
 RADIUS = 3
 SEED = 42
 WORDS = 3
-#: Fingerprints in a group; their number in it fits 15 bits.
-GROUP = 2048
+#: Fingerprints in a group.
+GROUP = 4096
 #: Variants for a reducer, about.
-REDUCER_VARIANTS = 2_000_000
+REDUCER_VARIANTS = 4_000_000
 _PACKED = "r int, g int, payload binary"
-_BITS = U64(1) << np.arange(64, dtype=U64)
-_PAIRS = np.array([(1 << i) | (1 << ((i + gap) % 64)) for i in range(64) for gap in range(1, 22)], dtype=U64)
+#: What a variant flips: nothing, each bit, each pair of bits in one half.
+_FLIPS = np.array([0, *(1 << i for i in range(64)), *((1 << half + i) | (1 << half + j) for half in (0, 32) for j in range(32) for i in range(j))], dtype=U64)
+#: Of these, the first that flip one bit at most.
+_SINGLE = 65
+#: Variants of a fingerprint on average, half of them being odd.
+_EACH = (_SINGLE + len(_FLIPS)) // 2
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -69,27 +73,38 @@ def fingerprints(texts: pd.Series) -> pd.Series:
 # --- variants ----------------------------------------------------------------------------
 
 
+def _pack(f: np.ndarray, owner: np.ndarray, flip: np.ndarray) -> bytes:
+    """Variants f[owner] ^ flip, owners in order: each owner once, its number of variants, and their flips."""
+    own = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    sizes = np.diff(np.append(own, len(owner))).astype(np.uint16)
+    return len(own).to_bytes(4, "little") + f[owner[own]].tobytes() + sizes.tobytes() + flip.astype(np.uint16).tobytes()
+
+
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, flip) of each variant."""
+    k = int.from_bytes(payload[:4], "little")
+    f = np.frombuffer(payload, dtype=U64, count=k, offset=4)
+    sizes = np.frombuffer(payload, dtype=np.uint16, count=k, offset=4 + 8 * k)
+    return np.repeat(f, sizes), np.frombuffer(payload, dtype=np.uint16, offset=4 + 10 * k)
+
+
 def _variants(n: int):
-    """For a group (g, f): one row for each reducer: the owners' fingerprints, 32 bits of each variant, its owner."""
+    """For a group (g, f): a packed row for each reducer that gets variants."""
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         g, rows = int(pdf["g"].iloc[0]), []
         every = np.sort(pdf["f"].to_numpy().view(U64))
         for part in range(0, len(every), GROUP):
             f = every[part : part + GROUP]
-            number = np.arange(len(f), dtype=np.uint16)
+            number = np.arange(len(f), dtype=np.int32)
             odd = np.flatnonzero(np.bitwise_count(f) & 1)
-            z = [f, (f[:, None] ^ _BITS).ravel(), (f[odd][:, None] ^ _PAIRS).ravel()]
-            owner = np.concatenate([number, np.repeat(number, 64), np.repeat(number[odd] | np.uint16(1 << 15), len(_PAIRS))])
-            h = mix(np.concatenate(z))
-            to = route(h, n)
-            order = np.argsort(to.astype(np.uint16) if n < 1 << 16 else to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n + 1))
-            h, owner = h.astype(np.uint32)[order], owner[order]
-            for r in range(n):
-                a, b = int(cuts[r]), int(cuts[r + 1])
-                if b > a:
-                    rows.append((r, g, len(f).to_bytes(4, "little") + f.tobytes() + h[a:b].tobytes() + owner[a:b].tobytes()))
+            to = np.concatenate([route(mix((f[:, None] ^ _FLIPS[:_SINGLE]).ravel()), n), route(mix((f[odd][:, None] ^ _FLIPS[_SINGLE:]).ravel()), n)]).astype(np.int32)
+            owner = np.concatenate([np.repeat(number, _SINGLE), np.repeat(number[odd], len(_FLIPS) - _SINGLE)])
+            flip = np.concatenate([np.tile(np.arange(_SINGLE, dtype=np.uint16), len(f)), np.tile(np.arange(_SINGLE, len(_FLIPS), dtype=np.uint16), len(odd))])
+            order = np.argsort(to.astype(np.int64) * len(f) + owner, kind="stable")
+            to, owner, flip = to[order], owner[order], flip[order]
+            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+            rows += [(r, g, _pack(f, owner[a:b], flip[a:b])) for r, a, b in zip(to[cuts[:-1]].tolist(), cuts.tolist(), cuts[1:].tolist())]
         return pd.DataFrame(rows, columns=["r", "g", "payload"])
 
     return emit
@@ -113,57 +128,39 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links_of_runs(key: np.ndarray, owner: np.ndarray, pair: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between owners of equal keys: (fingerprint, fingerprint)."""
-    # within a run, entries flipped at most once come first, then the least owner
-    packed = np.sort((key.astype(U64) << U64(32)) | (pair.astype(U64) << U64(31)) | owner.astype(U64))
-    key, pair, owner = (packed >> U64(32)).astype(np.uint32), (packed >> U64(31)) & U64(1), (packed & U64((1 << 31) - 1)).astype(np.int64)
-    new = np.append(True, key[1:] != key[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(key)))
-    use = (size > 1) & (pair[begin] == 0)
-    begin, size = begin[use], size[use]
-    if not len(begin):
+def _links_of_runs(f: np.ndarray, flip: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, fingerprint) of owners of one variant: of each to one that flips one bit at most, if there is one."""
+    z = f ^ _FLIPS[flip]
+    order = np.argsort(z)
+    z = z[order]
+    new = np.append(True, z[1:] != z[:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(z)))
+    several = np.repeat(size > 1, size)
+    order, size = order[several], size[size > 1]
+    if not len(size):
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=U64)
-    run = np.repeat(np.arange(len(begin)), size)
-    at = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(run))
-    a, b = f[owner[at]], f[owner[np.repeat(begin, size)]]
-    near = np.bitwise_count(a ^ b) <= radius
-    failed = np.unique(run[~near])
-    good = near & (a != b)
-    links = [(a[good], b[good])]
-    for k in failed.tolist():
-        members = np.unique(f[owner[begin[k] : begin[k] + size[k]]])
-        for i in range(0, len(members), 512):
-            x, y = np.nonzero(np.bitwise_count(members[i : i + 512, None] ^ members) <= radius)
-            x = x + i
-            links.append((members[x[x < y]], members[y[x < y]]))
-    a, b = (np.concatenate(x) for x in zip(*links))
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=U64)
-    return pairs[:, 0], pairs[:, 1]
+    f, single = f[order], flip[order] < _SINGLE
+    begin = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(size)), size)
+    # the least fingerprint of a run among those that flip one bit at most
+    head = np.minimum.reduceat(np.where(single, f, U64(0xFFFFFFFFFFFFFFFF)), begin)[run]
+    use = np.logical_or.reduceat(single, begin)[run] & (f != head) & (np.bitwise_count(f ^ head) <= radius)
+    return f[use], head[use]
 
 
 def _meet(radius: int, n_groups: int):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, owners, fs, base = [], [], [], 0
-        for p in pdf["payload"]:
-            k = int.from_bytes(p[:4], "little")
-            m = (len(p) - 4 - 8 * k) // 6
-            fs.append(np.frombuffer(p, dtype=U64, count=k, offset=4))
-            keys.append(np.frombuffer(p, dtype=np.uint32, count=m, offset=4 + 8 * k))
-            o = np.frombuffer(p, dtype=np.uint16, count=m, offset=4 + 8 * k + 4 * m)
-            owners.append((o & np.uint16(0x7FFF)).astype(np.uint32) + np.uint32(base) | ((o >> np.uint16(15)).astype(np.uint32) << np.uint32(31)))
-            base += k
-        owner = np.concatenate(owners)
-        a, b = _links_of_runs(np.concatenate(keys), owner & np.uint32((1 << 31) - 1), owner >> np.uint32(31), np.concatenate(fs), radius)
+        f, flip = (np.concatenate(x) for x in zip(*map(_unpack, pdf["payload"])))
+        a, b = _links_of_runs(f, flip, radius)
         if not len(a):
             return pd.DataFrame(columns=["r", "g", "payload"])
         a, b = _forest(a, b)
         to = route(mix(a), n_groups)
-        out = []
-        for g in np.unique(to):
-            out.append((0, int(g), a[to == g].tobytes() + b[to == g].tobytes()))
-        return pd.DataFrame(out, columns=["r", "g", "payload"])
+        order = np.argsort(to, kind="stable")
+        to, a, b = to[order], a[order], b[order]
+        cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+        rows = [(0, g, a[i:j].tobytes() + b[i:j].tobytes()) for g, i, j in zip(to[cuts[:-1]].tolist(), cuts.tolist(), cuts[1:].tolist())]
+        return pd.DataFrame(rows, columns=["r", "g", "payload"])
 
     return find
 
@@ -183,7 +180,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = stored(prints.select("f").distinct(), "fingerprints")
     total = distinct.count()
     n_groups = max(1, -(-total // GROUP))
-    n = max(1, -(-total * 740 // REDUCER_VARIANTS), min(n_groups, 24))
+    n = max(1, -(-total * _EACH // REDUCER_VARIANTS), min(n_groups, 24))
     groups = distinct.withColumn("g", F.pmod(F.xxhash64("f"), F.lit(n_groups)).cast("int"))
     return groups.groupBy("g").applyInPandas(_variants(n), _PACKED).groupBy("r").applyInPandas(_meet(radius, n_groups), _PACKED).groupBy("g").applyInPandas(_gather, "a long, b long")
 
@@ -210,18 +207,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each component: that of the least id (nulls last; ties by the text's hash).
 
     Winners are found on ids and hashes alone, so texts are shuffled only once they may stay.
+    Of rows alike in id and text one stays, with partial aggregation before the shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     prints = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprints(text).alias("f")), "prints")
     key = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
-    winners = prints.join(_components_of(prints), "f").groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
-    hashed = docs.withColumn("__key", F.xxhash64(text))
-    kept = hashed.join(winners, hashed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
-    # rows alike in id and text: one of them
-    place = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(1)))
-    return kept.withColumn("__place", place).where("__place = 1").drop("__key", "__place")
+    winners = prints.join(_components_of(prints), "f").groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("won_id"), F.col("k.h").alias("won_h"))
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.struct(*docs.columns).alias("row"))
+    kept = hashed.join(winners, F.col("id").eqNullSafe(F.col("won_id")) & (F.col("h") == F.col("won_h")), "left_semi")
+    alike = prints.groupBy("id", "h").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["id", "h"]) if alike else kept).select("row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of `documents`; null and empty texts have fingerprint zero and link like others."""
     text_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 
-from aerolith.llm.simhash import fingerprint, links, near_duplicates
+from aerolith.llm.simhash import _FLIPS, _unpack, _variants, fingerprint, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, fingerprint int"
 
@@ -79,3 +80,21 @@ def test_near_duplicates_edge_rows(spark):
 
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_bytes_sent_for_each_fingerprint_stay_bounded():
+    rng = np.random.default_rng(4)
+    f = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    frame = pd.DataFrame({"g": 0, "f": f.view(np.int64)})
+    variants = int(np.where(np.bitwise_count(f) & 1, 1057, 65).sum())
+    for n in (1, 100, 10_000, 1_000_000):  # reducers of 1e4 to 1e10 fingerprints
+        sent = _variants(n)(frame)
+        assert sum(map(len, sent["payload"])) <= 12 * variants + 4 * len(sent)
+        if n == 100:
+            back = [_unpack(p) for p in sent["payload"]]
+            assert sum(len(x) for x, _ in back) == variants
+
+
+def test_every_three_bits_hold_a_flipped_pair():
+    pairs = set(_FLIPS[65:].tolist())
+    assert all({1 << i | 1 << j, 1 << i | 1 << k, 1 << j | 1 << k} & pairs for i in range(64) for j in range(i) for k in range(j))
