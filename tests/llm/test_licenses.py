@@ -1,6 +1,7 @@
 """op6: notices, cosines against a dense computation, inheritance against a direct walk."""
 
 import math
+import textwrap
 
 import pytest
 
@@ -30,7 +31,7 @@ def test_notices(text, name):
 def test_cosine_matches_dense():
     counts = [lic._terms(t) for _, t in lic.TEMPLATES]
     words = sorted({x for c in counts for x in c}, key=str)
-    idf = [math.log((1 + len(counts)) / (1 + sum(x in c for c in counts))) + 1 for x in words]
+    idf = [(math.log((1 + len(counts)) / (1 + sum(x in c for c in counts))) + 1) * (2 if any(map(str.isdigit, "".join(x))) else 1) for x in words]
     note = lic._terms("This file is licensed under the Apache License, Version 2.0 and MIT")
     v = [note[x] * w for x, w in zip(words, idf)]
     for k, c in enumerate(counts):
@@ -67,3 +68,35 @@ def test_inheritance(spark):
         (9, "MIT", "inherited", "a"),
     ] and (7, None, None, None) in got
     assert lic.scan(spark.createDataFrame([], SCHEMA), "doc_id", "path", "text").collect() == []
+
+
+def wrapped(text, mark=" * ", width=76):
+    """A header as it stands in a source file, its paragraphs apart."""
+    return "\n".join("\n".join(textwrap.wrap(p, width, initial_indent=mark, subsequent_indent=mark) + [mark.rstrip()]) for p in text.split("\n"))
+
+
+@pytest.mark.parametrize("k", range(len(lic.TEMPLATES)))
+@pytest.mark.parametrize("mark", [" * ", "# ", "// ", ""])
+def test_wrapped_templates_keep_their_name(k, mark):
+    name, text = lic.TEMPLATES[k]
+    code = "\n\nint main(void) {\n    return run(argc, argv);\n}\n"
+    for copy in (text, text + code, "Copyright (c) 2019 Some Body\n\n" + text + code, "#!/usr/bin/env tool\n" + text):
+        assert lic.detect(wrapped(copy, mark))[0] == name
+
+
+def test_head_of_a_long_licence_file():
+    filler = "\n\n".join("The licensee may modify the work and distribute copies under the terms of this License." for _ in range(300))
+    for name, text in lic.TEMPLATES:
+        if len(text) > 400:
+            assert lic.detect(wrapped(text, "") + "\n\n" + filler)[0] == name
+
+
+def test_titles_tell_versions_apart():
+    for title, name in [("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999", "LGPL-2.1"), ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "LGPL-3.0"), ("MIT License", "MIT")]:
+        assert lic.detect(title)[0] == name
+
+
+def test_a_file_that_is_mostly_notice_speaks_for_its_directory(spark):
+    rows = [(1, "a/b/1.txt", "Released under the MIT License.", 0), (2, "a/b/2.txt", "word " * 50 + "\nLicensed under CC BY-NC 4.0.", 0), (3, "a/b/c/3.txt", "other", 0)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in lic.scan(spark.createDataFrame(rows, SCHEMA), "doc_id", "path", "text").collect()}
+    assert got == {1: ("MIT", "notice"), 2: ("CC-BY-NC-4.0", "notice"), 3: ("MIT", "inherited")}
