@@ -2,13 +2,21 @@
 
 A text is its words' character n-grams (1 to 4 characters, words framed by blanks), hashed
 into BUCKETS rows of an embedding table; their average feeds a linear softmax. Both are
-trained with stochastic gradient descent in numpy on a bounded sample of labelled rows
-(`sample_rows`), then the softmax's temperature and the rejection threshold are calibrated
-on a part of the sample kept aside. Prediction runs over every whole text inside tasks; as
+trained with stochastic gradient descent in numpy on a bounded sample of labelled texts
+(`sample_rows`, spread over the languages; copies count once). The grams of whole sampled
+texts, and of a short window of each, are counted in tasks; only these counts, of at most
+BUCKETS numbers each, reach the driver. Prediction runs over every whole text inside tasks; as
 everything after the average is linear, the two tables are folded into one, which is small
 (BUCKETS x languages) and bounded, so each task receives it with the function.
 
-Null texts and texts without a letter are `und`, with score 0.
+A part of the sample kept aside calibrates the softmax's temperature and two rejections: a
+text goes if it is too unsure, or too strange: if its grams are less likely in the predicted
+language, by more than texts of that length ever are there (`_strangeness`). How much is read
+off the texts kept aside, and off texts that must be turned away: those of each language under
+a model of the others, and the texts kept aside with the letters of their words shuffled.
+
+Null texts and texts without a letter are `und`, with score 0. Repeated rows get equal
+results; very long texts are counted piece by piece; equal chances go to the smaller name.
 """
 
 from __future__ import annotations
@@ -26,14 +34,19 @@ from aerolith.llm.common import crc_rest, text_batches
 BUCKETS = 1 << 12
 DIMENSIONS = 24
 GRAMS = 4
-#: Labelled rows that a model is fitted on, at most.
+#: Labelled texts that a model is fitted on, about, and at least of each language.
 SAMPLE_ROWS = 3000
-#: Texts longer than this are sampled for training in random windows of this many characters.
-TRAIN_CHARS = 1200
-#: Share of the kept-aside rows that the rejection threshold may turn away.
+LANGUAGE_ROWS = 100
+#: Characters of the window that is learned beside each whole text, so that short texts are known.
+SHORT = 200
+#: Rows of a training step.
+STEP = 4
+#: Share of the kept-aside rows that the threshold of unsureness may turn away.
 REJECTED = 0.0005
-#: The rejection threshold, at most.
+#: That threshold, at most.
 CEILING = 0.4
+#: What a language's own texts may be stranger than those kept aside, as a factor.
+MARGIN = 1.25
 CHUNK = 1 << 17
 UNKNOWN = "und"
 
@@ -43,6 +56,9 @@ class Model(NamedTuple):
     table: np.ndarray  # (BUCKETS, languages): embedding times weights, divided by the temperature
     bias: np.ndarray
     threshold: float
+    habits: np.ndarray  # (BUCKETS, languages): log of each gram's share in the language
+    usual: np.ndarray  # what habits amount to in texts of the language
+    strange: tuple[float, float]  # what may lack to that: a constant, and what goes with 1 / sqrt(grams)
 
 
 _FOLD = np.zeros(1, dtype=np.uint32)
@@ -116,70 +132,157 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
-    """A calibrated model of the labels; a fifth of the rows is kept aside for calibration."""
+def _sgd(x: list, y: np.ndarray, rows: np.ndarray, n_languages: int, rng, epochs: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(folded table, bias) by stochastic gradient descent in steps of STEP rows."""
+    emb = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    w, b = np.zeros((DIMENSIONS, n_languages), dtype=np.float32), np.zeros(n_languages, dtype=np.float32)
+    for epoch in range(epochs):
+        step = np.float32(rate * (1 - epoch / epochs))
+        order = rng.permutation(rows)
+        for a in range(0, len(order), STEP):
+            some = order[a : a + STEP]
+            used = np.unique(np.concatenate([x[i][0] for i in some]))
+            part = np.zeros((len(some), len(used)), dtype=np.float32)
+            for k, i in enumerate(some):
+                part[k, np.searchsorted(used, x[i][0])] = x[i][1]
+            mean = part @ emb[used]
+            p = _softmax(mean @ w + b)
+            p[np.arange(len(some)), y[some]] -= 1
+            back = p @ w.T
+            w -= step * mean.T @ p
+            b -= step * p.sum(axis=0)
+            emb[used] -= step * np.float32(20) * (part.T @ back)
+    return (emb @ w).astype(np.float64), b.astype(np.float64)
+
+
+def _dot(x: list, which: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return np.array([x[i][1] @ table[x[i][0]] for i in which]).reshape(len(which), table.shape[1])
+
+
+def _habits(x: list, y: np.ndarray, rows: np.ndarray, n_languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log share of each gram in each language, what that amounts to on average in a text of it)."""
+    share = np.full((BUCKETS, n_languages), 1e-6)
+    for i in rows:
+        share[x[i][0], y[i]] += x[i][1]
+    share /= share.sum(axis=0)
+    logs = np.log(share)
+    got = _dot(x, rows, logs)[np.arange(len(rows)), y[rows]]
+    n = np.maximum(np.bincount(y[rows], minlength=n_languages), 1)
+    return logs, np.bincount(y[rows], weights=got, minlength=n_languages) / n
+
+
+def _strangeness(lack: np.ndarray, size: np.ndarray, foreign: np.ndarray, foreign_size: np.ndarray) -> tuple[float, float]:
+    """(a, b): texts of `size` grams that lack more than a + b / sqrt(size) are strange.
+
+    a and b cover every text kept aside, and MARGIN beyond; where foreign texts lie further off, a
+    goes up to half the way to the nearest twentieth of the long ones.
+    """
+    long = size >= np.median(size)
+    a = max(1e-3, float(lack[long].max()) * MARGIN)
+    far = foreign[foreign_size >= np.median(size)]
+    if len(far):
+        a = max(a, min(2 * a, (a + float(np.quantile(far, 0.05))) / 2))
+    return a, max(0.0, float(((lack - a) * np.sqrt(size)).max()) * MARGIN)
+
+
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], shuffled: list[tuple[np.ndarray, np.ndarray]] = (), seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
+    """A calibrated model of the labels of texts, given as (buckets, counts); a fifth of each language is kept aside. shuffled: what must be turned away."""
     languages = sorted(set(labels))
-    if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
+    known = [k for k, (used, _) in enumerate(grams) if len(used)]
+    if not known:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0, np.zeros((BUCKETS, 0)), np.zeros(0), (0.0, 0.0))
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for t, lang in zip(texts, labels):
-        for size in {TRAIN_CHARS, 200}:  # short windows too, so that short texts are known
-            a = int(rng.integers(0, max(1, len(t) - size)))
-            c = counts([t[a : a + size]])[0]
-            used = np.flatnonzero(c)
-            if len(used):
-                x.append((used, c[used] / c.sum()))
-                y.append(languages.index(lang))
-    y = np.array(y, dtype=np.int64)
-    aside = rng.random(len(x)) < 0.2
-    if aside.all() or not aside.any():
-        aside = np.zeros(len(x), dtype=bool)
-    emb = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
-    w, b = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
+    x = [(grams[k][0], grams[k][1] / grams[k][1].sum()) for k in known]
+    size = np.array([grams[k][1].sum() for k in known], dtype=np.float64)
+    y = np.array([languages.index(labels[k]) for k in known], dtype=np.int64)
+    aside = np.zeros(len(x), dtype=bool)
+    for k in range(len(languages)):
+        mine = rng.permutation(np.flatnonzero(y == k))
+        aside[mine[: len(mine) // 5]] = True
     rows = np.flatnonzero(~aside)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(rows):
-            used, share = x[i]
-            mean = share @ emb[used]
-            z = mean @ w + b
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = w @ p
-            w -= step * np.outer(mean, p)
-            b -= step * p
-            emb[used] -= np.outer(step * 20 * share, back)
-    table, tested = emb @ w, np.flatnonzero(aside) if aside.any() else rows
-    z = np.array([x[i][1] @ table[x[i][0]] + b for i in tested]).reshape(-1, len(languages))
+    table, b = _sgd(x, y, rows, len(languages), rng, epochs, rate)
+    tested = np.flatnonzero(aside) if aside.any() else rows
+    z = _dot(x, tested, table) + b
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(tested)), y[tested]] + 1e-12).mean()
-    temperature = min(np.geomspace(0.25, 8, 26), key=loss) if len(tested) else 1.0
-    sure = _softmax(z / temperature).max(axis=1) if len(tested) else np.ones(1)
+    temperature = min(np.geomspace(0.25, 8, 26), key=loss)
+    sure = _softmax(z / temperature).max(axis=1)
     threshold = min(float(np.quantile(sure, REJECTED)), CEILING) if len(languages) > 1 else 0.0
-    return Model(languages, table / temperature, b / temperature, threshold)
+    # how far texts of a language are from its habits, and how far those that must go
+    habits, usual = _habits(x, y, rows, len(languages))
+    fit = _dot(x, tested, habits)
+    lack = usual[y[tested]] - fit[np.arange(len(tested)), y[tested]]
+    others = [np.delete(np.arange(len(languages)), k) for k in range(len(languages))]
+    foreign = [float((usual[o] - f[o]).min()) for f, k in zip(fit, y[tested]) for o in [others[k]] if len(o)]
+    foreign_size = list(size[tested][: len(foreign)])
+    odd = [(used, c / c.sum()) for used, c in shuffled if len(used)]
+    foreign += (usual - _dot(odd, np.arange(len(odd)), habits)).min(axis=1).tolist()
+    foreign_size += [float(c.sum()) for used, c in shuffled if len(used)]
+    return Model(languages, table / temperature, b / temperature, threshold, habits, usual, _strangeness(lack, size[tested], np.array(foreign), np.array(foreign_size)))
+
+
+def _shuffled(text: str, rng) -> str:
+    """The text with the letters of each word in another order."""
+    words = text.split()
+    return " ".join("".join(w[i] for i in rng.permutation(len(w))) for w in words)
+
+
+def _sparse(c: np.ndarray) -> bytes:
+    used = np.flatnonzero(c)
+    return used.astype(np.uint16).tobytes() + c[used].astype(np.uint32).tobytes()
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(data) // 6
+    return np.frombuffer(data, dtype=np.uint16, count=k).astype(np.int64), np.frombuffer(data, dtype=np.uint32, offset=2 * k).astype(np.float64)
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def gram_counts(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+    """Column function: (text, number) -> sparse counts of the whole text, of a short window, and of that window with shuffled letters."""
+    out = []
+    for t, seed in zip(texts, seeds):
+        rng = np.random.default_rng(seed & 0xFFFFFFFF)
+        a = int(rng.integers(0, max(1, len(t) - SHORT)))
+        window = t[a : a + SHORT]
+        out.append([_sparse(c) for c in counts([t, window, _shuffled(t[: 8 * SHORT], rng)])])
+    return pd.Series(out)
 
 
 def sampled(rows: DataFrame, columns: list[str], limit: int) -> list:
-    """At most about `limit` rows, chosen by the hash of their columns, so alike on every run."""
-    total = rows.count()
+    """At most about `limit` distinct rows, chosen by the hash of their columns, so alike on every run; few columns without long texts."""
+    distinct = rows.select(*columns).distinct()
+    total = distinct.count()
     if not total:
         return []
-    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 30))
-    picked = rows.where(h < int(min(1.0, limit / total) * (1 << 30))).select(*columns).collect()
-    return sorted(picked, key=lambda r: tuple(str(v) for v in r))[: int(1.2 * limit) + 20]
+    h = F.xxhash64(*columns)
+    picked = distinct.where(F.pmod(h, F.lit(1 << 30)) < int(min(1.0, limit / total) * (1 << 30))).orderBy(h, *columns).limit(int(1.2 * limit) + 20).collect()
+    return sorted(picked, key=lambda r: tuple(str(v) for v in r))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the non-null languages of docs, from a sample of at most about sample_rows rows."""
-    rows = sampled(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), [text_col, lang_col], sample_rows)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    """A model of the non-null languages of docs.
+
+    It learns from about sample_rows distinct texts in all, dealt evenly over the languages, but
+    LANGUAGE_ROWS of each language at least, or all it has.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h"))
+    sizes = dict(map(tuple, rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02)).collect()))
+    if not sizes:
+        return train([], [])
+    each = max(LANGUAGE_ROWS, sample_rows // len(sizes))
+    share = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, int(min(1.0, each / max(n, 1)) * (1 << 30)))))
+    picked = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("l")]).dropDuplicates(["l", "h"])
+    got = sorted(map(tuple, picked.select("l", "h", gram_counts("t", "h").alias("c")).collect()), key=lambda r: (r[0], r[1]))
+    grams = [_opened(bytes(r[2][k])) for k in (0, 1) for r in got]
+    return train(grams, [r[0] for r in got] * 2, [_opened(bytes(r[2][2])) for r in got])
 
 
 def predictor(model: Model):
-    """Column function: text -> struct(lang, score, rejected)."""
+    """Column function: text -> struct(lang_pred, score, rejected)."""
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    table = model.table.astype(np.float32)
+    n_languages = len(model.languages)
+    both = np.concatenate([model.table, model.habits], axis=1).astype(np.float32)
+    base, slope = model.strange
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -188,19 +291,23 @@ def predictor(model: Model):
             part = list(texts.iloc[a : a + 64])
             c = counts([t or "" for t in part]).astype(np.float32)
             n = c.sum(axis=1)
-            z = c @ table / np.maximum(n, 1)[:, None] + model.bias
-            if not z.shape[1]:
+            z = (c @ both).astype(np.float64) / np.maximum(n, 1)[:, None]
+            if not n_languages:
                 out += [(UNKNOWN, 0.0, True)] * len(part)
                 continue
-            p = _softmax(z.astype(np.float64))
-            for k, best, size in zip(p, p.argmax(axis=1), n):
-                out.append((model.languages[best], float(k[best]), bool(k[best] < model.threshold)) if size else (UNKNOWN, 0.0, True))
+            p, fit = _softmax(z[:, :n_languages] + model.bias), z[:, n_languages:]
+            best = p.argmax(axis=1)
+            at = np.arange(len(part))
+            strange = model.usual[best] - fit[at, best] > base + slope / np.sqrt(np.maximum(n, 1))
+            rejected = strange | (p[at, best] < model.threshold)
+            out += [(model.languages[k], float(q), bool(r)) if size else (UNKNOWN, 0.0, True) for k, q, r, size in zip(best, p[at, best], rejected, n)]
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return run
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) of every row of `documents`; null and letterless texts are und."""
     text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_rest("doc_id", 4) == 2

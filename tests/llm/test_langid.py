@@ -4,6 +4,7 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from aerolith.llm import langid
 
@@ -37,3 +38,32 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r["held_out"]]
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held)
     assert sum(r["rejected"] for r in got) <= 0.01 * len(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_foreign_texts_are_rejected_and_own_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    foreign = [
+        "Tämä on suomenkielinen lause, jossa puhutaan säästä ja ihmisistä kaupungissa.",
+        "To jest polskie zdanie o pogodzie i ludziach w mieście, którzy rozmawiają.",
+        "Bu şehirde yaşayan insanlar hakkında Türkçe bir cümledir ve uzundur.",
+        "qzx wvk jjq xkcd zzq wvx kqj pfft grx",
+        "Это русский текст о погоде",
+        "这是中文文本",
+    ]
+    got = spark.createDataFrame([(t,) for t in foreign], "text string").select(langid.predictor(model)("text").rejected).collect()
+    assert all(r[0] for r in got)
+    for out in ("de", "en"):  # a language that the model has not seen, against those it has
+        left = langid.fit(docs.where(f"lang <> '{out}'"))
+        shares = {r["lang"]: r["share"] for r in docs.where("length(text) > 300").select("lang", langid.predictor(left)("text").rejected.cast("int").alias("r")).groupBy("lang").agg({"r": "mean"}).withColumnRenamed("avg(r)", "share").collect()}
+        assert all(v < 0.01 for lang, v in shares.items() if lang != out), shares
+
+
+def test_copies_and_rare_languages_in_the_sample(spark):
+    rows = [("the same text over and over", "en")] * 3000 + [(f"the other texts that were there {i}", "en") for i in range(40)] + [(f"das ist ein anderer text nummer {'abcdefghij'[i % 10]}{'klmno'[i % 5]}{i}", "de") for i in range(60)] + [(f"voici encore un texte {i}", "fr") for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    model = langid.fit(docs, sample_rows=90)
+    assert model.languages == ["de", "en", "fr"]
+    got = docs.select("lang", langid.predictor(model)("text").alias("p")).where("p.lang_pred <> lang").count()
+    assert got <= 0.02 * len(rows)
