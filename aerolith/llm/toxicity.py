@@ -1,25 +1,27 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
-The lexicon is mined from labelled rows: words and word stems whose document frequency among
-toxic rows is far above that among the rest (`mine`). It becomes a trie; running all
+The lexicon is mined from labelled rows: words and word stems that more toxic texts hold than
+chance can explain, though every word of the sample had its chance (`mine`). It becomes a trie; running all
 Levenshtein automata of distance 1 over that trie at once, and making the product
 deterministic, gives one automaton that reads a word and ends in (term, distance) pairs
 (`Automaton`). All words of a chunk of text step through its table together, column by
 column, and most leave it within three letters, so whole corpora can be scanned. A digit or
 symbol between letters is an edit too. Stems take edits before their last letter.
 
-Each hit is weighed by its window: words within WINDOW places, where quotation (quote marks
-around it, or words of reporting) lowers it and further hits or words of address raise it.
-A logistic regression on the weighed hits, trained on a bounded sample of labelled rows,
-gives the score. A misspelled term counts as the exact one times one learned discount; forms
-that clean rows use as words of their own are no misspellings. Nulls and empty texts have no hits and get the score of such texts.
+Each hit is weighed by its window: a hit in quotation (quote marks around it, or words of
+reporting within WINDOW words) doesn't count for its term, but for one feature of all quoted
+hits; words of address near others count too. A logistic regression on the weighed hits,
+trained on a bounded sample of labelled rows, gives the score. A misspelled term counts as the
+exact one times one learned discount; forms that clean rows use as words of their own are no
+misspellings (of a stem: their first letters). Nulls and empty texts have no hits and get the
+score of such texts; repeated rows get equal scores; very long texts are read in pieces.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -33,9 +35,11 @@ from aerolith.llm.langid import sampled
 
 #: Labelled rows that lexicon and weights are learned from, at most, of either label.
 SAMPLE_ROWS = 4000
-#: Terms of the lexicon, at most.
-TERMS = 64
-STEMS = (4, 5, 6)
+#: Letters of a stem.
+STEMS = (4, 5, 6, 7, 8)
+#: How many times as frequent among toxic texts a term is, at least, and the odds that any term is there by chance.
+TIMES = 8
+CHANCE = 0.01
 #: Letters of a term that may be misspelled, at least.
 FUZZY = 5
 #: What a misspelled hit may count for, of an exact one.
@@ -261,28 +265,40 @@ class Model(NamedTuple):
     innocent: frozenset  # words near a term that clean rows use
 
 
-def meant(text: str, hits: list[tuple[int, int, int, int]], innocent: frozenset) -> list[tuple[int, int, int, int]]:
+def _form(text: str, hit: tuple[int, int, int, int], terms: list[Term]) -> str:
+    """The word of a hit in lower case; for a stem, as many letters of it as the stem has."""
+    term, word = terms[hit[0]], text[hit[2] : hit[3]].lower()
+    return word[: len(term.text)] + "*" if term.stem else word
+
+
+def meant(text: str, hits: list[tuple[int, int, int, int]], terms: list[Term], innocent: frozenset) -> list[tuple[int, int, int, int]]:
     """Hits without words that only look like a term."""
-    return [h for h in hits if h[1] == 0 or text[h[2] : h[3]].lower() not in innocent]
+    return [h for h in hits if h[1] == 0 or _form(text, h, terms) not in innocent]
 
 
-def _counts(n_terms: int, weighed) -> np.ndarray:
-    """Of exact hits and of fuzzy ones: those of each term outside quotation; then quoted, addressed, and all of them."""
-    x = np.zeros((2, n_terms + 3))
+def _counts(terms: list[Term], weighed) -> np.ndarray:
+    """Of exact hits and of fuzzy ones: those of each term outside quotation; then quoted, addressed, and all of whole words."""
+    x = np.zeros((2, len(terms) + 3))
     for term, distance, quoted, addressed in weighed:
         row = x[int(distance > 0)]
         if quoted:
             row[-3] += 1
         else:
             row[term] += 1
-            row[-1] += 1
+            row[-1] += not terms[term].stem
         row[-2] += addressed and not quoted
     return x
 
 
-def _features(counts: np.ndarray, discount: float) -> np.ndarray:
-    """Saturating counts; a fuzzy hit counts as the exact one times the discount."""
-    return np.log1p(counts[..., 0, :] + discount * counts[..., 1, :])
+def _features(counts: np.ndarray, discount: float, terms: list[Term]) -> np.ndarray:
+    """Whether a word is there, and how often a stem is; a fuzzy hit counts as the exact one times the discount.
+
+    A word that clean texts never hold tells as much once as ten times; parts of stems come by
+    chance, so their counts tell.
+    """
+    x = counts[..., 0, :] + discount * counts[..., 1, :]
+    once = np.array([*(not t.stem for t in terms), False, False, True])
+    return np.where(once, np.minimum(x, 1.0), np.log1p(x))
 
 
 def misspelled(word: str, rng: random.Random) -> str:
@@ -291,58 +307,55 @@ def misspelled(word: str, rng: random.Random) -> str:
     return word[:i] + rng.choice([word[i] * 2, "", rng.choice("abcdefghijklmnopqrstuvwxyz".replace(word[i].lower(), "")), rng.choice("0134@*$")]) + word[i + 1 :]
 
 
-def _innocent(texts: list[str], toxic: list[int], found: list) -> frozenset:
-    """Words within an edit of a term that are in two clean texts or more, and in no greater share of the toxic ones."""
+def _innocent(texts: list[str], toxic: list[int], found: list, terms: list[Term]) -> frozenset:
+    """Forms within an edit of a term that are in two clean texts or more, and less than TIMES as frequent among toxic ones."""
     seen, n = (Counter(), Counter()), Counter(map(bool, toxic))
     for t, y, hits in zip(texts, toxic, found):
-        seen[bool(y)].update({t[a:b].lower() for _, d, a, b in hits if d})
-    return frozenset(w for w, k in seen[0].items() if k >= 2 and k * n[True] >= seen[1][w] * n[False])
+        seen[bool(y)].update({_form(t, h, terms) for h in hits if h[1]})
+    return frozenset(w for w, k in seen[0].items() if k >= 2 and TIMES * k * n[True] > seen[1][w] * n[False])
 
 
-def mine(texts: list[str], toxic: list[int], limit: int = TERMS) -> list[Term]:
-    """Words and stems far more frequent, by documents, among toxic texts; stems cover their words."""
+def mine(texts: list[str], toxic: list[int]) -> list[Term]:
+    """Words and stems that are TIMES as frequent, by documents, among toxic texts, and not by chance; stems cover their words.
+
+    Chance: the terms of a text know nothing of its label, and every word and stem of the toxic
+    texts is a try; the odds of one at least must stay under CHANCE (a Chernoff bound for each).
+    """
     with_, without, n = Counter(), Counter(), [0, 0]
-    main: Counter = Counter()  # documents of the commonest toxic word of each stem
     for t, y in dict.fromkeys(zip(texts, toxic)):  # copies of a text count once
         seen = set(_WORD.findall(t.lower()))
-        stems = {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}
-        (with_ if y else without).update(seen | stems)
+        seen |= {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}
+        (with_ if y else without).update(seen)
         n[bool(y)] += 1
     if not all(n):
         return []
-    for w, c in with_.items():
-        if not w.endswith("*"):
-            for k in STEMS:
-                if len(w) > k:
-                    main[w[:k] + "*"] = max(main[w[:k] + "*"], c)
+    share, tries = n[1] / sum(n), len(with_)
 
     def odds(x):
         return np.log((with_[x] + 0.5) / (n[1] + 1)) - np.log((without[x] + 0.5) / (n[0] + 1))
 
-    # the rest may hold a toxic word by mistake; a term must be 20 times as frequent and not just chance
+    def surprise(x):
+        c, d = with_[x], without[x]
+        p = c / (c + d)
+        return c * np.log(p / share) + (d * np.log((1 - p) / (1 - share)) if d else 0.0)
+
+    good = {x: c * odds(x) for x, c in with_.items() if c > 2 and odds(x) > np.log(TIMES) and surprise(x) > np.log(tries / CHANCE)}
     # a stem stands for many words, else its one word is the better term
-    least = max(3, 0.01 * n[1])
-    good = [x for x, c in with_.items() if c >= least and odds(x) > 3.0 and (not x.endswith("*") or main[x] < 0.5 * c)]
+    best: dict[str, float] = {}
+    for x, v in good.items():
+        for k in STEMS:
+            if not x.endswith("*") and len(x) >= k:
+                best[x[:k] + "*"] = max(best.get(x[:k] + "*", 0.0), v)
+    good = {x: v for x, v in good.items() if not x.endswith("*") or v > 1.1 * best.get(x, 0.0)}
+    # of stems that nearly the same texts hold, the longest
+    longer = {x[:k] + "*" for x in good if x.endswith("*") for k in STEMS if k < len(x) - 1 and with_[x] >= 0.95 * with_[x[:k] + "*"]}
+    good = {x: v for x, v in good.items() if x not in longer}
     chosen: list[str] = []
-    covered = np.zeros(len(texts), dtype=np.int64)
-    where = defaultdict(list)
-    wanted = set(good)
-    for i, (t, y) in enumerate(zip(texts, toxic)):
-        if y:
-            seen = set(_WORD.findall(t.lower()))
-            for x in (seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}) & wanted:
-                where[x].append(i)
-    # greedy: what is toxic most surely and often first, then what covers rows that are not yet covered twice
-    for x in sorted(good, key=lambda x: (-with_[x] * odds(x), len(x), x)):
+    # what is toxic most surely and often first; words that a stem covers already add nothing
+    for x in sorted(good, key=lambda x: (-good[x], -len(x), x)):
         base = x.rstrip("*")
-        if any(base.startswith(c.rstrip("*")) and (c.endswith("*") or c == x) for c in chosen):
-            continue
-        gain = sum(covered[i] < 2 for i in where[x])
-        if gain >= max(2, 0.001 * n[1]):
+        if not any(base.startswith(c.rstrip("*")) and (c.endswith("*") or c == x) for c in chosen):
             chosen.append(x)
-            covered[where[x]] += 1
-        if len(chosen) >= limit:
-            break
     plain = [c for c in chosen if not any(c != d and d.endswith("*") and c.rstrip("*").startswith(d[:-1]) for d in chosen)]
     return [Term(c.rstrip("*"), c.endswith("*")) for c in plain]
 
@@ -351,6 +364,7 @@ def _regress(x: np.ndarray, y: np.ndarray, share: np.ndarray, n_terms: int, roun
     """(loss, weights, bias) of a logistic regression on rows that count for their share."""
     w, b = np.zeros(x.shape[1]), 0.0
     w[:n_terms] = 1.0
+    positive = np.append(np.arange(len(w) - 1) < n_terms, True)
     m = [np.zeros_like(w), np.zeros_like(w), 0.0, 0.0]
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
@@ -361,6 +375,7 @@ def _regress(x: np.ndarray, y: np.ndarray, share: np.ndarray, n_terms: int, roun
         c1, c2 = 1 - 0.9**k, 1 - 0.99**k
         w -= 0.1 * m[0] / c1 / (np.sqrt(m[1] / c2) + 1e-8)
         b -= 0.1 * m[2] / c1 / (np.sqrt(m[3] / c2) + 1e-8)
+        np.maximum(w, 0.0, out=w, where=positive)  # a term is never a sign of clean text
     z = np.clip(x @ w + b, -30, 30)
     return float((share * (np.logaddexp(0, z) - y * z)).sum() / share.sum()), w, float(b)
 
@@ -370,7 +385,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 400, seed: int = 3)
     terms = mine(texts, toxic)
     auto = build(terms)
     found = scan(texts, auto)
-    innocent = _innocent(texts, toxic, found)
+    innocent = _innocent(texts, toxic, found, terms)
     rng = random.Random(seed)
     rows, y, share = list(texts), list(toxic), [1.0] * len(texts)
     for i, hits in enumerate(found):
@@ -386,10 +401,10 @@ def train(texts: list[str], toxic: list[int], rounds: int = 400, seed: int = 3)
             share[i] = 0.5
             share.append(0.5)
     found = found + scan(rows[len(texts) :], auto)
-    counts = np.array([_counts(len(terms), weigh(t, meant(t, h, innocent))) for t, h in zip(rows, found)]).reshape(len(rows), 2, len(terms) + 3)
+    counts = np.array([_counts(terms, weigh(t, meant(t, h, terms, innocent))) for t, h in zip(rows, found)]).reshape(len(rows), 2, len(terms) + 3)
     y, share = np.array(y, dtype=np.float64), np.array(share)
     if len(y) and 0 < y.sum() < len(y):
-        fits = [(*_regress(_features(counts, d), y, share, len(terms), rounds), d) for d in DISCOUNTS]
+        fits = [(*_regress(_features(counts, d, terms), y, share, len(terms), rounds), d) for d in DISCOUNTS]
         _, w, b, discount = min(fits, key=lambda f: f[0])
     else:
         w, b, discount = np.zeros(len(terms) + 3), (5.0 if y.all() else -5.0) if len(y) else 0.0, 1.0
@@ -401,15 +416,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Ids are sampled first, without their texts; only the sample's texts are then read, by a
     broadcast of its ids, which are as few as the sample.
+    Ids in labels alone, null ids and null texts teach nothing.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    known = rows.select("id").join(marks, "id")
+    known = marks.join(rows.select("id"), "id", "left_semi")
     picked = [(r["id"], int(r["y"])) for y in (0, 1) for r in sampled(known.where(F.col("y") == y), ["id", "y"], sample_rows)]
     if not picked:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(sorted(set(picked)), f"id {dict(rows.dtypes)['id']}, y int")
-    got = sorted(map(tuple, rows.join(F.broadcast(chosen), "id").select("t", "y").limit(4 * sample_rows).collect()))
+    # an id that several rows share speaks with the text of the least hash
+    got = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    got = sorted(map(tuple, got.select("t", "y").collect()))
     return train([r[0] for r in got], [int(r[1]) for r in got])
 
 
@@ -424,9 +442,9 @@ def scorer(model: Model):
         for a in range(0, len(texts), 256):
             part = [t or "" for t in texts.iloc[a : a + 256]]
             for t, hits in zip(part, scan(part, model.auto)):
-                hits = meant(t, hits, model.innocent)
+                hits = meant(t, hits, model.terms, model.innocent)
                 weighed = weigh(t, hits)
-                z = float(_features(_counts(len(model.terms), weighed), model.discount) @ model.weights + model.bias)
+                z = float(_features(_counts(model.terms, weighed), model.discount, model.terms) @ model.weights + model.bias)
                 p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
                 rows.append((p, int(p >= 0.5), [{"term": model.terms[h[0]].text, "distance": h[1], "start": h[2], "end": h[3], "quoted": w[2]} for h, w in zip(hits, weighed)]))
         return pd.DataFrame(rows, columns=["score", "predicted", "hits"])
@@ -435,6 +453,7 @@ def scorer(model: Model):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of `documents`; null and empty texts score as texts without hits."""
     text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_rest("doc_id", 5) == 0

@@ -91,8 +91,8 @@ def test_misspelled_terms_are_predicted_toxic():
     model = tox.train([t for t, _ in rows], [y for _, y in rows])
 
     def predicted(t):
-        hits = tox.meant(t, tox.scan([t], model.auto)[0], model.innocent)
-        return tox._features(tox._counts(len(model.terms), tox.weigh(t, hits)), model.discount) @ model.weights + model.bias >= 0
+        hits = tox.meant(t, tox.scan([t], model.auto)[0], model.terms, model.innocent)
+        return tox._features(tox._counts(model.terms, tox.weigh(t, hits)), model.discount, model.terms) @ model.weights + model.bias >= 0
 
     held = [text(w) for w in ["idiiot", "stupld", "id1ot", "st*pid", "morron", "mor0n", "sstupid", "idiott"] * 5]
     assert all(predicted(t) for t in held)
@@ -108,3 +108,31 @@ def test_misspelled_rows_by_the_scorer(spark):
     odd = spark.createDataFrame([(i, f"plain stuff and {w} here") for i, w in enumerate(["stupld", "idiiot", "st*pid", "flowers"])], "doc_id long, text string")
     got = {r[0]: r[1] for r in odd.select("doc_id", tox.scorer(model)("text").predicted).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+
+
+def test_chance_words_are_no_terms_and_quotation_is_clean():
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(1500):
+        words = rng.choices(plain, k=60)
+        if i % 5 == 0:
+            words[rng.randrange(60)] = rng.choice(["stupid", "idiot", "moron"])
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    model = tox.train([t for t, _ in rows], [y for _, y in rows])
+    assert {t.text for t in model.terms} == {"stupid", "idiot", "moron"}
+
+    def toxic(t):
+        hits = tox.meant(t, tox.scan([t], model.auto)[0], model.terms, model.innocent)
+        return tox._features(tox._counts(model.terms, tox.weigh(t, hits)), model.discount, model.terms) @ model.weights + model.bias >= 0
+
+    assert toxic("you are an idiot and a moron") and toxic("you are an idi0t and a morron")
+    assert not toxic('the word "idiot" comes from greek') and not toxic('she said "stupid moron" to him')
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i % 30, f"plain {'idiot' if i % 3 == 0 else 'flower'} {i}", "x") for i in range(900)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 5) for i in range(30)] * 3, "doc_id long, toxic int, text int")
+    model = tox.fit(docs, labels)
+    got = docs.select("text", tox.scorer(model)("text").predicted.alias("p")).collect()
+    assert all(r["p"] == int("idiot" in r["text"]) for r in got)
