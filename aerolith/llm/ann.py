@@ -6,13 +6,20 @@ vectors x: subspaces of two dimensions, 16 centres each (four bits), codes and c
 by coordinate descent on that loss, trained on a bounded sample (SAMPLE_ROWS).
 
 Every distinct vector is indexed. Copies of one vector keep their least ids only, as ties go
-to the smaller id, so a vector that a third of all rows hold costs one entry. Blocks of
-vectors meet blocks of queries; a table of 16 products for each subspace and query gives the
-approximate scores of a block by look-up, the best RERANK of each block are scored exactly in
-double precision, and each block sends on its best k for each query.
+to the smaller id, so a vector that a third of all rows hold costs one entry. Vectors are
+dealt to coarse partitions (spherical k-means on the sample) and inside these to blocks, so a
+partition that holds a third of all vectors is many blocks. Quantised is what a vector differs by
+from its partition's mean: inside a block, all of one partition, that alone orders the scores. A query visits the partitions
+nearest to it, as many as the sample's own neighbours need for a recall of RECALL; where
+neighbours know no partitions, as among random vectors, that is all of them, and the search a
+scan of all blocks of one partition. A table of 16 products for each subspace and query gives the approximate
+scores of a block by look-up; the best of each block, RERANK or the share that the sample's own
+neighbours need, are scored exactly in double precision, and each block sends on its best k for
+each query.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part. Ids may repeat; a query never finds rows of its own id.
+components take no part. Ids may repeat; a query never finds rows of its own id; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +38,15 @@ QUERY_BLOCK = 256
 RERANK = 96
 SUBSPACE = 2
 CENTRES = 16
+#: Vectors of a partition, about, as far as the sample allows.
+PART = 1024
+#: How much deeper than the sample needs a block is scored exactly.
+DEEPER = 1.5
+#: Recall on the sample that decides how many partitions a query visits.
+RECALL = 0.98
+#: Sampled vectors for each partition, at least, and those asked to measure that recall.
+SAMPLED_EACH = 64
+ASKED = 512
 #: Inner products that matter are above this share of the norms; sets how much parallel error weighs.
 THRESHOLD = 0.2
 
@@ -46,17 +62,17 @@ def _parts(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(len(x), -1, SUBSPACE).transpose(1, 0, 2))
 
 
-def encode(units: np.ndarray, centres: np.ndarray, weight: float, passes: int = 2) -> np.ndarray:
-    """Code of each subspace for unit vectors, by coordinate descent on the anisotropic loss."""
-    x = _parts(units)
-    codes = np.stack([((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1) for p, c in zip(x, centres)])
-    along = np.stack([((p - c[k]) * p).sum(axis=1) for p, c, k in zip(x, centres, codes)])
+def encode(units: np.ndarray, centres: np.ndarray, weight: float, means: np.ndarray | float = 0.0, passes: int = 2) -> np.ndarray:
+    """Code of each subspace for unit vectors less their partition's mean, by coordinate descent on the anisotropic loss."""
+    x, y = _parts(units), _parts(units - means)
+    codes = np.stack([((t[:, None] - c) ** 2).sum(axis=2).argmin(axis=1) for t, c in zip(y, centres)])
+    along = np.stack([((t - c[k]) * p).sum(axis=1) for p, t, c, k in zip(x, y, centres, codes)])
     total = along.sum(axis=0)
     for _ in range(passes):
-        for s, (p, c) in enumerate(zip(x, centres)):
-            r = p[:, None] - c
+        for s, (p, t, c) in enumerate(zip(x, y, centres)):
+            r = t[:, None] - c
             dot = (r * p[:, None]).sum(axis=2)
-            loss = (r**2).sum(axis=2) + (weight - 1) * (total - along[s])[:, None] ** 2 + (weight - 1) * (2 * (total - along[s])[:, None] * dot + dot**2)
+            loss = (r**2).sum(axis=2) + (weight - 1) * ((total - along[s])[:, None] + dot) ** 2
             codes[s] = loss.argmin(axis=1)
             new = dot[np.arange(len(p)), codes[s]]
             total += new - along[s]
@@ -64,34 +80,101 @@ def encode(units: np.ndarray, centres: np.ndarray, weight: float, passes: int =
     return codes.T.astype(np.uint8)
 
 
-def train(units: np.ndarray, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """Centres (subspaces, CENTRES, SUBSPACE) for unit vectors."""
+def train(units: np.ndarray, means: np.ndarray | float = 0.0, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Centres (subspaces, CENTRES, SUBSPACE) for unit vectors less their partitions' means."""
     rng = np.random.default_rng(seed)
     weight = eta(units.shape[1])
-    x = _parts(units)
+    x, y = _parts(units), _parts(units - means)
     pick = rng.integers(0, len(units), (len(x), CENTRES))
-    centres = np.stack([p[i] for p, i in zip(x, pick)]) + rng.normal(0, 1e-4, (len(x), CENTRES, SUBSPACE))
+    centres = np.stack([t[i] for t, i in zip(y, pick)]) + rng.normal(0, 1e-4, (len(x), CENTRES, SUBSPACE))
     for _ in range(rounds):
-        codes = encode(units, centres, weight, passes=1).T
-        along = np.stack([((p - c[k]) * p).sum(axis=1) for p, c, k in zip(x, centres, codes)])
+        codes = encode(units, centres, weight, means, passes=1).T
+        along = np.stack([((t - c[k]) * p).sum(axis=1) for p, t, c, k in zip(x, y, centres, codes)])
         total = along.sum(axis=0)
-        for s, p in enumerate(x):
+        for s, (p, t) in enumerate(zip(x, y)):
             rest = total - along[s]
             for k in range(CENTRES):
                 mine = codes[s] == k
                 if not mine.any():
-                    centres[s, k] = p[rng.integers(0, len(p))]
+                    centres[s, k] = t[rng.integers(0, len(t))]
                     continue
-                y = p[mine]
-                left = len(y) * np.eye(SUBSPACE) + (weight - 1) * y.T @ y
-                right = y.sum(axis=0) + (weight - 1) * y.T @ (rest[mine] + (y**2).sum(axis=1))
+                px, ty = p[mine], t[mine]
+                left = len(px) * np.eye(SUBSPACE) + (weight - 1) * px.T @ px
+                right = ty.sum(axis=0) + (weight - 1) * px.T @ (rest[mine] + (px * ty).sum(axis=1))
                 centres[s, k] = np.linalg.solve(left, right)
-            new = ((p - centres[s][codes[s]]) * p).sum(axis=1)
+            new = ((t - centres[s][codes[s]]) * p).sum(axis=1)
             total += new - along[s]
             along[s] = new
     return centres
 
 
+def averages(units: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Mean of the sample's unit vectors in each partition."""
+    of = (units @ coarse.T).argmax(axis=1)
+    total = np.zeros_like(coarse)
+    np.add.at(total, of, units)
+    return total / np.maximum(np.bincount(of, minlength=len(coarse)), 1)[:, None]
+
+
+def partitions(units: np.ndarray, n: int, rounds: int = 10, seed: int = 9) -> np.ndarray:
+    """Centres of at most n partitions of unit vectors, by spherical k-means."""
+    rng = np.random.default_rng(seed)
+    centres = units[np.sort(rng.permutation(len(units))[:n])]
+    for _ in range(rounds if len(centres) > 1 else 0):
+        of = (units @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, of, units)
+        size = np.sqrt((total**2).sum(axis=1))
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1e-300)[:, None], centres)
+    return centres
+
+
+def visits(units: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many partitions must be visited for the recall, measured on the sample's own nearest."""
+    some = units[:: max(1, len(units) // ASKED)]
+    score = some @ units.T
+    np.put_along_axis(score, score.argmax(axis=1)[:, None], -2, axis=1)  # itself
+    k = min(k, len(units) - 1)
+    if k < 1 or len(centres) < 2:
+        return len(centres)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = (-(some @ centres.T)).argsort(axis=1).argsort(axis=1)  # of each partition, nearest first
+    need = np.sort(np.take_along_axis(place, (units @ centres.T).argmax(axis=1)[near], axis=1).ravel())
+    least = int(need[int(np.ceil(recall * len(need))) - 1]) + 1
+    return least if least <= 0.75 * len(centres) else len(centres)
+
+
+def depth(units: np.ndarray, coarse: np.ndarray, means: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """Share of a block that must be scored exactly for the recall, measured on the sample's own nearest."""
+    some = units[:: max(1, len(units) // (ASKED // 2))]
+    of = (units @ coarse.T).argmax(axis=1)
+    score = some @ units.T
+    own = score.argmax(axis=1)
+    np.put_along_axis(score, own[:, None], -2, axis=1)
+    k = min(k, len(units) - 1)
+    if k < 1:
+        return 0.0
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    codes = encode(units, centres, eta(units.shape[1]), means[of])
+    about = scan(codes, np.einsum("sqd,scd->qsc", _parts(some).astype(np.float32), centres.astype(np.float32)))
+    need = [((about[i][mine] > about[i, j]).sum() + 1) / len(mine) for i, row in enumerate(near) for j in row for mine in [np.flatnonzero(of == of[j])]]
+    need.sort()
+    return float(need[int(np.ceil(recall * len(need))) - 1])
+
+
+def _visited(centres: np.ndarray, n: int):
+    """Column function: vector -> the n nearest partitions."""
+
+    @F.pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        score = -(_units(np.stack(vectors.to_numpy())) @ centres.T)
+        return pd.Series(list(score.argsort(axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return run
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -102,13 +185,13 @@ def _valid(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0)")
 
 
-def _pack_block(centres: np.ndarray, weight: float):
+def _pack_block(centres: np.ndarray, means: np.ndarray, weight: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b, rows = int(pdf["block"].iloc[0]), []
         for a in range(0, len(pdf), BLOCK):
             part = pdf.iloc[a : a + BLOCK]
             v = np.stack(part["v"].to_numpy()).astype(np.float64)
-            codes = encode(_units(v), centres, weight)
+            codes = encode(_units(v), centres, weight, means[int(part["part"].iloc[0])])
             if codes.shape[1] % 2:
                 codes = np.pad(codes, ((0, 0), (0, 1)))
             ids = [np.asarray(x, dtype=np.int64) for x in part["ids"]]
@@ -118,12 +201,15 @@ def _pack_block(centres: np.ndarray, weight: float):
     return run
 
 
+_QUERIES = "part int, q_vectors binary, q_ids binary"
+
+
 def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for a in range(0, len(pdf), QUERY_BLOCK):
         part = pdf.iloc[a : a + QUERY_BLOCK]
-        rows.append((np.stack(part["v"].to_numpy()).astype(np.float64).tobytes(), part["id"].to_numpy(dtype=np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["q_vectors", "q_ids"])
+        rows.append((int(part["part"].iloc[0]) if "part" in part else -1, np.stack(part["v"].to_numpy()).astype(np.float64).tobytes(), part["id"].to_numpy(dtype=np.int64).tobytes()))
+    return pd.DataFrame(rows, columns=["part", "q_vectors", "q_ids"])
 
 
 def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -135,7 +221,7 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meet(centres: np.ndarray, dimensions: int, k: int, rerank: int):
+def _meet(centres: np.ndarray, dimensions: int, k: int, rerank: int, share: float):
     table_of = centres.astype(np.float32)
 
     def run(batches):
@@ -151,7 +237,7 @@ def _meet(centres: np.ndarray, dimensions: int, k: int, rerank: int):
                 first = np.cumsum(sizes) - sizes
                 tables = np.einsum("sqd,scd->qsc", _parts(_units(q)).astype(np.float32), table_of)
                 near = scan(codes, tables)
-                take = min(rerank, row.n)
+                take = min(max(rerank, int(share * row.n) + 1), row.n)
                 best = np.argpartition(-near, take - 1, axis=1)[:, :take]
                 norms, q_norms = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 out = []
@@ -165,8 +251,8 @@ def _meet(centres: np.ndarray, dimensions: int, k: int, rerank: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k nearest rows of vectors by cosine."""
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's k nearest rows of vectors by cosine; exact: visiting all partitions."""
     spark = vectors.sparkSession
     valid = _valid(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), "v").where("id is not null")
     lengths = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -180,19 +266,35 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     share = min(1.0, sample_rows / total)
     sample = valid.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").distinct().limit(2 * sample_rows).collect()
     sample = sample or valid.select("v").limit(1).collect()
-    centres = train(_units(np.array(sorted(r[0] for r in sample))))
-    blocks = max(1, -(-total // BLOCK))
-    index = stored(distinct.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_pack_block(centres, eta(d)), "block int, codes binary, vectors binary, ids binary, sizes binary, n int"), "index")
+    units = _units(np.array(sorted(r[0] for r in sample)))
+    coarse = partitions(units, max(1, min(len(units) // SAMPLED_EACH, total // PART)))
+    n_visits = len(coarse) if exact else visits(units, coarse, k)
+    if n_visits == len(coarse):
+        coarse, n_visits = partitions(units, 1), 1
+    means = averages(units, coarse)
+    centres = train(units, means[(units @ coarse.T).argmax(axis=1)])
+    share = DEEPER * depth(units, coarse, means, centres, k)
+    dealt = stored(distinct.withColumn("part", _visited(coarse, 1)("v")[0]), "dealt")
+    sizes = dict(map(tuple, dealt.groupBy("part").count().collect()))  # one row for each partition
+    n_blocks = [-(-sizes.get(i, 0) // BLOCK) for i in range(len(coarse))]
+    first = np.cumsum([0, *n_blocks]).tolist()
+    of_part = lambda values: F.element_at(F.lit(values), F.col("part") + 1)
+    block = (of_part(first) + F.pmod(F.xxhash64("v"), of_part([max(1, n) for n in n_blocks]).cast("long"))).cast("int")
+    index = stored(dealt.withColumn("block", block).groupBy("block").applyInPandas(_pack_block(centres, means, eta(d)), "block int, codes binary, vectors binary, ids binary, sizes binary, n int"), "index")
     asked = _valid(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), "v").where((F.size("v") == d) & F.col("id").isNotNull())
-    n_asked = asked.count()
-    of = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // QUERY_BLOCK))))
-    packed = asked.groupBy(of).applyInPandas(_pack_queries, "q_vectors binary, q_ids binary")
-    meetings = index.join(packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), "block")
-    found = meetings.mapInPandas(_meet(centres, d, k, rerank), "query_id long, vec_id long, score double")
+    asked = stored(asked, "queries")
+    of = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK))))
+    if len(coarse) == 1:
+        packed = asked.groupBy(of).applyInPandas(_pack_queries, _QUERIES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, first[-1] - 1)))))
+    else:
+        met = asked.withColumn("part", F.explode(_visited(coarse, n_visits)("v"))).groupBy("part", of).applyInPandas(_pack_queries, _QUERIES)
+        packed = met.where(of_part(n_blocks) > 0).withColumn("block", F.explode(F.sequence(of_part(first), of_part(first) + of_part(n_blocks) - 1)))
+    found = index.join(packed, "block").mapInPandas(_meet(centres, d, k, rerank, share), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_anisotropic_ann(spark, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of `embeddings` of each row whose vec_id is divisible by 50; rows without a usable vector take no part."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))

@@ -3,6 +3,8 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from aerolith.llm import ann
@@ -56,3 +58,25 @@ def test_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert set(got) == set(want)
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_recall_over_many_blocks(spark, tmp_path, kind):
+    """51,200 vectors in many blocks: the share of the true nearest found, and what a query visits."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(51_200, 64)).astype(np.float32)
+    if kind == "clustered":  # a third of all in one cluster
+        centre = np.where(rng.random(len(v)) < 0.33, 0, rng.integers(0, 60, len(v)))
+        v = (rng.normal(size=(60, 64))[centre] * 2 + v * 0.6).astype(np.float32)
+    q = np.arange(0, len(v), 640)
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v), "score": np.zeros(len(v))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    units = ann._units(v[::4])
+    coarse = ann.partitions(units, 50)
+    assert (ann.visits(units, coarse, 5) == len(coarse)) == (kind == "random")
+    want = brute(range(len(v)), v.astype(np.float64), q.tolist(), v[q].astype(np.float64))
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 640 = 0"), sample_rows=5000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want)
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) >= 0.95
