@@ -29,14 +29,19 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a new local one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in the one that all executors share, spark.checkpoint.dir.
+
+    Where that is unset, a new local folder is set on a local master, as in tests; on a cluster,
+    whose executors could not read each other's, it is an error. All that the operators keep lies
+    in this one folder, which can be deleted once the application's results are written.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or "file://" + tempfile.mkdtemp(prefix="aerolith-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="aerolith-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/aerolith-{spark.sparkContext.applicationId}"
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
@@ -63,17 +68,23 @@ def n_groups(docs: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> int:
 def grouped_texts(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, more: dict | None = None) -> tuple[DataFrame, int]:
     """Table (id, text binary, g int, and the columns in more), bucketed by g, and the number of groups.
 
-    Rows are dealt by the hash of id and text, so copies of one text spread over all groups.
-    Null texts count as empty ones. Rows alike in id and text share a group.
+    Rows are dealt by the hash of id and text and a salt that changes every 64 rows of a task, so
+    copies of one text, and rows alike in id and text too, spread over all groups. The table is
+    written once and only read from then on, so a row's group is settled; docs should come from files,
+    as rows that change places when a task runs anew could change groups. Null texts count as empty.
     """
     n = n_groups(docs, text_col, group_bytes)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).cast("int").alias("g"), *(c.alias(k) for k, c in (more or {}).items()))
+    salt = F.shiftright(F.monotonically_increasing_id(), 6)
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.pmod(F.xxhash64(F.col(id_col), text, salt), F.lit(n)).cast("int").alias("g"), *(c.alias(k) for k, c in (more or {}).items()))
     return bucketed(rows, "g", n), n
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by a key of n values, so that passes by key need no shuffle."""
+    """df as a table in the shared folder, bucketed by a key of n values, so that passes by key need no shuffle.
+
+    Its name leaves the catalogue at once: the frame knows files and buckets, nobody else needs it.
+    """
     spark = df.sparkSession
     name = f"aerolith_{uuid.uuid4().hex}"
     (
@@ -84,7 +95,9 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
         .sortBy(key)
         .saveAsTable(name)
     )
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def route(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from aerolith.llm.common import text_batches
 
 UNKNOWN = "application/octet-stream"
+#: What stored texts are declared as, whatever their form.
+DECLARED = "audio/wav"
 ROW = 64
 
 # The formats' magic bytes.
@@ -179,12 +181,24 @@ def _flac(d: bytes, at: int):
     return None
 
 
+def _ogg_crc(page: bytes) -> int:
+    """Checksum of an Ogg page whose own checksum is zero: polynomial 0x04C11DB7, no reflection."""
+    c = 0
+    for byte in page:
+        c ^= byte << 24
+        for _ in range(8):
+            c = (c << 1 ^ (0x04C11DB7 if c & 0x80000000 else 0)) & 0xFFFFFFFF
+    return c
+
+
 def _ogg(d: bytes, at: int):
     i, pages = at, 0
+    if d[at + 5 : at + 6] == b"" or not d[at + 5] & 2:  # the first page begins a stream
+        return None
     while d[i : i + 4] == b"OggS" and i + 27 <= len(d) and d[i + 4] == 0:
         n = d[i + 26]
         end = i + 27 + n + sum(d[i + 27 : i + 27 + n])
-        if end > len(d):
+        if end > len(d) or _ogg_crc(d[i : i + 22] + bytes(4) + d[i + 26 : end]) != struct.unpack_from("<I", d, i + 22)[0]:
             break
         i, pages = end, pages + 1
     return (i, "audio/ogg", f"{pages}") if pages else None
@@ -294,9 +308,9 @@ def store(payload: bytes) -> bytes:
     return b"BM" + struct.pack("<IIIIiiHHIIiiII", start + len(payload), 0, start, 40, ROW, -rows, 1, 8, 0, len(payload), 2835, 2835, 256, 0) + grey + payload
 
 
-def load(data: bytes) -> tuple[bytes, str, str]:
-    """(samples, type, facts) of stored bytes, once their structure was confirmed."""
-    media = sniff(data)
+def load(data: bytes, media: list | None = None) -> tuple[bytes, str, str]:
+    """(samples, type, facts) of stored bytes, once their structure was confirmed; media: what sniff found, if known."""
+    media = sniff(data) if media is None else media
     if not media or media[0][0]:
         raise ValueError("no stored medium")
     _, size, kind, facts = media[0]
@@ -333,7 +347,7 @@ def feature(samples: bytes, kind: str, facts: str) -> str:
     return f"{kind};{facts};mean={mean:.3f};spread={spread:.3f};zero={p[0]:.4f};bits={float(-(q * np.log2(q)).sum()):.4f}"
 
 
-_DIGEST = T.StructType([T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
+_DIGEST = T.StructType([T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("media_type", T.StringType()), ("type_corrected", T.BooleanType()), ("n_carved", T.LongType()))])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -344,17 +358,23 @@ def stored_media(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_DIGEST)
 def media_digests(texts: pd.Series) -> pd.DataFrame:
-    """Column function: text -> digests of its bytes, stored as a medium and read back."""
+    """Column function: text -> digests of its bytes, stored as a medium declared as DECLARED and read back.
+
+    media_type is what the bytes are, type_corrected whether that isn't the declared type, n_carved
+    how many whole media lie inside the stored one.
+    """
     rows = []
     for t in texts:
         raw = (t or "").encode()
         kept = store(padded(raw))
-        samples, kind, facts = load(kept)
-        rows.append((len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(kept), hashlib.sha256(kept).hexdigest(), feature(samples, kind, facts)))
+        media = sniff(kept)
+        samples, kind, facts = load(kept, media)
+        rows.append((len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(kept), hashlib.sha256(kept).hexdigest(), feature(samples, kind, facts), kind, kind != DECLARED, len(media) - 1))
     return pd.DataFrame(rows, columns=[f.name for f in _DIGEST.fields])
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
+    """Digests of every row of `documents` stored as media and read back; null texts count as empty."""
     text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", media_digests("text").alias("m")).select("doc_id", "m.*")

@@ -36,7 +36,10 @@ def test_each_format_is_found_and_carved():
     au = b".snd" + struct.pack(">IIIII", 24, 4, 2, 8000, 1) + b"abcd"
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x02\x00\x03\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00\x12\xff\x00\x34\xff\xd9"
     pdf = b"%PDF-1.4\n1 0 obj\nendobj\n%%EOF"
-    cases = [*((s, None) for s in samples()), (z.getvalue(), "application/zip"), (gzip.compress(b"x" * 999), "application/gzip"), (gif, "image/gif"), (au, "audio/basic"), (jpeg, "image/jpeg"), (pdf, "application/pdf")]
+    page = b"OggS\0\x02" + bytes(8) + struct.pack("<II", 7, 0)
+    tail = bytes([1, 5]) + b"hello"
+    ogg = page + struct.pack("<I", media._ogg_crc(page + bytes(4) + tail)) + tail
+    cases = [(ogg, "audio/ogg"), *((s, None) for s in samples()), (z.getvalue(), "application/zip"), (gzip.compress(b"x" * 999), "application/gzip"), (gif, "image/gif"), (au, "audio/basic"), (jpeg, "image/jpeg"), (pdf, "application/pdf")]
     assert len(samples()) == 3
     for data, kind in cases:
         whole = media.sniff(data)[0]
@@ -65,3 +68,17 @@ def test_rows(spark):
     kinds = frame.select(media.sniffed(media.stored_media("text"), frame.text).alias("s")).collect()
     assert all(k["s"]["corrected"] and k["s"]["type"] in ("audio/wav", "image/png", "image/bmp") for k in kinds)
     assert frame.limit(0).select(media.media_digests("text")).collect() == []
+
+
+def test_types_are_corrected_and_media_carved_by_the_query_column(spark):
+    inner = media.store(media.padded(b"inside"))
+    texts = [(1, "plain", b"x"), (2, None, b"x"), (2, None, b"x"), (3, "BM RIFF .snd %PDF- OggS", b"x"), (4, "a" * 300_000, b"x")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, feature binary")
+    got = {r["doc_id"]: r["m"] for r in frame.select("doc_id", media.media_digests("text").alias("m")).collect()}
+    for i, t, _ in texts:
+        kind = media.sniff(media.store(media.padded((t or "").encode())))[0][2]
+        assert got[i]["media_type"] == kind and got[i]["type_corrected"] == (kind != media.DECLARED) and got[i]["n_carved"] == 0
+    # a whole medium inside the payload is carved, wherever the form leaves its bytes as they are
+    wrapped = media.store(media.padded(b"before " + inner + b" after"))
+    if wrapped[:4] != b"\x89PNG":
+        assert [m[2] for m in media.sniff(wrapped)[1:]] == [media.sniff(inner)[0][2]]
