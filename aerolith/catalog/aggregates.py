@@ -72,9 +72,9 @@ def _pairs(spark, d):
     return e.pivot("event_type", ["click", "view"]).agg(F.avg("value")).withColumnsRenamed({"click": "a", "view": "b"})
 
 
-@query(f"""WITH {_PAIRS} SELECT count(*) AS pairs, round(corr(a, b), 6) AS corr, count(*) FILTER (a > b) AS impossible, count(*) FILTER (a = b) AS identical, count(*) FILTER (b = 0) AS zero,
- round(quantile_cont(CASE WHEN b > 0 THEN a / b END, 0.5), 6) AS median_ratio, round(quantile_cont(CASE WHEN b > 0 THEN a / b END, 0.05), 6) AS p05, round(quantile_cont(CASE WHEN b > 0 THEN a / b END, 0.95), 6) AS p95
- FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+@query(f"""WITH {_PAIRS}, q AS (SELECT *, CASE WHEN b > 0 THEN a / b END AS ratio FROM p WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT ratio, row_number() OVER (ORDER BY ratio) - 1 AS k, count(*) OVER () AS c FROM q WHERE ratio IS NOT NULL)
+ SELECT count(*) AS pairs, round(corr(a, b), 6) AS corr, count(*) FILTER (a > b) AS impossible, count(*) FILTER (a = b) AS identical, count(*) FILTER (b <= 0) AS zero, round(median(ratio), 6) AS median_ratio,
+ (SELECT round(ratio, 6) FROM n WHERE k = floor(0.05 * (c - 1) + 0.5)) AS p05, (SELECT round(ratio, 6) FROM n WHERE k = floor(0.95 * (c - 1) + 0.5)) AS p95 FROM q""")
 def pair_diagnostics(spark, d):
     return aggregate.pair_diagnostics(_pairs(spark, d), [], "a", "b")
 
@@ -170,13 +170,14 @@ def dense_rectangle(spark, d):
 # --- sorts, limits, sets ---------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority DESC NULLS FIRST, o_totalprice, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority DESC NULLS FIRST, o_totalprice, o_orderkey")
 def mixed_sort(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(F.desc_nulls_first("o_orderpriority"), "o_totalprice", "o_orderkey").limit(50)
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(F.desc_nulls_first("o_orderpriority"), "o_totalprice", "o_orderkey")
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders), t AS (SELECT count(*) AS c, greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS s FROM orders), f(fold) AS (VALUES (0), (1), (2))
- SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN n < c - s * (3 - fold) THEN 'train' ELSE 'test' END AS role, count(*) AS rows, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM r, t, f WHERE n < c - s * (3 - fold) + s GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders), t AS (SELECT count(*) AS c, CAST(floor(count(*) * 0.4) AS BIGINT) AS s FROM orders), u AS (SELECT *, greatest(1, (c - s) // 3) AS step FROM t), f(fold) AS (VALUES (1), (2), (3)),
+ g AS (SELECT fold, s + (fold - 1) * step AS a, least(s + fold * step, c) AS b FROM u, f)
+ SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN n < a THEN 'train' ELSE 'test' END AS role, count(*) AS rows, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM r, g WHERE n < b GROUP BY 1, 2""")
 def rolling_origin(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     out = windows.rolling_origin(o, ["o_orderdate", "o_orderkey"], 3)

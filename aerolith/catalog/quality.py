@@ -101,12 +101,14 @@ def lead_target(spark, d):
     return windows.target(grid(spark, d), ["entity"], "ts", "value", 6)
 
 
-@query(f"""WITH {HOURS}, b AS (SELECT entity, ts, floor(value / 100) AS value FROM hours), k AS (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS pt, count(*) OVER (PARTITION BY entity, value) / count(*) OVER (PARTITION BY entity)::DOUBLE AS share FROM b WINDOW w AS (PARTITION BY entity ORDER BY ts)),
- i AS (SELECT *, sum(CASE WHEN value = p AND ts - pt = INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM k)
- SELECT entity, min(ts) AS start, max(ts) AS "end", count(*) AS length, CAST(min(value) AS DOUBLE) AS value, CAST(arg_min(coalesce(p, -1), ts) AS DOUBLE) AS entered_from, round(min(share), 6) AS value_share FROM i GROUP BY entity, run HAVING count(*) >= 2""")
+@query(f"""WITH {HOURS}, b AS (SELECT entity, ts, floor(value / 100) AS value, value % 7 < 1 AS rejected, day(ts) > 20 AS modern FROM hours), k AS (SELECT *, lag(value) OVER w AS p, lag(ts) OVER w AS pt, count(*) OVER (PARTITION BY entity, value) / count(*) OVER (PARTITION BY entity)::DOUBLE AS share FROM b WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+ i AS (SELECT *, sum(CASE WHEN value = p AND ts - pt = INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM k),
+ r AS (SELECT entity, min(ts) AS start, max(ts) AS "end", count(*) AS length, min(value) AS value, max(CASE WHEN ts = t0 THEN p END) AS entered_from, min(share) AS share, avg(rejected::INT) AS rejected, bool_and(modern) AS modern FROM (SELECT *, min(ts) OVER (PARTITION BY entity, run) AS t0 FROM i) GROUP BY entity, run HAVING count(*) >= 2)
+ SELECT entity, start, "end", length, CAST(value AS DOUBLE) AS value, CAST(entered_from AS DOUBLE) AS entered_from, round(share, 6) AS value_share, round(CASE WHEN NOT modern THEN rejected END, 6) AS rejected_share, value = 0 AS at_zero, value < 0 AS negative, entered_from < value AS entered_from_below FROM r""")
 def stuck_runs(spark, d):
-    h = hours(spark, d).withColumn("value", F.floor(F.col("value") / 100).cast("double"))
-    return windows.stuck_runs(h, ["entity"], "ts", "value").withColumn("entered_from", F.coalesce("entered_from", F.lit(-1.0))).withColumn("value_share", F.round("value_share", 6))
+    h = hours(spark, d).withColumn("rejected", F.col("value") % 7 < 1).withColumn("value", F.floor(F.col("value") / 100).cast("double"))
+    out = windows.stuck_runs(h, ["entity"], "ts", "value", rejected=F.col("rejected"), blind=F.day("ts") > 20)
+    return out.withColumns({c: F.round(c, 6) for c in ("value_share", "rejected_share")})
 
 
 @query(f"""WITH {GRID}, g AS (SELECT *, value IS NULL AS z, lag(value IS NULL) OVER (PARTITION BY entity ORDER BY ts) AS p FROM grid), i AS (SELECT *, sum(CASE WHEN z = p THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
@@ -125,14 +127,45 @@ def excursion_runs(spark, d):
     return windows.excursion_runs(scored(spark, d), ["entity"], "ts").select("entity", "start", "end", "length", "direction", F.round("peak_z", 5).alias("peak_z"))
 
 
-@query(f"""WITH {_ISLANDS}, runs AS (SELECT entity, min(ts) AS start, max(ts) AS "end" FROM r GROUP BY entity, run), e AS (SELECT entity, min(ts) AS a, max(ts) AS b FROM hours GROUP BY 1),
- j AS (SELECT runs.*, e.a, e.b, l.ts AS lt, l.z AS lz, l.ex AS lx, g.ts AS gt, g.z AS gz, g.ex AS gx FROM runs JOIN e USING (entity) LEFT JOIN s4 l ON l.entity = runs.entity AND l.ts = start - INTERVAL 1 HOUR LEFT JOIN s4 g ON g.entity = runs.entity AND g.ts = "end" + INTERVAL 1 HOUR),
- k AS (SELECT entity, start, "end", CASE WHEN start = a THEN 'series_edge' WHEN lt IS NULL THEN 'absent' WHEN lz IS NULL THEN 'unscored' WHEN NOT lx THEN 'below_threshold' ELSE 'direction_reversal' END AS left_reason, CASE WHEN "end" = b THEN 'series_edge' WHEN gt IS NULL THEN 'absent' WHEN gz IS NULL THEN 'unscored' WHEN NOT gx THEN 'below_threshold' ELSE 'direction_reversal' END AS right_reason FROM j)
- SELECT *, left_reason IN ('series_edge', 'absent', 'unscored') OR right_reason IN ('series_edge', 'absent', 'unscored') AS censored FROM k""")
+# Hours some of which were rejected or came without a value: these are not scored, but are there.
+_PRESENT = "present AS (SELECT *, value % 13 >= 1 AND value % 17 >= 1 AS usable, value % 13 < 1 AS rejected FROM (SELECT event_type AS entity, date_trunc('hour', ts) AS ts, round(avg(value), 4) AS value FROM events GROUP BY 1, 2)), hours AS (SELECT entity, ts, value FROM present WHERE usable)"
+_BOUNDED = f"""WITH {_PRESENT}{_ISLANDS[len(HOURS):]}, runs AS (SELECT entity, min(ts) AS start, max(ts) AS "end", count(*) AS length, min(dir) AS direction FROM r GROUP BY entity, run), e AS (SELECT entity, min(ts) AS a, max(ts) AS b FROM present GROUP BY 1),
+ sides AS (SELECT *, 'left' AS side, start - INTERVAL 1 HOUR AS h FROM runs UNION ALL SELECT *, 'right', "end" + INTERVAL 1 HOUR FROM runs),
+ why AS (SELECT s.entity, s.start, s.side, CASE WHEN h < TIMESTAMP '2024-01-03' OR h > TIMESTAMP '2024-01-28' THEN 'outside_requested_span' WHEN h < e.a OR h > e.b THEN 'series_edge' WHEN p.entity IS NULL THEN 'absent' WHEN NOT p.usable AND p.rejected THEN 'agency_rejected' WHEN NOT p.usable THEN 'value_null' WHEN q.z IS NULL THEN 'unscored' WHEN q.ex AND q.dir <> s.direction THEN 'direction_reversal' ELSE 'below_threshold' END AS reason
+  FROM sides s JOIN e USING (entity) LEFT JOIN present p ON p.entity = s.entity AND p.ts = s.h LEFT JOIN s4 q ON q.entity = s.entity AND q.ts = s.h),
+ bounded AS (SELECT runs.*, l.reason AS left_reason, g.reason AS right_reason, l.reason <> 'below_threshold' OR g.reason <> 'below_threshold' AS censored FROM runs JOIN why l ON l.entity = runs.entity AND l.start = runs.start AND l.side = 'left' JOIN why g ON g.entity = runs.entity AND g.start = runs.start AND g.side = 'right')"""
+
+
+def _bounded(spark, d):
+    from datetime import datetime
+
+    present = hours(spark, d).withColumn("usable", (F.col("value") % 13 >= 1) & (F.col("value") % 17 >= 1)).withColumn("rejected", F.col("value") % 13 < 1)
+    s = windows.robust_scores(present.where("usable").withColumn("hour", F.hour("ts")), ["entity", "hour"], "value", least=10, threshold=2.0)
+    asked = (datetime(2024, 1, 3), datetime(2024, 1, 28))
+    return s, windows.boundaries(windows.excursion_runs(s, ["entity"], "ts"), s, ["entity"], "ts", present, asked)
+
+
+@query(_BOUNDED + """ SELECT entity, start, "end", left_reason, right_reason, censored FROM bounded""")
 def run_boundaries(spark, d):
-    s = scored(spark, d)
-    out = windows.boundaries(windows.excursion_runs(s, ["entity"], "ts"), s, ["entity"], "ts")
-    return out.select("entity", "start", "end", "left_reason", "right_reason", "censored")
+    return _bounded(spark, d)[1].select("entity", "start", "end", "left_reason", "right_reason", "censored")
+
+
+@query(_BOUNDED + """, o AS (SELECT entity, start, direction, unnest(generate_series(start - INTERVAL 1 HOUR, "end" + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM bounded WHERE entity <> 'error'),
+ m AS (SELECT o.entity, o.start, s.entity AS nb, s.ex AND s.dir = o.direction AS up FROM o JOIN s4 s ON s.ts = o.ts AND s.entity <> o.entity AND s.entity <> 'error' AND s.z IS NOT NULL),
+ f AS (SELECT entity, start, count(DISTINCT nb) AS scoreable, count(DISTINCT nb) FILTER (up) AS elevated FROM m GROUP BY 1, 2),
+ v AS (SELECT b.*, CASE WHEN b.entity <> 'error' THEN (SELECT count(DISTINCT entity) FROM present WHERE entity <> 'error') - 1 END AS placed, CASE WHEN b.entity <> 'error' THEN coalesce(f.scoreable, 0) END AS scoreable, CASE WHEN b.entity <> 'error' THEN coalesce(f.elevated, 0) END AS elevated FROM bounded b LEFT JOIN f USING (entity, start)),
+ j AS (SELECT *, CASE WHEN entity = 'error' THEN 'no_coordinates' WHEN direction > 0 AND scoreable < 2 THEN 'too_few_scoreable_neighbours' WHEN direction < 0 AND scoreable = 0 THEN 'no_scoreable_neighbour' WHEN direction > 0 AND elevated + 1 >= 3 THEN 'synchronous_rise' WHEN censored THEN 'duration_censored' WHEN length <= 1 AND elevated < 1 THEN 'short_and_alone' ELSE 'sustained_and_alone' END AS reason FROM v)
+ SELECT entity, start, direction, length, placed, scoreable, elevated, CASE reason WHEN 'synchronous_rise' THEN 'regional_episode' WHEN 'short_and_alone' THEN 'uncorroborated_short_rise' WHEN 'sustained_and_alone' THEN 'uncorroborated_sustained_rise' ELSE 'uncheckable' END AS verdict, reason FROM j""")
+def excursion_verdicts(spark, d):
+    """Event types as stations, all near each other but `error`, which has no coordinates."""
+    from aerolith.operators import joins
+    from aerolith.plans import jobs
+
+    s, runs = _bounded(spark, d)
+    points = s.select("entity").distinct().where("entity <> 'error'")
+    edges = points.crossJoin(points.withColumnRenamed("entity", "neighbour")).where("entity <> neighbour")
+    out = jobs.judged(joins.corroborate(runs, edges, s, "entity", "ts", 1, [-14, 14]), points, "entity", stations=3, longest=1)
+    return out.select("entity", "start", "direction", "length", "placed", "scoreable", "elevated", "verdict", "reason")
 
 
 @query(f"""WITH {GRID}, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS n FROM grid), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN n END AS kn FROM i),

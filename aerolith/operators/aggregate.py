@@ -97,19 +97,22 @@ def share_of(df: DataFrame, by: list[str], what: Column, name: str) -> DataFrame
 
 
 def pair_diagnostics(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Two measures side by side: pairs, a over b where b > 0 (median and linear 5% and 95%), correlation, a > b, a = b, b = 0."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    ratio = F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return df.where(both).groupBy(*by).agg(
+    """Two measures side by side: pairs, a over b where b > 0 (median, and the order statistics nearest to 5% and 95%), correlation, a > b, a = b, b <= 0."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__ratio", F.when(F.col(b) > 0, F.col(a) / F.col(b)))
+    out = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.round(correlation(a, b), 6).alias("corr"),
         F.count_if(F.col(a) > F.col(b)).alias("impossible"),
         F.count_if(F.col(a) == F.col(b)).alias("identical"),
-        F.count_if(F.col(b) == 0).alias("zero"),
-        F.round(F.median(ratio), 6).alias("median_ratio"),
-        F.round(F.percentile(ratio, 0.05), 6).alias("p05"),
-        F.round(F.percentile(ratio, 0.95), 6).alias("p95"),
+        F.count_if(F.col(b) <= 0).alias("zero"),
+        F.round(F.median("__ratio"), 6).alias("median_ratio"),
     )
+    tails = order_statistics(pairs, by, "__ratio", {"p05": 0.05, "p95": 0.95}).withColumns({c: F.round(c, 6) for c in ("p05", "p95")})
+    keys = [F.col(k).alias(f"__{k}") for k in by]
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out.join(tails.select(*keys, "p05", "p95"), same, "left").select(*out.columns, "p05", "p95")
 
 
 def before_after(df: DataFrame, moments: DataFrame, ts: str, value: str) -> DataFrame:
@@ -153,9 +156,21 @@ def shares_of_total(df: DataFrame, by: str, amount: Column) -> DataFrame:
     return out.select(by, "n", "total", F.round(F.col("n") / F.sum("n").over(w), 6).alias("n_share"), F.round(F.col("total") / F.sum("total").over(w), 6).alias("total_share"))
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Per key, for each named q, the order statistic nearest to it: the one at round(q * (n - 1)), halves up.
+
+    Values are counted first, so a window holds a key's distinct values, not its rows; nulls don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*(keys or [F.lit(1)]))
+    rows = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    found = []
+    for name, q in quantiles.items():
+        at = F.floor(q * (F.col("__all") - 1) + 0.5)
+        found.append(F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at), F.col(value))).alias(name))
+    return rows.groupBy(*keys).agg(*found)
+
+
 def nearest_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
-    """Per key the order statistic nearest to q: the one at round(q * (n - 1)), halves up; a sort, never a list of the group."""
-    w = Window.partitionBy(*keys)
-    at = F.floor(q * (F.count(value).over(w) - 1) + 0.5) + 1
-    rows = df.where(F.col(value).isNotNull()).withColumn("__at", at).withColumn("__n", F.row_number().over(w.orderBy(value)))
-    return rows.where("__n = __at").select(*keys, F.col(value).alias(name))
+    """Per key the order statistic nearest to q."""
+    return order_statistics(df, keys, value, {name: q})

@@ -10,26 +10,55 @@ from aerolith.functions.maths import EARTH_KM, haversine_km
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
 
 
-def _cells(lat: Column, lon: Column, km: float) -> tuple[Column, Column, int]:
-    """Grid cell of a point, rows of km height; the number of cells around the globe is for the caller's neighbours."""
-    step = max(km / KM_PER_DEGREE, 1e-6)
-    return F.floor((lat + 90) / step).cast("long"), F.floor((lon + 180) / step).cast("long"), int(360 / step) + 1
+#: Grids for the nearest: level l cuts the globe's 360 degrees into 2 ** l; the finest cells are about 1.2 km high.
+LEVELS = 16
+
+
+def _reach(lat: Column, km: Column) -> Column:
+    """Degrees of longitude that a circle of km around a point at lat spans to either side; 180 where it holds a pole."""
+    r = km / EARTH_KM
+    s = F.sin(r) / F.cos(F.radians(lat))
+    return F.when((F.abs(lat) + F.degrees(r) >= 90 - 1e-9) | (s >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(s)) + 1e-9)
+
+
+def _row(lat: Column, step) -> Column:
+    return F.floor((lat + 90) / step).cast("long")
+
+
+def _column(lon: Column, n) -> Column:
+    return F.pmod(F.floor((lon + 180) * n / 360.0).cast("long"), F.lit(n).cast("long") if isinstance(n, int) else n)
+
+
+def _columns(lon: Column, reach: Column, n) -> Column:
+    """Columns of n around the globe that lon - reach to lon + reach touches, each once."""
+    n = F.lit(n).cast("long") if isinstance(n, int) else n
+    a, b = F.floor((lon - reach + 180) * n / 360.0).cast("long"), F.floor((lon + reach + 180) * n / 360.0).cast("long")
+    return F.array_distinct(F.transform(F.sequence(a, F.least(b, a + n - 1)), lambda k: F.pmod(k, n)))
+
+
+def _points(df: DataFrame, columns: tuple[str, str, str], prefix: str) -> DataFrame:
+    """(key, lat, lon) of the rows whose coordinates are numbers, under names of the prefix."""
+    key, lat, lon = columns
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (lat, lon)]
+    return df.where(known[0] & known[1]).select(F.col(key).alias(f"{prefix}k"), F.col(lat).cast("double").alias(f"{prefix}lat"), F.col(lon).cast("double").alias(f"{prefix}lon"))
 
 
 def within_radius(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], km: float) -> DataFrame:
     """(a's key, b's key, km apart) for points at most km apart.
 
-    Points meet by latitude band and longitude band (an equi-join): a's point visits the bands
-    that its circle touches, so the join is not a product, whatever the tables' sizes.
+    Points meet by the cells of a grid, rows of km height and columns as wide at the equator: a's
+    point visits the cells that its circle touches (more columns towards the poles, around the
+    date line too), so the join is an equi-join on small cells, whatever the tables' sizes.
+    Points without coordinates are near nothing.
     """
-    (ak, alat, alon), (bk, blat, blon) = a_cols, b_cols
     step = max(km / KM_PER_DEGREE, 1e-6)
-    left = a.where(F.col(alat).isNotNull() & F.col(alon).isNotNull()).select(F.col(ak).alias("__a"), F.col(alat).alias("__alat"), F.col(alon).alias("__alon"))
-    right = b.where(F.col(blat).isNotNull() & F.col(blon).isNotNull()).select(F.col(bk).alias("__b"), F.col(blat).alias("__blat"), F.col(blon).alias("__blon"), F.floor((F.col(blat) + 90) / step).cast("long").alias("__row"))
-    row = F.floor((F.col("__alat") + 90) / step).cast("long")
-    left = left.withColumn("__row", F.explode(F.sequence(row - 1, row + 1)))
-    d = haversine_km(F.col("__alat"), F.col("__alon"), F.col("__blat"), F.col("__blon"))
-    return left.join(right, "__row").withColumn("km", d).where(F.col("km") <= km).select(F.col("__a").alias(ak), F.col("__b").alias(bk), "km")
+    n = max(1, int(360 / step))
+    left, right = _points(a, a_cols, "a"), _points(b, b_cols, "b")
+    left = left.withColumn("row", F.explode(F.sequence(_row(F.col("alat"), step) - 1, _row(F.col("alat"), step) + 1)))
+    left = left.withColumn("column", F.explode(_columns(F.col("alon"), _reach(F.col("alat"), F.lit(float(km))), n)))
+    right = right.withColumn("row", _row(F.col("blat"), step)).withColumn("column", _column(F.col("blon"), n))
+    d = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    return left.join(right, ["row", "column"]).withColumn("km", d).where(F.col("km") <= km).select(F.col("ak").alias(a_cols[0]), F.col("bk").alias(b_cols[0]), "km")
 
 
 def neighbour_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
@@ -39,12 +68,27 @@ def neighbour_edges(points: DataFrame, key: str, lat: str, lon: str, km: float)
 
 
 def nearest(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str]) -> DataFrame:
-    """For each point of a the nearest of b, ties to the smaller key. b is a small reference table (stations): it is broadcast by Spark if its size allows."""
-    (ak, alat, alon), (bk, blat, blon) = a_cols, b_cols
-    pairs = a.select(ak, F.col(alat).alias("__alat"), F.col(alon).alias("__alon")).crossJoin(b.select(bk, F.col(blat).alias("__blat"), F.col(blon).alias("__blon")))
-    d = haversine_km(F.col("__alat"), F.col("__alon"), F.col("__blat"), F.col("__blon"))
-    best = F.min(F.struct(d.alias("km"), F.col(bk).alias("k")))
-    return pairs.where(d.isNotNull()).groupBy(ak).agg(best.alias("m")).select(ak, F.col("m.k").alias(bk), F.col("m.km").alias("km"))
+    """For each key of a the nearest point of b, ties to the smaller key; keys without coordinates are left out.
+
+    Grids of LEVELS sizes stand in for a search tree. The finest grid in which a's point shares its
+    cell with some point of b bounds the distance, by twice the cell's height; so the nearest lies
+    in the cells around the point's own in the grid of twice that height. Both steps are
+    equi-joins on cells, and a point meets as many of b as lie in a few cells of its own density.
+    """
+    left, right = _points(a, a_cols, "a"), _points(b, b_cols, "b")
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    n, step = F.pow(F.lit(2.0), F.col("level")).cast("long"), F.lit(360.0) / F.pow(F.lit(2.0), F.col("level")).cast("long")
+    grids = right.withColumn("level", level).withColumn("row", _row(F.col("blat"), step)).withColumn("column", _column(F.col("blon"), n))
+    held = grids.select("level", "row", "column").distinct()
+    tried = left.distinct().withColumn("level", level).withColumn("row", _row(F.col("alat"), step)).withColumn("column", _column(F.col("alon"), n))
+    finest = tried.join(held, ["level", "row", "column"], "left_semi").groupBy("ak", "alat", "alon").agg(F.max("level").alias("finest"))
+    km = F.lit(2 * 360.0 * KM_PER_DEGREE) / F.pow(F.lit(2.0), F.col("finest"))
+    asked = finest.withColumn("level", F.greatest(F.lit(0), F.col("finest") - 1))
+    asked = asked.withColumn("row", F.explode(F.sequence(_row(F.col("alat"), step) - 1, _row(F.col("alat"), step) + 1)))
+    asked = asked.withColumn("column", F.explode(_columns(F.col("alon"), _reach(F.col("alat"), F.least(km, F.lit(EARTH_KM * 1.5))), n)))
+    d = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    met = asked.join(grids, ["level", "row", "column"]).groupBy("ak").agg(F.min(F.struct(d.alias("km"), F.col("bk").alias("k"))).alias("m"))
+    return met.select(F.col("ak").alias(a_cols[0]), F.col("m.k").alias(b_cols[0]), F.col("m.km").alias("km"))
 
 
 def radius_cohorts(distances: DataFrame, key: str, km: str, radii: list[float]) -> DataFrame:

@@ -55,19 +55,38 @@ def follows_by_an_hour(entity: list[str], ts: str) -> Column:
     return F.col(ts) - previous(ts, entity, ts) == F.expr("interval 1 hour")
 
 
-def stuck_runs(df: DataFrame, entity: list[str], ts: str, value: str, least: int = 2) -> DataFrame:
-    """Maximal runs of one value at exact hourly steps, with the value before, and the value's share of the entity's rows."""
+def stuck_runs(df: DataFrame, entity: list[str], ts: str, value: str, least: int = 2, rejected: Column | None = None, blind: Column | None = None) -> DataFrame:
+    """Maximal runs of one value at exact hourly steps, with the value before, and the value's share of the entity's rows.
+
+    at_zero, negative and entered_from_below tell a frozen sensor from one that reached a bound.
+    With `rejected` (a condition on a row), rejected_share is the share of the run's rows that
+    were rejected; null where every row is `blind`, of a format that drops rejected readings:
+    there it could not have been seen.
+    """
     known = df.where(F.col(value).isNotNull())
-    whole = Window.partitionBy(*entity)
     same = (F.col(value) == previous(value, entity, ts)) & follows_by_an_hour(entity, ts)
-    rows = known.withColumn("entered_from", previous(value, entity, ts)).withColumn("share", F.count(F.lit(1)).over(Window.partitionBy(*entity, value)) / F.count(F.lit(1)).over(whole))
+    marks = {"__rejected": rejected if rejected is not None else F.lit(None).cast("boolean"), "__blind": blind if blind is not None else F.lit(False)}
+    rows = known.withColumn("entered_from", previous(value, entity, ts)).withColumns({k: c for k, c in marks.items()})
+    shares = known.groupBy(*entity, value).agg(F.count(F.lit(1)).alias("__n"))
+    shares = shares.withColumn("share", F.col("__n") / F.sum("__n").over(Window.partitionBy(*entity))).drop("__n")
     runs = islands(rows, entity, ts, ~same)
-    return (
+    out = (
         runs.groupBy(*entity, "run")
-        .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("length"), F.first(value).alias(value), F.min_by("entered_from", ts).alias("entered_from"), F.first("share").alias("value_share"))
+        .agg(
+            F.min(ts).alias("start"),
+            F.max(ts).alias("end"),
+            F.count(F.lit(1)).alias("length"),
+            F.first(value).alias(value),
+            F.min_by("entered_from", ts).alias("entered_from"),
+            F.avg(F.col("__rejected").cast("int")).alias("rejected_share"),
+            F.bool_and(F.coalesce("__blind", F.lit(False))).alias("__blind"),
+        )
         .where(F.col("length") >= least)
         .drop("run")
     )
+    out = out.join(shares.withColumnRenamed("share", "value_share"), [*entity, value], "left")
+    out = out.withColumn("rejected_share", F.when(~F.col("__blind"), F.col("rejected_share"))).drop("__blind")
+    return out.withColumns({"at_zero": F.col(value) == 0, "negative": F.col(value) < 0, "entered_from_below": F.col("entered_from") < F.col(value)})
 
 
 def null_runs(df: DataFrame, entity: list[str], ts: str, value: str) -> DataFrame:
@@ -97,16 +116,41 @@ def excursion_runs(scored: DataFrame, entity: list[str], ts: str) -> DataFrame:
     return out.select(*entity, "start", "end", "length", "direction", F.col("p.z").alias("peak_z"), F.col(f"p.{ts}").alias("peak_at"))
 
 
-def boundaries(runs: DataFrame, scored: DataFrame, entity: list[str], ts: str) -> DataFrame:
-    """Why each run begins and ends where it does, from the hour just outside: absent, series_edge, unscored, below_threshold or direction_reversal."""
-    hours = scored.select(*entity, F.col(ts).alias("__h"), F.lit(True).alias("there"), "z", "excursion", F.col("direction").alias("d"))
-    edges = scored.groupBy(*entity).agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
-    out = runs.join(edges, entity)
-    for side, at, edge in (("left", F.col("start") - F.expr("interval 1 hour"), F.col("start") == F.col("__first")), ("right", F.col("end") + F.expr("interval 1 hour"), F.col("end") == F.col("__last"))):
+#: Why a run may end; only below_threshold says that the excursion did.
+BOUNDARIES = ("outside_requested_span", "series_edge", "absent", "agency_rejected", "value_null", "unscored", "direction_reversal", "below_threshold")
+
+
+def boundaries(runs: DataFrame, scored: DataFrame, entity: list[str], ts: str, present: DataFrame | None = None, requested: tuple | None = None) -> DataFrame:
+    """Why each run begins and ends where it does, from the hour just outside; one of BOUNDARIES, the first that holds.
+
+    present: every row of the series with boolean columns usable and rejected, also those that
+    were never scored (by default the scored rows, all usable); the series' span is theirs.
+    requested: first and last hour asked for; what lies beyond is the request's end, not the
+    record's. A run is censored unless both sides are below_threshold: its length is then a lower
+    bound. The hour beyond a run in the same direction would have joined it, so an excursion
+    there is one the other way: a direction_reversal.
+    """
+    if present is None:
+        present = scored.select(*entity, ts, F.lit(True).alias("usable"), F.lit(False).alias("rejected"))
+    seen = scored.where("z is not null").select(*entity, F.col(ts).alias("__h"), F.col("excursion").alias("__x"), F.col("direction").alias("__d"))
+    hours = present.select(*entity, F.col(ts).alias("__h"), F.col("usable").alias("__usable"), F.coalesce("rejected", F.lit(False)).alias("__rejected")).join(seen, [*entity, "__h"], "left")
+    edges = present.groupBy(*entity).agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
+    out = runs.join(edges, entity, "left")
+    for side, at in (("left", F.col("start") - F.expr("interval 1 hour")), ("right", F.col("end") + F.expr("interval 1 hour"))):
         out = out.withColumn("__h", at).join(hours, [*entity, "__h"], "left")
-        why = F.when(edge, "series_edge").when(F.col("there").isNull(), "absent").when(F.col("z").isNull(), "unscored").when(~F.col("excursion"), "below_threshold").otherwise("direction_reversal")
-        out = out.withColumn(f"{side}_reason", why).drop("__h", "there", "z", "excursion", "d")
-    return out.drop("__first", "__last").withColumn("censored", F.col("left_reason").isin("series_edge", "absent", "unscored") | F.col("right_reason").isin("series_edge", "absent", "unscored"))
+        missed = F.lit(False) if requested is None else (F.col("__h") < F.lit(requested[0])) | (F.col("__h") > F.lit(requested[1]))
+        why = (
+            F.when(missed, BOUNDARIES[0])
+            .when(~F.col("__h").between(F.col("__first"), F.col("__last")), BOUNDARIES[1])
+            .when(F.col("__usable").isNull(), BOUNDARIES[2])
+            .when(~F.col("__usable") & F.col("__rejected"), BOUNDARIES[3])
+            .when(~F.col("__usable"), BOUNDARIES[4])
+            .when(F.col("__x").isNull(), BOUNDARIES[5])
+            .when(F.col("__x") & (F.col("__d") != F.col("direction")), BOUNDARIES[6])
+            .otherwise(BOUNDARIES[7])
+        )
+        out = out.withColumn(f"{side}_reason", why).drop("__h", "__usable", "__rejected", "__x", "__d")
+    return out.drop("__first", "__last").withColumn("censored", (F.col("left_reason") != BOUNDARIES[7]) | (F.col("right_reason") != BOUNDARIES[7]))
 
 
 def interpolate(df: DataFrame, entity: list[str], ts: str, value: str, longest: int) -> DataFrame:
@@ -142,12 +186,29 @@ def numbered(df: DataFrame, order: list[str], coarse: Column, name: str) -> Data
     return met.withColumn(name, F.col("__inside") + F.col("__ahead")).drop("__c", "__d", "__inside", "__ahead")
 
 
-def rolling_origin(df: DataFrame, order: list[str], splits: int, test_share: float = 0.1) -> DataFrame:
-    """Rows with fold and role: fold f trains on the rows before its test slice, slices march to the end (few folds). order begins with a timestamp."""
+def rolling_origin(df: DataFrame, order: list[str], splits: int, least_train: float = 0.4) -> DataFrame:
+    """Rows with fold (from 1) and role: fold f trains on all rows before its test slice; slices of one size march on from the first least_train of the rows.
+
+    No folds where there are not more rows than splits. order begins with a timestamp and is total.
+    """
     n = df.count()
-    size = max(1, int(n * test_share))
-    first = [n - size * (splits - f) for f in range(splits)]
+    first = int(n * least_train)
+    step = max(1, (n - first) // splits)
+    cuts = [(f + 1, first + f * step, min(first + (f + 1) * step, n)) for f in range(splits)] if n > splits else []
+    cuts = [c for c in cuts if 0 < c[1] < c[2]]
+    if not cuts:
+        return df.limit(0).select("*", F.lit(0).alias("fold"), F.lit("").alias("role"))
     ranked = numbered(df, order, F.to_date(order[0]), "__n")
-    folds = F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a")) for f, a in enumerate(first))))
-    role = F.when(F.col("__f.a") > F.col("__n"), "train").when(F.col("__n") < F.col("__f.a") + size, "test")
+    folds = F.explode(F.array(*(F.struct(F.lit(f).alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for f, a, b in cuts)))
+    role = F.when(F.col("__n") < F.col("__f.a"), "train").when(F.col("__n") < F.col("__f.b"), "test")
     return ranked.withColumn("__f", folds).select(*df.columns, F.col("__f.fold").alias("fold"), role.alias("role")).where("role is not null")
+
+
+def annual_folds(year: int) -> list[tuple]:
+    """(name, train start, train end, test start, test end) of a year's expanding quarters, for `time_folds`; ends are exclusive."""
+    from datetime import datetime
+
+    if isinstance(year, bool) or not isinstance(year, int) or year <= 0:
+        raise ValueError("a positive year")
+    ends = [datetime(year, 4, 1), datetime(year, 7, 1), datetime(year, 10, 1), datetime(year + 1, 1, 1)]
+    return [(f"q{k + 2}", datetime(year, 1, 1), a, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:]))]

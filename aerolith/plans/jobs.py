@@ -35,26 +35,51 @@ def aggregates(observations: DataFrame, circular_items: list[str], least_hours:
     return days, aggregate.monthly(days, ["station", "item"], least_days)
 
 
-def verdict(scoreable: Column, elevated: Column, shifted: Column, censored: Column, direction: Column) -> Column:
-    """What a run of excursions looks like, from its neighbours."""
-    return qc.cascade(
-        [
-            (scoreable.isNull() | (scoreable == 0), "untestable"),
-            (censored, "censored"),
-            ((direction < 0) & (elevated == 0), "low_alone"),
-            (elevated == 0, "alone"),
-            (elevated > F.coalesce(shifted, F.lit(0.0)) + 1, "regional"),
-        ],
-        "partly_shared",
-    )
-
-
-def excursions(observations: DataFrame, edges: DataFrame, entity: list[str], station: str, cell: list[str], lag: int = 1, shifts: tuple[int, ...] = (-28, -14, 14, 28)) -> DataFrame:
-    """Runs of excursions with boundaries, neighbours' corroboration and a verdict. entity identifies a series and holds the station."""
-    scored = windows.robust_scores(observations, cell, "value")
-    runs = windows.boundaries(windows.excursion_runs(scored, entity, "ts"), scored, entity, "ts")
-    seen = joins.corroborate(runs, edges, scored, station, "ts", lag, list(shifts))
-    return seen.withColumn("verdict", verdict(F.col("scoreable"), F.col("elevated"), F.col("elevated_shifted"), F.col("censored"), F.col("direction")))
+def verdict(placed: Column, scoreable: Column, elevated: Column, direction: Column, length: Column, censored: Column, stations: int = 4, longest: int = 2, least: int = 1) -> Column:
+    """struct(verdict, reason) of a run of excursions, in an order that matters.
+
+    First whether anything can be said: coordinates, and enough neighbours that could have joined
+    (a high run needs stations - 1 of them, as fewer could never make an episode; a low run, which
+    is never one, needs one). Then the episode, before the length, as its mark is extent; high runs
+    only. Then censoring, after the episode, which holds however the run was cut, and before the
+    length, which censoring leaves unknown. Then short or sustained.
+    """
+    high = direction > 0
+    rules = [
+        (~placed, "uncheckable", "no_coordinates"),
+        (high & (scoreable < stations - 1), "uncheckable", "too_few_scoreable_neighbours"),
+        (~high & (scoreable == 0), "uncheckable", "no_scoreable_neighbour"),
+        (high & (elevated + 1 >= stations), "regional_episode", "synchronous_rise"),
+        (censored, "uncheckable", "duration_censored"),
+        ((length <= longest) & (elevated < least), "uncorroborated_short_rise", "short_and_alone"),
+    ]
+    verdicts = qc.cascade([(c, v) for c, v, _ in rules], "uncorroborated_sustained_rise")
+    return F.struct(verdicts.alias("verdict"), qc.cascade([(c, r) for c, _, r in rules], "sustained_and_alone").alias("reason"))
+
+
+def judged(runs: DataFrame, points: DataFrame, station: str, stations: int = 4, longest: int = 2, least: int = 1) -> DataFrame:
+    """Corroborated runs with verdict and reason; points: the stations that have coordinates.
+
+    Counts of neighbours are null for a station without coordinates (nothing could be measured) and
+    0 for one that has nobody near.
+    """
+    placed = points.select(station).distinct().withColumn("has_coordinates", F.lit(True))
+    rows = runs.join(placed, station, "left").withColumn("has_coordinates", F.coalesce("has_coordinates", F.lit(False)))
+    counts = {c: F.when(F.col("has_coordinates"), F.coalesce(c, F.lit(0))) for c in ("placed", "scoreable", "elevated")}
+    rows = rows.withColumns(counts)
+    said = verdict(F.col("has_coordinates"), F.col("scoreable"), F.col("elevated"), F.col("direction"), F.col("length"), F.col("censored"), stations, longest, least)
+    return rows.withColumn("__v", said).select("*", "__v.verdict", "__v.reason").drop("__v")
+
+
+def excursions(observations: DataFrame, edges: DataFrame, points: DataFrame, entity: list[str], station: str, cell: list[str], lag: int = 1, shifts: tuple[int, ...] = (-28, -14, 14, 28), **bars) -> DataFrame:
+    """Runs of excursions with boundaries, neighbours' corroboration and a verdict.
+
+    observations have value and boolean usable and rejected; unusable rows are never scored but
+    tell why a run ends. entity identifies a series and holds the station; bars go to the verdict.
+    """
+    scored = windows.robust_scores(observations.where("usable"), cell, "value")
+    runs = windows.boundaries(windows.excursion_runs(scored, entity, "ts"), scored, entity, "ts", observations)
+    return judged(joins.corroborate(runs, edges, scored, station, "ts", lag, list(shifts)), points, station, **bars)
 
 
 def backtest(hourly: DataFrame, entity: list[str], horizons: list[int], cuts: DataFrame, exceeds: float) -> DataFrame:

@@ -96,7 +96,8 @@ def test_excursions_and_boundaries(spark):
     scored = windows.robust_scores(df, ["entity", "cell"], "value")
     runs = windows.boundaries(windows.excursion_runs(scored, ["entity"], "ts"), scored, ["entity"], "ts").orderBy("start").collect()
     assert [(r["start"], r["length"], r["direction"], r["left_reason"], r["right_reason"]) for r in runs] == [(hour(20), 3, 1, "below_threshold", "direction_reversal"), (hour(23), 1, -1, "direction_reversal", "below_threshold")]
-    assert runs[0]["peak_at"] == hour(20) and not runs[0]["censored"]
+    # only below_threshold says that a run ended; a reversal leaves its length unknown
+    assert runs[0]["peak_at"] == hour(20) and all(r["censored"] for r in runs)
 
 
 def test_small_cells_refuse_to_score(spark):
@@ -234,3 +235,53 @@ def test_transfer_trains_on_earlier_years_only(spark):
     df = spark.createDataFrame([("a", 2015), ("a", 2016), ("a", 2018), ("b", 2015)], "s string, y int")
     out = scores.transfer_folds(df, "s", "y").collect()
     assert all(r["train_year"] < r["test_year"] for r in out) and {r["s"] for r in out} == {"a"} and len(out) == 6
+
+
+def test_why_runs_end(spark):
+    values = [(k, 80.0 if k in (20, 30, 40, 50, 0) else 20.0 + (k % 3 - 1) * 2) for k in range(59)] + [(59, 80.0)]
+    present = series(spark, [v for v in values if v[0] != 19]).withColumn("usable", ~F.hour("ts").isin(7) | (F.dayofmonth("ts") != 2)).withColumn("rejected", F.lit(True))
+    present = present.withColumn("usable", F.col("usable") & ~((F.hour("ts") == 17) & (F.dayofmonth("ts") == 2))).withColumn("rejected", F.hour("ts") == 7)
+    scored = windows.robust_scores(present.where("usable").withColumn("cell", F.lit(1)), ["entity", "cell"], "value")
+    runs = windows.boundaries(windows.excursion_runs(scored, ["entity"], "ts"), scored, ["entity"], "ts", present, (hour(0), hour(58)))
+    got = {r["start"]: (r["left_reason"], r["right_reason"], r["censored"]) for r in runs.collect()}
+    assert got[hour(0)] == ("outside_requested_span", "below_threshold", True)
+    assert got[hour(20)] == ("absent", "below_threshold", True)
+    assert got[hour(30)] == ("below_threshold", "agency_rejected", True)
+    assert got[hour(40)] == ("below_threshold", "value_null", True)
+    assert got[hour(50)] == ("below_threshold", "below_threshold", False)
+    assert got[hour(59)] == ("below_threshold", "outside_requested_span", True)
+    edge = windows.boundaries(windows.excursion_runs(scored, ["entity"], "ts"), scored, ["entity"], "ts", present).orderBy("start").collect()
+    assert edge[0]["left_reason"] == "series_edge" and edge[-1]["right_reason"] == "series_edge"
+
+
+def test_verdicts_in_their_order(spark):
+    from aerolith.plans import jobs
+
+    rows = [
+        # placed, scoreable, elevated, direction, length, censored
+        (False, None, None, 1, 1, False, "uncheckable", "no_coordinates"),
+        (True, 2, 2, 1, 1, False, "uncheckable", "too_few_scoreable_neighbours"),
+        (True, 0, 0, -1, 1, False, "uncheckable", "no_scoreable_neighbour"),
+        (True, 3, 3, 1, 1, True, "regional_episode", "synchronous_rise"),
+        (True, 3, 3, -1, 1, False, "uncorroborated_sustained_rise", "sustained_and_alone"),
+        (True, 3, 0, 1, 1, True, "uncheckable", "duration_censored"),
+        (True, 3, 0, 1, 2, False, "uncorroborated_short_rise", "short_and_alone"),
+        (True, 3, 1, 1, 2, False, "uncorroborated_sustained_rise", "sustained_and_alone"),
+        (True, 3, 0, 1, 3, False, "uncorroborated_sustained_rise", "sustained_and_alone"),
+    ]
+    df = spark.createDataFrame(rows, "p boolean, s int, e int, d int, n int, c boolean, verdict string, reason string")
+    said = jobs.verdict(*(F.col(c) for c in "psednc"))
+    for r in df.withColumn("v", said).collect():
+        assert (r["v"]["verdict"], r["v"]["reason"]) == (r["verdict"], r["reason"])
+
+
+def test_stuck_runs_of_a_blind_format(spark):
+    df = series(spark, [(0, 1.0), (1, 3.0), (2, 3.0), (3, 0.0), (4, 0.0), (5, 0.0)]).withColumn("bad", F.hour("ts") == 1)
+    out = windows.stuck_runs(df, ["entity"], "ts", "value", rejected=F.col("bad"), blind=F.hour("ts") > 2)
+    got = {r["value"]: (r["rejected_share"], r["at_zero"], r["negative"], r["entered_from_below"], r["value_share"]) for r in out.collect()}
+    assert got == {3.0: (0.5, False, False, True, 2 / 6), 0.0: (None, True, False, False, 3 / 6)}
+
+
+def test_annual_folds_expand_by_quarters():
+    folds = windows.annual_folds(2025)
+    assert [f[0] for f in folds] == ["q2", "q3", "q4"] and all(f[2] == f[3] for f in folds) and folds[-1][4].year == 2026
