@@ -10,12 +10,14 @@ another text agrees for 200-o bytes to the right and o bytes to the left.
 
 1. groups of texts condense their anchors' hashes; reducers count them (`_anchors`, `_count`);
 2. groups cut the stretches around repeated anchors (`_stretches`), alike ones once;
-3. reducers sort these by deep-shallow sorting and find the repeated windows (`_sort`);
-   anchors with more than HOT_ANCHOR occurrences go window by window as 128-bit
-   fingerprints, which hash evenly, so that no anchor gathers in one task;
+3. reducers sort what follows an anchor, and what precedes it, by deep-shallow sorting and find
+   the repeated windows (`_sort`); an anchor with more than HOT_ANCHOR occurrences is split
+   before: its windows go by bands of BAND offsets, and the bytes that all windows of a band
+   share (196 of the 200) are its longer anchor, so that no anchor gathers in one task;
 4. groups join the windows to spans and remove them (`_remove`).
 
-Nulls count as empty texts; texts under 200 bytes are never changed; rows may repeat.
+Hashes only decide what meets where; windows are told equal by their bytes. Nulls count as empty
+texts; texts under 200 bytes are never changed; rows may repeat.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import BASES, U64, grouped_texts, mix, ranges, route, slices, span_hashes, squeeze, unsqueeze
+from aerolith.llm.common import U64, grouped_texts, mix, ranges, slices, span_hashes, squeeze, unsqueeze
 
 LENGTH = 200
 ANCHOR = 48
 #: Depth to which multikey quicksort goes before the blind tries.
 SHALLOW = 8
-#: Occurrences (counted up to 255 for each group) from which an anchor's windows are dealt one by one.
+#: Occurrences (counted up to 255 for each group) from which an anchor is split into longer ones, of bands of so many offsets.
 HOT_ANCHOR = 4096
+BAND = 5
 #: Bytes hashed at a time.
 PIECE = 1 << 19
 _LOW = U64((1 << 24) - 1)
@@ -176,10 +179,21 @@ def _count(hot: int):
 # --- stretches ---------------------------------------------------------------------------
 
 _STRETCH = np.dtype([("h", "<u8"), ("text", "<u4"), ("first", "<u4"), ("left", "<u2"), ("size", "<u2"), ("many", "u1")])
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("text", "<u4"), ("start", "<u4"), ("many", "u1")])
 _FOUND = np.dtype([("text", "<u4"), ("first", "<u4"), ("last", "<u4")])
 
 
+def _bands(data: np.ndarray, k: int, h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """(hash, text, anchor, first and last window start) of a text's stretches cut at bands of offsets; the hash is of the bytes that all windows of the band share."""
+    low, high = (at - last) // BAND, (at - first) // BAND
+    which = np.repeat(np.arange(len(at)), high - low + 1)
+    band = ranges(low, high - low + 1)
+    here = at[which]
+    start, end = np.maximum(first[which], here - band * BAND - BAND + 1), np.minimum(last[which], here - band * BAND)
+    core = here - band * BAND
+    key = mix(h[which] ^ span_hashes(data, core, core + length - BAND + 1) ^ (band.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    return key, np.full(len(which), k, dtype=np.int64), here, start, end
+
+
 def _stretches(length: int, n: int):
     def cut(texts_pdf: pd.DataFrame, flags_pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(texts_pdf) or not len(flags_pdf):
@@ -192,54 +206,32 @@ def _stretches(length: int, n: int):
         for r, a, b in slices(distinct, n):
             flags[a:b] = np.unpackbits(np.frombuffer(got[r], dtype=np.uint8), count=2 * (b - a)).reshape(-1, 2)
         found, rows = [], []
-        # alike stretches of this group go once
         picked = np.flatnonzero(flags[where, 0])
-        alike: dict[tuple[bytes, int], list[int]] = {}
-        for i, k, a, b in zip(picked.tolist(), text[picked].tolist(), first[picked].tolist(), (last[picked] + length).tolist()):
-            alike.setdefault((texts[k][a:b], int(at[i]) - a), []).append(i)
+        hot = flags[where[picked], 1]
+        cool, hot = picked[~hot], picked[hot]
+        parts = [(h[cool], text[cool], at[cool], first[cool], last[cool])]
+        for k in np.unique(text[hot]):
+            mine = hot[text[hot] == k]
+            parts.append(_bands(np.frombuffer(texts[k], dtype=np.uint8), int(k), h[mine], at[mine], first[mine], last[mine], length))
+        h, text, at, first, last = (np.concatenate(x) for x in zip(*parts))
+        # alike stretches of this group go once
+        alike: dict[tuple[bytes, int, int], list[int]] = {}
+        for i, (key, k, here, a, b) in enumerate(zip(h.tolist(), text.tolist(), at.tolist(), first.tolist(), (last + length).tolist())):
+            alike.setdefault((texts[k][a:b], here - a, key), []).append(i)
         heads, blobs = [], []
-        windows = []
-        for (blob, left), ids in alike.items():
+        for (blob, left, key), ids in alike.items():
             i = ids[0]
             many = len(ids) > 1 or copies[text[i]] > 1
             if many:
                 found += [(text[j], first[j], last[j]) for j in ids]
-            if flags[where[i], 1]:
-                windows.append((i, many))
-            else:
-                heads.append((h[i], text[i], first[i], left, len(blob), many))
-                blobs.append(blob)
+            heads.append((key, text[i], first[i], left, len(blob), many))
+            blobs.append(blob)
         if heads:
             head = np.array(heads, dtype=_STRETCH)
             order = np.argsort(head["h"], kind="stable")
             head = head[order]
             for r, a, b in slices(head["h"], n):
                 rows.append((r, g, 1, squeeze(int(b - a).to_bytes(4, "little") + head[a:b].tobytes() + b"".join(blobs[j] for j in order[a:b]))))
-        if windows:
-            by_text = defaultdict(list)
-            for i, many in windows:
-                by_text[int(text[i])].append((i, many))
-            parts = []
-            for k, ids in by_text.items():
-                data = np.frombuffer(texts[k], dtype=np.uint8)
-                pick = np.array([i for i, _ in ids])
-                counts = last[pick] - first[pick] + 1
-                starts = ranges(first[pick], counts)
-                w = np.zeros(len(starts), dtype=_WINDOW)
-                w["a"], w["b"] = (span_hashes(data, starts, starts + length, base) for base in BASES)
-                w["text"], w["start"], w["many"] = k, starts, np.repeat(np.array([m for _, m in ids], dtype=np.uint8), counts)
-                parts.append(w)
-            w = np.concatenate(parts)
-            w = w[np.lexsort((w["b"], w["a"]))]
-            new = np.append(True, (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1]))
-            run = np.cumsum(new) - 1
-            several = np.bincount(run)[run] > 1
-            found += [(t, s, s) for t, s in zip(w["text"][several & (w["many"] == 0)].tolist(), w["start"][several & (w["many"] == 0)].tolist())]
-            many = np.bincount(run, weights=w["many"])[run] > 0
-            w["many"] = several | many
-            w = w[new]
-            for r, a, b in slices(w["a"], n):
-                rows.append((r, g, 2, w[a:b].tobytes()))
         if found:
             rows.append((g % n, g, 3, np.array(found, dtype=_FOUND).tobytes()))
         return pd.DataFrame(rows, columns=["r", "g", "kind", "payload"])
@@ -346,11 +338,14 @@ def _ranked(strings: list[bytes], groups: list[list[int]]) -> tuple[np.ndarray,
 
 
 def _repeated_windows(stretches: list[tuple[int, bytes, int]], length: int) -> list[np.ndarray]:
-    """For stretches (anchor's hash, bytes, bytes before the anchor), all different: the repeated window starts of each."""
-    by_hash = defaultdict(list)
-    for i, (h, _, _) in enumerate(stretches):
-        by_hash[h].append(i)
-    groups = [ids for ids in by_hash.values() if len(ids) > 1]
+    """For stretches (anchor's hash, bytes, bytes before the anchor), all different: the repeated window starts of each.
+
+    Stretches meet by their hash and the anchor's own bytes; what is sorted begins behind the anchor.
+    """
+    by_anchor = defaultdict(list)
+    for i, (h, blob, left) in enumerate(stretches):
+        by_anchor[h, blob[left : left + ANCHOR]].append(i)
+    groups = [ids for ids in by_anchor.values() if len(ids) > 1]
     out = [np.zeros(0, dtype=np.int64)] * len(stretches)
     members = [i for ids in groups for i in ids]
     if not members:
@@ -361,8 +356,9 @@ def _repeated_windows(stretches: list[tuple[int, bytes, int]], length: int) -> l
     left = np.array([stretches[i][2] for i in members], dtype=np.int64)
     size = np.array([len(b) for b in blobs], dtype=np.int64)
     low = left - (size - length)  # offsets of the windows: low..left before the anchor
-    right_rank, right_lcp = _ranked([b[k:] for b, k in zip(blobs, left.tolist())], groups)
+    right_rank, right_lcp = _ranked([b[k + ANCHOR :] for b, k in zip(blobs, left.tolist())], groups)
     left_rank, left_lcp = _ranked([b[:k][::-1] for b, k in zip(blobs, left.tolist())], groups)
+    right_lcp = np.where(right_lcp < 0, -1, right_lcp + ANCHOR)
     hits = [[] for _ in members]
     m = len(members)
     for o in range(int(low.min()), int(left.max()) + 1):
@@ -393,13 +389,9 @@ def _sort(length: int):
         found = defaultdict(list)
         index: dict[tuple[int, bytes, int], int] = {}
         owners: list[list] = []
-        windows, senders = [], []
         for g, kind, payload in zip(pdf["g"], pdf["kind"], pdf["payload"]):
             if kind == 3:
                 found[g].append(np.frombuffer(payload, dtype=_FOUND))
-            elif kind == 2:
-                windows.append(np.frombuffer(payload, dtype=_WINDOW))
-                senders.append(np.full(len(windows[-1]), g))
             else:
                 raw = unsqueeze(payload)
                 k = int.from_bytes(raw[:4], "little")
@@ -421,17 +413,6 @@ def _sort(length: int):
             elif len(starts) and not mine[0][3]:
                 g, text, first, _ = mine[0]
                 found[g].append(np.array([(text, first + a, first + b) for a, b in _runs(starts)], dtype=_FOUND))
-        if windows:
-            w, by = np.concatenate(windows), np.concatenate(senders)
-            order = np.lexsort((w["b"], w["a"]))
-            w, by = w[order], by[order]
-            run = np.cumsum(np.append(True, (w["a"][1:] != w["a"][:-1]) | (w["b"][1:] != w["b"][:-1]))) - 1
-            hit = (np.bincount(run)[run] > 1) | (w["many"] > 0)
-            for g in np.unique(by[hit]):
-                x = w[hit & (by == g)]
-                f = np.zeros(len(x), dtype=_FOUND)
-                f["text"], f["first"], f["last"] = x["text"], x["start"], x["start"]
-                found[g].append(f)
         r = int(pdf["r"].iloc[0])
         return pd.DataFrame([(r, int(g), 0, np.concatenate(x).tobytes()) for g, x in found.items()], columns=["r", "g", "kind", "payload"])
 
@@ -502,5 +483,6 @@ def readable(kept: pd.Series) -> pd.Series:
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Digests of every row of `documents` without its repeated 200-byte passages; null texts count as empty, copies of a text lose all they share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
