@@ -5,11 +5,14 @@ programming over the global histogram of lengths finds the boundaries that waste
 total (`boundaries`); the histogram has a bounded number of bins, as lengths beyond
 EXACT_LENGTHS are rounded up to 1/1024 of their size for it (which only decides where a
 boundary lies; every text still fits). Inside a bucket, batches are filled to the token
-budget: rows are dealt by hash to shards of about SHARD_ROWS, numbered in their shard, and
-shifted by the counts of the shards before, so no bucket gathers in one task and only a
-bucket's last batch may be short. A text longer than the budget is a batch of its own.
-
-Nulls and empty texts have one token, their end. Rows may repeat; ids may be null.
+budget: rows alike in id and length are counted, in portions of SHARD_ROWS at most; portions
+are dealt by hash to shards of about SHARD_ROWS rows, numbered in their shard, and shifted by
+the counts of the shards before; then they become rows again. So neither a bucket nor an id that
+many rows share gathers in one task, and only a bucket's last batch may be short. A text longer
+than the budget is a batch of its own.
+
+Nulls and empty texts have one token, their end. Rows may repeat; ids may be null. Only ids and
+texts are read; an empty table has no batches.
 """
 
 from __future__ import annotations
@@ -84,8 +87,9 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row for each row of docs: id, n_tokens, bucket, bucket_length, batch_id, slot, padding."""
-    rows = stored(docs.select(F.col(id_col).alias("id"), n_tokens(text_col).alias("n_tokens")), "lengths")
-    histogram = sorted(map(tuple, rows.groupBy(binned(F.col("n_tokens")).alias("length")).count().collect()))
+    rows = docs.select(F.col(id_col).alias("id"), n_tokens(text_col).alias("n_tokens"))
+    rows = stored(rows.groupBy("id", "n_tokens").agg(F.count(F.lit(1)).alias("rows")), "lengths")
+    histogram = sorted(map(tuple, rows.groupBy(binned(F.col("n_tokens")).alias("length")).agg(F.sum("rows")).collect()))
     bounds = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     sizes = [sum(c for x, c in histogram if a < x <= b) for a, b in zip([0, *bounds], bounds)]
     # a boundary for each bucket, rows in a batch, shards, and batches before it
@@ -96,26 +100,27 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     bucket = F.lit(0)
     for b in bounds[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
-    rows = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("id", "n_tokens"), of(shards).cast("long")))
-    counts = rows.groupBy("bucket", "shard").count()
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SHARD_ROWS)))
+    rows = rows.withColumn("portion", portion).withColumn("rows", F.least(F.lit(SHARD_ROWS), F.col("rows") - F.col("portion") * SHARD_ROWS))
+    rows = rows.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("id", "n_tokens", "portion"), of(shards).cast("long")))
+    counts = rows.groupBy("bucket", "shard").agg(F.sum("rows").alias("count"))
     ahead = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("id"), "id", "n_tokens")
-    place = F.col("ahead") + F.col("inside") - 1
-    return (
-        rows.withColumn("inside", F.row_number().over(inside))
-        .join(offsets, ["bucket", "shard"])
-        .select(
-            F.col("id").alias(id_col),
-            "n_tokens",
-            "bucket",
-            of(bounds).cast("long").alias("bucket_length"),
-            (of(first).cast("long") + F.floor(place / of(cap))).cast("long").alias("batch_id"),
-            (place % of(cap)).cast("int").alias("slot"),
-            (of(bounds) - F.col("n_tokens")).cast("long").alias("padding"),
-        )
+    inside = Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("id"), "id", "n_tokens", "portion").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn("inside", F.sum("rows").over(inside) - F.col("rows")).join(offsets, ["bucket", "shard"])
+    numbered = numbered.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    place = F.col("ahead") + F.col("inside") + F.col("k")
+    return numbered.select(
+        F.col("id").alias(id_col),
+        "n_tokens",
+        "bucket",
+        of(bounds).cast("long").alias("bucket_length"),
+        (of(first).cast("long") + F.floor(place / of(cap))).cast("long").alias("batch_id"),
+        (place % of(cap)).cast("int").alias("slot"),
+        (of(bounds) - F.col("n_tokens")).cast("long").alias("padding"),
     )
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of every row of `documents`."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from aerolith.llm import packing
 
@@ -54,3 +54,14 @@ def test_long_lengths_stay_within_their_bins(spark):
     df = spark.createDataFrame([(x,) for x in (1, 65536, 65537, 70001, 131072, 131073, 10**7, 10**9 + 1)], "n long")
     for r in df.select("n", packing.binned(df.n).alias("b")).collect():
         assert r["n"] <= r["b"] <= r["n"] * (1 + 1 / 1000)
+
+
+def test_alike_rows_fill_batches_like_others(spark):
+    rows = [(None, "a b", 1)] * 9000 + [(7, "a b", 1)] * 50 + [(i, "c", 2) for i in range(100)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bucket int"), buckets=2, budget=30).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == sorted((str(i), len(t.split()) + 1) for i, t, _ in rows)
+    assert len({(r["batch_id"], r["slot"]) for r in out}) == len(out)
+    sizes = Counter((r["bucket"], r["batch_id"]) for r in out)
+    for bucket in {b for b, _ in sizes}:
+        per = 30 // next(r["bucket_length"] for r in out if r["bucket"] == bucket)
+        assert sum(n < per for (b, _), n in sizes.items() if b == bucket) <= 1 and all(n <= per for (b, _), n in sizes.items() if b == bucket)

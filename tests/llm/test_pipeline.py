@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from aerolith.llm import langid, simhash
@@ -83,3 +84,13 @@ def test_run_is_its_stages(spark, docs):
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert got == sorted(map(tuple, frame.collect())) and len(got) > 0
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_on_nothing_and_on_clashing_columns(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    odd = docs.limit(60).withColumns({c: F.lit(1) for c in ("said", "row", "id", "h", "k", "rows", "bucket", "carried_0", "count")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, odd, SF).columns == list(corpus_pipeline.COLUMNS)
+        assert stage(spark, odd, SF).count() > 0
+    assert corpus_pipeline.STAGES[4][1](spark, odd, SF).count() == 60
