@@ -2,11 +2,14 @@
 
 All but the last return the columns of documents; the last returns each document's place in
 the packed batches. Rows are never sampled; models are fitted on bounded samples of labels.
+
+Null and empty texts go in the first stage, as they have no letter; null ids stay, and of rows
+alike in id and text one stays. Empty tables give empty results; other columns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.llm import langid, packing, simhash, suffix_dedup, toxicity
@@ -15,18 +18,23 @@ from aerolith.llm.common import stored, text_batches
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _kept(docs: DataFrame, said: Column, condition: str) -> DataFrame:
+    """The rows whose verdict `said` meets the condition; only the columns of documents are read, whatever else docs has."""
+    return docs.select(F.struct(*COLUMNS).alias("row"), said.alias("said")).where(condition).select("row.*")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language the model knows, go."""
     text_batches(spark)
     model = langid.fit(docs)
-    return docs.withColumn("__p", langid.predictor(model)("text")).where("not __p.rejected").select(*COLUMNS)
+    return _kept(docs, langid.predictor(model)("text"), "not said.rejected")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     text_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("__s", toxicity.scorer(model)("text")).where("__s.predicted = 0").select(*COLUMNS)
+    return _kept(docs, toxicity.scorer(model)("text"), "said.predicted = 0")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
