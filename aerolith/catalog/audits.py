@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
-from aerolith.catalog.frames import GRID, HOURS, grid, hours, placed
+from aerolith.catalog.frames import GRID, HOURS, draw_sql, fit_sql, grid, hours, placed
 from aerolith.catalog.joins import _ISLANDS, scored
+from aerolith.catalog.statistics import _EDGES
 from aerolith.operators import audits, windows
 
 
@@ -30,11 +33,14 @@ def agency_agreement(spark, d):
     return audits.agency_agreement(e.where("user_id % 5 = 0"), e.where("user_id % 5 <> 0"), ["k"], "value", ["k", "p"], threshold=2.0)
 
 
-@query(f"""WITH {GRID}, g AS (SELECT *, value IS NULL AS z, lag(value IS NULL) OVER (PARTITION BY entity ORDER BY ts) AS p FROM grid), i AS (SELECT *, sum(CASE WHEN z = p THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), r AS (SELECT entity, min(ts) AS start, count(*) AS length FROM i WHERE z GROUP BY entity, run)
- SELECT CAST(CASE WHEN length <= 1 THEN 0 WHEN length <= 3 THEN 1 ELSE 2 END AS INTEGER) AS bucket, hour(start) < 6 AS at_zero, count(*) AS runs, CAST(sum(length) AS BIGINT) AS hours, round(avg(length / 10.0::DOUBLE), 6) AS rejected_share FROM r GROUP BY 1, 2""")
+@query(f"""WITH {HOURS}, b AS (SELECT entity, ts, floor(value / 100) AS v, value % 7 < 1 AS rejected FROM hours), k AS (SELECT *, lag(v) OVER w AS p, lag(ts) OVER w AS pt FROM b WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+ i AS (SELECT *, sum(CASE WHEN v = p AND ts - pt = INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM k), r AS (SELECT count(*) AS length, min(v) = 0 AS at_zero, avg(rejected::INT) AS rejected FROM i GROUP BY entity, run)
+ SELECT CAST(CASE WHEN length <= 1 THEN 0 WHEN length <= 3 THEN 1 ELSE 2 END AS INTEGER) AS bucket, at_zero, count(*) AS runs, CAST(sum(length) AS BIGINT) AS hours, round(avg(rejected), 6) AS rejected_share FROM r GROUP BY 1, 2""")
 def calibration_curve(spark, d):
-    runs = windows.null_runs(grid(spark, d), ["entity"], "ts", "value").withColumn("share", F.col("length") / F.lit(10.0))
-    return audits.calibration_curve(runs, "length", "share", [1, 3], F.hour("start") < 6)
+    """Rejected share by length over all runs of an unchanging value, single hours included."""
+    h = hours(spark, d).withColumn("rejected", F.col("value") % 7 < 1).withColumn("value", F.floor(F.col("value") / 100).cast("double"))
+    runs = windows.stuck_runs(h, ["entity"], "ts", "value", least=1, rejected=F.col("rejected"))
+    return audits.calibration_curve(runs, "length", "rejected_share", [1, 3], F.col("at_zero"))
 
 
 @query(f"WITH {HOURS}, w AS (SELECT CAST(ts AS DATE) AS day, avg(value) FILTER (entity = 'click') AS click, avg(value) FILTER (entity = 'view') AS view FROM hours GROUP BY 1) SELECT day, round(click + 1e-7, 4) AS click, round(view + 1e-7, 4) AS view FROM w WHERE click IS NOT NULL AND view IS NOT NULL")
@@ -101,7 +107,7 @@ def held_out_design(spark, d):
     return audits.held_out_design(x, "sf", "q", 5).groupBy("design", "held_station_fold", "held_quarter", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat_ws('|', o_orderkey, 0)), o_orderkey LIMIT 100")
 def hashed_sample(spark, d):
     return audits.sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 100)
 
@@ -131,9 +137,16 @@ def nearest_cell(spark, d):
     return audits.nearest_cell(placed(table(spark, d, "customer"), "c_custkey"), cells, "c_custkey")
 
 
-@query()
+_PRICES = "base AS (SELECT 0 AS g, 1.0::DOUBLE AS w, l_suppkey AS c, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem)"
+
+
+@query(f"""WITH {_PRICES}, {fit_sql('base', 2)}, e AS (SELECT c, n, k0, k1, k2, rss, i11 * (x1 - m1) + i12 * (x2 - m2) AS a1, i12 * (x1 - m1) + i22 * (x2 - m2) AS a2, m1, m2, y - k0 - k1 * x1 - k2 * x2 AS e FROM base JOIN fit USING (g)),
+ z AS (SELECT *, 1 / n - m1 * a1 - m2 * a2 AS a0 FROM e), s AS (SELECT c, sum(a0 * e) AS s0, sum(a1 * e) AS s1, sum(a2 * e) AS s2 FROM z GROUP BY 1), v AS (SELECT sqrt(sum(s0 * s0)) AS c0, sqrt(sum(s1 * s1)) AS c1, sqrt(sum(s2 * s2)) AS c2 FROM s),
+ i AS (SELECT any_value(k0) AS k0, any_value(k1) AS k1, any_value(k2) AS k2, any_value(rss) / (any_value(n) - 3) AS q, sum(a0 * a0) AS v0, sum(a1 * a1) AS v1, sum(a2 * a2) AS v2 FROM z)
+ SELECT 'intercept' AS term, round(k0, 2) AS coef, round(k0 / sqrt(q * v0), 3) AS t_iid, round(k0 / c0, 3) AS t_cluster FROM i, v UNION ALL SELECT 'l_quantity', round(k1, 2), round(k1 / sqrt(q * v1), 3), round(k1 / c1, 3) FROM i, v UNION ALL SELECT 'l_discount', round(k2, 2), round(k2 / sqrt(q * v2), 3), round(k2 / c2, 3) FROM i, v""")
 def clustered_errors(spark, d):
-    return audits.clustered_errors(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
+    out = audits.clustered_errors(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], "l_suppkey")
+    return out.select("term", F.round("coef", 2).alias("coef"), F.round("t_iid", 3).alias("t_iid"), F.round("t_cluster", 3).alias("t_cluster"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
@@ -142,15 +155,23 @@ def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("SELECT round(regr_r2(value, user_id), 6) AS r2_raw, CAST(NULL AS DOUBLE) IS NULL AS has_encoded FROM events")
+@query(f"""WITH base AS (SELECT 0 AS g, 1.0::DOUBLE AS w, value AS y, sin(radians(user_id)) AS x1, cos(radians(user_id)) AS x2 FROM events), {fit_sql('base', 2)} SELECT (SELECT round(regr_r2(value, user_id), 6) FROM events) AS r2_raw, round(1 - rss / yy, 6) AS r2_encoded FROM fit""")
 def encoding_gain(spark, d):
     from aerolith.operators import pitfalls
 
-    out = pitfalls.encoding_gain(table(spark, d, "events"), "value", "user_id")
-    return out.select(F.round("r2_raw", 6).alias("r2_raw"), F.col("r2_encoded").isNotNull().alias("has_encoded"))
+    return pitfalls.encoding_gain(table(spark, d, "events"), "value", "user_id").select(F.round("r2_raw", 6).alias("r2_raw"), F.round("r2_encoded", 6).alias("r2_encoded"))
+
+
+_POISSON = " + ".join(f"(u > {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r})::INT" for k in range(6))
 
 
-@query()
+@query(f"""WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 4 AS fold, l_extendedprice AS y, l_quantity AS q, l_tax AS t, l_discount AS d FROM lineitem),
+ one AS (SELECT 0 AS g, 1.0::DOUBLE AS w, y, d AS x1 FROM li), {fit_sql('one', 1, 'f1')}, two AS (SELECT 0 AS g, 1.0::DOUBLE AS w, y, d AS x1, q AS x2 FROM li), {fit_sql('two', 2, 'f2')},
+ seen AS (SELECT f.fold AS g, 1.0::DOUBLE AS w, y, q AS x1, t AS x2 FROM li JOIN (SELECT DISTINCT fold FROM li) f ON li.fold <> f.fold), {fit_sql('seen', 2, 'f3')},
+ opt AS (SELECT g, any_value(1 - rss / yy) - (1 - sum(pow(y - k0 - k1 * q - k2 * t, 2)) / (var_pop(y) * count(*))) AS v FROM li JOIN f3 ON li.fold = f3.g GROUP BY g),
+ drawn AS (SELECT s AS g, y, q AS x1, t AS x2, {draw_sql('l_orderkey', 'l_linenumber', 'l_partkey', '1000 + s')} AS u FROM li, (SELECT unnest(range(0, 20)) AS s)), boot AS (SELECT *, ({_POISSON})::DOUBLE AS w FROM drawn), {fit_sql('boot', 2, 'f4')},
+ signs AS (SELECT 'intercept' AS of, avg((k0 > 0)::INT) AS a, avg((k0 < 0)::INT) AS b FROM f4 UNION ALL SELECT 'l_quantity', avg((k1 > 0)::INT), avg((k1 < 0)::INT) FROM f4 UNION ALL SELECT 'l_tax', avg((k2 > 0)::INT), avg((k2 < 0)::INT) FROM f4)
+ SELECT 'leak_share' AS what, CAST(NULL AS VARCHAR) AS of, round((1 - f2.rss / f2.yy - (1 - f1.rss / f1.yy)) / (1 - f2.rss / f2.yy), 5) AS value FROM f1, f2 UNION ALL SELECT 'optimism', CAST(g AS VARCHAR), round(v, 5) FROM opt UNION ALL SELECT 'same_sign', of, round(greatest(a, b), 5) FROM signs""")
 def regression_pitfalls(spark, d):
     """Leakage, optimism and sign stability on lineitem, one row each term or fold."""
     from aerolith.operators import pitfalls
@@ -159,7 +180,7 @@ def regression_pitfalls(spark, d):
     leak = pitfalls.leakage_price(li, "l_extendedprice", ["l_discount"], "l_quantity").select(F.lit("leak_share").alias("what"), F.lit(None).cast("string").alias("of"), F.col("leak_share").alias("value"))
     opt = pitfalls.optimism(li, "l_extendedprice", ["l_quantity", "l_tax"], "fold").select(F.lit("optimism").alias("what"), F.col("fold").cast("string").alias("of"), (F.col("r2_in") - F.col("r2_out")).alias("value"))
     sign = pitfalls.sign_stability(li, "l_extendedprice", ["l_quantity", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"]).select(F.lit("same_sign").alias("what"), F.col("term").alias("of"), F.col("same_sign").alias("value"))
-    return leak.unionByName(opt).unionByName(sign)
+    return leak.unionByName(opt).unionByName(sign).withColumn("value", F.round("value", 5))
 
 
 @query("""WITH f AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1), e AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey <> 0) SELECT coalesce(f.k, e.k) AS k, coalesce(n, 0) AS rows, CASE WHEN e.k IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'present' END AS state FROM f FULL JOIN e ON f.k = e.k""")
@@ -189,16 +210,21 @@ def series_dissimilarity(spark, d):
     return dissimilarity(h, edges, "entity", "neighbour", "ts", "value")
 
 
-@query()
+@query(f"""WITH {_EDGES}, d AS (SELECT unnest(range(0, 100)) AS draw), sp AS (SELECT draw, s_suppkey AS k, row_number() OVER (PARTITION BY draw ORDER BY s_suppkey) AS i FROM supplier, d),
+ sh AS (SELECT draw, s_acctbal AS v, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw = 0 THEN '' ELSE md5(concat_ws('|', s_suppkey, draw, 1)) END, s_suppkey) AS i FROM supplier, d),
+ z AS (SELECT draw, k, v - avg(v) OVER (PARTITION BY draw) AS z FROM sp JOIN sh USING (draw, i)), s AS (SELECT draw, count(*)::DOUBLE AS n, sum(z * z) AS v FROM z GROUP BY 1),
+ c AS (SELECT a.draw, sum(weight * a.z * b.z) AS c, sum(weight) AS w FROM ew JOIN z a ON a.k = ew.k JOIN z b ON b.k = ew.nb AND b.draw = a.draw GROUP BY 1), m AS (SELECT draw, round(n / w * c / v, 6) AS i FROM s JOIN c USING (draw)), r AS (SELECT i AS real FROM m WHERE draw = 0)
+ SELECT real AS moran_i, round(avg(i), 6) AS null_mean, (count(*) FILTER (abs(i) >= abs(real)) + 1) / (count(*) + 1)::DOUBLE AS p FROM m, r WHERE draw > 0 GROUP BY 1""")
 def moran_permutations(spark, d):
     from aerolith.catalog.statistics import _edges
     from aerolith.operators import stats
 
     v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.moran_null(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), "s_suppkey", "neighbour", "s_acctbal", draws=49)
+    return stats.moran_null(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), "s_suppkey", "neighbour", "s_acctbal")
 
 
-@query()
+@query(f"""WITH {_EDGES.replace(', ew AS', ', unused AS')}, r(radius) AS (VALUES (100.0::DOUBLE), (250.0)), ew AS (SELECT radius, k, nb, 1.0::DOUBLE / count(*) OVER (PARTITION BY radius, k) AS weight FROM e JOIN r ON km <= radius), m AS (SELECT avg(s_acctbal) AS m FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z FROM supplier, m)
+ SELECT r.radius, (SELECT count(*) FROM z) AS n, round((SELECT count(*) FROM z) / sum(weight) * sum(weight * a.z * b.z) / (SELECT sum(z * z) FROM z), 6) AS moran_i FROM r LEFT JOIN ew ON ew.radius = r.radius LEFT JOIN z a ON a.k = ew.k LEFT JOIN z b ON b.k = ew.nb GROUP BY 1""")
 def weights_sensitivity(spark, d):
     from aerolith.catalog.statistics import _edges
     from aerolith.operators import stats

@@ -133,7 +133,7 @@ def scored(spark, d):
  m AS (SELECT o.entity, o.start, o.shift, s.entity AS nb, s.ex AND s.dir = o.direction AS up FROM o JOIN s4 s ON s.ts = o.ts AND s.entity <> o.entity AND s.z IS NOT NULL),
  p AS (SELECT entity, start, shift, count(DISTINCT nb) AS sc, count(DISTINCT nb) FILTER (up) AS el FROM m GROUP BY 1, 2, 3),
  f AS (SELECT entity, start, coalesce(max(sc) FILTER (shift = 0), 0) AS scoreable, coalesce(max(el) FILTER (shift = 0), 0) AS elevated, round(avg(el) FILTER (shift <> 0), 6) AS elevated_shifted FROM p GROUP BY 1, 2)
- SELECT runs.entity, runs.start, CAST(4 AS BIGINT) AS placed, scoreable, elevated, elevated_shifted FROM runs LEFT JOIN f USING (entity, start)""")
+ SELECT runs.entity, runs.start, (SELECT count(DISTINCT entity) - 1 FROM s4) AS placed, scoreable, elevated, elevated_shifted FROM runs LEFT JOIN f USING (entity, start)""")
 def corroboration(spark, d):
     """Every other event type is a neighbour of each."""
     from aerolith.operators.windows import excursion_runs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
-from aerolith.catalog.frames import GRID, HOURS, grid, hours
+from aerolith.catalog.frames import GRID, HOURS, draw_sql, grid, hours
 from aerolith.catalog.joins import _ISLANDS, scored
 from aerolith.functions.flags import parse_cell
 from aerolith.operators import qc, windows
@@ -182,21 +182,26 @@ def bucket_right_closed(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", right_closed(F.col("l_quantity"), [1, 6, 24]).cast("int").alias("bucket"))
 
 
-@query()
+@query(f"""WITH {GRID}, p AS (SELECT a.entity, b.entity AS nb, count(*) AS n, corr(a.value, b.value) AS r, regr_slope(a.value, b.value) AS s, regr_intercept(a.value, b.value) AS i FROM grid a JOIN grid b ON a.ts = b.ts AND a.entity <> b.entity WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY r DESC, nb) AS k FROM p WHERE n >= 24 AND r >= -1) WHERE k = 1)
+ SELECT g.entity, g.ts, round(coalesce(g.value, best.i + best.s * o.value), 4) AS value, g.value IS NULL AND o.value IS NOT NULL AS value_imputed FROM grid g LEFT JOIN best ON best.entity = g.entity LEFT JOIN grid o ON o.entity = best.nb AND o.ts = g.ts""")
 def donor_fill(spark, d):
-    """Gaps of each event type from the type it follows best; rows only, as donors come from correlations close to ties."""
+    """Gaps of each event type from the type it follows best."""
     from aerolith.operators import gapfill
 
     g = grid(spark, d)
     names = g.select("entity").distinct()
     edges = names.crossJoin(names.withColumnRenamed("entity", "neighbour")).where("entity <> neighbour").withColumn("km", F.lit(1.0))
     best = gapfill.donors(g, edges, "entity", "ts", "value", overlaps=24, least_r=-1.0)
-    return gapfill.fill_from_donors(g, best, "entity", "ts", "value")
+    return gapfill.fill_from_donors(g, best, "entity", "ts", "value").withColumn("value", F.round("value", 4))
 
 
-@query()
+@query(f"""WITH {GRID}, t AS (SELECT entity, ts, value AS truth, row_number() OVER (PARTITION BY entity ORDER BY ts) AS n FROM grid), h AS (SELECT *, truth IS NOT NULL AND {draw_sql('entity', 'n - 1', '1')} < 0.2 AS hidden FROM t), i AS (SELECT *, CASE WHEN NOT hidden THEN truth END AS value FROM h), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN n END AS kn FROM i),
+ f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(kn IGNORE NULLS) OVER b AS i0, first_value(value IGNORE NULLS) OVER a AS v1, first_value(kn IGNORE NULLS) OVER a AS i1 FROM k WINDOW b AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ g AS (SELECT entity, truth, CASE WHEN i1 - i0 - 1 <= 3 THEN v0 + (v1 - v0) * (n - i0) / (i1 - i0) END AS filled FROM f WHERE hidden)
+ SELECT entity, count(*) AS hidden, round(avg((filled IS NOT NULL)::INT), 6) AS recovered, round(avg(abs(filled - truth)), 6) AS mae, round(sqrt(avg(pow(filled - truth, 2))), 6) AS rmse FROM g GROUP BY 1""")
 def fill_scores(spark, d):
-    """Errors of bounded interpolation on values hidden by hash."""
+    """Errors of bounded interpolation on values hidden by a repeatable draw."""
     from aerolith.operators import gapfill
 
     hidden = gapfill.hide(grid(spark, d), "entity", "ts", "value", 0.2, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
-from aerolith.catalog.frames import grid, haversine_sql, hours, placed, placed_sql
+from aerolith.catalog.frames import GRID, fit_sql, grid, haversine_sql, hours, ols_sql, placed, placed_sql
 from aerolith.functions.maths import average_rank
 from aerolith.operators import joins, stats
 
@@ -24,22 +24,28 @@ def ranks(spark, d):
     return table(spark, d, "events").select("event_id", average_rank(F.col("user_id"), ["event_type"]).alias("average_rank"), F.rank().over(Window.partitionBy("event_type").orderBy("user_id")).cast("long").alias("min_rank"))
 
 
-@query("""WITH r AS (SELECT event_type, CAST(user_id AS DOUBLE) AS a, value AS b, user_id % 12 AS g FROM events), x AS (SELECT *, a - avg(a) OVER (PARTITION BY event_type, g) AS da, b - avg(b) OVER (PARTITION BY event_type, g) AS db,
- rank() OVER (PARTITION BY event_type ORDER BY a) + (count(*) OVER (PARTITION BY event_type, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY event_type ORDER BY b) + (count(*) OVER (PARTITION BY event_type, b) - 1) / 2.0 AS rb FROM r)
- SELECT event_type, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(corr(da, db), 6) AS within, CAST(NULL AS VARCHAR) AS refusal FROM x GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 5.0::DOUBLE ELSE CAST(hour(ts) AS DOUBLE) END AS a, value AS b, event_type AS g FROM events WHERE value > 100), x AS (SELECT *, a - avg(a) OVER (PARTITION BY user_id, g) AS da, b - avg(b) OVER (PARTITION BY user_id, g) AS db,
+ rank() OVER (PARTITION BY user_id ORDER BY a) + (count(*) OVER (PARTITION BY user_id, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY user_id ORDER BY b) + (count(*) OVER (PARTITION BY user_id, b) - 1) / 2.0 AS rb FROM r),
+ s AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) < 3 THEN 'too_few' WHEN stddev_pop(a) = 0 OR stddev_pop(b) = 0 THEN 'constant' END AS refusal, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 6) END AS p, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 6) END AS q, CASE WHEN stddev_pop(da) > 0 AND stddev_pop(db) > 0 THEN round(corr(da, db), 6) END AS w FROM x GROUP BY 1)
+ SELECT user_id, n, CASE WHEN refusal IS NULL THEN p END AS pearson, CASE WHEN refusal IS NULL THEN q END AS spearman, CASE WHEN refusal IS NULL THEN w END AS within, refusal FROM s""")
 def association(spark, d):
-    e = table(spark, d, "events").select("event_type", F.col("user_id").cast("double").alias("a"), F.col("value").alias("b"), (F.col("user_id") % 12).alias("g"))
-    return stats.association(e, ["event_type"], "a", "b", "g")
+    """Of each user's larger events: hour and value, within event types; users with few events, or a constant side, are refused."""
+    e = table(spark, d, "events").where("value > 100").select("user_id", F.when(F.col("user_id") % 3 == 0, 5.0).otherwise(F.hour("ts").cast("double")).alias("a"), F.col("value").alias("b"), F.col("event_type").alias("g"))
+    return stats.association(e, ["user_id"], "a", "b", "g")
 
 
-@query("""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 2) AS coef, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2, count(*) AS n FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 2), round(regr_r2(l_extendedprice, l_quantity), 5), count(*) FROM lineitem""")
+def _rounded(fit):
+    return fit.select("term", F.round("coef", 2).alias("coef"), F.round("se", 3).alias("se"), F.round("t", 3).alias("t"), F.round("vif", 5).alias("vif"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query(ols_sql("base AS (SELECT 0 AS g, 1.0::DOUBLE AS w, l_extendedprice AS y, l_quantity AS x1 FROM lineitem)", ["l_quantity"]))
 def ols_simple(spark, d):
-    return stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]).select("term", F.round("coef", 2).alias("coef"), F.round("r2", 5).alias("r2"), "n")
+    return _rounded(stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]))
 
 
-@query()
+@query(ols_sql("base AS (SELECT 0 AS g, 1.0::DOUBLE AS w, l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3 FROM lineitem)", ["l_quantity", "l_discount", "l_tax"]))
 def ols_several(spark, d):
-    return stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return _rounded(stats.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]))
 
 
 @query("""WITH t AS (SELECT event_type, epoch(ts) / 86400.0 - 19723 AS x, value AS y FROM events) SELECT event_type, round(regr_slope(CASE WHEN x < 15 THEN y END, CASE WHEN x < 15 THEN x END), 5) AS slope_before, round(regr_slope(CASE WHEN x >= 15 THEN y END, CASE WHEN x >= 15 THEN x END), 5) AS slope_after,
@@ -55,11 +61,14 @@ def theil_sen(spark, d):
     return stats.theil_sen(m, ["o_orderpriority"], "x", "y").withColumn("slope", F.round("slope", 3))
 
 
-@query(f"""WITH {_EDGES}, m AS (SELECT avg(s_acctbal) AS m FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z FROM supplier, m), v AS (SELECT count(*) AS n, sum(z * z) AS v FROM z),
- c AS (SELECT sum(weight * a.z * b.z) AS c, sum(weight) AS w FROM ew JOIN z a ON a.k = ew.k JOIN z b ON b.k = ew.nb) SELECT n, round(n / w * c / v, 6) AS moran_i, round(-1.0 / (n - 1), 6) AS expected FROM v, c""")
+@query(f"""WITH {_EDGES}, m AS (SELECT avg(s_acctbal) AS m FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z FROM supplier, m), v AS (SELECT count(*)::DOUBLE AS n, sum(z * z) AS v FROM z),
+ c AS (SELECT sum(weight * a.z * b.z) AS c, sum(weight) AS w FROM ew JOIN z a ON a.k = ew.k JOIN z b ON b.k = ew.nb), s1 AS (SELECT sum(pow(x.weight + y.weight, 2)) / 2 AS s1 FROM ew x JOIN ew y ON x.k = y.nb AND x.nb = y.k),
+ s2 AS (SELECT sum(pow(o + i, 2)) AS s2 FROM (SELECT k, sum(weight) AS o FROM ew GROUP BY 1) JOIN (SELECT nb AS k, sum(weight) AS i FROM ew GROUP BY 1) USING (k)),
+ t AS (SELECT *, n / w * c / v AS i, -1.0::DOUBLE / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * w * w) / ((n * n - 1) * w * w) - 1.0::DOUBLE / ((n - 1) * (n - 1)) AS var FROM v, c, s1, s2)
+ SELECT CAST(n AS BIGINT) AS n, round(i, 6) AS moran_i, round(e, 6) AS expected, round((i - e) / sqrt(var), 4) AS z FROM t""")
 def moran(spark, d):
     v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.morans_i(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), [], "s_suppkey", "neighbour", "s_acctbal").select("n", "moran_i", "expected")
+    return stats.morans_i(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), [], "s_suppkey", "neighbour", "s_acctbal")
 
 
 @query(f"""WITH {_EDGES}, m AS (SELECT avg(s_acctbal) AS m, var_pop(s_acctbal) AS v FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z, v FROM supplier, m), l AS (SELECT ew.k, sum(weight * z.z) AS lag FROM ew JOIN z ON z.k = ew.nb GROUP BY 1)
@@ -146,12 +155,19 @@ def explorer_union_view(spark, d):
 
 @query()
 def bootstrap_means(spark, d):
-    return stats.block_bootstrap(hours(spark, d), ["entity"], "ts", "value", block=24, draws=200)
+    return stats.block_bootstrap(hours(spark, d), ["entity"], "ts", "value", block=24)
+
+
+@query()
+def bootstrap_slopes(spark, d):
+    """Slope of each event type's daily means with its interval over resampled blocks of days."""
+    days = hours(spark, d).groupBy("entity", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
+    return stats.block_bootstrap_slope(days, ["entity"], "day", "value", block=7)
 
 
 @query()
 def permutation_test(spark, d):
-    return stats.permutation_p(hours(spark, d).withColumn("weekend", F.weekday("ts") >= 5), ["entity"], "weekend", "value", draws=199)
+    return stats.permutation_p(hours(spark, d).withColumn("weekend", F.weekday("ts") >= 5), ["entity"], "weekend", "value")
 
 
 def _features(spark, d):
@@ -167,7 +183,7 @@ def _features(spark, d):
 def gbt_forecast(spark, d):
     from aerolith.operators.models import fit_predict
 
-    rows = fit_predict(_features(spark, d), ["lag_1", "lag_2", "lag_24", "mean_3", "hour_sin", "hour_cos"], "target", kind="gbt", maxIter=5)
+    rows = fit_predict(_features(spark, d), ["lag_1", "lag_2", "lag_24", "mean_3", "hour_sin", "hour_cos"], "target", kind="gbt")
     return rows.select("entity", "ts", "target", "predicted")
 
 
@@ -175,15 +191,20 @@ def gbt_forecast(spark, d):
 def forest_forecast(spark, d):
     from aerolith.operators.models import fit_predict
 
-    rows = fit_predict(_features(spark, d), ["lag_1", "lag_2", "hour_sin", "hour_cos"], "target", kind="forest", numTrees=10)
+    rows = fit_predict(_features(spark, d), ["lag_1", "lag_2", "hour_sin", "hour_cos"], "target", kind="forest")
     return rows.select("entity", "ts", "target", "predicted")
 
 
-@query()
+@query(f"""WITH {GRID}, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS n FROM grid), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN n END AS kn FROM i),
+ f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(kn IGNORE NULLS) OVER b AS i0, first_value(value IGNORE NULLS) OVER a AS v1, first_value(kn IGNORE NULLS) OVER a AS i1 FROM k WINDOW b AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ x AS (SELECT entity, ts, value, n, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 WHEN i1 = i0 THEN v0 ELSE v0 + (v1 - v0) * (n - i0) / (i1 - i0) END AS x FROM f),
+ l AS (SELECT entity AS g, 1.0::DOUBLE AS w, ts, value, n, x AS y, lag(x, 1) OVER o AS x1, lag(x, 24) OVER o AS x2, lag(x, 25) OVER o AS x3, count(*) OVER (PARTITION BY entity) AS c FROM x WINDOW o AS (PARTITION BY entity ORDER BY ts)),
+ rows_ AS (SELECT *, n - 26 AS pos, CAST(floor(0.7 * (c - 25)) AS BIGINT) AS cut FROM l WHERE n > 25 AND c >= 75), base AS (SELECT * FROM rows_ WHERE pos < cut), {fit_sql('base', 3)}
+ SELECT g AS entity, ts, value AS y_true, round(k0 + k1 * x1 + k2 * x2 + k3 * x3, 3) AS predicted, round(x1 + 1e-7, 3) AS persistence FROM rows_ r JOIN (SELECT g, k0, k1, k2, k3 FROM fit) USING (g) WHERE pos >= cut AND value IS NOT NULL""")
 def seasonal_forecast(spark, d):
     from aerolith.operators.models import seasonal_autoregression
 
-    return seasonal_autoregression(grid(spark, d), "entity", "ts", "value")
+    return seasonal_autoregression(grid(spark, d), "entity", "ts", "value").withColumns({"predicted": F.round("predicted", 3), "persistence": F.round(F.col("persistence") + 1e-7, 3)})
 
 
 @query()
@@ -191,4 +212,4 @@ def weather_normalised(spark, d):
     from aerolith.operators.models import normalise_weather
 
     h = hours(spark, d).withColumn("wind", (F.hour("ts") * 7 % 11).cast("double")).withColumn("heat", F.col("value") % 13).withColumn("trend", F.dayofyear("ts").cast("double"))
-    return normalise_weather(h, "ts", "value", ["wind", "heat"], ["trend"], draws=2)
+    return normalise_weather(h, "ts", "value", ["wind", "heat"], ["trend"])

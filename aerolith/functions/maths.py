@@ -82,3 +82,13 @@ def correlation(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     both = a.isNotNull() & b.isNotNull()
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
+def digest(*parts) -> Column:
+    """md5 of columns or values joined by bars: a draw that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
+
+
+def draw(*parts) -> Column:
+    """The digest's first 32 bits, as a share of 1."""
+    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("long") / float(1 << 32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import MAD_FACTOR, correlation, right_closed
+from aerolith.functions.maths import MAD_FACTOR, correlation, digest, right_closed
 
 
 def exceedance_rates(scored: DataFrame, by: list[str], cell: list[str]) -> DataFrame:
@@ -113,8 +113,8 @@ def held_out_design(rows: DataFrame, station_fold: str, quarter: str, station_fo
 
 
 def sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows by the hash of their keys: the same on every run and cluster."""
-    return df.withColumn("__h", F.xxhash64(*keys, F.lit(seed))).orderBy("__h", *keys).limit(n).drop("__h")
+    """n rows by the digest of their keys: the same on every run and cluster."""
+    return df.withColumn("__h", digest(*map(F.col, keys), seed)).orderBy("__h", *keys).limit(n).drop("__h")
 
 
 def spread(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -130,7 +130,7 @@ def event_windows(df: DataFrame, events: DataFrame, ts: str, value: str, days: i
     width = F.make_dt_interval(F.lit(days))
     before = (F.col(ts) >= F.col("start") - width) & (F.col(ts) < F.col("start"))
     after = (F.col(ts) >= F.col("end")) & (F.col(ts) < F.col("end") + width)
-    met = df.select(ts, value).join(F.broadcast(events), before | after)
+    met = df.select(ts, value).join(events, before | after)
     return met.groupBy("name").agg(F.count_if(before).alias("n_before"), F.count_if(after).alias("n_after"), F.round(F.avg(F.when(before, F.col(value))), 6).alias("mean_before"), F.round(F.avg(F.when(after, F.col(value))), 6).alias("mean_after"))
 
 
@@ -144,8 +144,8 @@ def placebos(days: DataFrame, date: str, value: str, start_day: int, length: int
 
 def nearest_cell(points: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     """Each point's grid cell by the nearest latitude and the nearest longitude, each axis on its own; ties to the smaller. Axes are short."""
-    lat = points.select(key, "lat", "lon").crossJoin(F.broadcast(grid.select(F.col("lat").alias("__a")).distinct())).groupBy(key, "lat", "lon").agg(F.min(F.struct(F.abs(F.col("__a") - F.col("lat")), F.col("__a").alias("v"))).alias("__y"))
-    both = lat.crossJoin(F.broadcast(grid.select(F.col("lon").alias("__o")).distinct())).groupBy(key, F.col("__y.v").alias("cell_lat")).agg(F.min(F.struct(F.abs(F.col("__o") - F.col("lon")), F.col("__o").alias("v"))).alias("__x"))
+    lat = points.select(key, "lat", "lon").crossJoin(grid.select(F.col("lat").alias("__a")).distinct()).groupBy(key, "lat", "lon").agg(F.min(F.struct(F.abs(F.col("__a") - F.col("lat")), F.col("__a").alias("v"))).alias("__y"))
+    both = lat.crossJoin(grid.select(F.col("lon").alias("__o")).distinct()).groupBy(key, F.col("__y.v").alias("cell_lat")).agg(F.min(F.struct(F.abs(F.col("__o") - F.col("lon")), F.col("__o").alias("v"))).alias("__x"))
     return both.select(key, "cell_lat", F.col("__x.v").alias("cell_lon"))
 
 

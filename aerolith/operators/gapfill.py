@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import correlation
+from aerolith.functions.maths import correlation, draw
 
 
 def donors(df: DataFrame, edges: DataFrame, entity: str, ts: str, value: str, overlaps: int = 24, least_r: float = 0.7) -> DataFrame:
@@ -54,7 +54,7 @@ def hide(df: DataFrame, entity: str, ts: str, value: str, share: float, run: int
     """Known values hidden in runs of `run` rows, chosen by a hash of entity and run: columns truth and hidden; the value is null there."""
     place = F.row_number().over(Window.partitionBy(entity).orderBy(ts)) - 1
     block = F.floor(place / run)
-    chosen = (F.pmod(F.xxhash64(F.col(entity).cast("string"), block, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) & F.col(value).isNotNull()
+    chosen = (draw(F.col(entity), block, seed) < share) & F.col(value).isNotNull()
     marked = df.withColumn("hidden", chosen).withColumn("truth", F.when(F.col("hidden"), F.col(value)))
     return marked.withColumn(value, F.when(~F.col("hidden"), F.col(value)))
 

@@ -52,7 +52,7 @@ def present_in_all(df: DataFrame, entity: str, what: str) -> DataFrame:
 def missing_members(df: DataFrame, entity: str, what: str) -> DataFrame:
     """Per entity that lacks some value of `what` (few values): those it lacks, sorted."""
     every = df.select(what).distinct()
-    lacking = df.select(entity).distinct().crossJoin(F.broadcast(every)).join(df.select(entity, what).distinct(), [entity, what], "left_anti")
+    lacking = df.select(entity).distinct().crossJoin(every).join(df.select(entity, what).distinct(), [entity, what], "left_anti")
     return lacking.groupBy(entity).agg(F.array_sort(F.collect_set(what)).alias("missing"))
 
 

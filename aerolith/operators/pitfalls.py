@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.functions.maths import draw
 from aerolith.operators.stats import ols
 
 
@@ -47,15 +48,15 @@ def optimism(df: DataFrame, y: str, xs: list[str], fold: str) -> DataFrame:
 
 
 def sign_stability(df: DataFrame, y: str, xs: list[str], key: list[str], draws: int = 20, seed: int = 1) -> DataFrame:
-    """How often each coefficient keeps its sign over Poisson bootstraps: all draws' weighted sums come from one pass, weights from hashes of the key."""
+    """How often each coefficient keeps its sign over Poisson bootstraps: all draws' weighted sums come from one pass, weights from digests of the key."""
     rows = df.select(*dict.fromkeys([*key, y, *xs])).dropna()
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
     k = len(x)
     aggs = []
-    # Poisson(1) by inverse distribution function of a hash
+    # Poisson(1) by inverse distribution function of a draw
     steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)])
     for d in range(draws):
-        u = F.pmod(F.xxhash64(*key, F.lit(seed * 1000 + d)), F.lit(1 << 30)) / float(1 << 30)
+        u = draw(*map(F.col, key), seed * 1000 + d)
         w = F.lit(0.0)
         for s in steps:
             w = w + (u > float(s)).cast("double")

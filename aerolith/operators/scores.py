@@ -51,14 +51,14 @@ def summary(df: DataFrame, by: list[str], score: str) -> DataFrame:
 
 def leave_one_out(df: DataFrame, what: str) -> DataFrame:
     """Rows with fold and role: each value of `what` (few) is tested once, by a model of all others."""
-    folds = F.broadcast(df.select(F.col(what).alias("fold")).distinct())
+    folds = df.select(F.col(what).alias("fold")).distinct()
     return df.crossJoin(folds).withColumn("role", F.when(F.col(what) == F.col("fold"), "test").otherwise("train"))
 
 
 def time_folds(df: DataFrame, ts: str, cuts: DataFrame) -> DataFrame:
     """Expanding folds from a small table (fold, test_from, test_to): earlier rows train, [from, to) tests, the rest is absent."""
     role = F.when(F.col(ts) < F.col("test_from"), "train").when(F.col(ts) < F.col("test_to"), "test")
-    return df.crossJoin(F.broadcast(cuts)).withColumn("role", role).where("role is not null").drop("test_from", "test_to")
+    return df.crossJoin(cuts).withColumn("role", role).where("role is not null").drop("test_from", "test_to")
 
 
 def station_folds(stations: DataFrame, key: str, stratum: str, k: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.maths import average_rank, correlation
+from aerolith.functions.maths import average_rank, correlation, digest
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -159,6 +159,32 @@ def block_bootstrap(df: DataFrame, by: list[str], order: str, value: str, block:
     return df.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, mean double, low double, high double")
 
 
+def block_bootstrap_slope(df: DataFrame, by: list[str], order: str, value: str, block: int = 12, draws: int = 500, seed: int = 11) -> DataFrame:
+    """Theil-Sen slope a step of each series (daily to yearly points, a short series by construction) and its 95% interval over resampled blocks of consecutive residuals put back on the line."""
+
+    def slope(y: np.ndarray) -> np.ndarray:
+        i, j = np.triu_indices(y.shape[-1], 1)
+        return np.median((y[..., j] - y[..., i]) / (j - i), axis=-1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(order)[value].dropna().to_numpy(dtype=float)
+        head = tuple(pdf[c].iloc[0] for c in by)
+        columns = [*by, "n", "slope", "low", "high"]
+        if len(y) < 3:
+            return pd.DataFrame([(*head, len(y), None, None, None)], columns=columns)
+        b, rng, k = min(block, len(y)), np.random.default_rng(seed), float(slope(y))
+        line = k * np.arange(len(y))
+        rest = y - line
+        drawn = []
+        for _ in range(draws):
+            starts = rng.integers(0, len(y) - b + 1, -(-len(y) // b))
+            drawn.append(float(slope(line + rest[(starts[:, None] + np.arange(b)).ravel()[: len(y)]])))
+        return pd.DataFrame([(*head, len(y), k, *np.percentile(drawn, [2.5, 97.5]))], columns=columns)
+
+    types = dict(df.dtypes)
+    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, slope double, low double, high double")
+
+
 def permutation_p(df: DataFrame, by: list[str], group: str, value: str, draws: int = 499, seed: int = 5) -> DataFrame:
     """p of the difference of two groups' means under permuted labels, one seeded draw for each series."""
 
@@ -178,7 +204,7 @@ def permutation_p(df: DataFrame, by: list[str], group: str, value: str, draws: i
 
 
 def moran_null(values: DataFrame, edges: DataFrame, key: str, neighbour: str, value: str, draws: int = 99, seed: int = 1) -> DataFrame:
-    """Moran's I, its mean under permuted values and a pseudo p: all draws are groups of one plan; a draw permutes by the order of hashes.
+    """Moran's I, its mean under permuted values and a pseudo p: all draws are groups of one plan; a draw permutes by the order of digests.
 
     values is one month's (or one statistic's) table of stations.
     """
@@ -187,7 +213,7 @@ def moran_null(values: DataFrame, edges: DataFrame, key: str, neighbour: str, va
     w = Window.partitionBy("draw")
     spots = known.select(key, draw.alias("draw")).withColumn("__n", F.row_number().over(w.orderBy(key)))
     shuffled = known.select(F.col(key).alias("__k"), value, draw.alias("draw"))
-    order = F.when(F.col("draw") == 0, F.lit(0)).otherwise(F.xxhash64("__k", "draw", F.lit(seed)))
+    order = F.when(F.col("draw") == 0, F.lit("")).otherwise(digest(F.col("__k"), F.col("draw"), seed))
     shuffled = shuffled.withColumn("__n", F.row_number().over(w.orderBy(order, "__k"))).drop("__k")
     per = morans_i(spots.join(shuffled, ["draw", "__n"]), edges, ["draw"], key, neighbour, value)
     real = F.broadcast(per.where("draw = 0").select(F.col("moran_i").alias("real")))
