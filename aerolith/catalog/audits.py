@@ -231,3 +231,55 @@ def weights_sensitivity(spark, d):
 
     v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
     return stats.weights_sensitivity(v, _edges(spark, d), "s_suppkey", "neighbour", "s_acctbal", [100.0, 250.0])
+
+
+@query("""WITH m AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), y AS (SELECT o_orderpriority, CAST(year(month) AS INTEGER) AS year, count(v) AS months, avg(v) AS mean FROM m GROUP BY 1, 2) SELECT o_orderpriority, year, months, CASE WHEN months >= 11 THEN round(mean, 3) END AS mean FROM y""")
+def years_from_months(spark, d):
+    from aerolith.operators import reports
+
+    months = table(spark, d, "orders").groupBy("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month")).agg(F.avg("o_totalprice").alias("v"))
+    return reports.years_from_months(months, ["o_orderpriority"], "month", "v").withColumn("mean", F.round("mean", 3))
+
+
+@query("""WITH p AS (SELECT DISTINCT CASE trim(' ' || c_mktsegment || '  ') WHEN 'BUILDING' THEN 'HOUSES' ELSE trim(' ' || c_mktsegment || '  ') END AS segment, 'zone-' || (c_custkey % 4 + c_nationkey % 3) || '/member' || c_custkey AS member FROM customer WHERE c_custkey % 3 = 0 OR c_mktsegment <> 'MACHINERY'),
+ q AS (SELECT segment, CASE WHEN segment <> 'AUTOMOBILE' THEN regexp_extract(member, 'zone-([0-4])', 1) END AS zone, member FROM p), z AS (SELECT segment, nullif(zone, '') AS zone, count(*) AS members FROM q WHERE nullif(zone, '') IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, count(*) OVER (PARTITION BY segment) > 1 AS ambiguous, row_number() OVER (PARTITION BY segment ORDER BY members DESC, zone) AS n FROM z)
+ SELECT s.segment, coalesce(r.zone, CASE s.segment WHEN 'AUTOMOBILE' THEN 'north' END) AS zone, coalesce(ambiguous, false) AS ambiguous FROM (SELECT DISTINCT segment FROM p) s LEFT JOIN r ON r.segment = s.segment AND r.n = 1""")
+def station_zones(spark, d):
+    """Market segments as stations, their customers as archive members whose path names a zone."""
+    from aerolith.operators import reports
+
+    c = table(spark, d, "customer").where("c_custkey % 3 = 0 or c_mktsegment <> 'MACHINERY'").withColumn("raw", F.concat(F.lit(" "), "c_mktsegment", F.lit("  ")))
+    segment = reports.normalised_name("raw", {"BUILDING": "HOUSES"})
+    path = F.concat(F.lit("zone-"), (F.col("c_custkey") % 4 + F.col("c_nationkey") % 3).cast("string"), F.lit("/member"), F.col("c_custkey").cast("string"))
+    members = c.select(segment.alias("segment"), F.when(segment == "AUTOMOBILE", F.regexp_replace(path, "zone-", "flat-")).otherwise(path).alias("member"))
+    return reports.zones(members, "segment", "member", "zone-([0-4])", {"AUTOMOBILE": "north", "HOUSES": "never used"})
+
+
+@query(f"""WITH {HOURS}, m AS (SELECT entity, strftime(ts, '%Y-%m') AS month, round(avg(value), 2) AS m FROM hours GROUP BY 1, 2), p AS (SELECT entity, month, row_number() OVER (PARTITION BY entity ORDER BY m DESC, month DESC) AS n FROM m), o AS (SELECT entity, strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b, count(*) AS h, count(value) AS k FROM hours GROUP BY 1)
+ SELECT o.entity, '{{"first_day":"' || a || '","last_day":"' || b || '","hours":' || h || ',"known":' || k || ',"peak_month":"' || month || '"}}' AS card FROM o JOIN p ON p.entity = o.entity AND p.n = 1""")
+def station_cards(spark, d):
+    from aerolith.operators import reports
+
+    return reports.cards(hours(spark, d), "entity", "ts", "value")
+
+
+@query("""WITH k AS (SELECT l_quantity AS x, row_number() OVER (ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_quantity) AS n FROM lineitem), s(size) AS (VALUES (50), (500), (5000), (0)), x AS (SELECT size, x FROM k, s WHERE n <= size OR size = 0), m AS (SELECT size, count(*)::DOUBLE AS n, avg(x) AS m FROM x GROUP BY 1),
+ c AS (SELECT size, any_value(n) AS n, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 4)) AS m4 FROM x JOIN m USING (size) GROUP BY 1), j AS (SELECT size, n, n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM c)
+ SELECT CAST(size AS INTEGER) AS size, CAST(n AS BIGINT) AS n, round(jb, 4) AS jb, round(exp(-jb / 2), 6) AS p FROM j""")
+def normality_fallacy(spark, d):
+    from aerolith.operators import reports
+
+    li = table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"), "l_quantity")
+    return reports.normality_fallacy(li, "k", "l_quantity", [50, 500, 5000, 0])
+
+
+@query("""WITH f(name, train_start, train_end, test_start, test_end) AS (VALUES ('q2', TIMESTAMP '1995-01-01', TIMESTAMP '1995-04-01', TIMESTAMP '1995-04-01', TIMESTAMP '1995-07-01'), ('q3', TIMESTAMP '1995-01-01', TIMESTAMP '1995-07-01', TIMESTAMP '1995-07-01', TIMESTAMP '1995-10-01'), ('q4', TIMESTAMP '1995-01-01', TIMESTAMP '1995-10-01', TIMESTAMP '1995-10-01', TIMESTAMP '1996-01-01'))
+ SELECT name AS fold, CASE WHEN o_orderdate < train_end THEN 'train' ELSE 'test' END AS role, count(*) AS rows FROM orders, f WHERE o_orderdate >= train_start AND o_orderdate < test_end GROUP BY 1, 2""")
+def annual_folds(spark, d):
+    """A year's expanding quarters: each trains on the year so far."""
+    from aerolith.operators.scores import time_folds
+
+    folds = windows.annual_folds(1995)
+    cuts = spark.createDataFrame([(f[0], f[3], f[4]) for f in folds], "fold string, test_from timestamp_ntz, test_to timestamp_ntz")
+    year = table(spark, d, "orders").where("o_orderdate >= '1995-01-01'")
+    return time_folds(year.select("o_orderdate"), "o_orderdate", cuts).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"))

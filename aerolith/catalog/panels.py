@@ -64,11 +64,22 @@ def health_spread(spark, d):
     return panels.assumption_spread(panels.sensitivity_grid(_years(spark, d), "entity", "year", "value", _functions(spark)), "year")
 
 
-@query("""WITH t AS (SELECT quantile_cont(value, 0.9) AS q FROM events), x AS (SELECT CAST(floor(((user_id * 7) % 360) / 30) * 30 AS BIGINT) AS sector, CAST(CASE WHEN user_id % 9 <= 1 THEN 0 WHEN user_id % 9 <= 4 THEN 1 ELSE 2 END AS INTEGER) AS speed_bin, value FROM events)
- SELECT sector, speed_bin, count(*) AS n, count(*) FILTER (value >= q) AS n_high, CASE WHEN count(*) >= 20 THEN round(count(*) FILTER (value >= q) / count(*)::DOUBLE, 6) END AS probability FROM x, t GROUP BY 1, 2""")
+_CBPF = """t AS (SELECT quantile_cont(value, 0.9) AS q FROM events), x AS (SELECT CAST(floor(((user_id * 7) % 360) / 30) * 30 AS BIGINT) AS sector, user_id % 9 AS speed, CAST(CASE WHEN user_id % 9 <= 1 THEN 0 WHEN user_id % 9 <= 4 THEN 1 ELSE 2 END AS INTEGER) AS speed_bin, value FROM events),
+ g AS (SELECT sector, speed_bin, count(*) AS n, count(*) FILTER (value > q) AS n_high, CASE WHEN count(*) >= 60 THEN round(count(*) FILTER (value > q) / count(*)::DOUBLE, 6) END AS probability FROM x, t WHERE speed > 0 GROUP BY 1, 2)"""
+
+
+def _winds(spark, d):
+    return table(spark, d, "events").select("value", (F.col("user_id") * 7 % 360).alias("bearing"), (F.col("user_id") % 9).cast("double").alias("speed"))
+
+
+@query(f"WITH {_CBPF} SELECT * FROM g")
 def cbpf_grid(spark, d):
-    e = table(spark, d, "events").select("value", (F.col("user_id") * 7 % 360).alias("bearing"), (F.col("user_id") % 9).cast("double").alias("speed"))
-    return panels.cbpf(e, "speed", "bearing", "value", 0.9, 30.0, [1, 4], 20)
+    return panels.cbpf(_winds(spark, d), "speed", "bearing", "value", 0.9, 30.0, [1, 4], 60)
+
+
+@query(f"WITH {_CBPF} SELECT (SELECT count(*) FROM x) AS n_hours, (SELECT count(*) FROM x WHERE speed = 0) AS n_calm, count(*) FILTER (probability IS NULL) AS n_suppressed, (SELECT sector FROM g WHERE probability IS NOT NULL ORDER BY probability DESC, sector, speed_bin LIMIT 1) AS peak_sector, (SELECT speed_bin FROM g WHERE probability IS NOT NULL ORDER BY probability DESC, sector, speed_bin LIMIT 1) AS peak_speed FROM g")
+def cbpf_summary(spark, d):
+    return panels.cbpf_summary(_winds(spark, d), panels.cbpf(_winds(spark, d), "speed", "bearing", "value", 0.9, 30.0, [1, 4], 60), "speed", "bearing", "value")
 
 
 @query("""SELECT event_type, round(sqrt(pow(sum(value * cos(radians(user_id % 360))) / sum(value), 2) + pow(sum(value * sin(radians(user_id % 360))) / sum(value), 2)), 6) AS concentration FROM events GROUP BY 1""")

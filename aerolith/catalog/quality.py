@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import query, table
+from aerolith.catalog import ORACLE_SQL, query, table
 from aerolith.catalog.frames import GRID, HOURS, draw_sql, grid, hours
 from aerolith.catalog.joins import _ISLANDS, scored
 from aerolith.functions.flags import parse_cell
@@ -117,9 +117,9 @@ def gap_runs(spark, d):
     return windows.null_runs(grid(spark, d), ["entity"], "ts", "value")
 
 
-@query(f"WITH {_ISLANDS} SELECT entity, ts, round(z, 5) AS z, ex AS excursion, dir AS direction FROM s4")
+@query(f"WITH {_ISLANDS} SELECT entity, ts, round(z, 5) AS z, ex AS excursion, dir AS direction, round(avg(ex::INT) OVER (PARTITION BY entity, hour(ts)), 6) AS elevated_share FROM s4")
 def robust_z(spark, d):
-    return scored(spark, d).select("entity", "ts", F.round("z", 5).alias("z"), "excursion", "direction")
+    return scored(spark, d).select("entity", "ts", F.round("z", 5).alias("z"), "excursion", "direction", F.round("elevated_share", 6).alias("elevated_share"))
 
 
 @query(f"""WITH {_ISLANDS} SELECT entity, min(ts) AS start, max(ts) AS "end", count(*) AS length, min(dir) AS direction, round(arg_max(z, abs(z)), 5) AS peak_z FROM r GROUP BY entity, run""")
@@ -168,6 +168,20 @@ def excursion_verdicts(spark, d):
     return out.select("entity", "start", "direction", "length", "placed", "scoreable", "elevated", "verdict", "reason")
 
 
+@query("WITH v AS (" + ORACLE_SQL["excursion_verdicts"] + ") SELECT entity, verdict, direction, CAST(month(start) AS INTEGER) AS month, count(*) AS runs FROM v GROUP BY 1, 2, 3, 4")
+def verdict_seasonality(spark, d):
+    from aerolith.operators import reports
+
+    return reports.verdict_seasonality(excursion_verdicts(spark, d), ["entity"])
+
+
+@query(f"""WITH {_OBS}, f AS (SELECT o.*, year(o_orderdate) AS year FROM obs o JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT year, count(*) AS cells FROM f WHERE item <> 'N' GROUP BY 1) SELECT CAST(f.year AS INTEGER) AS year, item, flag, count(*) AS n, any_value(cells) AS cells, round(count(*) / any_value(cells)::DOUBLE, 6) AS rate FROM f LEFT JOIN c USING (year) WHERE flag IN ('no_rain', 'instrument_check_invalid') GROUP BY 1, 2, 3""")
+def flag_rates(spark, d):
+    from aerolith.operators import reports
+
+    years = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"))
+    return reports.flag_rates(_obs(spark, d).join(years, "l_orderkey"), ["year"], ["item"], "flag", ["no_rain", "instrument_check_invalid"], F.col("item") != "N")
+
 @query(f"""WITH {GRID}, i AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS n FROM grid), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN n END AS kn FROM i),
  f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(kn IGNORE NULLS) OVER b AS i0, first_value(value IGNORE NULLS) OVER a AS v1, first_value(kn IGNORE NULLS) OVER a AS i1 FROM k WINDOW b AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
  SELECT entity, ts, round(CASE WHEN value IS NULL AND i1 - i0 - 1 <= 2 THEN v0 + (v1 - v0) * (n - i0) / (i1 - i0) ELSE value END, 5) AS value, coalesce(value IS NULL AND i1 - i0 - 1 <= 2, false) AS value_imputed FROM f""")

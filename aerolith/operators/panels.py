@@ -68,17 +68,31 @@ def assumption_spread(grid: DataFrame, year: str) -> DataFrame:
     return medians.groupBy(year).agg(F.round(F.min("m"), 6).alias("low"), F.round(F.median("m"), 6).alias("mid"), F.round(F.max("m"), 6).alias("high"), F.count(F.lit(1)).alias("assumptions"))
 
 
-def cbpf(df: DataFrame, speed: str, bearing: str, value: str, quantile: float, sector: float, speeds: list[float], least: int) -> DataFrame:
-    """Conditional probability of a high value by wind sector and speed bin (right-closed); null where under `least` rows."""
+def cbpf(df: DataFrame, speed: str, bearing: str, value: str, quantile: float, sector: float, speeds: list[float], least: int, calm: float = 0.0) -> DataFrame:
+    """Conditional probability of a high value by wind sector and speed bin (right-closed); null where under `least` rows.
+
+    Rows without value, speed or bearing don't count. Calm rows (speed at most `calm`) have no
+    direction: they count for the threshold, a linear quantile of all values, and for no sector.
+    """
     from aerolith.functions.domain import wind_sector
     from aerolith.functions.maths import right_closed
 
-    high = df.agg(F.percentile(value, quantile).alias("threshold"))
-    rows = df.crossJoin(F.broadcast(high)).withColumn("sector", wind_sector(F.col(bearing), sector).cast("long")).withColumn("speed_bin", right_closed(F.col(speed), speeds))
-    out = rows.groupBy("sector", "speed_bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) >= F.col("threshold")).alias("n_high"))
+    known = df.dropna(subset=[speed, bearing, value])
+    high = known.agg(F.percentile(value, quantile).alias("threshold"))
+    moving = known.where(F.col(speed) > calm)
+    rows = moving.crossJoin(F.broadcast(high)).withColumn("sector", wind_sector(F.col(bearing), sector).cast("long")).withColumn("speed_bin", right_closed(F.col(speed), speeds))
+    out = rows.groupBy("sector", "speed_bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) > F.col("threshold")).alias("n_high"))
     return out.withColumn("probability", F.when(F.col("n") >= least, F.round(F.col("n_high") / F.col("n"), 6)))
 
 
+def cbpf_summary(df: DataFrame, grid: DataFrame, speed: str, bearing: str, value: str, calm: float = 0.0) -> DataFrame:
+    """One row beside a grid: rows, calm rows, suppressed cells, and sector and speed bin of the highest probability (ties to the smaller)."""
+    known = df.dropna(subset=[speed, bearing, value]).agg(F.count(F.lit(1)).alias("n_hours"), F.count_if(F.col(speed) <= calm).alias("n_calm"))
+    best = F.min(F.when(F.col("probability").isNotNull(), F.struct(-F.col("probability"), "sector", "speed_bin")))
+    cells = grid.agg(F.count_if(F.col("probability").isNull()).alias("n_suppressed"), best.alias("b"))
+    return known.crossJoin(F.broadcast(cells)).select("n_hours", "n_calm", "n_suppressed", F.col("b.sector").alias("peak_sector"), F.col("b.speed_bin").alias("peak_speed"))
+
+
 def calendar(df: DataFrame, date: str) -> DataFrame:
     """Every date from the first to the last."""
     return df.agg(F.min(date).alias("a"), F.max(date).alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(date))

@@ -97,14 +97,14 @@ def null_runs(df: DataFrame, entity: list[str], ts: str, value: str) -> DataFram
 
 
 def robust_scores(df: DataFrame, cell: list[str], value: str, least: int = 20, threshold: float = 3.0) -> DataFrame:
-    """Median, MAD and robust z of each row's cell; excursion is null where the cell can't score."""
+    """Median, MAD and robust z of each row's cell, and the share of the cell's scored rows that are excursions; excursion is null where the cell can't score."""
     w = Window.partitionBy(*cell)
     rows = df.withColumn("cell_n", F.count(value).over(w)).withColumn("cell_median", F.median(value).over(w)).withColumn("deviation", F.col(value) - F.col("cell_median"))
     rows = rows.withColumn("cell_mad", F.median(F.abs("deviation")).over(w))
     can = (F.col("cell_n") >= least) & (F.col("cell_mad") > 0) & F.col(value).isNotNull()
     z = F.when(can, MAD_FACTOR * F.col("deviation") / F.col("cell_mad"))
     reason = F.when(F.col(value).isNull(), "no_value").when(F.col("cell_n") < least, "small_cell").when(F.col("cell_mad") == 0, "no_spread")
-    return rows.withColumn("z", z).withColumn("excursion", F.abs("z") >= threshold).withColumn("direction", F.when(F.col("excursion"), F.signum("z").cast("int"))).withColumn("unscored", reason)
+    return rows.withColumn("z", z).withColumn("excursion", F.abs("z") >= threshold).withColumn("direction", F.when(F.col("excursion"), F.signum("z").cast("int"))).withColumn("unscored", reason).withColumn("elevated_share", F.avg(F.col("excursion").cast("int")).over(w))
 
 
 def excursion_runs(scored: DataFrame, entity: list[str], ts: str) -> DataFrame:
