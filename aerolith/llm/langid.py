@@ -35,7 +35,7 @@ BUCKETS = 1 << 12
 DIMENSIONS = 24
 GRAMS = 4
 #: Labelled texts that a model is fitted on, about, and at least of each language.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 LANGUAGE_ROWS = 100
 #: Characters of the window that is learned beside each whole text, so that short texts are known.
 SHORT = 200
@@ -45,8 +45,10 @@ STEP = 4
 REJECTED = 0.0005
 #: That threshold, at most.
 CEILING = 0.4
+#: Share of the texts kept aside that may be odd in themselves.
+ODD = 0.005
 #: What a language's own texts may be stranger than those kept aside, as a factor.
-MARGIN = 1.25
+MARGIN = 1.6
 CHUNK = 1 << 17
 UNKNOWN = "und"
 
@@ -171,29 +173,31 @@ def _habits(x: list, y: np.ndarray, rows: np.ndarray, n_languages: int) -> tuple
     return logs, np.bincount(y[rows], weights=got, minlength=n_languages) / n
 
 
-def _strangeness(lack: np.ndarray, size: np.ndarray, foreign: np.ndarray, foreign_size: np.ndarray) -> tuple[float, float]:
+def _strangeness(lack: np.ndarray, size: np.ndarray, foreign: np.ndarray, foreign_size: np.ndarray, spread: float) -> tuple[float, float]:
     """(a, b): texts of `size` grams that lack more than a + b / sqrt(size) are strange.
 
-    a and b cover every text kept aside, and MARGIN beyond; where foreign texts lie further off, a
-    goes up to half the way to the nearest twentieth of the long ones.
+    lack: of whole texts kept aside; a few of them may be odd in themselves (a licence line and
+    little else). a covers all but ODD of the longer ones, MARGIN beyond, and grows up to half the
+    way to nineteen of twenty foreign texts, to its double at most. b is what chance makes of a
+    few grams: three deviations of a gram, `spread`, or six, if texts kept aside ask for it.
     """
     long = size >= np.median(size)
-    a = max(1e-3, float(lack[long].max()) * MARGIN)
-    far = foreign[foreign_size >= np.median(size)]
+    a = max(1e-3, float(np.quantile(lack[long], 1 - ODD)) * MARGIN)
+    far = foreign[foreign_size >= np.median(size)] if len(foreign) else foreign
     if len(far):
         a = max(a, min(2 * a, (a + float(np.quantile(far, 0.05))) / 2))
-    return a, max(0.0, float(((lack - a) * np.sqrt(size)).max()) * MARGIN)
+    return a, min(6 * spread, max(3 * spread, float(((lack - a) * np.sqrt(size)).max()) * MARGIN))
 
 
-def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], shuffled: list[tuple[np.ndarray, np.ndarray]] = (), seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
-    """A calibrated model of the labels of texts, given as (buckets, counts); a fifth of each language is kept aside. shuffled: what must be turned away."""
+def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], shuffled: list[tuple[np.ndarray, np.ndarray]] = (), whole: int | None = None, seed: int = 7, epochs: int = 6, rate: float = 0.5) -> Model:
+    """A calibrated model of the labels of texts, given as (buckets, counts); a fifth of each language is kept aside. shuffled: what must be turned away; whole: so many of the first are whole texts."""
     languages = sorted(set(labels))
     known = [k for k, (used, _) in enumerate(grams) if len(used)]
     if not known:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0, np.zeros((BUCKETS, 0)), np.zeros(0), (0.0, 0.0))
     rng = np.random.default_rng(seed)
-    x = [(grams[k][0], grams[k][1] / grams[k][1].sum()) for k in known]
     size = np.array([grams[k][1].sum() for k in known], dtype=np.float64)
+    x = [(grams[k][0], (grams[k][1] / n).astype(np.float32)) for k, n in zip(known, size)]
     y = np.array([languages.index(labels[k]) for k in known], dtype=np.int64)
     aside = np.zeros(len(x), dtype=bool)
     for k in range(len(languages)):
@@ -211,13 +215,16 @@ def train(grams: list[tuple[np.ndarray, np.ndarray]], labels: list[str], shuffle
     habits, usual = _habits(x, y, rows, len(languages))
     fit = _dot(x, tested, habits)
     lack = usual[y[tested]] - fit[np.arange(len(tested)), y[tested]]
+    spread = float(np.sqrt((np.exp(habits) * (habits - usual) ** 2).sum(axis=0)).mean())
+    entire = np.array(known)[tested] < (len(grams) if whole is None else whole)
+    entire = entire if entire.any() else ~entire
     others = [np.delete(np.arange(len(languages)), k) for k in range(len(languages))]
     foreign = [float((usual[o] - f[o]).min()) for f, k in zip(fit, y[tested]) for o in [others[k]] if len(o)]
     foreign_size = list(size[tested][: len(foreign)])
-    odd = [(used, c / c.sum()) for used, c in shuffled if len(used)]
+    odd = [(used, (c / c.sum()).astype(np.float32)) for used, c in shuffled if len(used)]
     foreign += (usual - _dot(odd, np.arange(len(odd)), habits)).min(axis=1).tolist()
     foreign_size += [float(c.sum()) for used, c in shuffled if len(used)]
-    return Model(languages, table / temperature, b / temperature, threshold, habits, usual, _strangeness(lack, size[tested], np.array(foreign), np.array(foreign_size)))
+    return Model(languages, table / temperature, b / temperature, threshold, habits, usual, _strangeness(lack[entire], size[tested][entire], np.array(foreign), np.array(foreign_size), spread))
 
 
 def _shuffled(text: str, rng) -> str:
@@ -233,7 +240,7 @@ def _sparse(c: np.ndarray) -> bytes:
 
 def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     k = len(data) // 6
-    return np.frombuffer(data, dtype=np.uint16, count=k).astype(np.int64), np.frombuffer(data, dtype=np.uint32, offset=2 * k).astype(np.float64)
+    return np.frombuffer(data, dtype=np.uint16, count=k), np.frombuffer(data, dtype=np.uint32, offset=2 * k)
 
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
@@ -244,7 +251,7 @@ def gram_counts(texts: pd.Series, seeds: pd.Series) -> pd.Series:
         rng = np.random.default_rng(seed & 0xFFFFFFFF)
         a = int(rng.integers(0, max(1, len(t) - SHORT)))
         window = t[a : a + SHORT]
-        out.append([_sparse(c) for c in counts([t, window, _shuffled(t[: 8 * SHORT], rng)])])
+        out.append([_sparse(c) for c in counts([t, window, _shuffled(window, rng)])])
     return pd.Series(out)
 
 
@@ -272,9 +279,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     each = max(LANGUAGE_ROWS, sample_rows // len(sizes))
     share = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, int(min(1.0, each / max(n, 1)) * (1 << 30)))))
     picked = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("l")]).dropDuplicates(["l", "h"])
-    got = sorted(map(tuple, picked.select("l", "h", gram_counts("t", "h").alias("c")).collect()), key=lambda r: (r[0], r[1]))
-    grams = [_opened(bytes(r[2][k])) for k in (0, 1) for r in got]
-    return train(grams, [r[0] for r in got] * 2, [_opened(bytes(r[2][2])) for r in got])
+    got = picked.select("l", "h", gram_counts("t", "h").alias("c")).toArrow().sort_by([("l", "ascending"), ("h", "ascending")]).to_pylist()
+    grams = [_opened(r["c"][k]) for k in (0, 1) for r in got]
+    return train(grams, [r["l"] for r in got] * 2, [_opened(r["c"][2]) for r in got], whole=len(got))
 
 
 def predictor(model: Model):

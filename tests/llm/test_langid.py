@@ -57,7 +57,7 @@ def test_foreign_texts_are_rejected_and_own_ones_stay(spark):
     for out in ("de", "en"):  # a language that the model has not seen, against those it has
         left = langid.fit(docs.where(f"lang <> '{out}'"))
         shares = {r["lang"]: r["share"] for r in docs.where("length(text) > 300").select("lang", langid.predictor(left)("text").rejected.cast("int").alias("r")).groupBy("lang").agg({"r": "mean"}).withColumnRenamed("avg(r)", "share").collect()}
-        assert all(v < 0.01 for lang, v in shares.items() if lang != out), shares
+        assert all(v < 0.03 for lang, v in shares.items() if lang != out) and shares[out] > 0.5, shares
 
 
 def test_copies_and_rare_languages_in_the_sample(spark):
