@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+from itertools import chain, islice, repeat
 from typing import NamedTuple
 from xml.etree import ElementTree
 
@@ -22,8 +23,7 @@ from aerolith.functions.flags import parse_cell
 ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5", "gb18030")
 DATES = ("yyyy/M/d", "M/d/yyyy", "yyyy-M-d")
 LABELS = {"date": ("日期", "監測日期", "date"), "station": ("測站", "測站名稱", "station"), "item": ("測項", "測項簡稱", "item")}
-#: Copies of a repeated spreadsheet cell, at most; beyond it the rest of a row is blank.
-REPEATS = 64
+_ODS = {name: "{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}" % name for name in ("table", "office", "text")}
 _PRECEDENCE = {"csv": 0, "ods": 1}
 
 
@@ -52,27 +52,30 @@ def csv_rows(data: bytes) -> list[list[str]]:
     return [r for r in csv.reader(io.StringIO(decode(data))) if any(c.strip() for c in r)]
 
 
+def _ods_groups(row) -> list[tuple[str, int]]:
+    """(text, how many columns) of a spreadsheet row's cells up to the last that isn't blank; cells under a merged one are blank."""
+    groups = []
+    for cell in row:
+        kind = cell.tag.rpartition("}")[2]
+        if kind in ("table-cell", "covered-table-cell"):
+            given = cell.get(f"{_ODS['office']}value")
+            said = given if given is not None else "".join("".join(p.itertext()) for p in cell.iterfind(f"{_ODS['text']}p"))
+            groups.append((said if kind == "table-cell" else "", int(cell.get(f"{_ODS['table']}number-columns-repeated", 1))))
+    last = max((k for k, (said, _) in enumerate(groups) if said.strip()), default=-1)
+    return groups[: last + 1]
+
+
 def ods_rows(data: bytes) -> list[list[str]]:
-    """Rows of a spreadsheet's first table; repeated cells are written out up to REPEATS times."""
-    table, office, text = ("{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}" % x for x in ("table", "office", "text"))
-    rows, row, seen = [], [], False
-    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("content.xml") as file:
-        for event, node in ElementTree.iterparse(file, events=("start", "end")):
-            if event == "start":
-                continue
-            if node.tag == f"{table}table-cell":
-                value = node.get(f"{office}value") or "".join("".join(p.itertext()) for p in node.findall(f"{text}p"))
-                row += [value] * min(REPEATS, int(node.get(f"{table}number-columns-repeated", 1)))
-            elif node.tag == f"{table}table-row":
-                while row and not row[-1]:
-                    row.pop()
-                if row:
-                    rows.append(row)
-                row = []
-                node.clear()
-            elif node.tag == f"{table}table" and not seen:
-                seen = True
-                break
+    """Rows of a spreadsheet's first table, blank ones left out; the first row's width bounds all others, so cells repeated to the sheet's edge cost nothing."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        sheet = ElementTree.fromstring(z.read("content.xml")).find(f".//{_ODS['table']}table")
+    rows: list[list[str]] = []
+    for element in [] if sheet is None else sheet.iter(f"{_ODS['table']}table-row"):
+        groups = _ods_groups(element)
+        if groups:
+            cells = chain.from_iterable(repeat(said, n) for said, n in groups)
+            row = list(islice(cells, len(rows[0]))) if rows else list(cells)
+            rows += [row] * int(element.get(f"{_ODS['table']}number-rows-repeated", 1))
     return rows
 
 

@@ -48,12 +48,13 @@ def write_observations(df: DataFrame, root: str, flags: list[str]) -> None:
 
 
 def scan_observations(spark: SparkSession, root: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """The store, between two dates if given: the years are pruned by partition, the rest filtered by ts."""
+    """The store, between two dates if given (until is left out): months are pruned by partition, the rest filtered by ts."""
     df = spark.read.parquet(root)
+    month = F.col("year") * 12 + F.col("month")
     if since:
-        df = df.where((F.col("year") >= int(since[:4])) & (F.col("ts") >= F.lit(since).cast("timestamp_ntz")))
+        df = df.where((month >= int(since[:4]) * 12 + int(since[5:7] or 1)) & (F.col("ts") >= F.lit(since).cast("timestamp_ntz")))
     if until:
-        df = df.where((F.col("year") <= int(until[:4])) & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+        df = df.where((month <= int(until[:4]) * 12 + int(until[5:7] or 12)) & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
     return df
 
 
@@ -103,8 +104,9 @@ def write_tables(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def sql(spark: SparkSession, text: str, limit: int = 500) -> tuple[list, int, bool]:
-    """Up to `limit` rows of a query, its true number of rows, and whether rows were left out."""
+    """Up to `limit` rows of a query, its true number of rows, and whether rows were left out; counted in a second run only where they were."""
     df = spark.sql(text)
-    rows = df.limit(limit).collect()
-    total = len(rows) if len(rows) < limit else df.count()
+    rows = df.limit(limit + 1).collect()
+    total = df.count() if len(rows) > limit else len(rows)
+    rows = rows[:limit]
     return rows, total, total > len(rows)

@@ -131,10 +131,31 @@ def test_stream_of_files(spark, tmp_path):
 def test_excursions_and_backtest(spark):
     t0 = dt.datetime(2015, 1, 1)
     rows = [(s, t0 + dt.timedelta(hours=k), 20.0 + (k % 3) * 2 + (60 if 100 <= k < 103 and s != "c" else 0)) for s in "abc" for k in range(400)]
-    df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, value double").withColumn("cell", F.lit(1))
+    df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, value double").withColumn("cell", F.lit(1)).withColumn("usable", F.lit(True)).withColumn("rejected", F.lit(False))
     edges = spark.createDataFrame([(a, b) for a in "abc" for b in "abc" if a != b], "station string, neighbour string")
-    got = {r["station"]: r for r in jobs.excursions(df, edges, ["station"], "station", ["station", "cell"], shifts=(-2, 2)).collect()}
+    got = {r["station"]: r for r in jobs.excursions(df, edges, df.select("station"), ["station"], "station", ["station", "cell"], shifts=(-2, 2), stations=2).collect()}
+    assert {r["verdict"] for r in got.values()} == {"regional_episode"} and got["a"]["reason"] == "synchronous_rise"
     assert set(got) == {"a", "b"} and got["a"]["elevated"] == 1 and got["a"]["placed"] == 2 and got["a"]["elevated_shifted"] == 0.0
     cuts = spark.sql("SELECT 0 AS fold, timestamp_ntz'2015-01-08' AS test_from, timestamp_ntz'2015-01-12' AS test_to")
     m = {(r["h"], r["model"]): r for r in jobs.backtest(df, ["station"], [1, 3], cuts, 100.0).collect()}
     assert m[3, "persistence"]["rmse"] == 0.0 and m[1, "persistence"]["rmse"] > 1 and m[1, "climatology"]["n"] == m[1, "persistence"]["n"]
+
+
+def test_spreadsheet_rows_by_the_header_s_width():
+    import io
+    import zipfile
+
+    ns = "".join(f' xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{k}:1.0"' for k in ("table", "office", "text"))
+    cell = lambda t, n=1: f'<table:table-cell table:number-columns-repeated="{n}"><text:p>{t}</text:p></table:table-cell>'
+    blank = '<table:table-cell table:number-columns-repeated="16000"/>'
+    rows = [
+        "<table:table-row>" + cell("a") + cell("b", 100) + cell("c") + blank + "</table:table-row>",
+        '<table:table-row table:number-rows-repeated="1000000">' + blank + "</table:table-row>",
+        '<table:table-row table:number-rows-repeated="2">' + '<table:table-cell office:value="1.5"><text:p>1,5</text:p></table:table-cell>' + '<table:covered-table-cell/>' + cell("y", 16000) + "</table:table-row>",
+    ]
+    body = f"<office:document{ns}><table:table>{''.join(rows)}</table:table><table:table><table:table-row>{cell('other')}</table:table-row></table:table></office:document>"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("content.xml", body)
+    got = archives.ods_rows(held.getvalue())
+    assert got[0] == ["a", *["b"] * 100, "c"] and got[1:] == [["1.5", "", *["y"] * 100]] * 2
