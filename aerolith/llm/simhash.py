@@ -34,9 +34,9 @@ RADIUS = 3
 SEED = 42
 WORDS = 3
 #: Fingerprints in a group.
-GROUP = 4096
+GROUP = 2048
 #: Variants for a reducer, about.
-REDUCER_VARIANTS = 4_000_000
+REDUCER_VARIANTS = 1_500_000
 _PACKED = "r int, g int, payload binary"
 #: What a variant flips: nothing, each bit, each pair of bits in one half.
 _FLIPS = np.array([0, *(1 << i for i in range(64)), *((1 << half + i) | (1 << half + j) for half in (0, 32) for j in range(32) for i in range(j))], dtype=U64)

@@ -322,14 +322,18 @@ def mine(texts: list[str], toxic: list[int]) -> list[Term]:
     texts is a try; the odds of one at least must stay under CHANCE (a Chernoff bound for each).
     """
     with_, without, n = Counter(), Counter(), [0, 0]
-    for t, y in dict.fromkeys(zip(texts, toxic)):  # copies of a text count once
+    tries = 0
+    # toxic texts first: of clean ones only words and stems count that toxic ones hold often enough
+    for t, y in sorted(dict.fromkeys(zip(texts, map(bool, toxic))), key=lambda r: not r[1]):  # copies of a text count once
+        if not y and not n[0]:
+            tries, with_ = len(with_), Counter({x: c for x, c in with_.items() if c > 2})
         seen = set(_WORD.findall(t.lower()))
         seen |= {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}
-        (with_ if y else without).update(seen)
-        n[bool(y)] += 1
+        (with_ if y else without).update(seen if y else seen & with_.keys())
+        n[y] += 1
     if not all(n):
         return []
-    share, tries = n[1] / sum(n), len(with_)
+    share = n[1] / sum(n)
 
     def odds(x):
         return np.log((with_[x] + 0.5) / (n[1] + 1)) - np.log((without[x] + 0.5) / (n[0] + 1))
@@ -339,7 +343,7 @@ def mine(texts: list[str], toxic: list[int]) -> list[Term]:
         p = c / (c + d)
         return c * np.log(p / share) + (d * np.log((1 - p) / (1 - share)) if d else 0.0)
 
-    good = {x: c * odds(x) for x, c in with_.items() if c > 2 and odds(x) > np.log(TIMES) and surprise(x) > np.log(tries / CHANCE)}
+    good = {x: c * odds(x) for x, c in with_.items() if odds(x) > np.log(TIMES) and surprise(x) > np.log(tries / CHANCE)}
     # a stem stands for many words, else its one word is the better term
     best: dict[str, float] = {}
     for x, v in good.items():
