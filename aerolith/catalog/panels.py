@@ -103,11 +103,11 @@ _CLIMATE = f"""{HOURS}, tr AS (SELECT * FROM hours WHERE ts < TIMESTAMP '2024-01
  q AS (SELECT te.entity, te.ts, te.value, coalesce(c.v, (SELECT avg(value) FROM tr)) AS predicted FROM te LEFT JOIN c ON c.entity = te.entity AND c.m = month(te.ts) AND c.h = hour(te.ts))"""
 
 
-@query(f"WITH {_CLIMATE} SELECT entity, ts, value, round(predicted, 3) AS predicted FROM q")
+@query(f"WITH {_CLIMATE} SELECT entity, ts, value, round(predicted + 1e-7, 3) AS predicted FROM q")
 def climatology(spark, d):
     h = hours(spark, d)
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
-    return scores.climatology(h.where(F.col("ts") < cut), h.where(F.col("ts") >= cut), ["entity"], "ts", "value").select("entity", "ts", "value", F.round("predicted", 3).alias("predicted"))
+    return scores.climatology(h.where(F.col("ts") < cut), h.where(F.col("ts") >= cut), ["entity"], "ts", "value").select("entity", "ts", "value", F.round(F.col("predicted") + 1e-7, 3).alias("predicted"))
 
 
 @query(f"""WITH {_CLIMATE}, b AS (SELECT entity, ts, value, lag(value) OVER (PARTITION BY entity ORDER BY ts) AS predicted FROM hours), m AS (SELECT entity, 'climatology' AS model, round(sqrt(avg((predicted - value) * (predicted - value))), 6) AS rmse FROM q GROUP BY 1 UNION ALL SELECT entity, 'persistence', round(sqrt(avg((predicted - value) * (predicted - value))), 6) FROM b WHERE ts >= TIMESTAMP '2024-01-20' AND predicted IS NOT NULL GROUP BY 1)
