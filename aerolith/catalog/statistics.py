@@ -199,7 +199,7 @@ def forest_forecast(spark, d):
  f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(kn IGNORE NULLS) OVER b AS i0, first_value(value IGNORE NULLS) OVER a AS v1, first_value(kn IGNORE NULLS) OVER a AS i1 FROM k WINDOW b AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
  x AS (SELECT entity, ts, value, n, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 WHEN i1 = i0 THEN v0 ELSE v0 + (v1 - v0) * (n - i0) / (i1 - i0) END AS x FROM f),
  l AS (SELECT entity AS g, 1.0::DOUBLE AS w, ts, value, n, x AS y, lag(x, 1) OVER o AS x1, lag(x, 24) OVER o AS x2, lag(x, 25) OVER o AS x3, count(*) OVER (PARTITION BY entity) AS c FROM x WINDOW o AS (PARTITION BY entity ORDER BY ts)),
- rows_ AS (SELECT *, n - 26 AS pos, CAST(floor(0.7 * (c - 25)) AS BIGINT) AS cut FROM l WHERE n > 25 AND c >= 75), base AS (SELECT * FROM rows_ WHERE pos < cut), {fit_sql('base', 3)}
+ rows_ AS (SELECT *, n - 26 AS pos, CAST(floor(0.7::DOUBLE * (c - 25)) AS BIGINT) AS cut FROM l WHERE n > 25 AND c >= 75), base AS (SELECT * FROM rows_ WHERE pos < cut), {fit_sql('base', 3)}
  SELECT g AS entity, ts, value AS y_true, round(k0 + k1 * x1 + k2 * x2 + k3 * x3, 3) AS predicted, round(x1 + 1e-7, 3) AS persistence FROM rows_ r JOIN (SELECT g, k0, k1, k2, k3 FROM fit) USING (g) WHERE pos >= cut AND value IS NOT NULL""")
 def seasonal_forecast(spark, d):
     from aerolith.operators.models import seasonal_autoregression

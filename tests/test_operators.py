@@ -196,8 +196,8 @@ def test_paf_and_sectors(spark):
 
 
 def test_cbpf_finds_the_injected_direction(spark):
-    rows = [(float(k % 360), 3.0, 100.0 if 80 <= k % 360 < 100 else 10.0) for k in range(3600)]
-    out = panels.cbpf(spark.createDataFrame(rows, "b double, s double, v double"), "s", "b", "v", 0.95, 30.0, [2, 4], 20).orderBy(F.desc_nulls_last("probability")).first()
+    rows = [(float(k % 360), 3.0, 100.0 if 80 <= k % 360 < 100 else 10.0) for k in range(3600)] + [(85.0, 0.2, 100.0)] * 50  # calm hours count for no sector
+    out = panels.cbpf(spark.createDataFrame(rows, "b double, s double, v double"), "s", "b", "v", 0.9, 30.0, [2, 4], 20, calm=0.5).orderBy(F.desc_nulls_last("probability")).first()
     assert out["sector"] in (60, 90) and out["probability"] > 0.3
 
 
