@@ -50,6 +50,16 @@ def range_check(spark, d):
     return qc.ranges(_obs(spark, d), "item", "value", "flag", {"A": (5, 45), "N": (0, 40)})
 
 
+@query(f"""WITH {_OBS}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, item ORDER BY value, flag) AS nth FROM obs), c AS (SELECT l_orderkey, l_linenumber, item, CASE WHEN value > 5 THEN value END AS value, flag FROM o WHERE nth = 1),
+ s AS (SELECT l_orderkey, l_linenumber, item, CASE WHEN flag = 'valid' AND item = 'R' AND value = 50 THEN NULL ELSE value END AS value, CASE WHEN flag = 'valid' AND item = 'R' AND value = 50 THEN 'overflow' ELSE flag END AS flag FROM c), z AS (SELECT l_orderkey, l_linenumber, item, CASE WHEN item = 'N' AND flag = 'no_rain' AND value IS NULL THEN 0.0 ELSE value END AS value, flag FROM s)
+ SELECT l_orderkey, l_linenumber, item, value, CASE WHEN flag = 'valid' AND item = 'A' AND (value < 8 OR value > 45) THEN 'out_of_range' ELSE flag END AS flag FROM z""")
+def quality_pass(spark, d):
+    """All quality rules in their order over every row: duplicates collapsed, sentinels, no-rain zeros, ranges."""
+    rows = qc.collapse_duplicates(_obs(spark, d), ["l_orderkey", "l_linenumber", "item"], [F.col("value"), F.col("flag")]).withColumn("value", F.when(F.col("value") > 5, F.col("value")))
+    rows = qc.no_rain_is_zero(qc.sentinels(rows, "item", "value", "flag", {"R": {50: "overflow"}}), "item", "value", "flag", ["N"])
+    return qc.ranges(rows, "item", "value", "flag", {"A": (8, 45)})
+
+
 @query("""WITH w AS (SELECT user_id, date_trunc('hour', ts) AS h, max(value) FILTER (event_type = 'click') AS a, max(value) FILTER (event_type = 'view') AS b, max(value) FILTER (event_type = 'purchase') AS c FROM events GROUP BY 1, 2)
  SELECT user_id, 'a_below_b' AS rule, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS checked, count(*) FILTER (a > b) AS violations, round(count(*) FILTER (a > b) / nullif(count(*) FILTER (a IS NOT NULL AND b IS NOT NULL), 0)::DOUBLE, 6) AS rate FROM w GROUP BY 1
  UNION ALL SELECT user_id, 'near', count(*) FILTER (a IS NOT NULL AND c IS NOT NULL), count(*) FILTER (abs(a - c) > 0.1 * abs(c) + 1), round(count(*) FILTER (abs(a - c) > 0.1 * abs(c) + 1) / nullif(count(*) FILTER (a IS NOT NULL AND c IS NOT NULL), 0)::DOUBLE, 6) FROM w GROUP BY 1""")
