@@ -308,6 +308,7 @@ def digests(name: str):
 
 
 def op3_byte_bpe(spark, sf_dir: str, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Digests of every row of `documents` encoded and decoded; null and empty texts have no tokens, repeated rows equal digests, very long texts go in pieces cut at token boundaries."""
     text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", digests(name)("text").alias("d")).select("doc_id", "d.*")

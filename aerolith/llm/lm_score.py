@@ -509,5 +509,6 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_ctw_score(spark, sf_dir: str) -> DataFrame:
+    """Scores of every row of `documents` by a model of nine tenths of them; null and empty texts are their end alone, repeated rows score alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, crc_rest("doc_id", 10) != 0)

@@ -51,3 +51,10 @@ def test_rows(spark):
     assert len(rows) == 4 and rows[0] == rows[1] and rows[2][1:] == rows[3][1:] and rows[3][1] == 0
     both = frame.select(bpe.decoded(NAME)(bpe.encoded(NAME)("text")).alias("d")).collect()
     assert bytes(both[0][0][0]) == b"It's here"
+
+
+def test_nothing_and_clashing_columns(spark):
+    odd = spark.createDataFrame([(1, "a long " * 50_000, "x", 7)], "doc_id long, text string, ids string, n_tokens int")
+    row = odd.select("doc_id", "ids", bpe.digests(NAME)("text").alias("d")).first()
+    assert row["d"]["n_tokens"] == len(bpe.encode(["a long " * 50_000], NAME)[0]) and row["ids"] == "x"
+    assert odd.limit(0).select(bpe.digests(NAME)("text").alias("d")).select("d.*").collect() == []
