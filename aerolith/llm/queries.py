@@ -9,11 +9,13 @@ from aerolith.llm.licenses import op6_license_scan
 from aerolith.llm.lm_score import op9_ctw_score
 from aerolith.llm.media import op4_media_columns
 from aerolith.llm.packing import op7_packing
+from aerolith.llm.prefix_trie import ORACLE_SQL as TRIE_SQL
+from aerolith.llm.prefix_trie import op12_prefix_trie
 from aerolith.llm.sharding import ORACLE_SQL as SHARDS_SQL
 from aerolith.llm.sharding import op13_sharding
 from aerolith.llm.simhash import op10_simhash
 from aerolith.llm.suffix_dedup import op1_suffix_dedup
 from aerolith.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op4_media_columns, op5_language_id, op6_license_scan, op7_packing, op8_anisotropic_ann, op9_ctw_score, op10_simhash, op13_sharding)}
-ORACLE_SQL: dict[str, str] = {"op13_sharding": SHARDS_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_byte_bpe, op4_media_columns, op5_language_id, op6_license_scan, op7_packing, op8_anisotropic_ann, op9_ctw_score, op10_simhash, op12_prefix_trie, op13_sharding)}
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL, "op13_sharding": SHARDS_SQL}
