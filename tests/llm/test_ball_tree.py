@@ -52,7 +52,7 @@ VOCABULARY = ["alpha", "Beta", "gamma9", "été", "ÉTÉ", "x_y", "42"] + [f"w{k
 
 @pytest.mark.parametrize("block_terms", [1 << 20, 150])
 def test_best_documents(spark, monkeypatch, block_terms):
-    monkeypatch.setattr(ball_tree, "LEAF", 8)
+    monkeypatch.setattr(ball_tree, "LEAF", 4)
     docs, items = some(3, 900, VOCABULARY)
     got = ball_tree.search(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), block_terms=block_terms).collect()
     assert sorted((tuple(r) for r in got), key=str) == slow(docs, items)
@@ -75,14 +75,14 @@ def test_long_texts_are_cut_between_terms(monkeypatch):
 
 def test_bounds_hold_and_subtrees_are_left_out():
     rng = np.random.default_rng(1)
-    # documents of forty subjects, with words of their own
-    lengths = rng.integers(5, 15, 2000)
-    subject = np.repeat(rng.integers(0, 40, 2000), lengths)
-    terms = np.concatenate([np.sort(rng.choice(50, k, replace=False)) for k in lengths]) + 50 * subject
-    g, weights = rng.integers(1, 10**6, len(terms)), rng.integers(1, 9000, 2000)
+    # near copies of forty documents, each with words of its own
+    lengths = np.full(2000, 12)
+    subject = rng.integers(0, 40, 2000)
+    terms = (subject[:, None] * 50 + np.arange(12)).ravel()
+    g, weights = 500_000 + rng.integers(0, 9000, len(terms)), rng.integers(1, 9000, 2000)
     scale = np.sqrt(weights.astype(float))
     tree = ball_tree.Tree(lengths, terms, g, scale)
-    query = np.sort(rng.choice(50, 12, replace=False)) + 50 * 7
+    query = np.arange(12) + 50 * 7
     exact = np.bincount(np.repeat(np.arange(2000), lengths), np.where(np.isin(terms, query), g * weights[terms], 0)).astype(np.int64)
     best, seen = ball_tree.Best(), 0
     for docs, scores in tree.search(query, weights[query], scale, best.floor):
@@ -93,8 +93,7 @@ def test_bounds_hold_and_subtrees_are_left_out():
     assert seen < len(tree.leaves) / 2
     # every node's bound covers every document below it
     local = np.searchsorted(tree.terms, query)
-    q = weights[query] / scale[query]
-    bound = (tree.centres[:, local] @ q + tree.radii * math.sqrt(q @ q)) * (1 + 1e-9) + 1
+    bound = tree.bounds(local, weights[query] / scale[query])
 
     def below(node):
         return tree.leaves[node][0] if tree.children[node] is None else np.concatenate([below(c) for c in tree.children[node]])
