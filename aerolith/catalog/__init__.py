@@ -23,6 +23,6 @@ def table(spark, sf_dir: str, name: str):
 
 
 def load() -> tuple[dict, dict]:
-    from aerolith.catalog import aggregates, audits, joins, panels, quality, sensors, spatial, statistics, streams  # noqa: F401
+    from aerolith.catalog import aggregates, audits, designs, joins, panels, quality, sensors, spatial, statistics, streams  # noqa: F401
 
     return QUERIES, ORACLE_SQL
