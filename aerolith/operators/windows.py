@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.maths import MAD_FACTOR
+from aerolith.operators.qc import cascade
+
 
 def hourly_grid(df: DataFrame, entity: list[str], ts: str) -> DataFrame:
     """Every hour from each entity's first to its last, absent ones with nulls; ts must be unique per entity."""
@@ -55,38 +57,52 @@ def follows_by_an_hour(entity: list[str], ts: str) -> Column:
     return F.col(ts) - previous(ts, entity, ts) == F.expr("interval 1 hour")
 
 
+def plateaus(df: DataFrame, entity: list[str], ts: str, value: str, **shares: Column) -> DataFrame:
+    """Maximal runs of one known value at exact hourly steps: entity, value, start, end, length, and the share of their rows that meet each condition in shares."""
+    known = df.where(F.col(value).isNotNull()).withColumns({f"__{n}": c.cast("int") for n, c in shares.items()})
+    goes_on = (F.col(value) == previous(value, entity, ts)) & follows_by_an_hour(entity, ts)
+    runs = islands(known, entity, ts, ~goes_on).groupBy(*entity, value, "run")
+    return runs.agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("length"), *(F.avg(f"__{n}").alias(n) for n in shares)).drop("run")
+
+
+def approached_from(df: DataFrame, entity: list[str], ts: str, value: str) -> DataFrame:
+    """entity, start, entered_from: the known value before each row, as a table to look runs' starts up in."""
+    known = df.where(F.col(value).isNotNull())
+    return known.select(*entity, F.col(ts).alias("start"), previous(value, entity, ts).alias("entered_from"))
+
+
+def commonness(df: DataFrame, entity: list[str], value: str) -> DataFrame:
+    """entity, value, value_share: how much of what an entity ever measured is this value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*entity, value).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.select(*entity, value, (F.col("__n") / F.sum("__n").over(Window.partitionBy(*entity))).alias("value_share"))
+
+
 def stuck_runs(df: DataFrame, entity: list[str], ts: str, value: str, least: int = 2, rejected: Column | None = None, blind: Column | None = None) -> DataFrame:
-    """Maximal runs of one value at exact hourly steps, with the value before, and the value's share of the entity's rows.
+    """Plateaus of `least` rows or more, and what tells a frozen sensor from one at its bound.
 
-    at_zero, negative and entered_from_below tell a frozen sensor from one that reached a bound.
-    With `rejected` (a condition on a row), rejected_share is the share of the run's rows that
-    were rejected; null where every row is `blind`, of a format that drops rejected readings:
-    there it could not have been seen.
+    That is: the value before (entered_from, entered_from_below), how common the value is
+    (value_share), and its sign (at_zero, negative). rejected_share is the share of rows that meet
+    `rejected`; it is unknown, not 0, for a run whose rows are all `blind` (a format that leaves
+    rejected readings out can't show any).
     """
-    known = df.where(F.col(value).isNotNull())
-    same = (F.col(value) == previous(value, entity, ts)) & follows_by_an_hour(entity, ts)
-    marks = {"__rejected": rejected if rejected is not None else F.lit(None).cast("boolean"), "__blind": blind if blind is not None else F.lit(False)}
-    rows = known.withColumn("entered_from", previous(value, entity, ts)).withColumns({k: c for k, c in marks.items()})
-    shares = known.groupBy(*entity, value).agg(F.count(F.lit(1)).alias("__n"))
-    shares = shares.withColumn("share", F.col("__n") / F.sum("__n").over(Window.partitionBy(*entity))).drop("__n")
-    runs = islands(rows, entity, ts, ~same)
-    out = (
-        runs.groupBy(*entity, "run")
-        .agg(
-            F.min(ts).alias("start"),
-            F.max(ts).alias("end"),
-            F.count(F.lit(1)).alias("length"),
-            F.first(value).alias(value),
-            F.min_by("entered_from", ts).alias("entered_from"),
-            F.avg(F.col("__rejected").cast("int")).alias("rejected_share"),
-            F.bool_and(F.coalesce("__blind", F.lit(False))).alias("__blind"),
-        )
-        .where(F.col("length") >= least)
-        .drop("run")
+    never = F.lit(None).cast("boolean")
+    runs = plateaus(df, entity, ts, value, __rejected=rejected if rejected is not None else never, __blind=F.coalesce(blind, F.lit(False)) if blind is not None else F.lit(False))
+    runs = runs.where(F.col("length") >= least).join(approached_from(df, entity, ts, value), [*entity, "start"], "left")
+    runs = runs.join(commonness(df, entity, value), [*entity, value], "left")
+    v = F.col(value)
+    return runs.select(
+        *entity,
+        value,
+        "start",
+        "end",
+        "length",
+        "entered_from",
+        "value_share",
+        F.when(F.col("__blind") < 1, F.col("__rejected")).alias("rejected_share"),
+        (F.col("entered_from") < v).alias("entered_from_below"),
+        (v < 0).alias("negative"),
+        (v == 0).alias("at_zero"),
     )
-    out = out.join(shares.withColumnRenamed("share", "value_share"), [*entity, value], "left")
-    out = out.withColumn("rejected_share", F.when(~F.col("__blind"), F.col("rejected_share"))).drop("__blind")
-    return out.withColumns({"at_zero": F.col(value) == 0, "negative": F.col(value) < 0, "entered_from_below": F.col("entered_from") < F.col(value)})
 
 
 def null_runs(df: DataFrame, entity: list[str], ts: str, value: str) -> DataFrame:
@@ -116,41 +132,42 @@ def excursion_runs(scored: DataFrame, entity: list[str], ts: str) -> DataFrame:
     return out.select(*entity, "start", "end", "length", "direction", F.col("p.z").alias("peak_z"), F.col(f"p.{ts}").alias("peak_at"))
 
 
-#: Why a run may end; only below_threshold says that the excursion did.
+# Why a run may begin or end where it does; the first that holds is told, and only the last says that the excursion was over.
 BOUNDARIES = ("outside_requested_span", "series_edge", "absent", "agency_rejected", "value_null", "unscored", "direction_reversal", "below_threshold")
 
 
 def boundaries(runs: DataFrame, scored: DataFrame, entity: list[str], ts: str, present: DataFrame | None = None, requested: tuple | None = None) -> DataFrame:
-    """Why each run begins and ends where it does, from the hour just outside; one of BOUNDARIES, the first that holds.
-
-    present: every row of the series with boolean columns usable and rejected, also those that
-    were never scored (by default the scored rows, all usable); the series' span is theirs.
-    requested: first and last hour asked for; what lies beyond is the request's end, not the
-    record's. A run is censored unless both sides are below_threshold: its length is then a lower
-    bound. The hour beyond a run in the same direction would have joined it, so an excursion
-    there is one the other way: a direction_reversal.
+    """runs with left_reason, right_reason (of BOUNDARIES) and censored: whether either is another than the last, so that the length is a lower bound.
+
+    A run has two sides, the hours just outside it; all sides are rows of one table, which meets
+    the record of hours once. present: every row of the series with boolean usable and rejected,
+    scored or not (by default the scored rows, all usable). requested: first and last hour asked
+    for; beyond them the question ends, not the record. An hour in the run's own direction would
+    have joined it, so an excursion just outside goes the other way.
     """
     if present is None:
         present = scored.select(*entity, ts, F.lit(True).alias("usable"), F.lit(False).alias("rejected"))
-    seen = scored.where("z is not null").select(*entity, F.col(ts).alias("__h"), F.col("excursion").alias("__x"), F.col("direction").alias("__d"))
-    hours = present.select(*entity, F.col(ts).alias("__h"), F.col("usable").alias("__usable"), F.coalesce("rejected", F.lit(False)).alias("__rejected")).join(seen, [*entity, "__h"], "left")
-    edges = present.groupBy(*entity).agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
-    out = runs.join(edges, entity, "left")
-    for side, at in (("left", F.col("start") - F.expr("interval 1 hour")), ("right", F.col("end") + F.expr("interval 1 hour"))):
-        out = out.withColumn("__h", at).join(hours, [*entity, "__h"], "left")
-        missed = F.lit(False) if requested is None else (F.col("__h") < F.lit(requested[0])) | (F.col("__h") > F.lit(requested[1]))
-        why = (
-            F.when(missed, BOUNDARIES[0])
-            .when(~F.col("__h").between(F.col("__first"), F.col("__last")), BOUNDARIES[1])
-            .when(F.col("__usable").isNull(), BOUNDARIES[2])
-            .when(~F.col("__usable") & F.col("__rejected"), BOUNDARIES[3])
-            .when(~F.col("__usable"), BOUNDARIES[4])
-            .when(F.col("__x").isNull(), BOUNDARIES[5])
-            .when(F.col("__x") & (F.col("__d") != F.col("direction")), BOUNDARIES[6])
-            .otherwise(BOUNDARIES[7])
-        )
-        out = out.withColumn(f"{side}_reason", why).drop("__h", "__usable", "__rejected", "__x", "__d")
-    return out.drop("__first", "__last").withColumn("censored", (F.col("left_reason") != BOUNDARIES[7]) | (F.col("right_reason") != BOUNDARIES[7]))
+    told = scored.where("z IS NOT NULL").select(*entity, ts, F.struct("excursion", "direction").alias("__score"))
+    record = present.select(*entity, ts, "usable", "rejected").join(told, [*entity, ts], "left")
+    record = record.select(*entity, F.col(ts).alias("__hour"), F.struct("usable", "rejected", "__score").alias("__there"))
+    reach = present.groupBy(*entity).agg(F.struct(F.min(ts).alias("first"), F.max(ts).alias("last")).alias("__reach"))
+    hour = F.expr("interval 1 hour")
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), (F.col("start") - hour).alias("at")), F.struct(F.lit("right").alias("side"), (F.col("end") + hour).alias("at"))))
+    rows = runs.select(*entity, F.struct(*runs.columns).alias("__run"), sides.alias("__s")).withColumn("__hour", F.col("__s.at"))
+    rows = rows.join(reach, entity, "left").join(record, [*entity, "__hour"], "left")
+    at, there = F.col("__hour"), F.col("__there")
+    holds = (
+        F.lit(False) if requested is None else (at < F.lit(requested[0])) | (at > F.lit(requested[1])),
+        (at < F.col("__reach.first")) | (at > F.col("__reach.last")),
+        there.isNull(),
+        ~there["usable"] & there["rejected"],
+        ~there["usable"],
+        there["__score"].isNull(),
+        there["__score"]["excursion"] & (there["__score"]["direction"] != F.col("__run.direction")),
+    )
+    why = rows.select("__run", F.col("__s.side").alias("side"), cascade(list(zip(holds, BOUNDARIES)), BOUNDARIES[-1]).alias("why"))
+    both = why.groupBy("__run").agg(*(F.max(F.when(F.col("side") == s, F.col("why"))).alias(f"{s}_reason") for s in ("left", "right")), F.bool_or(F.col("why") != BOUNDARIES[-1]).alias("censored"))
+    return both.select("__run.*", "left_reason", "right_reason", "censored")
 
 
 def interpolate(df: DataFrame, entity: list[str], ts: str, value: str, longest: int) -> DataFrame:

@@ -35,26 +35,39 @@ def aggregates(observations: DataFrame, circular_items: list[str], least_hours:
     return days, aggregate.monthly(days, ["station", "item"], least_days)
 
 
+# What can be said of a run of excursions, and why, by the rule that decides; rules are asked in this order.
+VERDICTS = {
+    "unplaced": ("uncheckable", "no_coordinates"),
+    "high_without_support": ("uncheckable", "too_few_scoreable_neighbours"),
+    "low_without_support": ("uncheckable", "no_scoreable_neighbour"),
+    "shared": ("regional_episode", "synchronous_rise"),
+    "cut": ("uncheckable", "duration_censored"),
+    "brief": ("uncorroborated_short_rise", "short_and_alone"),
+    "lasting": ("uncorroborated_sustained_rise", "sustained_and_alone"),
+}
+
+
 def verdict(placed: Column, scoreable: Column, elevated: Column, direction: Column, length: Column, censored: Column, stations: int = 4, longest: int = 2, least: int = 1) -> Column:
-    """struct(verdict, reason) of a run of excursions, in an order that matters.
+    """struct(verdict, reason) of a run, by the first rule of VERDICTS that holds.
 
-    First whether anything can be said: coordinates, and enough neighbours that could have joined
-    (a high run needs stations - 1 of them, as fewer could never make an episode; a low run, which
-    is never one, needs one). Then the episode, before the length, as its mark is extent; high runs
-    only. Then censoring, after the episode, which holds however the run was cut, and before the
-    length, which censoring leaves unknown. Then short or sustained.
+    An episode takes `stations` at once, the run's own among them, so a high run is only open to
+    judgement if one less could have joined; a low run is never an episode and asks for one neighbour. An
+    episode stands whatever the run's length, and so comes before the rules on length, which a
+    censored run is not open to.
     """
-    high = direction > 0
-    rules = [
-        (~placed, "uncheckable", "no_coordinates"),
-        (high & (scoreable < stations - 1), "uncheckable", "too_few_scoreable_neighbours"),
-        (~high & (scoreable == 0), "uncheckable", "no_scoreable_neighbour"),
-        (high & (elevated + 1 >= stations), "regional_episode", "synchronous_rise"),
-        (censored, "uncheckable", "duration_censored"),
-        ((length <= longest) & (elevated < least), "uncorroborated_short_rise", "short_and_alone"),
-    ]
-    verdicts = qc.cascade([(c, v) for c, v, _ in rules], "uncorroborated_sustained_rise")
-    return F.struct(verdicts.alias("verdict"), qc.cascade([(c, r) for c, _, r in rules], "sustained_and_alone").alias("reason"))
+    up = direction > 0
+    holds = {
+        "shared": up & (elevated + 1 >= stations),
+        "unplaced": ~placed,
+        "cut": censored,
+        "brief": (length <= longest) & (elevated < least),
+        "low_without_support": ~up & (scoreable == 0),
+        "high_without_support": up & (scoreable + 1 < stations),
+    }
+    *asked, last = VERDICTS
+    rule = qc.cascade([(holds[name], name) for name in asked], last)
+    told = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).alias("verdict"), F.lit(x[1]).alias("reason")) for pair in VERDICTS.items() for x in pair))
+    return F.element_at(told, rule)
 
 
 def judged(runs: DataFrame, points: DataFrame, station: str, stations: int = 4, longest: int = 2, least: int = 1) -> DataFrame:

@@ -82,46 +82,56 @@ def fold_coverage(paired: DataFrame, device: str, station: str) -> DataFrame:
     return good.withColumn("f", kinds).groupBy("f.kind", "f.fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(device).alias("devices"), F.count_distinct(station).alias("stations"))
 
 
-def device_days(readings: DataFrame, device: str, ts: str, variables: list[str], limits: dict[str, tuple[float, float]], bounds: tuple[float, float, float, float]) -> DataFrame:
-    """Ledger of device-days: for each variable v source rows, null values, groups of repeated timestamps, extremes, observed hours; hours with all variables; the day's position and its state.
+def device_days(readings: DataFrame, device: str, ts: str, variables: list[str], limits: dict[str, tuple[float, float]], bounds: tuple[float, float, float, float], filed: str | None = None) -> DataFrame:
+    """Ledger of device-days: for each variable v source rows, null timestamps, null values, groups of repeated timestamps, extremes, observed hours; hours with all variables; the day's position and its state.
 
-    bounds: least and greatest lat, least and greatest lon of the area. Hours are counted in a
-    first step by device, hour and variable, so a device's day is never held whole.
+    bounds: least and greatest lat, least and greatest lon of the area. filed: column with the day
+    that a reading was filed under, which a reading without a timestamp needs to belong to a day;
+    else the day is the timestamp's. The readings are grouped once, by device, hour, variable and
+    timestamp; all counts come from those groups, so a device's day is never held whole.
     """
-    first = readings.groupBy(device, F.to_date(ts).alias("date"), F.hour(ts).alias("hour"), "variable", ts).agg(
+    day = F.to_date(ts) if filed is None else F.coalesce(F.col(filed), F.to_date(ts))
+    first = readings.groupBy(device, day.alias("date"), F.hour(ts).alias("hour"), "variable", F.col(ts).alias("__ts")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("value").isNull()).alias("nulls"),
         F.count_if(_any([(F.col("variable") == v) & ((F.col("value") < limits[v][0]) | (F.col("value") > limits[v][1])) for v in variables])).alias("extreme"),
         F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("no_place"),
         *(f(F.col(c)).alias(f"{c}_{n}") for c in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))),
     )
+    timed = F.col("__ts").isNotNull()
     aggs = []
     for v in variables:
         mine = F.col("variable") == v
-        total = lambda c: F.coalesce(F.sum(F.when(mine, F.col(c))), F.lit(0))  # noqa: E731, B023
+        total = lambda c, where=mine: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
         aggs += [
             total("rows").alias(f"{v}_source_rows"),
+            total("rows", mine & ~timed).alias(f"{v}_null_timestamp_rows"),
             total("nulls").alias(f"{v}_null_value_rows"),
-            F.count_if(mine & (F.col("rows") > 1)).alias(f"{v}_duplicate_timestamp_groups"),
+            F.count_if(mine & timed & (F.col("rows") > 1)).alias(f"{v}_duplicate_timestamp_groups"),
             total("extreme").alias(f"{v}_extreme_rows"),
             F.count_distinct(F.when(mine, F.col("hour"))).alias(f"{v}_observed_hours"),
         ]
-    hours = readings.groupBy(device, F.to_date(ts).alias("date"), F.hour(ts).alias("hour")).agg(F.count_distinct("variable").alias("n"))
-    trio = hours.groupBy(device, "date").agg(F.count_if(F.col("n") == len(variables)).alias("trio_observed_hours"))
-    days = first.groupBy(device, "date").agg(*aggs, F.sum("no_place").alias("null_places"), *(getattr(F, n)(f"{c}_{n}").alias(f"{c}_{n}") for c in ("lat", "lon") for n in ("min", "max")))
+    places = [getattr(F, n)(f"{c}_{n}").alias(f"{c}_{n}") for c in ("lat", "lon") for n in ("min", "max")]
+    # a bit for each variable that an hour has, gathered over the day's 24 hours
+    bit = F.lit(0)
+    for k, v in enumerate(variables):
+        bit = F.when(F.col("variable") == v, 1 << k).otherwise(bit)
+    have = [F.bit_or(F.when(F.col("hour") == h, bit)) for h in range(24)]
+    trio = sum((F.when(x == (1 << len(variables)) - 1, 1).otherwise(0) for x in have), F.lit(0)).cast("long")
+    days = first.groupBy(device, "date").agg(*aggs, F.sum("no_place").alias("null_places"), *places, trio.alias("trio_observed_hours"))
     outside = ~F.col("lat_min").between(*bounds[:2]) | ~F.col("lon_min").between(*bounds[2:])
     state = cascade([(F.col("null_places") > 0, "invalid_or_null_coordinate"), ((F.col("lat_min") != F.col("lat_max")) | (F.col("lon_min") != F.col("lon_max")), "moving_coordinate"), (outside, "outside_area")], "eligible")
-    return days.join(trio, [device, "date"], "left").withColumn("spatial_state", state)
+    return days.withColumn("spatial_state", state)
 
 
 def agreement_reason(variables: list[str], least_rows: int, least_hours: int, least_ground: int) -> Column:
-    """Why a device-day can't be compared with its reference's day: absent; for each variable null values, repeated timestamps, extremes, few rows, few hours; the reference absent or with few eligible hours."""
+    """Why a device-day can't be compared with its reference's day: absent; for each variable null timestamps, null values, repeated timestamps, extremes, few rows, few hours; the reference absent or with few eligible hours."""
     rows = F.lit(0)
     for v in variables:
         rows = rows + F.col(f"{v}_source_rows")
     rules = [(rows == 0, "device_day_absent")]
     for v in variables:
-        rules += [(F.col(f"{v}_{m}") > 0, f"{v}_{s}") for m, s in (("null_value_rows", "null_value"), ("duplicate_timestamp_groups", "duplicate_timestamp"), ("extreme_rows", "extreme_value"))]
+        rules += [(F.col(f"{v}_{m}") > 0, f"{v}_{s}") for m, s in (("null_timestamp_rows", "null_timestamp"), ("null_value_rows", "null_value"), ("duplicate_timestamp_groups", "duplicate_timestamp"), ("extreme_rows", "extreme_value"))]
         rules += [(F.col(f"{v}_source_rows") < least_rows, f"{v}_insufficient_source_rows"), (F.col(f"{v}_observed_hours") < least_hours, f"{v}_insufficient_observed_hours")]
     rules += [(F.col("ground_present_hours") == 0, "ground_absent"), (F.col("ground_eligible_hours") < least_ground, "ground_present_but_ineligible")]
     return cascade(rules, "eligible")
