@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
-from aerolith.catalog.frames import draw_sql, fit_sql
+from aerolith.catalog.frames import GRID, draw_sql, fit_sql, grid
 from aerolith.operators import causal, folds
 
 _FOLDS = """f AS (SELECT 'station' AS design, CAST(s AS INTEGER) AS held_station_fold, CAST(NULL AS INTEGER) AS held_quarter FROM range(5) t(s) UNION ALL SELECT 'quarter', NULL, CAST(q AS INTEGER) FROM range(1, 5) t(q) UNION ALL SELECT 'joint', CAST(s AS INTEGER), CAST(q AS INTEGER) FROM range(5) t(s), range(1, 5) u(q))"""
@@ -75,3 +75,32 @@ def trend_breaks(spark, d):
     m = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("station"), F.trunc("o_orderdate", "MM").alias("m")).agg(F.avg("o_totalprice").alias("v"))
     out = causal.trend_breaks(m, "station", "m", "v", _events(spark))
     return out.withColumns({c: F.round(c, 3) for c in ("slope_before", "slope_after", "delta", "placebo_mean", "placebo_sd")} | {"z": F.round("z", 4)})
+
+
+_GAPPY = f"""{GRID}, s AS (SELECT entity, ts, CASE WHEN hour(ts) >= (day(ts) * 7 + length(entity)) % 9 THEN value END AS value FROM grid), i AS (SELECT *, row_number() OVER w AS i, count(value) OVER (w ROWS UNBOUNDED PRECEDING) AS c, lag(value IS NULL) OVER w AS was FROM s WINDOW w AS (PARTITION BY entity ORDER BY ts)),
+ n AS (SELECT *, sum(CASE WHEN was IS DISTINCT FROM (value IS NULL) THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i), g AS (SELECT entity, min(ts) AS start, count(*) AS length FROM n WHERE value IS NULL GROUP BY entity, run),
+ z AS (SELECT entity, count(*) AS rows, count(value) AS known FROM s GROUP BY 1), q AS (SELECT g.*, rows, 0.3::DOUBLE * known / sum(length) OVER (PARTITION BY g.entity) AS f FROM g JOIN z USING (entity)),
+ k AS (SELECT * EXCLUDE (f), unnest(range(1, 1 + CAST(floor(f) AS BIGINT) + CASE WHEN {draw_sql('entity', "strftime(start, '%Y-%m-%d %H:%M:%S')", "'copies'", '1')} < f - floor(f) THEN 1 ELSE 0 END)) AS copy FROM q),
+ a AS (SELECT *, 1 + CAST(floor({draw_sql('entity', "strftime(start, '%Y-%m-%d %H:%M:%S')", 'copy', 'attempt', '1')} * (rows - length + 1)) AS BIGINT) AS first FROM k, range(1, 9) t(attempt)),
+ v AS (SELECT a.entity, a.start, copy, a.length, first, first + a.length - 1 AS last, row_number() OVER (PARTITION BY a.entity, a.start, copy ORDER BY attempt) AS turn FROM a JOIN i e ON e.entity = a.entity AND e.i = first + a.length - 1 LEFT JOIN i b ON b.entity = a.entity AND b.i = first - 1 WHERE e.c - coalesce(b.c, 0) = a.length),
+ p0 AS (SELECT entity, start, copy, length, first, last FROM v LIMIT 0)"""
+
+
+def _round_sql(k: int) -> str:
+    return f"""p{k} AS (SELECT entity, start, copy, length, first, last FROM (SELECT *, coalesce(max(last) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < first AND coalesce(min(CASE WHEN fresh = 0 THEN first END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 4611686018427387904) > last AS clear
+  FROM (SELECT *, 0 AS fresh FROM p{k - 1} UNION ALL SELECT v.* EXCLUDE (turn), 1 FROM v ANTI JOIN p{k - 1} USING (entity, start, copy) WHERE turn = {k}) WINDOW o AS (PARTITION BY entity ORDER BY first, fresh, start, copy)) WHERE fresh = 0 OR clear)"""
+
+
+@query(f"""WITH {_GAPPY}, {', '.join(map(_round_sql, (1, 2, 3)))}, h AS (SELECT entity, length, unnest(range(first, last + 1)) AS i FROM p3), m AS (SELECT i.entity, i.ts, i.i, CASE WHEN h.i IS NULL THEN i.value END AS value, CASE WHEN h.i IS NOT NULL THEN i.value END AS truth, length FROM i LEFT JOIN h ON h.entity = i.entity AND h.i = i.i),
+ x AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(value IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1 FROM m WINDOW b AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ y AS (SELECT *, CASE WHEN value IS NULL AND i1 - i0 - 1 <= 6 THEN v0 + (v1 - v0) * (i - i0) / (i1 - i0) ELSE value END AS filled FROM x WHERE truth IS NOT NULL)
+ SELECT entity, CAST(CASE WHEN length <= 1 THEN 0 WHEN length <= 3 THEN 1 WHEN length <= 6 THEN 2 ELSE 3 END AS INTEGER) AS bucket, count(*) AS hidden, round(avg(CASE WHEN filled IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recovered, round(avg(abs(filled - truth)), 4) AS mae, round(sqrt(avg((filled - truth) ** 2)), 4) AS rmse FROM y GROUP BY 1, 2""")
+def gap_bucket_errors(spark, d):
+    """Linear filling of up to six hours, scored on runs hidden like the series' own gaps, by their length."""
+    from aerolith.functions.maths import right_closed
+    from aerolith.operators import gapfill, windows
+
+    s = grid(spark, d).withColumn("value", F.when(F.hour("ts") >= (F.day("ts") * 7 + F.length("entity")) % 9, F.col("value")))
+    masked = gapfill.hide_like_gaps(s, "entity", "ts", "value", 0.3)
+    filled = windows.interpolate(masked, ["entity"], "ts", "value", 6).withColumn("bucket", right_closed(F.col("gap_length"), [1, 3, 6]).cast("int"))
+    return gapfill.fill_errors(filled, "truth", "value", ["entity", "bucket"]).withColumns({c: F.round(c, 4) for c in ("mae", "rmse")})

@@ -1,10 +1,10 @@
 """Ridge regressions over fold cells against separate fits; counterfactuals and trend breaks on series with known steps."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 
-from aerolith.operators import causal, folds
+from aerolith.operators import causal, folds, gapfill
 
 
 def separate(rows, alpha, features):
@@ -113,3 +113,63 @@ def test_trend_breaks_and_their_placebos(spark):
     deltas = [np.polyfit(t[t >= c], v[t >= c], 1)[0] - np.polyfit(t[t < c], v[t < c], 1)[0] for c in np.arange(1, t[-1] - 1, 0.25) if abs(c - t[120]) >= 3]
     r = got["law", "bent"]
     assert r["placebo_n"] == len(deltas) and abs(r["placebo_mean"] - np.mean(deltas)) < 1e-5 and abs(r["placebo_sd"] - np.std(deltas, ddof=1)) < 1e-5
+
+
+def gappy(spark, n=1200):
+    rng = np.random.default_rng(1)
+    rows, start = [], datetime(2020, 1, 1)
+    for e, top in (("a", 9), ("b", 3)):
+        k = 0
+        while k < n:
+            for known, run in ((True, int(rng.integers(25, 60))), (False, int(rng.integers(1, top)))):
+                rows += [(e, start + timedelta(hours=k + j), float(k + j) if known else None, 0) for j in range(run)]
+                k += run
+    rows += [("whole", start + timedelta(hours=j), 1.0, 0) for j in range(50)]
+    return spark.createDataFrame(rows, "entity string, ts timestamp_ntz, value double, first int"), rows
+
+
+def test_hidden_runs_are_as_long_as_gaps(spark):
+    df, rows = gappy(spark)
+    missing = {e: sum(r[2] is None for r in rows if r[0] == e) for e in "ab"}
+    known = {e: sum(r[2] is not None for r in rows if r[0] == e) for e in "ab"}
+    share = missing["a"] / known["a"]  # one run for each gap of a
+    got = gapfill.hide_like_gaps(df, "entity", "ts", "value", share, attempts=40, rounds=12).orderBy("entity", "ts").collect()
+    assert len(got) == len(rows) and not any(r["hidden"] for r in got if r["entity"] == "whole")
+    runs, gaps = [], []
+    for e in "ab":
+        mine = [r for r in got if r["entity"] == e]
+        real = [r[2] for r in sorted(x for x in rows if x[0] == e)]
+        for r, v in zip(mine, real):
+            assert r["hidden"] == (r["truth"] is not None) == (r["gap_length"] is not None) and (v is None or (r["truth"] if r["hidden"] else r["value"]) == v)
+        for seen, want in ((runs, [r["gap_length"] if r["hidden"] else None for r in mine]), (gaps, [None if v is not None else 1 for v in real])):
+            k = 0
+            while k < len(want):
+                n = 1
+                if want[k] is not None:
+                    n = want[k] if seen is runs else next((j for j in range(len(want) - k) if want[k + j] is None), len(want) - k)
+                    assert all(x is not None for x in want[k : k + n])
+                    seen.append((e, n))
+                k += n
+    a = lambda x: sorted(n for e, n in x if e == "a")
+    assert a(runs) == a(gaps)  # all were placed, each as long as its gap
+    b = [n for e, n in runs if e == "b"]
+    assert b and max(b) <= 2 and abs(np.mean([n == 1 for n in b]) - np.mean([n == 1 for e, n in gaps if e == "b"])) < 0.2
+    assert gapfill.hide_like_gaps(df.where("entity = 'whole'"), "entity", "ts", "value", 0.5).where("hidden").count() == 0
+
+
+def test_draws_of_chained_regressions(spark):
+    rng = np.random.default_rng(6)
+    rows, truth = [], {}
+    for k in range(600):
+        x = float(rng.normal())
+        y, z = 2 * x + float(rng.normal(0, 0.5)), float(rng.normal())
+        truth[k] = y
+        rows.append((k, x, None if k % 4 == 0 else y, None if k % 7 == 0 else z, "s"))
+    df = spark.createDataFrame(rows, "k long, x double, y double, z double, sigma string")
+    draws = gapfill.chained_draws(df, ["k"], ["x", "y", "z"], draws=8)
+    got = {r["k"]: r for r in gapfill.posterior_summary(draws, ["k"], ["x", "y", "z"]).collect()}
+    assert len(got) == 600 and draws.count() == 4800
+    lost = [k for k in got if k % 4 == 0]
+    assert all(got[k]["y_sd"] == 0 and abs(got[k]["y"] - truth[k]) < 1e-9 for k in got if k % 4)
+    assert abs(np.mean([got[k]["y_sd"] for k in lost]) - 0.5) < 0.1  # as uncertain as the residuals
+    assert np.sqrt(np.mean([(got[k]["y"] - truth[k]) ** 2 for k in lost])) < 0.65
