@@ -104,3 +104,16 @@ def gap_bucket_errors(spark, d):
     masked = gapfill.hide_like_gaps(s, "entity", "ts", "value", 0.3)
     filled = windows.interpolate(masked, ["entity"], "ts", "value", 6).withColumn("bucket", right_closed(F.col("gap_length"), [1, 3, 6]).cast("int"))
     return gapfill.fill_errors(filled, "truth", "value", ["entity", "bucket"]).withColumns({c: F.round(c, 4) for c in ("mae", "rmse")})
+
+
+@query()
+def sarima_scores(spark, d):
+    """Seasonal ARMA of each event type's hours, fitted to three weeks, against persistence at four horizons of the rest."""
+    from datetime import datetime
+
+    from aerolith.operators import sarima
+
+    g, cut_at = grid(spark, d), datetime(2024, 1, 22)
+    fits = sarima.choose_orders(g.where(F.col("ts") < F.lit(cut_at)), "entity", "ts", "value")
+    out = sarima.forecast_scores(sarima.rolling_forecasts(g, fits, "entity", "ts", "value", cut_at, [1, 6, 24, 48], stride=3), ["entity", "horizon"])
+    return out.withColumns({c: F.round(c, 3) for c in ("rmse", "persistence_rmse", "skill")})
