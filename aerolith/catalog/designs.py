@@ -117,3 +117,32 @@ def sarima_scores(spark, d):
     fits = sarima.choose_orders(g.where(F.col("ts") < F.lit(cut_at)), "entity", "ts", "value")
     out = sarima.forecast_scores(sarima.rolling_forecasts(g, fits, "entity", "ts", "value", cut_at, [1, 6, 24, 48], stride=3), ["entity", "horizon"])
     return out.withColumns({c: F.round(c, 3) for c in ("rmse", "persistence_rmse", "skill")})
+
+
+@query()
+def driver_shares(spark, d):
+    """Mean shares of features in boosted forecasts of the next hour, for two feature sets."""
+    from aerolith.catalog.statistics import _features
+    from aerolith.operators import drivers
+
+    rows = _features(spark, d).withColumn("fold", F.lit(1))
+    sets = {"lags": ["lag_1", "lag_2", "lag_24"], "all": ["lag_1", "lag_2", "lag_24", "mean_3", "hour_sin", "hour_cos"]}
+    return drivers.feature_sets(rows, sets, "target", "fold", "role", 150.0)[1].withColumns({c: F.round(c, 4) for c in ("mean_abs_share", "share_of_all")})
+
+
+@query("""SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS INTEGER) AS row, s_name AS name, 'https://files.example/' || s_suppkey AS link, CASE WHEN n_nationkey % 3 > 0 THEN round(s_acctbal, 2)::VARCHAR END AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 > 0""")
+def catalogue_tables(spark, d):
+    """Catalogue pages, one for each nation, read by header labels: columns stand elsewhere on every other page, and some lack one; rows without a link are left out."""
+    from aerolith.sources import html
+
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    link = F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("<a class=x href='https://files.example/"), F.col("s_suppkey").cast("string"), F.lit("'>get</a>"))).otherwise("")
+    name, kind, value = cell(F.col("s_name")), cell(F.lit("all &amp; any")), cell(F.round("s_acctbal", 2).cast("string"))
+    odd, short = F.col("n_nationkey") % 2 == 1, F.col("n_nationkey") % 3 == 0
+    line = F.concat(F.lit("<tr>"), F.when(odd, F.concat(kind, cell(link), name)).otherwise(F.concat(name, cell(link))), F.when(short, "").otherwise(value), F.lit("</tr>"))
+    rows = s.groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct((F.col("s_suppkey") % 5 == 0).alias("last"), "s_suppkey", line.alias("line")))).alias("l"))
+    head = F.concat(F.lit("<html><table><tr>"), F.when(odd, "<th>Kind</th><th>Download</th><th>Name</th>").otherwise("<th>Name</th><th>Download</th>"), F.when(short, "").otherwise("<th>Balance</th>"), F.lit("</tr>"))
+    pages = rows.select("n_nationkey", F.concat(head, F.array_join("l.line", ""), F.lit("</table>")).alias("html"))
+    cells = html.table_cells(pages, "n_nationkey", "html")
+    return html.by_label(cells, "n_nationkey", {"name": "Name", "balance": "Balance"}, {"link": "Download"}, ["link"]).drop("table")
