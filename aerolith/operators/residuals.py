@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions.maths import digest
+from aerolith.session import cut
 
 
 def normal(*parts) -> Column:
@@ -69,14 +70,16 @@ def residual_moran(df: DataFrame, by: list[str], key: str, y: str, xs: list[str]
             yield p[[*by, "n"]].assign(a=[m.ravel() for m in inverse], beta=[m @ np.array(b, dtype=float) for m, b in zip(inverse, p["b"])])
 
     fits = grams.mapInPandas(invert, f"{head}n long, a array<double>, beta array<double>")
-    rows = _on(rows, fits, by).withColumn("__e", F.col("__y") - dot("beta", x))
+    # written once each: all that follows starts from the residuals and the weighted edges, else the plan holds them dozens of times
+    fits = cut(fits)
+    rows = cut(_on(rows, fits, by).select(*by, "__key", *x, (F.col("__y") - dot("beta", x)).alias("__e")))
     # edges of present points, weighing 1 / degree
     other = lambda names: rows.select(*by, F.col(key).alias("__nb"), *(F.col(c).alias(f"{c}n") for c in names))
     links = rows.select(*by, key).join(edges, key).join(other([]), [*by, "__nb"])
-    links = links.join(links.groupBy(*by, key).agg((1.0 / F.count(F.lit(1))).alias("w")), [*by, key])
+    links = cut(links.join(links.groupBy(*by, key).agg((1.0 / F.count(F.lit(1))).alias("w")), [*by, key]))
     met = links.join(rows.select(*by, key, "__e", *x), [*by, key]).join(other(["__e", *x]), [*by, "__nb"])
     back = links.select(*by, F.col(key).alias("__nb"), F.col("__nb").alias(key), F.col("w").alias("wb"))
-    met = met.join(back, [*by, key, "__nb"], "left")
+    met = cut(met.join(back, [*by, key, "__nb"], "left"))
     w = F.col("w")
     over_edges = met.groupBy(*by).agg(
         F.sum("w").alias("s0"), F.sum(w * w).alias("wwt"), F.sum(w * F.coalesce("wb", F.lit(0.0))).alias("ww"), F.sum(w * F.col("__e") * F.col("__en")).alias("num"), F.array(*(F.sum(w * F.col(x[i]) * F.col(f"{x[j]}n")) for i, j in cells)).alias("xwx")
@@ -95,13 +98,13 @@ def residual_moran(df: DataFrame, by: list[str], key: str, y: str, xs: list[str]
             yield p[[*by, "n", "s0", "num", "den"]].assign(expected=[t[0] for t in told], variance=[t[1] for t in told])
 
     real = sums.mapInPandas(judge, f"{head}n long, s0 double, num double, den double, expected double, variance double")
-    real = real.withColumn("i", F.when(F.col("den") > 1e-12, F.col("n") / F.col("s0") * F.col("num") / F.col("den")))
+    real = cut(real).withColumn("i", F.when(F.col("den") > 1e-12, F.col("n") / F.col("s0") * F.col("num") / F.col("den")))
     # simulated residuals: e - X A X'e, all draws as groups of one plan
     noise = rows.select(*by, key, *x, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     noise = noise.withColumn("__e", normal(*(F.col(c) for c in by), F.col(key), F.col("draw"), seed))
     xe = noise.groupBy(*by, "draw").agg(*(F.sum(F.col(c) * F.col("__e")).alias(f"e{i}") for i, c in enumerate(x)))
     part = _on(xe, fits.select(*by, "a"), by).select(*by, "draw", *(dot("a", [f"e{j}" for j in range(k)], i * k).alias(f"c{i}") for i in range(k)))
-    drawn = noise.join(part, [*by, "draw"]).select(*by, key, "draw", (F.col("__e") - sum((F.col(f"c{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0))).alias("r"))
+    drawn = cut(noise.join(part, [*by, "draw"]).select(*by, key, "draw", (F.col("__e") - sum((F.col(f"c{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0))).alias("r")))
     squares = drawn.groupBy(*by, "draw").agg(F.sum(F.col("r") * F.col("r")).alias("den"))
     pairs = links.join(drawn, [*by, key]).join(drawn.select(*by, F.col(key).alias("__nb"), "draw", F.col("r").alias("rn")), [*by, "__nb", "draw"])
     null = pairs.groupBy(*by, "draw").agg(F.sum(w * F.col("r") * F.col("rn")).alias("num")).join(squares, [*by, "draw"]).where("den > 1e-12")
