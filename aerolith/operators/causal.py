@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.maths import draw
+from aerolith.session import cut
 
 
 def _windows(events: DataFrame, years: tuple[int, int]) -> DataFrame:
@@ -52,7 +53,8 @@ def counterfactual(daily: DataFrame, station: str, date: str, y: str, xs: list[s
     names = ["n", *(f"g{i}_{j}" for i, j in cells), *(f"b{i}" for i in range(k))]
     windows = _windows(events, (overall[0], overall[1]))
     around = windows.withColumn("date", F.explode(F.sequence(F.date_sub("start", buffer_days), F.date_add("end", buffer_days))))
-    near = rows.join(around, "date").withColumn("inside", F.col("date").between(F.col("start"), F.col("end")))
+    # written once: sums, predictions and residuals all start from here
+    near = cut(rows.join(around, "date").withColumn("inside", F.col("date").between(F.col("start"), F.col("end"))))
     left_out = near.groupBy("event", "shift", "station").agg(*sums)
     total = rows.groupBy("station").agg(*sums)
     train = left_out.alias("a").join(total.alias("b"), "station").select("event", "shift", "station", *((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in names))
@@ -68,7 +70,7 @@ def counterfactual(daily: DataFrame, station: str, date: str, y: str, xs: list[s
 
     fits = train.mapInPandas(solve, f"event string, shift int, station {kind}, n long, beta array<double>")
     line = sum((F.col("beta")[i] * F.col("x")[i] for i in range(k)), F.lit(level))
-    days = near.where("inside").join(fits.withColumnRenamed("n", "train_days"), ["event", "shift", "station"]).select("event", "shift", "station", "date", "train_days", (F.col("y") + level).alias("seen"), line.alias("said"))
+    days = cut(near.where("inside").join(fits.withColumnRenamed("n", "train_days"), ["event", "shift", "station"]).select("event", "shift", "station", "date", "train_days", (F.col("y") + level).alias("seen"), line.alias("said")))
     found = days.groupBy("event", "shift", "station").agg(F.count(F.lit(1)).alias("n_days"), F.max("train_days").alias("train_days"), F.avg("seen").alias("observed_mean"), F.avg("said").alias("predicted_mean"), F.avg(F.col("seen") - F.col("said")).alias("effect"))
     found = found.withColumn("refusal", F.when(F.col("n_days") < least_days, "few_days").when(F.col("train_days") < least_train, "few_training_days"))
     good = found.where("refusal IS NULL")
