@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.maths import EARTH_KM, haversine_km
+from aerolith.session import cut
 
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
 
 
 #: Grids for the nearest: level l cuts the globe's 360 degrees into 2 ** l; the finest cells are about 1.2 km high.
 LEVELS = 16
+#: Points of a cell that are met without looking into its quarters.
+FEW = 64
 
 
 def _reach(lat: Column, km: Column) -> Column:
@@ -72,22 +75,40 @@ def nearest(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tu
 
     Grids of LEVELS sizes stand in for a search tree. The finest grid in which a's point shares its
     cell with some point of b bounds the distance, by twice the cell's height; so the nearest lies
-    in the cells around the point's own in the grid of twice that height. Both steps are
-    equi-joins on cells, and a point meets as many of b as lie in a few cells of its own density.
+    in the cells around the point's own in the grid of twice that height. Cells of many points (where
+    b lies apart or in towns) are not met whole: their occupied quarters are taken instead, those
+    that could still hold the nearest, until what is left is small. All steps are equi-joins on cells. Points
+    of b at one place count once, by their smallest key.
     """
-    left, right = _points(a, a_cols, "a"), _points(b, b_cols, "b")
+    left = _points(a, a_cols, "a").distinct()
+    right = _points(b, b_cols, "b").groupBy("blat", "blon").agg(F.min("bk").alias("bk"))
     level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
     n, step = F.pow(F.lit(2.0), F.col("level")).cast("long"), F.lit(360.0) / F.pow(F.lit(2.0), F.col("level")).cast("long")
     grids = right.withColumn("level", level).withColumn("row", _row(F.col("blat"), step)).withColumn("column", _column(F.col("blon"), n))
-    held = grids.select("level", "row", "column").distinct()
-    tried = left.distinct().withColumn("level", level).withColumn("row", _row(F.col("alat"), step)).withColumn("column", _column(F.col("alon"), n))
+    held = grids.groupBy("level", "row", "column").agg(F.count(F.lit(1)).alias("held"))
+    tried = left.withColumn("level", level).withColumn("row", _row(F.col("alat"), step)).withColumn("column", _column(F.col("alon"), n))
     finest = tried.join(held, ["level", "row", "column"], "left_semi").groupBy("ak", "alat", "alon").agg(F.max("level").alias("finest"))
     km = F.lit(2 * 360.0 * KM_PER_DEGREE) / F.pow(F.lit(2.0), F.col("finest"))
-    asked = finest.withColumn("level", F.greatest(F.lit(0), F.col("finest") - 1))
+    asked = finest.withColumn("level", F.greatest(F.lit(0), F.col("finest") - 1)).withColumn("most", km)
     asked = asked.withColumn("row", F.explode(F.sequence(_row(F.col("alat"), step) - 1, _row(F.col("alat"), step) + 1)))
-    asked = asked.withColumn("column", F.explode(_columns(F.col("alon"), _reach(F.col("alat"), F.least(km, F.lit(EARTH_KM * 1.5))), n)))
+    asked = asked.withColumn("column", F.explode(_columns(F.col("alon"), _reach(F.col("alat"), F.least(F.col("most"), F.lit(EARTH_KM * 1.5))), n)))
+    asked = asked.select("ak", "alat", "alon", "most", "level", "row", "column").join(held, ["level", "row", "column"])
+    small = (F.col("held") <= FEW) | (F.col("level") == LEVELS - 1)
+    asked = cut(asked)
+    found = asked.where(small)
+    while asked.where(~small).limit(1).count():
+        # a cell's points lie within half its diagonal of its middle, so the nearest of them is known to within that
+        quarters = asked.where(~small).select("ak", "alat", "alon", "most", (F.col("level") + 1).alias("level"), F.explode(F.array(*(F.struct((2 * F.col("row") + i).alias("row"), (2 * F.col("column") + j).alias("column")) for i in (0, 1) for j in (0, 1)))).alias("c"))
+        quarters = quarters.select("ak", "alat", "alon", "most", "level", "c.*").join(held, ["level", "row", "column"])
+        half = step * (KM_PER_DEGREE * 0.7072)
+        middle = haversine_km(F.col("alat"), F.col("alon"), F.least(F.lit(90.0), (F.col("row") + 0.5) * step - 90), (F.col("column") + 0.5) * step - 180)
+        quarters = quarters.withColumn("middle", middle).withColumn("half", half)
+        most = quarters.groupBy("ak").agg(F.min(F.col("middle") + F.col("half")).alias("upper"))
+        quarters = quarters.join(most, "ak").withColumn("most", F.least("most", F.col("upper") + 1e-6)).where(F.col("middle") - F.col("half") <= F.col("most"))
+        asked = cut(quarters.select(*asked.columns))
+        found = found.unionByName(asked.where(small))
     d = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    met = asked.join(grids, ["level", "row", "column"]).groupBy("ak").agg(F.min(F.struct(d.alias("km"), F.col("bk").alias("k"))).alias("m"))
+    met = found.join(grids, ["level", "row", "column"]).groupBy("ak").agg(F.min(F.struct(d.alias("km"), F.col("bk").alias("k"))).alias("m"))
     return met.select(F.col("ak").alias(a_cols[0]), F.col("m.k").alias(b_cols[0]), F.col("m.km").alias("km"))
 
 

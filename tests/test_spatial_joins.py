@@ -56,3 +56,15 @@ def test_one_point_far_from_all(spark):
     right = spark.createDataFrame([(7, 25.0, 121.0, "x"), (8, 24.0, 120.0, "x"), (9, 25.0, 121.0, "x")], SCHEMA).withColumnRenamed("id", "other")
     got = joins.nearest(left, right, ("id", "lat", "lon"), ("other", "lat", "lon")).collect()
     assert [(r["id"], r["other"]) for r in got] == [(1, min((far((0, -50, -100), (0, q[1], q[2])), q[0]) for q in [(7, 25.0, 121.0), (8, 24.0, 120.0), (9, 25.0, 121.0)])[1])]
+
+
+def test_nearest_of_sets_that_lie_apart(spark):
+    rng = random.Random(8)
+    near = [(i, rng.uniform(20, 24), rng.uniform(100, 104), "x") for i in range(150)]
+    away = [(i, rng.uniform(22, 32), rng.uniform(125, 135), "x") for i in range(900)] + [(900 + i, 27.5, 126.25, "x") for i in range(300)]
+    left, right = spark.createDataFrame(near, SCHEMA), spark.createDataFrame(away, SCHEMA).withColumnRenamed("id", "other")
+    got = {r["id"]: (r["other"], r["km"]) for r in joins.nearest(left, right, ("id", "lat", "lon"), ("other", "lat", "lon")).collect()}
+    assert len(got) == 150
+    for p in near:
+        best = min((far(p, q), q[0]) for q in away)
+        assert abs(got[p[0]][1] - best[0]) < 1e-6 and (got[p[0]][0] == best[1] or best[1] >= 900)
