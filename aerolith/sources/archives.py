@@ -65,6 +65,12 @@ def _ods_groups(row) -> list[tuple[str, int]]:
     return groups[: last + 1]
 
 
+#: Rows that a sheet can have: one that says it repeats a row beyond that is damaged.
+MOST_ROWS = 1 << 20
+#: Cells of a frame that a member is read into.
+CELLS = 48_000
+
+
 def ods_rows(data: bytes) -> list[list[str]]:
     """Rows of a spreadsheet's first table, blank ones left out; the first row's width bounds all others, so cells repeated to the sheet's edge cost nothing."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -75,7 +81,10 @@ def ods_rows(data: bytes) -> list[list[str]]:
         if groups:
             cells = chain.from_iterable(repeat(said, n) for said, n in groups)
             row = list(islice(cells, len(rows[0]))) if rows else list(cells)
-            rows += [row] * int(element.get(f"{_ODS['table']}number-rows-repeated", 1))
+            times = int(element.get(f"{_ODS['table']}number-rows-repeated", 1))
+            if len(rows) + times > MOST_ROWS:
+                raise ValueError(f"more than {MOST_ROWS} rows")
+            rows += [row] * times
     return rows
 
 
@@ -117,30 +126,49 @@ def to_long(wide: DataFrame, dialect: Dialect) -> DataFrame:
     return raw.select(F.trim(dialect.station).alias("station"), F.trim(dialect.item).alias("item"), ts.alias("ts"), parse_cell("__raw").alias("c")).where("ts is not null").select("station", "item", "ts", "c.*")
 
 
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """archive, member, content of every readable member of the zip archives under path, one at a time; an archive without any is an error."""
+
+    def unpack(batches):
+        for pdf in batches:
+            for archive, data in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    names = select_members(z.namelist())
+                    if not names:
+                        raise ValueError(f"{archive}: no member can be read")
+                    for name in names:
+                        yield pd.DataFrame([(archive, name, z.read(name))], columns=["archive", "member", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, content binary")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """member, station, item, date, hour and raw text of every cell in the zip archives under path.
 
-    Each archive is one task's work (archives are files of some MB); a member that can't be read fails with its name.
+    Opening an archive is one task's work; its members are then dealt out, so that those of one
+    archive are read by many tasks, each in frames of CELLS cells. A member that can't be read fails with its
+    name.
     """
 
-    def unpack(batches):
+    def parse(batches):
         for pdf in batches:
-            for data in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for name in select_members(z.namelist()):
-                        try:
-                            rows = (csv_rows if name.lower().endswith("csv") else ods_rows)(z.read(name))
-                            d = detect_dialect(rows[0])
-                        except (ValueError, IndexError, KeyError) as e:
-                            raise ValueError(f"{name}: {e}") from e
-                        at = {h: i for i, h in enumerate(rows[0])}
-                        out = []
-                        for r in rows[1:]:
-                            r = r[: len(rows[0])] + [""] * (len(rows[0]) - len(r))
-                            out += [(name, r[at[d.station]].strip(), r[at[d.item]].strip(), r[at[d.date]].strip(), hour, r[at[h]]) for h, hour in d.hours.items()]
-                        yield pd.DataFrame(out, columns=["member", "station", "item", "date", "hour", "raw"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "member string, station string, item string, date string, hour int, raw string")
+            for name, data in zip(pdf["member"], pdf["content"]):
+                try:
+                    rows = (csv_rows if name.lower().endswith("csv") else ods_rows)(data)
+                    d = detect_dialect(rows[0])
+                except (ValueError, IndexError, KeyError) as e:
+                    raise ValueError(f"{name}: {e}") from e
+                at, wide = {h: i for i, h in enumerate(rows[0])}, len(rows[0])
+                step = max(1, CELLS // len(d.hours))
+                for k in range(1, len(rows), step):
+                    out = []
+                    for r in rows[k : k + step]:
+                        r = r[:wide] + [""] * (wide - len(r))
+                        out += [(name, r[at[d.station]].strip(), r[at[d.item]].strip(), r[at[d.date]].strip(), hour, r[at[h]]) for h, hour in d.hours.items()]
+                    yield pd.DataFrame(out, columns=["member", "station", "item", "date", "hour", "raw"])
+
+    dealt = archive_members(spark, path).repartition("archive", "member").select("member", "content")
+    return dealt.mapInPandas(parse, "member string, station string, item string, date string, hour int, raw string")
 
 
 def cells_to_observations(cells: DataFrame) -> DataFrame:

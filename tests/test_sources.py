@@ -159,3 +159,27 @@ def test_spreadsheet_rows_by_the_header_s_width():
         z.writestr("content.xml", body)
     got = archives.ods_rows(held.getvalue())
     assert got[0] == ["a", *["b"] * 100, "c"] and got[1:] == [["1.5", "", *["y"] * 100]] * 2
+
+
+def test_members_of_one_archive_are_dealt_out(spark, tmp_path):
+    import zipfile
+
+    header = "date,station,item," + ",".join(f"{h:02d}" for h in range(24))
+    (tmp_path / "zips").mkdir()
+    with zipfile.ZipFile(tmp_path / "zips/year.zip", "w") as z:
+        for k in range(200):
+            z.writestr(f"{k:03d}.csv", header + "\n" + "".join(f"2016/01/{d + 1:02d},s{k},PM10," + ",".join(str(h) for h in range(24)) + "\n" for d in range(3)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = archives.read_archives(spark, str(tmp_path / "zips"))
+        parts = cells.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("member").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and sum(r["n"] for r in parts) == 200  # as many as shuffle partitions
+    assert cells.count() == 200 * 3 * 24 and cells.where("station = 's7' and hour = 5").count() == 3
+    with zipfile.ZipFile(tmp_path / "zips/none.zip", "w") as z:
+        z.writestr("readme.txt", "nothing")
+    import pytest
+
+    with pytest.raises(Exception, match="no member can be read"):
+        archives.read_archives(spark, str(tmp_path / "zips")).count()
