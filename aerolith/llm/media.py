@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -204,13 +205,29 @@ def _ogg(d: bytes, at: int):
     return (i, "audio/ogg", f"{pages}") if pages else None
 
 
-def _pdf(d: bytes, at: int):
-    end = d.find(b"%%EOF", at)
-    return (end + 5, "application/pdf", d[at + 5 : at + 8].decode("latin-1")) if end >= 0 and d.find(b"obj", at, end) >= 0 else None
+class Marked(bytes):
+    """Bytes that find each end mark once, however often validators ask for the next one."""
 
+    def after(self, mark: bytes, at: int) -> int:
+        """Where the mark next stands, from at on; -1 if nowhere."""
+        places = self.__dict__.get(mark)
+        if places is None:
+            places, i = [], self.find(mark)
+            while i >= 0:
+                places.append(i)
+                i = self.find(mark, i + 1)
+            self.__dict__[mark] = places
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
 
-def _zip(d: bytes, at: int):
-    end = d.find(b"PK\x05\x06", at)
+
+def _pdf(d: Marked, at: int):
+    end, body = d.after(b"%%EOF", at), d.after(b"obj", at)
+    return (end + 5, "application/pdf", d[at + 5 : at + 8].decode("latin-1")) if end >= 0 and 0 <= body <= end - 3 else None
+
+
+def _zip(d: Marked, at: int):
+    end = d.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(d):
         return None
     count, size, offset, comment = struct.unpack_from("<HIIH", d, end + 10)
@@ -249,7 +266,7 @@ def _automaton():
 
 def sniff(data: bytes | None) -> list[tuple[int, int, str, str]]:
     """(offset, length, type, facts) of valid media: one at offset 0 first, if any, then those inside or after it, apart from each other."""
-    data = data or b""
+    data = Marked(data or b"")
     found, end = [], 0
     hopeless = set()  # formats whose end mark doesn't occur any more
     for last, (size, kind) in _automaton().iter(data.decode("latin-1")):
@@ -258,7 +275,7 @@ def sniff(data: bytes | None) -> list[tuple[int, int, str, str]]:
             continue
         got = _CHECKS[kind](data, at)
         if got is None:
-            if kind == "application/pdf" and data.find(b"%%EOF", at) < 0 or kind == "application/zip" and data.find(b"PK\x05\x06", at) < 0:
+            if kind == "application/pdf" and data.after(b"%%EOF", at) < 0 or kind == "application/zip" and data.after(b"PK\x05\x06", at) < 0:
                 hopeless.add(kind)
             continue
         found.append((at, got[0] - at, got[1], got[2]))

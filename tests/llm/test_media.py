@@ -82,3 +82,17 @@ def test_types_are_corrected_and_media_carved_by_the_query_column(spark):
     wrapped = media.store(media.padded(b"before " + inner + b" after"))
     if wrapped[:4] != b"\x89PNG":
         assert [m[2] for m in media.sniff(wrapped)[1:]] == [media.sniff(inner)[0][2]]
+
+
+def test_sniffing_takes_time_in_proportion():
+    import time
+
+    def seconds(text):
+        began = time.perf_counter()
+        assert media.sniff(text) == []
+        return time.perf_counter() - began
+
+    for text in (b"%PDF-" * 60_000 + b"%%EOF", b"PK\x03\x04" * 60_000 + b"PK\x05\x06" + bytes(18)):
+        seconds(text)
+        assert seconds(text) < 8 * max(seconds(text[-len(text) // 4 :]), 0.02)
+    assert media.sniff(b"%PDF-1.7 1 0 obj x %%EOF")[0][:3] == (0, 24, "application/pdf") and media.sniff(b"%PDF-1.7 %%EOF obj") == []
