@@ -259,14 +259,48 @@ def notices(text: str):
                     yield words[k][0], words[min(k + size, len(words)) - 1][1]
 
 
+# Words that restrict a licence, without blanks and hyphens, and the part of a name that says the same.
+RESTRICTS = (("affero", "AGPL"), ("lessergeneral", "LGPL"), ("librarygeneral", "LGPL"), ("noncommercial", "-NC"), ("sharealike", "-SA"), ("noderiv", "-ND"))
+_IDENTIFIER = re.compile(r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)", re.I)
+_VERSION = re.compile(r"(?:versions?|licen[cs]es?,?(?: version| v)?|\bv\.?|\bby(?:-[a-z]{2})*|international|unported|alike|commercial|attribution|deriv\w*)[\s,:(]{0,3}(\d+(?:\.\d+)?)\b", re.I)
+_SHORT = re.compile(r"\bcc[ -]by((?:-(?:nc|sa|nd))*)", re.I)
+
+
+def identifier(text: str) -> str | None:
+    """The licence that an SPDX line names, without only, or-later and +, which tell of versions to come."""
+    found = _IDENTIFIER.search(text)
+    return re.sub(r"(-only|-or-later|\+|\.)$", "", found[1]) if found else None
+
+
+def agrees(name: str, text: str) -> bool:
+    """Whether a notice says nothing against a licence's name: other restrictions, or only other versions."""
+    squeezed = re.sub(r"[\s_-]+", "", text.lower())
+    said = {part for word, part in RESTRICTS if word in squeezed} | {f"-{x.upper()}" for m in _SHORT.finditer(text) for x in m[1].split("-") if x}
+    if any((part in said) != (part in name) for _, part in RESTRICTS):
+        return False
+    own = re.search(r"-(\d+(?:\.\d+)?)$", name)
+    versions = {float(v) for v in _VERSION.findall(text)}
+    return own is None or name.startswith(("BSD", "0BSD")) or not versions or float(own[1]) in versions
+
+
 def detect(text: str | None) -> tuple[str | None, float, int, int]:
-    """(licence or None, cosine, start, end) of a text's best notice."""
+    """(licence or None, cosine, start, end) of a text's best notice.
+
+    A line with an SPDX identifier is that licence (cosine 1), known to the templates or not. Of
+    other notices the nearest template counts that the notice doesn't speak against.
+    """
     text, best = text or "", (None, 0.0, 0, 0)
     for a, b in notices(text):
         plain = "\n".join(_MARKS.sub("", line) for line in text[a:b].split("\n"))
-        for score, name in sorted(cosines(plain), key=lambda x: (-x[0], x[1]))[:1]:
-            if score >= THRESHOLD and (score > best[1] + 1e-12 or (score > best[1] - 1e-12 and b - a > best[3] - best[2])):
-                best = (name, score, a, b)
+        named = identifier(plain)
+        told = [(1.0, named)] if named else sorted(cosines(plain), key=lambda x: (-x[0], x[1]))
+        for score, name in told:
+            if score < THRESHOLD:
+                break
+            if named or agrees(name, plain):
+                if score > best[1] + 1e-12 or (score > best[1] - 1e-12 and b - a > best[3] - best[2]):
+                    best = (name, score, a, b)
+                break
     return best
 
 

@@ -100,3 +100,34 @@ def test_a_file_that_is_mostly_notice_speaks_for_its_directory(spark):
     rows = [(1, "a/b/1.txt", "Released under the MIT License.", 0), (2, "a/b/2.txt", "word " * 50 + "\nLicensed under CC BY-NC 4.0.", 0), (3, "a/b/c/3.txt", "other", 0)]
     got = {r["doc_id"]: (r["license"], r["origin"]) for r in lic.scan(spark.createDataFrame(rows, SCHEMA), "doc_id", "path", "text").collect()}
     assert got == {1: ("MIT", "notice"), 2: ("CC-BY-NC-4.0", "notice"), 3: ("MIT", "inherited")}
+
+
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL = AGPL.replace("GNU Affero General", "GNU General")
+
+
+def test_restricting_words_and_versions_decide():
+    for mark in ("", "# ", "// ", " * "):
+        marked = lambda t: "\n".join(mark + line for line in t.split("\n"))  # noqa: B023, E731
+        assert lic.detect(marked(AGPL))[0] == "AGPL-3.0"
+        for part in (GPL, GPL.split("\n\n")[0], "\n\n".join(GPL.split("\n\n")[:2])):
+            assert lic.detect(marked(part))[0] == "GPL-3.0"
+    assert lic.detect("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.")[0] in (None, "CC-BY-NC-SA-4.0")
+    assert lic.detect("This work is licensed under the Creative Commons Attribution 3.0 Unported License.")[0] in (None, "CC-BY-3.0")
+    assert lic.detect("The Apache Software License, Version 1.1")[0] in (None, "Apache-1.1")
+
+
+def test_identifiers_are_taken_as_they_stand():
+    for said, name in (("EPL-2.0", "EPL-2.0"), ("AGPL-3.0-only", "AGPL-3.0"), ("ISC", "ISC"), ("LGPL-2.1-or-later", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("BSL-1.0", "BSL-1.0"), ("GPL-2.0+", "GPL-2.0"), ("(MIT OR X11)", "MIT")):
+        assert lic.detect(f"x = 1\n# SPDX-License-Identifier: {said}\ny")[:2] == (name, 1.0)
