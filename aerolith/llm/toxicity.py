@@ -8,20 +8,28 @@ deterministic, gives one automaton that reads a word and ends in (term, distance
 column, and most leave it within three letters, so whole corpora can be scanned. A digit or
 symbol between letters is an edit too. Stems take edits before their last letter.
 
-Each hit is weighed by its window: a hit in quotation (quote marks around it, or words of
-reporting within WINDOW words) doesn't count for its term, but for one feature of all quoted
-hits; words of address near others count too. A logistic regression on the weighed hits,
-trained on a bounded sample of labelled rows, gives the score. A misspelled term counts as the
-exact one times one learned discount; forms that clean rows use as words of their own are no
-misspellings (of a stem: their first letters). Nulls and empty texts have no hits and get the
-score of such texts; repeated rows get equal scores; very long texts are read in pieces.
+Each hit is weighed by its window: whether it stands in quotation (matched quote marks of its
+paragraph, or right behind a word such as "word"), whether words of reporting are near, and
+whether someone is addressed. Every mixture of the three has a factor of its own that a hit
+counts for, 1 for a plain hit. The factors are fitted on the labelled rows and on seeded copies of
+those with hits: copies that put each hit in marks behind a word of reporting are mentions, so
+clean; copies that report or address without marks, or address outside them, keep their label; marks
+alone do either. A logistic regression on the hits, trained on a bounded sample of labelled rows,
+gives the score. A misspelled term counts as the exact one times one learned discount; forms that
+clean rows use as words of their own are no misspellings (of a stem: their first letters). Nulls
+and empty texts have no hits and get the score of such texts; repeated rows get equal scores;
+very long texts are read in pieces. Texts of the sample stay in tasks: the driver gets candidate
+terms and the hits of each text.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
+from itertools import islice, product
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerolith.llm.common import crc_rest, text_batches
+from aerolith.llm.common import crc_rest, stored, text_batches
 from aerolith.llm.langid import sampled
 
 #: Labelled rows that lexicon and weights are learned from, at most, of either label.
@@ -50,7 +58,18 @@ CHUNK = 1 << 18
 REPORTING = frozenset("said says say quote quoted word words term called wrote writes sagte wort zitat dit mot terme dijo palabra cita".split())
 #: Words that address someone.
 ADDRESS = frozenset("you your u ur du dich dein tu toi ton vous te tú usted".split())
-_QUOTES = "\"“”„«»‹›"
+#: Words behind which a term is named, not used.
+NAMING = frozenset("word term wort mot terme palabra".split())
+#: Who speaks for themselves reports nobody.
+FIRST = frozenset("i we ich wir je nous yo my our".split())
+#: Bits of a hit's window, and what each mixture of them may count for.
+QUOTED, REPORTED, ADDRESSED = 1, 2, 4
+FACTORS = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: How often at least a term is in toxic texts.
+LEAST = 3
+#: Copies of a labelled text: as it is, misspelled, and with its hits framed as uses or as mentions.
+PLAIN, MISSPELLED, USED, MENTIONED = range(4)
+_MARK = re.compile(r'["“”„«»‹›]|\n[ \t\r]*\n')
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -242,17 +261,43 @@ def _scan_held(held, auto: Automaton, out) -> None:
         out[k].append((term, distance, int(start[w] - begins[i]) + shift, int(end[w] - begins[i]) + shift))
 
 
-def weigh(text: str, hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bool, bool]]:
-    """(term, distance, quoted, addressed) of each hit, from the words around it and the quote marks of its line."""
+def quotations(text: str) -> list[tuple[int, int]]:
+    """What stands between quote marks, matched within each paragraph; a straight mark behind a digit opens nothing."""
+    out, opened = [], None
+    for m in _MARK.finditer(text):
+        if m[0][0] == "\n":
+            opened = None
+        elif opened is not None:
+            out.append((opened, m.start()))
+            opened = None
+        elif m[0] != '"' or not text[max(0, m.start() - 1) : m.start()].isdigit():
+            opened = m.end()
+    return out
+
+
+def _before(text: str, at: int) -> list[re.Match]:
+    """The last WINDOW words before a place."""
+    n = 96
+    while True:
+        got = list(_WORD.finditer(text, max(0, at - n), at))
+        if len(got) > WINDOW or n >= at:
+            return got[-WINDOW:]
+        n *= 4
+
+
+def weigh(text: str, hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bool, bool, bool]]:
+    """(term, distance, quoted, reported, addressed) of each hit; of what is quoted, the words near the quotation tell."""
+    spans = quotations(text) if hits else []
+    starts = [a for a, _ in spans]
     out = []
     for term, distance, a, b in hits:
-        left = text[max(0, a - 80) : a]
-        right = text[b : b + 80]
-        line_left, line_right = left.rsplit("\n", 1)[-1], right.split("\n", 1)[0]
-        opened = sum(line_left.count(q) for q in _QUOTES)
-        quoted = (opened % 2 == 1 and any(q in line_right for q in _QUOTES)) or (line_left[-1:] in _QUOTES and line_left[-1:] != "")
-        near = set(_WORD.findall(left.lower())[-WINDOW:]) | set(_WORD.findall(right.lower())[:WINDOW])
-        out.append((term, distance, bool(quoted or near & REPORTING), bool(near & ADDRESS)))
+        k = bisect_right(starts, a) - 1
+        quoted = k >= 0 and b <= spans[k][1]
+        left, right = _before(text, spans[k][0] if quoted else a), islice(_WORD.finditer(text, spans[k][1] if quoted else b), WINDOW)
+        named = bool(left) and left[-1][0].lower() in NAMING and not text[left[-1].end() : a].strip(" \"“„«‹")
+        near = [[m[0].lower() for m in side] for side in (left, right)]
+        reported = any(w in REPORTING and not (i and side[i - 1] in FIRST) for side in near for i, w in enumerate(side))
+        out.append((term, distance, quoted or named, reported, any(w in ADDRESS for side in near for w in side)))
     return out
 
 
@@ -262,6 +307,7 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: float
     discount: float  # what a misspelled hit counts for, of an exact one
+    factors: tuple  # what a hit counts for in each window, of a plain one
     innocent: frozenset  # words near a term that clean rows use
 
 
@@ -276,29 +322,34 @@ def meant(text: str, hits: list[tuple[int, int, int, int]], terms: list[Term], i
     return [h for h in hits if h[1] == 0 or _form(text, h, terms) not in innocent]
 
 
-def _counts(terms: list[Term], weighed) -> np.ndarray:
-    """Of exact hits and of fuzzy ones: those of each term outside quotation; then quoted, addressed, and all of whole words."""
-    x = np.zeros((2, len(terms) + 3))
-    for term, distance, quoted, addressed in weighed:
-        row = x[int(distance > 0)]
-        if quoted:
-            row[-3] += 1
+def features(terms: list[Term], hits, discount: float, factors) -> np.ndarray:
+    """What hits (term, fuzzy, window, times) of a text say for each term, of hits near an address, and of whole words.
+
+    A word that clean texts never hold tells as much once as ten times, so its strongest hit counts;
+    parts of stems come by chance, so their counts tell.
+    """
+    x = np.zeros(len(terms) + 2)
+    for term, fuzzy, window, times in hits:
+        v = factors[window] * (discount if fuzzy else 1.0)
+        if terms[term].stem:
+            x[term] += times * v
         else:
-            row[term] += 1
-            row[-1] += not terms[term].stem
-        row[-2] += addressed and not quoted
-    return x
+            x[term], x[-1] = max(x[term], v), max(x[-1], v)
+        if window & ADDRESSED:
+            x[-2] += times * v
+    sums = np.array([*(t.stem for t in terms), True, False])
+    return np.where(sums, np.log1p(x), x)
 
 
-def _features(counts: np.ndarray, discount: float, terms: list[Term]) -> np.ndarray:
-    """Whether a word is there, and how often a stem is; a fuzzy hit counts as the exact one times the discount.
+def _windowed(weighed) -> list[tuple[int, int, int, int]]:
+    """Hits (term, fuzzy, window, times) of weighed ones."""
+    n = Counter((term, int(distance > 0), QUOTED * quoted + REPORTED * reported + ADDRESSED * addressed) for term, distance, quoted, reported, addressed in weighed)
+    return [(*k, v) for k, v in n.items()]
 
-    A word that clean texts never hold tells as much once as ten times; parts of stems come by
-    chance, so their counts tell.
-    """
-    x = counts[..., 0, :] + discount * counts[..., 1, :]
-    once = np.array([*(not t.stem for t in terms), False, False, True])
-    return np.where(once, np.minimum(x, 1.0), np.log1p(x))
+
+def logit(model: Model, text: str, hits: list[tuple[int, int, int, int]]) -> float:
+    """The log odds of a text with these hits."""
+    return float(features(model.terms, _windowed(weigh(text, hits)), model.discount, model.factors) @ model.weights + model.bias)
 
 
 def misspelled(word: str, rng: random.Random) -> str:
@@ -307,30 +358,68 @@ def misspelled(word: str, rng: random.Random) -> str:
     return word[:i] + rng.choice([word[i] * 2, "", rng.choice("abcdefghijklmnopqrstuvwxyz".replace(word[i].lower(), "")), rng.choice("0134@*$")]) + word[i + 1 :]
 
 
-def _innocent(texts: list[str], toxic: list[int], found: list, terms: list[Term]) -> frozenset:
+def _framed(word: str, use: bool, rng: random.Random) -> str:
+    """The word used under a report, an address or both, or mentioned in quote marks behind a report; in marks alone it is either."""
+    r, a = rng.choice(sorted(REPORTING - NAMING)), rng.choice(sorted(ADDRESS))
+    frames = (f"{r} {word}", f"{r} {a} {word}", f'{a} "{word}"', f'{r} {a} "{word}"', f'"{word}"') if use else (f'{r} "{word}"', f'{r} "{word}"', f'"{word}"')
+    return rng.choice(frames)
+
+
+def _rewritten(text: str, spans: list[tuple[int, int]], change) -> str:
+    parts, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            parts += [text[at:a], change(text[a:b])]
+            at = b
+    return "".join([*parts, text[at:]])
+
+
+def occurrences(texts: list[str], terms: list[Term], auto: Automaton) -> list[list[tuple]]:
+    """For each text the hits (copy, term, fuzzy, window, form, times) of itself and of its seeded copies; form is of fuzzy hits only."""
+    found = scan(texts, auto)
+    copies = [(i, PLAIN, t) for i, t in enumerate(texts)]
+    for i, (t, hits) in enumerate(zip(texts, found)):
+        rng = random.Random(zlib.crc32(t.encode()))
+        exact = [h for h in hits if h[1] == 0]
+        # of a stem's word, the stem is misspelled
+        long = [(a, a + len(terms[k].text)) for k, _, a, _ in exact if len(terms[k].text) >= FUZZY]
+        if long:
+            copies.append((i, MISSPELLED, _rewritten(t, long, lambda w: misspelled(w, rng))))
+        if exact:
+            copies += [(i, kind, _rewritten(t, [h[2:] for h in exact], lambda w: _framed(w, kind == USED, rng))) for kind in (USED, MENTIONED)]
+    out: list[list] = [[] for _ in texts]
+    for (i, kind, t), hits in zip(copies, [*found, *scan([t for _, _, t in copies[len(texts) :]], auto)]):
+        n = Counter()
+        for h, w in zip(hits, weigh(t, hits)):
+            n[h[0], int(h[1] > 0), QUOTED * w[2] + REPORTED * w[3] + ADDRESSED * w[4], _form(t, h, terms) if h[1] else ""] += 1
+        out[i] += [(kind, *k, v) for k, v in n.items()]
+        if kind and not n:
+            out[i].append((kind, -1, 0, 0, "", 0))  # a copy whose hits are gone is a copy still
+    return out
+
+
+def _innocent(found: list[list[tuple]], toxic: list[int]) -> frozenset:
     """Forms within an edit of a term that are in two clean texts or more, and less than TIMES as frequent among toxic ones."""
     seen, n = (Counter(), Counter()), Counter(map(bool, toxic))
-    for t, y, hits in zip(texts, toxic, found):
-        seen[bool(y)].update({_form(t, h, terms) for h in hits if h[1]})
+    for y, hits in zip(toxic, found):
+        seen[bool(y)].update({h[4] for h in hits if h[0] == PLAIN and h[2]})
     return frozenset(w for w, k in seen[0].items() if k >= 2 and TIMES * k * n[True] > seen[1][w] * n[False])
 
 
-def mine(texts: list[str], toxic: list[int]) -> list[Term]:
+def vocabulary(text: str) -> set[str]:
+    """The words of a text in lower case, and their stems."""
+    seen = set(_WORD.findall(text.lower()))
+    return seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}
+
+
+def mine(with_: dict[str, int], without: dict[str, int], n: tuple[int, int], tries: int) -> list[Term]:
     """Words and stems that are TIMES as frequent, by documents, among toxic texts, and not by chance; stems cover their words.
 
+    with_, without: how many toxic and clean texts hold each candidate; n: clean and toxic texts in all.
     Chance: the terms of a text know nothing of its label, and every word and stem of the toxic
-    texts is a try; the odds of one at least must stay under CHANCE (a Chernoff bound for each).
+    texts is one of the tries; the odds of one at least must stay under CHANCE (a Chernoff bound for each).
     """
-    with_, without, n = Counter(), Counter(), [0, 0]
-    tries = 0
-    # toxic texts first: of clean ones only words and stems count that toxic ones hold often enough
-    for t, y in sorted(dict.fromkeys(zip(texts, map(bool, toxic))), key=lambda r: not r[1]):  # copies of a text count once
-        if not y and not n[0]:
-            tries, with_ = len(with_), Counter({x: c for x, c in with_.items() if c > 2})
-        seen = set(_WORD.findall(t.lower()))
-        seen |= {w[:k] + "*" for w in seen for k in STEMS if len(w) > k}
-        (with_ if y else without).update(seen if y else seen & with_.keys())
-        n[y] += 1
+    with_, without = Counter({x: c for x, c in with_.items() if c >= LEAST}), Counter(without)
     if not all(n):
         return []
     share = n[1] / sum(n)
@@ -384,42 +473,65 @@ def _regress(x: np.ndarray, y: np.ndarray, share: np.ndarray, n_terms: int, roun
     return float((share * (np.logaddexp(0, z) - y * z)).sum() / share.sum()), w, float(b)
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 400, seed: int = 3) -> Model:
-    """Lexicon, automaton, weights and discount; rows with exact hits are trained on as they are and with these misspelled, half each."""
-    terms = mine(texts, toxic)
+def learn(terms: list[Term], auto: Automaton, found: list[list[tuple]], toxic: list[int], rounds: int = 400) -> Model:
+    """Weights, discount and factors from the occurrences in labelled texts.
+
+    Weights and discount come from the texts as they are and with their hits misspelled, half each;
+    then, with these fixed, each window's factor from all texts and copies that hold such a window.
+    """
+    innocent = _innocent(found, toxic)
+    copies: list[tuple[int, int, list]] = []  # (kind, label, hits)
+    for y, hits in zip(toxic, found):
+        kinds = {PLAIN: []}
+        for kind, term, fuzzy, window, form, times in hits:
+            kinds.setdefault(kind, [])
+            if term >= 0 and not (fuzzy and form in innocent):
+                kinds[kind].append((term, fuzzy, window, times))
+        copies += [(kind, 0 if kind == MENTIONED else int(y), h) for kind, h in kinds.items()]
+    even = (1.0,) * 8
+    own = [c for c in copies if c[0] in (PLAIN, MISSPELLED)]
+    doubled = [k + 1 < len(own) and own[k + 1][0] == MISSPELLED or c[0] == MISSPELLED for k, c in enumerate(own)]
+    y, share = np.array([c[1] for c in own], dtype=np.float64), np.where(doubled, 0.5, 1.0)
+    if not len(y) or not 0 < y.sum() < len(y):
+        return Model(terms, auto, np.zeros(len(terms) + 2), (5.0 if y.all() else -5.0) if len(y) else 0.0, 1.0, even, innocent)
+
+    def matrix(rows, discount, factors):
+        return np.array([features(terms, h, discount, factors) for _, _, h in rows]).reshape(len(rows), len(terms) + 2)
+
+    fits = [(*_regress(matrix(own, d, even), y, share, len(terms), rounds), d) for d in DISCOUNTS]
+    _, w, b, discount = min(fits, key=lambda f: f[0])
+    free = [k for k in range(8) if k & (QUOTED | REPORTED)]
+    told = [c for c in copies if c[0] != MISSPELLED and any(h[2] in free for h in c[2])]
+    label = np.array([c[1] for c in told])
+
+    def loss(factors):
+        z = np.clip(matrix(told, discount, factors) @ w + b, -30, 30)
+        return float((np.logaddexp(0, z) - label * z).sum())
+
+    factors = list(even)
+    for _, k in product(range(2), free):
+        if any(h[2] == k for c in told for h in c[2]):
+            factors[k] = min(FACTORS, key=lambda v: (loss([*factors[:k], v, *factors[k + 1 :]]), -v))
+    return Model(terms, auto, w, b, discount, tuple(factors), innocent)
+
+
+def train(texts: list[str], toxic: list[int], rounds: int = 400) -> Model:
+    """The model of a few texts that are at hand."""
+    seen, n = (Counter(), Counter()), [0, 0]
+    for t, y in dict.fromkeys(zip(texts, map(bool, toxic))):  # copies of a text count once
+        seen[y].update(vocabulary(t))
+        n[y] += 1
+    terms = mine(seen[1], seen[0], tuple(n), len(seen[1]))
     auto = build(terms)
-    found = scan(texts, auto)
-    innocent = _innocent(texts, toxic, found, terms)
-    rng = random.Random(seed)
-    rows, y, share = list(texts), list(toxic), [1.0] * len(texts)
-    for i, hits in enumerate(found):
-        spans = [(a, b) for k, d, a, b in hits if d == 0 and len(terms[k].text) >= FUZZY]
-        if spans:
-            t, parts, at = texts[i], [], 0
-            for a, b in spans:
-                k = len(terms[next(h[0] for h in hits if h[2] == a)].text)  # of a stem's word, the stem
-                parts += [t[at:a], misspelled(t[a : a + k], rng), t[a + k : b]]
-                at = b
-            rows.append("".join([*parts, t[at:]]))
-            y.append(toxic[i])
-            share[i] = 0.5
-            share.append(0.5)
-    found = found + scan(rows[len(texts) :], auto)
-    counts = np.array([_counts(terms, weigh(t, meant(t, h, terms, innocent))) for t, h in zip(rows, found)]).reshape(len(rows), 2, len(terms) + 3)
-    y, share = np.array(y, dtype=np.float64), np.array(share)
-    if len(y) and 0 < y.sum() < len(y):
-        fits = [(*_regress(_features(counts, d, terms), y, share, len(terms), rounds), d) for d in DISCOUNTS]
-        _, w, b, discount = min(fits, key=lambda f: f[0])
-    else:
-        w, b, discount = np.zeros(len(terms) + 3), (5.0 if y.all() else -5.0) if len(y) else 0.0, 1.0
-    return Model(terms, auto, w, b, discount, innocent)
+    return learn(terms, auto, occurrences(texts, terms, auto), toxic, rounds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labels that are 0 or 1, from at most about sample_rows rows of either.
 
     Ids are sampled first, without their texts; only the sample's texts are then read, by a
-    broadcast of its ids, which are as few as the sample.
+    broadcast of its ids, which are as few as the sample. Words are counted and texts scanned in
+    tasks; candidate terms and hits reach the driver, whatever the length of the texts.
     Ids in labels alone, null ids and null texts teach nothing.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -430,14 +542,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(sorted(set(picked)), f"id {dict(rows.dtypes)['id']}, y int")
     # an id that several rows share speaks with the text of the least hash
-    got = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
-    got = sorted(map(tuple, got.select("t", "y").collect()))
-    return train([r[0] for r in got], [int(r[1]) for r in got])
+    got = stored(rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("y", "t", F.xxhash64("t").alias("h")), "labelled")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(vocabulary(t)))
+
+    once = got.dropDuplicates(["y", "h"])  # copies of a text count once
+    sizes = dict(map(tuple, once.groupBy("y").count().collect()))
+    n = (sizes.get(0, 0), sizes.get(1, 0))
+    counts = once.select("y", F.explode(words("t")).alias("x")).groupBy("x").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+    counts = stored(counts.where("a > 0"), "terms")
+    often = counts.where((F.col("a") >= LEAST) & ((F.col("a") + 0.5) / (n[1] + 1) > TIMES * (F.col("b") + 0.5) / (n[0] + 1))).collect()
+    terms = mine({r["x"]: r["a"] for r in often}, {r["x"]: r["b"] for r in often}, n, counts.count())
+    auto = build(terms)
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType() if c == "form" else T.IntegerType()) for c in ("copy", "term", "fuzzy", "window", "form", "times")]))
+
+    @F.pandas_udf(kind)
+    def hits(texts: pd.Series) -> pd.Series:
+        return pd.Series([o for a in range(0, len(texts), 64) for o in occurrences(list(texts.iloc[a : a + 64]), terms, auto)])
+
+    told = sorted((int(r["y"]), r["h"], [tuple(o) for o in r["o"]]) for r in got.select("y", "h", hits("t").alias("o")).toLocalIterator())
+    return learn(terms, auto, [r[2] for r in told], [r[0] for r in told])
 
 
 def scorer(model: Model):
-    """Column function: text -> struct(score, predicted, hits: array of struct(term, distance, start, end, quoted))."""
-    hit = T.StructType([T.StructField("term", T.StringType()), T.StructField("distance", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("quoted", T.BooleanType())])
+    """Column function: text -> struct(score, predicted, hits: array of struct(term, distance, start, end, quoted, share)); share is what the hit counts for, of a plain exact one."""
+    names = {"term": T.StringType(), "distance": T.IntegerType(), "start": T.IntegerType(), "end": T.IntegerType(), "quoted": T.BooleanType(), "share": T.DoubleType()}
+    hit = T.StructType([T.StructField(c, t) for c, t in names.items()])
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("hits", T.ArrayType(hit))])
 
     @F.pandas_udf(kind)
@@ -448,9 +580,10 @@ def scorer(model: Model):
             for t, hits in zip(part, scan(part, model.auto)):
                 hits = meant(t, hits, model.terms, model.innocent)
                 weighed = weigh(t, hits)
-                z = float(_features(_counts(model.terms, weighed), model.discount, model.terms) @ model.weights + model.bias)
-                p = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
-                rows.append((p, int(p >= 0.5), [{"term": model.terms[h[0]].text, "distance": h[1], "start": h[2], "end": h[3], "quoted": w[2]} for h, w in zip(hits, weighed)]))
+                z = features(model.terms, _windowed(weighed), model.discount, model.factors) @ model.weights + model.bias
+                p = float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+                shares = [model.factors[w[2]] * (model.discount if h[1] else 1.0) for h, (w,) in zip(hits, ([*_windowed([x])] for x in weighed))]
+                rows.append((p, int(p >= 0.5), [{"term": model.terms[h[0]].text, "distance": h[1], "start": h[2], "end": h[3], "quoted": w[2], "share": v} for h, w, v in zip(hits, weighed, shares)]))
         return pd.DataFrame(rows, columns=["score", "predicted", "hits"])
 
     return run

@@ -92,7 +92,7 @@ def test_misspelled_terms_are_predicted_toxic():
 
     def predicted(t):
         hits = tox.meant(t, tox.scan([t], model.auto)[0], model.terms, model.innocent)
-        return tox._features(tox._counts(model.terms, tox.weigh(t, hits)), model.discount, model.terms) @ model.weights + model.bias >= 0
+        return tox.logit(model, t, hits) >= 0
 
     held = [text(w) for w in ["idiiot", "stupld", "id1ot", "st*pid", "morron", "mor0n", "sstupid", "idiott"] * 5]
     assert all(predicted(t) for t in held)
@@ -124,10 +124,30 @@ def test_chance_words_are_no_terms_and_quotation_is_clean():
 
     def toxic(t):
         hits = tox.meant(t, tox.scan([t], model.auto)[0], model.terms, model.innocent)
-        return tox._features(tox._counts(model.terms, tox.weigh(t, hits)), model.discount, model.terms) @ model.weights + model.bias >= 0
+        return tox.logit(model, t, hits) >= 0
 
     assert toxic("you are an idiot and a moron") and toxic("you are an idi0t and a morron")
     assert not toxic('the word "idiot" comes from greek') and not toxic('she said "stupid moron" to him')
+    # reporting words near abuse don't make it a quotation, quotations may be long
+    assert toxic("I say you are an idiot") and toxic("mark my words, you idiot") and toxic("they said the idiots and morons, every idiot, must go")
+    assert not toxic('she wrote: "' + "and the rain went on over the hills " * 6 + 'what an idiot" and left')
+    assert not toxic('the word idiot is old')
+    assert toxic('it was 5" long\n\nyou idiot, "dear" moron')
+
+
+def test_quotations_are_matched_within_paragraphs():
+    for text, spans in [('a "b c" d "e"', ["b c", "e"]), ('a "b\n\nc" d', []), ("«un» „zwei“", ["un", "zwei"]), ('5" x "7" y', ["7"]), ("", [])]:
+        assert [text[a:b] for a, b in tox.quotations(text)] == spans, text
+
+
+def test_texts_of_the_sample_stay_in_tasks(spark):
+    """What fit learns in tasks equals what train learns from the texts at hand, long texts included."""
+    rows = [(i, f"plain stuff {i} and {'stupid idiot' if i % 3 == 0 else 'flowers'} here" + " more" * (50_000 if i < 6 else 0)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    a, b = tox.fit(docs, labels), tox.train([t for _, t in rows], [int(i % 3 == 0) for i, _ in rows])
+    assert a.terms == b.terms and a.factors == b.factors and a.discount == b.discount and a.innocent == b.innocent
+    assert abs(a.weights - b.weights).max() < 1e-6
 
 
 def test_repeated_ids_and_clashing_columns(spark):
