@@ -358,11 +358,15 @@ def misspelled(word: str, rng: random.Random) -> str:
     return word[:i] + rng.choice([word[i] * 2, "", rng.choice("abcdefghijklmnopqrstuvwxyz".replace(word[i].lower(), "")), rng.choice("0134@*$")]) + word[i + 1 :]
 
 
-def _framed(word: str, use: bool, rng: random.Random) -> str:
-    """The word used under a report, an address or both, or mentioned in quote marks behind a report; in marks alone it is either."""
-    r, a = rng.choice(sorted(REPORTING - NAMING)), rng.choice(sorted(ADDRESS))
-    frames = (f"{r} {word}", f"{r} {a} {word}", f'{a} "{word}"', f'{r} {a} "{word}"', f'"{word}"') if use else (f'{r} "{word}"', f'{r} "{word}"', f'"{word}"')
-    return rng.choice(frames)
+#: Frames of a word {w} with a report {r} and an address {a}: the first four use it, the last four mention it, marks alone do either.
+_FRAMES = ("{r} {w}", "{r} {a} {w}", '{a} "{w}"', '{r} {a} "{w}"', '"{w}"', *['{r} "{w}"'] * 4)
+
+
+def _framed(use: bool, rng: random.Random):
+    """A function that puts words into one frame, drawn for all of a text."""
+    frame = rng.choice(_FRAMES[:5] if use else _FRAMES[4:])
+    reports, addresses = sorted(REPORTING - NAMING), sorted(ADDRESS)
+    return lambda word: frame.format(w=word, r=rng.choice(reports), a=rng.choice(addresses))
 
 
 def _rewritten(text: str, spans: list[tuple[int, int]], change) -> str:
@@ -386,7 +390,7 @@ def occurrences(texts: list[str], terms: list[Term], auto: Automaton) -> list[li
         if long:
             copies.append((i, MISSPELLED, _rewritten(t, long, lambda w: misspelled(w, rng))))
         if exact:
-            copies += [(i, kind, _rewritten(t, [h[2:] for h in exact], lambda w: _framed(w, kind == USED, rng))) for kind in (USED, MENTIONED)]
+            copies += [(i, kind, _rewritten(t, [h[2:] for h in exact], _framed(kind == USED, rng))) for kind in (USED, MENTIONED)]
     out: list[list] = [[] for _ in texts]
     for (i, kind, t), hits in zip(copies, [*found, *scan([t for _, _, t in copies[len(texts) :]], auto)]):
         n = Counter()
