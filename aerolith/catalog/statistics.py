@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
 from aerolith.catalog.frames import GRID, fit_sql, grid, haversine_sql, hours, ols_sql, placed, placed_sql
-from aerolith.functions.maths import average_rank
-from aerolith.operators import joins, stats
+from aerolith.operators import joins, stats, windows
 
 _S = placed_sql("supplier", "s_suppkey")
 _EDGES = f"e AS (SELECT a.s_suppkey AS k, b.s_suppkey AS nb, {haversine_sql('a', 'b')} AS km FROM {_S} a, {_S} b WHERE a.s_suppkey <> b.s_suppkey AND {haversine_sql('a', 'b')} <= 250), ew AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS weight FROM e)"
@@ -19,9 +18,7 @@ def _edges(spark, d):
 
 @query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0::DOUBLE AS average_rank, CAST(rank() OVER (PARTITION BY event_type ORDER BY user_id) AS BIGINT) AS min_rank FROM events")
 def ranks(spark, d):
-    from pyspark.sql import Window
-
-    return table(spark, d, "events").select("event_id", average_rank(F.col("user_id"), ["event_type"]).alias("average_rank"), F.rank().over(Window.partitionBy("event_type").orderBy("user_id")).cast("long").alias("min_rank"))
+    return windows.average_ranks(table(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_type"], "user_id").drop("event_type", "user_id")
 
 
 @query("""WITH r AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 5.0::DOUBLE ELSE CAST(hour(ts) AS DOUBLE) END AS a, value AS b, event_type AS g FROM events WHERE value > 100), x AS (SELECT *, a - avg(a) OVER (PARTITION BY user_id, g) AS da, b - avg(b) OVER (PARTITION BY user_id, g) AS db,

@@ -159,11 +159,12 @@ def shares_of_total(df: DataFrame, by: str, amount: Column) -> DataFrame:
 def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Per key, for each named q, the order statistic nearest to it: the one at round(q * (n - 1)), halves up.
 
-    Values are counted first, so a window holds a key's distinct values, not its rows; nulls don't count.
+    Values are counted first, then summed in bins, so no task holds all of a key's values; nulls don't count.
     """
+    from aerolith.operators.windows import cumulated
+
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
-    rows = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    rows = cumulated(counts, keys, value)
     found = []
     for name, q in quantiles.items():
         at = F.floor(q * (F.col("__all") - 1) + 0.5)

@@ -126,11 +126,15 @@ def spread(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def event_windows(df: DataFrame, events: DataFrame, ts: str, value: str, days: int) -> DataFrame:
-    """Per event (name, start, end): means of the days before and after it; the event's own days count for neither."""
+    """Per event (name, start, end): means of the days before and after it; the event's own days count for neither.
+
+    Events are spread over the days that they look at, and rows meet them by day.
+    """
     width = F.make_dt_interval(F.lit(days))
     before = (F.col(ts) >= F.col("start") - width) & (F.col(ts) < F.col("start"))
     after = (F.col(ts) >= F.col("end")) & (F.col(ts) < F.col("end") + width)
-    met = df.select(ts, value).join(events, before | after)
+    days_of = F.explode(F.sequence(F.to_date(F.col("start") - width), F.to_date(F.col("end") + width))).alias("__day")
+    met = df.select(ts, value, F.to_date(ts).alias("__day")).join(events.where("start <= end").select("*", days_of), "__day").where(before | after)
     return met.groupBy("name").agg(F.count_if(before).alias("n_before"), F.count_if(after).alias("n_after"), F.round(F.avg(F.when(before, F.col(value))), 6).alias("mean_before"), F.round(F.avg(F.when(after, F.col(value))), 6).alias("mean_after"))
 
 
@@ -142,11 +146,27 @@ def placebos(days: DataFrame, date: str, value: str, start_day: int, length: int
     return out.where("change is not null")
 
 
+#: Values that an axis of a grid may have: finer than a hundredth of a degree around the globe.
+AXIS = 50_000
+
+
 def nearest_cell(points: DataFrame, grid: DataFrame, key: str) -> DataFrame:
-    """Each point's grid cell by the nearest latitude and the nearest longitude, each axis on its own; ties to the smaller. Axes are short."""
-    lat = points.select(key, "lat", "lon").crossJoin(grid.select(F.col("lat").alias("__a")).distinct()).groupBy(key, "lat", "lon").agg(F.min(F.struct(F.abs(F.col("__a") - F.col("lat")), F.col("__a").alias("v"))).alias("__y"))
-    both = lat.crossJoin(grid.select(F.col("lon").alias("__o")).distinct()).groupBy(key, F.col("__y.v").alias("cell_lat")).agg(F.min(F.struct(F.abs(F.col("__o") - F.col("lon")), F.col("__o").alias("v"))).alias("__x"))
-    return both.select(key, "cell_lat", F.col("__x.v").alias("cell_lon"))
+    """Each point's grid cell by the nearest latitude and the nearest longitude, each axis on its own; ties to the smaller.
+
+    An axis is one sorted array of at most AXIS values (more are an error), held beside the points, which
+    are not shuffled; the cell is the nearer of the values below and above. No latitude, no cell.
+    """
+    axes = None
+    for c in ("lat", "lon"):
+        values = grid.select(F.col(c).alias("v")).where("v is not null").distinct().limit(AXIS + 1).agg(F.collect_list("v").alias("v"))
+        axis = values.select(F.when(F.size("v") > AXIS, F.raise_error(F.lit(f"more than {AXIS} values of {c}"))).otherwise(F.col("v")).alias(f"__{c}"))
+        axes = axis if axes is None else axes.crossJoin(axis)
+
+    def nearest(c: str) -> Column:
+        x, below, above = F.col(c), F.array_max(F.filter(f"__{c}", lambda v: v <= F.col(c))), F.array_min(F.filter(f"__{c}", lambda v: v > F.col(c)))
+        return F.when(above.isNull() | (x - below <= above - x), below).otherwise(above).alias(f"cell_{c}")
+
+    return points.select(key, "lat", "lon").crossJoin(F.broadcast(axes)).select(key, nearest("lat"), nearest("lon"))
 
 
 def clustered_errors(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:

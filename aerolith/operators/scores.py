@@ -49,8 +49,24 @@ def summary(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(score).alias("splits"), F.round(F.avg(score), 6).alias("mean"), F.min(score).alias("worst"), F.count_if(F.col(score) <= 0).alias("not_beating"))
 
 
+def held_out_sums(df: DataFrame, what: str, sums: dict) -> DataFrame:
+    """For each value of `what` (fold) sums (name: column) over its own rows (test) and over all others (train), rows read once.
+
+    Training sums are the total less the fold's own, so no row meets any fold; rows without a value only train.
+    A role without rows is absent.
+    """
+    own = df.groupBy(F.col(what).alias("fold")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    whole = Window.partitionBy(F.lit(1))  # one row for each fold
+    names = ["n", *sums]
+    both = F.array(F.struct(F.lit("test").alias("role"), *names), F.struct(F.lit("train").alias("role"), *((F.sum(c).over(whole) - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in names)))
+    return own.select("fold", both.alias("__b")).where("fold is not null").select("fold", F.explode("__b").alias("__b")).select("fold", "__b.*").where("n > 0")
+
+
 def leave_one_out(df: DataFrame, what: str) -> DataFrame:
-    """Rows with fold and role: each value of `what` (few) is tested once, by a model of all others."""
+    """Rows with fold and role: each value of `what` (few) is tested once, by a model of all others.
+
+    The result holds each row once for each fold; where sums will do, take `held_out_sums`.
+    """
     folds = df.select(F.col(what).alias("fold")).distinct()
     return df.crossJoin(folds).withColumn("role", F.when(F.col(what) == F.col("fold"), "test").otherwise("train"))
 

@@ -15,8 +15,26 @@ from pyspark.sql import functions as F
 from aerolith.functions.maths import average_rank, correlation, digest
 
 
+def two_sided_p(t: float, freedom: float) -> float:
+    """The odds of a Student's t at least as far from 0, by the incomplete beta function's continued fraction."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if not 0 < x < 1:
+        return float(x >= 1)
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 1.0  # the fraction from its end: terms alternate between two forms
+    for m in range(300 + int(5 * math.sqrt(max(a, b))), 0, -1):
+        k = m // 2
+        term = k * (b - k) * x / ((a + m - 1) * (a + m)) if m % 2 == 0 else -(a + k) * (a + b + k) * x / ((a + m - 1) * (a + m))
+        value = 1 + term / value
+    share = front / value
+    return float(min(1.0, max(0.0, 1 - share if turned else share)))
+
+
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """term, coef, se, t, vif, r2, n of least squares with intercept over rows without nulls; all sums in one pass."""
+    """term, coef, se, t, p (two-sided, Student's t), vif, r2, n of least squares with intercept over rows without nulls; all sums in one pass."""
     rows = df.select(y, *xs).dropna()
     names = ["intercept", *xs]
     terms = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
@@ -30,7 +48,7 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     b, yy = np.array(got[k * (k + 1) // 2 : -1]), got[-1]
     n = a[0, 0]
     spark = df.sparkSession
-    schema = "term string, coef double, se double, t double, vif double, r2 double, n long"
+    schema = "term string, coef double, se double, t double, p double, vif double, r2 double, n long"
     if n <= k:
         return spark.createDataFrame([], schema)
     inv = np.linalg.pinv(a)
@@ -41,7 +59,7 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     cov = a[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.diag(cov))
     vif = [None, *np.diag(np.linalg.pinv(cov / np.outer(sd, sd)))] if len(xs) else [None]
-    return spark.createDataFrame([(m, float(c), float(s), float(c / s) if s else None, None if v is None else float(v), float(1 - rss / tss) if tss else None, int(n)) for m, c, s, v in zip(names, coef, se, vif)], schema)
+    return spark.createDataFrame([(m, float(c), float(s), float(c / s) if s else None, two_sided_p(float(c / s), float(n - k)) if s else None, None if v is None else float(v), float(1 - rss / tss) if tss else None, int(n)) for m, c, s, v in zip(names, coef, se, vif)], schema)
 
 
 def segmented_slopes(df: DataFrame, by: list[str], x: str, y: str, at: float) -> DataFrame:

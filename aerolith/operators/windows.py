@@ -203,6 +203,44 @@ def numbered(df: DataFrame, order: list[str], coarse: Column, name: str) -> Data
     return met.withColumn(name, F.col("__inside") + F.col("__ahead")).drop("__c", "__d", "__inside", "__ahead")
 
 
+def cumulated(counts: DataFrame, keys: list[str], value: str, n: str = "__n", bins: int = 128) -> DataFrame:
+    """Counts of a key's distinct numbers with `__upto` (all up to and with each, in order) and `__all`, without one task for a key.
+
+    Approximate quantiles of each key cut its values into bins; a window holds one bin, and is shifted
+    by the sums of the bins before it, which are few. The cuts steer the work only: sums are exact.
+    Values must not be null; NaN comes last; null keys are keys.
+    """
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        if not on:
+            return left.crossJoin(F.broadcast(right))  # one row
+        right = right.withColumnsRenamed({k: f"__r_{k}" for k in on})
+        same = F.lit(True)
+        for k in on:
+            same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        return left.join(right, same).drop(*(f"__r_{k}" for k in on))
+
+    binned = met(counts, cuts, keys).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    ahead = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    sizes = binned.groupBy(*keys, "__bin").agg(F.sum(n).alias("__size"))
+    sizes = sizes.select(*keys, "__bin", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead"), F.sum("__size").over(whole).alias("__all"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return met(binned.withColumn("__inside", F.sum(n).over(inside)), sizes, [*keys, "__bin"]).withColumn("__upto", F.col("__ahead") + F.col("__inside")).drop("__bin", "__ahead", "__inside")
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, average: str = "average_rank", least: str = "min_rank") -> DataFrame:
+    """Rows with the mean and the least rank (from 1) of their number within a key, few and long ones too; nulls have no rank."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    first = F.col("__upto") - F.col("__n") + 1
+    found = cumulated(counts, keys, value).select(*(F.col(k).alias(f"__r_{k}") for k in [*keys, value]), first.cast("long").alias(least), (first + (F.col("__n") - 1) / F.lit(2.0)).alias(average))
+    same = F.col(value) == F.col(f"__r_{value}")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(found, same, "left").select(*df.columns, average, least)
+
+
 def rolling_origin(df: DataFrame, order: list[str], splits: int, least_train: float = 0.4) -> DataFrame:
     """Rows with fold (from 1) and role: fold f trains on all rows before its test slice; slices of one size march on from the first least_train of the rows.
 
