@@ -204,6 +204,22 @@ def seasonal_forecast(spark, d):
     return seasonal_autoregression(grid(spark, d), "entity", "ts", "value").withColumns({"predicted": F.round("predicted", 3), "persistence": F.round(F.col("persistence") + 1e-7, 3)})
 
 
+@query(f"""WITH base AS (SELECT 0 AS g, 1.0::DOUBLE AS w, CAST(o_orderdate AS DATE) AS ts, CAST(month(o_orderdate) AS INTEGER) AS cell, o_totalprice AS y, CAST(o_orderkey % 13 AS DOUBLE) AS x1, CAST(o_custkey % 7 AS DOUBLE) AS x2, year(o_orderdate) + month(o_orderdate) / 12.0::DOUBLE AS x3 FROM orders), {fit_sql('base', 3)},
+ p AS (SELECT *, row_number() OVER (ORDER BY cell, ts, x1, x2, x3) - 1 AS place FROM base), c AS (SELECT cell, min(place) AS first, count(*) AS k FROM p GROUP BY 1),
+ asked AS (SELECT ts, x3, first + CAST(floor(CAST('0x' || md5(concat_ws('|', place, d, 3))[1:8] AS BIGINT) / 4294967296.0::DOUBLE * k) AS BIGINT) AS place FROM p JOIN c USING (cell), generate_series(0, 4) s(d)),
+ o AS (SELECT date_trunc('month', ts) AS month, avg(y) AS y FROM base GROUP BY 1), m AS (SELECT date_trunc('month', a.ts) AS month, avg(k0 + k1 * p.x1 + k2 * p.x2 + k3 * a.x3) AS y FROM asked a JOIN p USING (place), fit GROUP BY 1),
+ t AS (SELECT 'o' AS what, year(month) + (month(month) - 1) / 12.0::DOUBLE AS x, y FROM o UNION ALL SELECT 'm', year(month) + (month(month) - 1) / 12.0::DOUBLE, y FROM m),
+ s AS (SELECT a.what, round(median((b.y - a.y) / (b.x - a.x)), 6) AS slope FROM t a JOIN t b ON a.what = b.what AND b.x > a.x GROUP BY 1),
+ both_ AS (SELECT max(slope) FILTER (what = 'o') AS observed_slope, max(slope) FILTER (what = 'm') AS normalised_slope FROM s)
+ SELECT round(observed_slope, 2) AS observed_slope, round(normalised_slope, 2) AS normalised_slope, round(CASE WHEN observed_slope <> 0 THEN (observed_slope - normalised_slope) / observed_slope END, 4) AS weather_share FROM both_""")
+def weather_share(spark, d):
+    """Of the trend of orders' prices, the share that goes once other columns are drawn from all years' rows of the month; the linear model."""
+    from aerolith.operators.models import normalise_weather, weather_share
+
+    o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("ts"), F.col("o_totalprice").alias("y"), (F.col("o_orderkey") % 13).cast("double").alias("load"), (F.col("o_custkey") % 7).cast("double").alias("calm"), (F.year("o_orderdate") + F.month("o_orderdate") / F.lit(12.0)).alias("trend"))
+    return weather_share(normalise_weather(o, "ts", "y", ["load", "calm"], ["trend"], cell=F.month("ts"), kind="linear")).withColumns({c: F.round(c, 2) for c in ("observed_slope", "normalised_slope")})
+
+
 @query()
 def weather_normalised(spark, d):
     from aerolith.operators.models import normalise_weather

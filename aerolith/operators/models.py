@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,31 +23,55 @@ def fit_predict(df: DataFrame, features: list[str], label: str, role: str = "rol
     return model.transform(rows.where(F.col(role) == "test")).drop("__x")
 
 
-def normalise_weather(df: DataFrame, ts: str, value: str, weather: list[str], time: list[str], draws: int = 5, seed: int = 3) -> DataFrame:
-    """Monthly means of observed values and of a forest's predictions under weather of other, randomly met rows.
+def normalise_weather(df: DataFrame, ts: str, value: str, weather: list[str], time: list[str], draws: int = 5, seed: int = 3, cell: Column | None = None, kind: str = "forest") -> DataFrame:
+    """Monthly means (month, observed, rows, normalised) of values and of a model's predictions under weather of other, randomly met rows.
 
-    Each draw pairs every row with the weather of a row at another place in a seeded order, all
-    its columns together, so joint weather stays possible.
+    Each draw gives every row the weather of a row of its cell (the hour of day, where none is
+    named), all its columns together, so joint weather stays possible; a row may be drawn more
+    than once. Rows are numbered by cell and time without one task for a cell, kept once, and
+    draws are md5 digests of a row's place, so one equi-join by place brings all of them, alike
+    on every engine. kind: forest (Spark ML) or linear (least squares). Rows with nulls don't take part.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    from pyspark.sql import Window
+    from aerolith.functions.maths import draw
+    from aerolith.operators.stats import ols
+    from aerolith.operators.windows import numbered
+    from aerolith.session import cut
 
-    rows = df.dropna(subset=[value, *weather, *time])
-    assembler = VectorAssembler(inputCols=[*time, *weather], outputCol="__x")
-    model = RandomForestRegressor(featuresCol="__x", labelCol=value, predictionCol="__p", numTrees=20, maxDepth=6, seed=seed).fit(assembler.transform(rows))
+    spark = df.sparkSession
     month = F.trunc(ts, "MM")
-    met = rows.select(ts, *time, F.lit(None).cast("double").alias("__p")).limit(0)
-    cell = Window.partitionBy(F.hour(ts))  # weather of the same hour of day
-    for d in range(draws):
-        shuffled = rows.select(F.hour(ts).alias("__h"), *weather, F.row_number().over(cell.orderBy(F.xxhash64(F.lit(seed + d), ts, *weather))).alias("__n"))
-        placed = rows.select(ts, *time, F.hour(ts).alias("__h"), F.row_number().over(cell.orderBy(ts)).alias("__n"))
-        met = met.unionByName(model.transform(assembler.transform(placed.join(shuffled, ["__h", "__n"]))).select(ts, *time, "__p"))
+    rows = df.dropna(subset=[value, *weather, *time]).select(ts, value, *weather, *time, (F.hour(ts) if cell is None else cell).alias("__cell"))
+    placed = cut(numbered(rows, ["__cell", ts, *weather, *time], F.struct("__cell", month.alias("m")), "__place"))
+    if kind == "linear":
+        fit = {r["term"]: r["coef"] for r in ols(placed, value, [*weather, *time]).collect()}
+        line = sum((F.lit(c) * F.col(t) for t, c in fit.items() if t != "intercept"), F.lit(fit.get("intercept")))
+        predict = lambda met: met.withColumn("__p", line)
+    else:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import RandomForestRegressor
+
+        assembler = VectorAssembler(inputCols=[*time, *weather], outputCol="__x")
+        model = RandomForestRegressor(featuresCol="__x", labelCol=value, predictionCol="__p", numTrees=20, maxDepth=6, seed=seed).fit(assembler.transform(placed))
+        predict = lambda met: model.transform(assembler.transform(met))
+    cells = placed.groupBy("__cell").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    asked = placed.select(ts, *time, "__cell", "__place").join(cells, "__cell").withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    asked = asked.select(ts, *time, (F.col("__first") + F.floor(draw(F.col("__place"), F.col("__d"), seed) * F.col("__n"))).alias("__place"))
+    met = predict(asked.join(placed.select("__place", *weather), "__place"))
     normal = met.groupBy(month.alias("month")).agg(F.avg("__p").alias("normalised"))
-    seen = rows.groupBy(month.alias("month")).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("hours"))
+    seen = placed.groupBy(month.alias("month")).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("rows"))
     return seen.join(normal, "month")
 
 
+def weather_share(months: DataFrame) -> DataFrame:
+    """One row from monthly means: slopes a year (median of all pairs of months) of observed and normalised values, and the share of the trend that weather made; null where nothing was observed to change."""
+    from aerolith.operators.stats import theil_sen
+
+    x = (F.year("month") + (F.month("month") - 1) / F.lit(12.0)).alias("x")
+    long = months.select(x, "observed", "normalised").unpivot(["x"], ["observed", "normalised"], "what", "y").where("y is not null")
+    slopes = theil_sen(long, ["what"], "x", "y")
+    both = slopes.agg(*(F.max(F.when(F.col("what") == c, F.col("slope"))).alias(f"{c}_slope") for c in ("observed", "normalised")))
+    return both.withColumn("weather_share", F.round(F.when(F.col("observed_slope") != 0, (F.col("observed_slope") - F.col("normalised_slope")) / F.col("observed_slope")), 4))
+
+
 def seasonal_autoregression(df: DataFrame, entity: str, ts: str, value: str, season: int = 24, horizon: int = 1, train_share: float = 0.7) -> DataFrame:
     """Per series: forecasts `horizon` ahead from the last value, the last season's and their difference (least squares on the first part), beside persistence."""
 
