@@ -24,7 +24,7 @@ def fit_predict(df: DataFrame, features: list[str], label: str, role: str = "rol
 
 
 def normalise_weather(df: DataFrame, ts: str, value: str, weather: list[str], time: list[str], draws: int = 5, seed: int = 3, cell: Column | None = None, kind: str = "forest") -> DataFrame:
-    """Monthly means (month, observed, rows, normalised) of values and of a model's predictions under weather of other, randomly met rows.
+    """Monthly means (month, observed, hours: how many, normalised) of values and of a model's predictions under weather of other, randomly met rows.
 
     Each draw gives every row the weather of a row of its cell (the hour of day, where none is
     named), all its columns together, so joint weather stays possible; a row may be drawn more
@@ -57,7 +57,7 @@ def normalise_weather(df: DataFrame, ts: str, value: str, weather: list[str], ti
     asked = asked.select(ts, *time, (F.col("__first") + F.floor(draw(F.col("__place"), F.col("__d"), seed) * F.col("__n"))).alias("__place"))
     met = predict(asked.join(placed.select("__place", *weather), "__place"))
     normal = met.groupBy(month.alias("month")).agg(F.avg("__p").alias("normalised"))
-    seen = placed.groupBy(month.alias("month")).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("rows"))
+    seen = placed.groupBy(month.alias("month")).agg(F.avg(value).alias("observed"), F.count(F.lit(1)).alias("hours"))
     return seen.join(normal, "month")
 
 

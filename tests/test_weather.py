@@ -20,7 +20,7 @@ def test_share_of_a_trend(spark, drift, own, share):
     rows += [(start, None, 1.0, 0.0), (start, 1.0, None, 0.0)]
     df = spark.createDataFrame(rows, "ts timestamp_ntz, value double, wind double, years double")
     months = models.normalise_weather(df, "ts", "value", ["wind"], ["years"], kind="linear")
-    assert months.count() == 72 and months.agg({"rows": "sum"}).first()[0] == 6 * 365
+    assert months.count() == 72 and months.agg({"hours": "sum"}).first()[0] == 6 * 365
     got = models.weather_share(months).first()
     assert got["observed_slope"] == pytest.approx(2 * drift + 2 * own, abs=0.15)
     assert got["weather_share"] == pytest.approx(share, abs=0.1)
@@ -36,5 +36,5 @@ def test_no_rows_no_trend(spark):
 def test_repeated_rows_meet_one_place_each(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 3.0, 1.0, 0.0)] * 40 + [(dt.datetime(2024, 2, 1), 5.0, 2.0, 1.0)] * 40, "ts timestamp_ntz, value double, wind double, years double")
     got = models.normalise_weather(df, "ts", "value", ["wind"], [], kind="linear").collect()
-    assert sorted((r["month"].month, r["rows"], r["observed"]) for r in got) == [(1, 40, 3.0), (2, 40, 5.0)]
+    assert sorted((r["month"].month, r["hours"], r["observed"]) for r in got) == [(1, 40, 3.0), (2, 40, 5.0)]
     assert all(3.0 < r["normalised"] < 5.0 for r in got)  # weather of both months is drawn for either
