@@ -63,13 +63,13 @@ def nearest_reference(spark, d):
 @query(f"SELECT c_custkey, s_suppkey, round({haversine_sql('c', 's')}, 4) AS km FROM {_C} c, {_S} s WHERE {haversine_sql('c', 's')} <= 60")
 def within_radius(spark, d):
     c, s = placed(table(spark, d, "customer"), "c_custkey"), placed(table(spark, d, "supplier"), "s_suppkey")
-    return joins.within_radius(c, s, ("c_custkey", "lat", "lon"), ("s_suppkey", "lat", "lon"), 60.0).withColumn("km", F.round("km", 4))
+    return joins.within_radius(c, s, ("c_custkey", "lat", "lon"), ("s_suppkey", "lat", "lon"), 60.0, digits=4)
 
 
 @query(f"SELECT a.s_suppkey, b.s_suppkey AS neighbour, round({haversine_sql('a', 'b')}, 4) AS km FROM {_S} a, {_S} b WHERE a.s_suppkey <> b.s_suppkey AND {haversine_sql('a', 'b')} <= 150")
 def neighbour_edges(spark, d):
     s = placed(table(spark, d, "supplier"), "s_suppkey")
-    return joins.neighbour_edges(s, "s_suppkey", "lat", "lon", 150.0).withColumn("km", F.round("km", 4))
+    return joins.neighbour_edges(s, "s_suppkey", "lat", "lon", 150.0, digits=4)
 
 
 @query(f"WITH p AS (SELECT c_custkey, min({haversine_sql('c', 's')}) AS km FROM {_C} c, {_S} s GROUP BY 1), r(radius) AS (VALUES (5.0::DOUBLE), (20.0), (60.0)) SELECT radius, count(*) FILTER (km <= radius) AS members FROM p, r GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
 LEVELS = 16
 #: Points of a cell that are met without looking into its quarters.
 FEW = 64
+#: Points of a place that meet others as one row, and pairs of points that one salt of a cell makes.
+CHUNK, UNIT = 512, 1_000_000
 
 
 def _reach(lat: Column, km: Column) -> Column:
@@ -46,28 +50,79 @@ def _points(df: DataFrame, columns: tuple[str, str, str], prefix: str) -> DataFr
     return df.where(known[0] & known[1]).select(F.col(key).alias(f"{prefix}k"), F.col(lat).cast("double").alias(f"{prefix}lat"), F.col(lon).cast("double").alias(f"{prefix}lon"))
 
 
-def within_radius(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], km: float) -> DataFrame:
-    """(a's key, b's key, km apart) for points at most km apart.
+def _chunked(points: DataFrame, prefix: str) -> DataFrame:
+    """One row for up to about CHUNK points of a place: its coordinates, how many they are (n) and their keys."""
+    lat, lon = f"{prefix}lat", f"{prefix}lon"
+    held = points.groupBy(lat, lon).agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("chunks"))
+    dealt = points.join(held, [lat, lon]).withColumn("chunk", F.pmod(F.xxhash64(F.struct(f"{prefix}k")), F.col("chunks")))
+    return dealt.groupBy(lat, lon, "chunk").agg(F.count(F.lit(1)).alias(f"{prefix}n"), F.collect_list(F.struct(f"{prefix}k")).alias(f"{prefix}ks")).drop("chunk")
 
-    Points meet by the cells of a grid, rows of km height and columns as wide at the equator: a's
-    point visits the cells that its circle touches (more columns towards the poles, around the
-    date line too), so the join is an equi-join on small cells, whatever the tables' sizes.
-    Points without coordinates are near nothing.
+
+def _met(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Rows of left (alat, alon, an points) beside those of right (blat, blon, bn) at most km apart, with km.
+
+    A grid has rows of km height and columns as wide at the equator: a left row visits the cells
+    that its circle touches (more columns towards the poles, around the date line too), so this is an
+    equi-join on cells. Cells of much work (points times points) are dealt among salts, and the
+    number of tasks follows from the work, not from the tables' bytes.
     """
     step = max(km / KM_PER_DEGREE, 1e-6)
     n = max(1, int(360 / step))
-    left, right = _points(a, a_cols, "a"), _points(b, b_cols, "b")
+    cells = ["row", "column"]
     left = left.withColumn("row", F.explode(F.sequence(_row(F.col("alat"), step) - 1, _row(F.col("alat"), step) + 1)))
     left = left.withColumn("column", F.explode(_columns(F.col("alon"), _reach(F.col("alat"), F.lit(float(km))), n)))
     right = right.withColumn("row", _row(F.col("blat"), step)).withColumn("column", _column(F.col("blon"), n))
+    work = left.groupBy(*cells).agg(F.sum("an").alias("a")).join(right.groupBy(*cells).agg(F.sum("bn").alias("b")), cells)
+    work = cut(work.select(*cells, (F.col("a").cast("double") * F.col("b")).alias("pairs")))
+    tasks = int(min(4096, max(1, math.ceil((work.agg(F.sum("pairs")).first()[0] or 0.0) / (2 * UNIT)))))
+    salts = F.least(F.lit(1024), F.ceil(F.col("pairs") / UNIT)).cast("int")
+    left = left.join(work, cells).withColumn("salt", F.pmod(F.xxhash64("alat", "alon", *(c for c in left.columns if c == "aks")), salts)).drop("pairs")
+    right = right.join(work, cells).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("pairs")
     d = haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    return left.join(right, ["row", "column"]).withColumn("km", d).where(F.col("km") <= km).select(F.col("ak").alias(a_cols[0]), F.col("bk").alias(b_cols[0]), "km")
+    met = left.repartition(tasks, *cells, "salt").join(right, [*cells, "salt"])
+    return met.withColumn("km", d).where(F.col("km") <= km).drop(*cells, "salt")
+
+
+def within_radius(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str], km: float, digits: int | None = None) -> DataFrame:
+    """(a's key, b's key, km apart, rounded to digits if given) for points at most km apart.
+
+    Places meet, in chunks of their points, and are measured once; the points' pairs come last.
+    Points without coordinates are near nothing.
+    """
+    met = _met(cut(_chunked(_points(a, a_cols, "a"), "a")), cut(_chunked(_points(b, b_cols, "b"), "b")), km)
+    apart = F.col("km") if digits is None else F.round("km", digits)
+    met = met.select("aks", "bks", apart.alias("km")).select(F.explode("aks").alias("a"), "bks", "km").select("a", F.explode("bks").alias("b"), "km")
+    return met.select(F.col("a.ak").alias(a_cols[0]), F.col("b.bk").alias(b_cols[0]), "km")
 
 
-def neighbour_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
+def neighbour_edges(points: DataFrame, key: str, lat: str, lon: str, km: float, digits: int | None = None) -> DataFrame:
     """Directed edges between different points at most km apart."""
     other = points.select(F.col(key).alias("neighbour"), F.col(lat).alias("__lat2"), F.col(lon).alias("__lon2"))
-    return within_radius(points, other, (key, lat, lon), ("neighbour", "__lat2", "__lon2"), km).where(F.col(key) != F.col("neighbour"))
+    return within_radius(points, other, (key, lat, lon), ("neighbour", "__lat2", "__lon2"), km, digits).where(F.col(key) != F.col("neighbour"))
+
+
+def place_pairs(points: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """(__lat, __lon, __lat2, __lon2, km): directed pairs of the places of points at most km apart, each with itself too; written once.
+
+    As many as the places' neighbourhoods make, however many points stand at each place.
+    """
+    places = cut(_points(points, (lat, lat, lon), "a").select("alat", "alon", F.lit(1).alias("an")).distinct())
+    met = _met(places, places.select(F.col("alat").alias("blat"), F.col("alon").alias("blon"), F.col("an").alias("bn")), km)
+    return cut(met.select(F.col("alat").alias("__lat"), F.col("alon").alias("__lon"), F.col("blat").alias("__lat2"), F.col("blon").alias("__lon2"), "km"))
+
+
+def neighbour_sums(pairs: DataFrame, points: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """points (with __lat, __lon) and, for each column c, near_c: its sum over the other points of the group (`by`) within reach; null for points without a place.
+
+    pairs: `place_pairs`. Sums go from place to place, and a point's own value is taken from its
+    place's, so the work is that of the pairs of places and of the points. Null counts as 0.
+    """
+    spot = [*by, "__lat", "__lon"]
+    sums = points.groupBy(*spot).agg(*(F.sum(c).alias(f"near_{c}") for c in columns))
+    sums = sums.withColumnsRenamed({"__lat": "__lat2", "__lon": "__lon2"})
+    reach = pairs.join(sums, ["__lat2", "__lon2"]).groupBy(*spot).agg(*(F.sum(f"near_{c}").alias(f"near_{c}") for c in columns)).withColumn("__placed", F.lit(True))
+    less = lambda c: F.when(F.col("__placed"), F.coalesce(F.col(f"near_{c}"), F.lit(0.0)) - F.coalesce(F.col(c), F.lit(0.0)))
+    return points.join(reach, spot, "left").withColumns({f"near_{c}": less(c) for c in columns}).drop("__placed")
 
 
 def nearest(a: DataFrame, b: DataFrame, a_cols: tuple[str, str, str], b_cols: tuple[str, str, str]) -> DataFrame:

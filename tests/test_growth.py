@@ -20,3 +20,14 @@ def _joined_below_sums(plan) -> bool:
 def test_readings_are_summed_before_stations_are_named(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed()
     assert not _joined_below_sums(plan)
+
+
+def test_radius_pairs_are_dealt_by_work_not_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.operators import joins
+
+    df = spark.range(0, 2500, 1, 1).select("id", F.lit(25.0).alias("lat"), F.lit(121.0).alias("lon"))
+    met = joins.within_radius(df, df.withColumnRenamed("id", "other"), ("id", "lat", "lon"), ("other", "lat", "lon"), 5.0)
+    tasks = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert sum(tasks) == 2500**2 and max(tasks) < 0.7 * sum(tasks)
