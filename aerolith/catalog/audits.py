@@ -216,21 +216,19 @@ def series_dissimilarity(spark, d):
  c AS (SELECT a.draw, sum(weight * a.z * b.z) AS c, sum(weight) AS w FROM ew JOIN z a ON a.k = ew.k JOIN z b ON b.k = ew.nb AND b.draw = a.draw GROUP BY 1), m AS (SELECT draw, round(n / w * c / v, 6) AS i FROM s JOIN c USING (draw)), r AS (SELECT i AS real FROM m WHERE draw = 0)
  SELECT real AS moran_i, round(avg(i), 6) AS null_mean, (count(*) FILTER (abs(i) >= abs(real)) + 1) / (count(*) + 1)::DOUBLE AS p FROM m, r WHERE draw > 0 GROUP BY 1""")
 def moran_permutations(spark, d):
-    from aerolith.catalog.statistics import _edges
-    from aerolith.operators import stats
+    from aerolith.catalog.statistics import _balances
+    from aerolith.operators import networks
 
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.moran_null(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), "s_suppkey", "neighbour", "s_acctbal")
+    return networks.moran_null(_balances(spark, d), "s_suppkey", "s_acctbal", 250.0)
 
 
 @query(f"""WITH {_EDGES.replace(', ew AS', ', unused AS')}, r(radius) AS (VALUES (100.0::DOUBLE), (250.0)), ew AS (SELECT radius, k, nb, 1.0::DOUBLE / count(*) OVER (PARTITION BY radius, k) AS weight FROM e JOIN r ON km <= radius), m AS (SELECT avg(s_acctbal) AS m FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z FROM supplier, m)
  SELECT r.radius, (SELECT count(*) FROM z) AS n, round((SELECT count(*) FROM z) / sum(weight) * sum(weight * a.z * b.z) / (SELECT sum(z * z) FROM z), 6) AS moran_i FROM r LEFT JOIN ew ON ew.radius = r.radius LEFT JOIN z a ON a.k = ew.k LEFT JOIN z b ON b.k = ew.nb GROUP BY 1""")
 def weights_sensitivity(spark, d):
-    from aerolith.catalog.statistics import _edges
-    from aerolith.operators import stats
+    from aerolith.catalog.statistics import _balances
+    from aerolith.operators import networks
 
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.weights_sensitivity(v, _edges(spark, d), "s_suppkey", "neighbour", "s_acctbal", [100.0, 250.0])
+    return networks.weights_sensitivity(_balances(spark, d), "s_suppkey", "s_acctbal", [100.0, 250.0])
 
 
 @query("""WITH m AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), y AS (SELECT o_orderpriority, CAST(year(month) AS INTEGER) AS year, count(v) AS months, avg(v) AS mean FROM m GROUP BY 1, 2) SELECT o_orderpriority, year, months, CASE WHEN months >= 11 THEN round(mean, 3) END AS mean FROM y""")

@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
 from aerolith.catalog.frames import GRID, fit_sql, grid, haversine_sql, hours, ols_sql, placed, placed_sql
-from aerolith.operators import joins, stats, windows
+from aerolith.operators import joins, networks, stats, windows
 
 _S = placed_sql("supplier", "s_suppkey")
 _EDGES = f"e AS (SELECT a.s_suppkey AS k, b.s_suppkey AS nb, {haversine_sql('a', 'b')} AS km FROM {_S} a, {_S} b WHERE a.s_suppkey <> b.s_suppkey AND {haversine_sql('a', 'b')} <= 250), ew AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS weight FROM e)"
 
 
+def _balances(spark, d):
+    return placed(table(spark, d, "supplier"), "s_suppkey").select("s_suppkey", "s_acctbal", "lat", "lon")
+
+
 def _edges(spark, d):
     return joins.neighbour_edges(placed(table(spark, d, "supplier"), "s_suppkey"), "s_suppkey", "lat", "lon", 250.0)
 
@@ -64,28 +68,24 @@ def theil_sen(spark, d):
  t AS (SELECT *, n / w * c / v AS i, -1.0::DOUBLE / (n - 1) AS e, (n * n * s1 - n * s2 + 3 * w * w) / ((n * n - 1) * w * w) - 1.0::DOUBLE / ((n - 1) * (n - 1)) AS var FROM v, c, s1, s2)
  SELECT CAST(n AS BIGINT) AS n, round(i, 6) AS moran_i, round(e, 6) AS expected, round((i - e) / sqrt(var), 4) AS z FROM t""")
 def moran(spark, d):
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.morans_i(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), [], "s_suppkey", "neighbour", "s_acctbal")
+    return networks.morans_i(_balances(spark, d), "s_suppkey", "s_acctbal", 250.0)
 
 
 @query(f"""WITH {_EDGES}, m AS (SELECT avg(s_acctbal) AS m, var_pop(s_acctbal) AS v FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z, v FROM supplier, m), l AS (SELECT ew.k, sum(weight * z.z) AS lag FROM ew JOIN z ON z.k = ew.nb GROUP BY 1)
  SELECT z.k AS s_suppkey, round(z * lag / v, 6) AS local_i, CASE WHEN z >= 0 THEN 'high' ELSE 'low' END || '-' || CASE WHEN lag >= 0 THEN 'high' ELSE 'low' END AS quadrant FROM z JOIN l USING (k)""")
 def local_moran(spark, d):
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.local_moran(v, stats.row_standardised(_edges(spark, d), "s_suppkey"), "s_suppkey", "neighbour", "s_acctbal")
+    return networks.local_moran(_balances(spark, d), "s_suppkey", "s_acctbal", 250.0)
 
 
 @query(f"""WITH {_EDGES}, m AS (SELECT avg(s_acctbal) AS m, var_pop(s_acctbal) AS v FROM supplier), z AS (SELECT s_suppkey AS k, s_acctbal - m AS z, v FROM supplier, m)
  SELECT CAST(CASE WHEN km <= 50 THEN 0 WHEN km <= 120 THEN 1 ELSE 2 END AS INTEGER) AS band, count(*) AS pairs, round(avg(a.z * b.z / a.v), 6) AS moran_i FROM e JOIN z a ON a.k = e.k JOIN z b ON b.k = e.nb GROUP BY 1""")
 def correlogram(spark, d):
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.correlogram(v, _edges(spark, d), "s_suppkey", "neighbour", "s_acctbal", [50.0, 120.0])
+    return networks.correlogram(_balances(spark, d), "s_suppkey", "s_acctbal", 250.0, [50.0, 120.0])
 
 
 @query(f"""WITH {_EDGES} SELECT s_suppkey, s_acctbal AS y_true, round(predicted, 2) AS predicted, neighbours FROM supplier JOIN (SELECT e.k, sum(b.s_acctbal / pow(greatest(km, 0.1), 2)) / sum(1 / pow(greatest(km, 0.1), 2)) AS predicted, count(*) AS neighbours FROM e JOIN supplier b ON b.s_suppkey = e.nb GROUP BY 1) g ON g.k = s_suppkey""")
 def idw_leave_one_out(spark, d):
-    v = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return stats.idw_leave_one_out(v, _edges(spark, d), "s_suppkey", "neighbour", "s_acctbal").withColumn("predicted", F.round("predicted", 2))
+    return networks.idw_leave_one_out(_balances(spark, d), "s_suppkey", "s_acctbal", 250.0).withColumn("predicted", F.round("predicted", 2))
 
 
 @query("""WITH p AS (SELECT user_id, round(1 / (1 + sum(value) / 1000), 9) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM p), a AS (SELECT *, least(1.0, min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS adj FROM r)
