@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
 from aerolith.catalog.frames import fit_sql, haversine_sql, placed, placed_sql
-from aerolith.catalog.statistics import _EDGES, _S, _edges
+from aerolith.catalog.statistics import _EDGES, _S
 from aerolith.operators import kriging, regions, residuals
+from aerolith.session import cut
 
 BUFFERS, SEARCH = [0.0, 60.0, 120.0], 400.0
 
@@ -51,7 +52,7 @@ _NORMAL = "sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 0.5) / 4294967296.0
  SELECT CAST(n AS BIGINT) AS n, 2 AS k, round(i, 6) AS moran_i, round(expected, 6) AS expected, round(variance, 6) AS variance, round((i - expected) / sqrt(variance), 4) AS z, round(p, 6) AS p FROM v, p""")
 def residual_moran(spark, d):
     """Moran's I of what latitude leaves of the suppliers' balances, with the moments and the simulated null of residuals."""
-    return residuals.residual_moran(_spots(spark, d), [], "s_suppkey", "s_acctbal", ["lat"], _edges(spark, d))
+    return residuals.residual_moran_within(_spots(spark, d), [], "s_suppkey", "s_acctbal", ["lat"], 250.0)
 
 
 def _cluster_sql() -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aerolith.catalog import query, table
 from aerolith.catalog.frames import GRID, fit_sql, grid, haversine_sql, hours, ols_sql, placed, placed_sql
-from aerolith.operators import joins, networks, stats, windows
+from aerolith.operators import networks, stats, windows
 
 _S = placed_sql("supplier", "s_suppkey")
 _EDGES = f"e AS (SELECT a.s_suppkey AS k, b.s_suppkey AS nb, {haversine_sql('a', 'b')} AS km FROM {_S} a, {_S} b WHERE a.s_suppkey <> b.s_suppkey AND {haversine_sql('a', 'b')} <= 250), ew AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY k) AS weight FROM e)"
@@ -16,10 +16,6 @@ def _balances(spark, d):
     return placed(table(spark, d, "supplier"), "s_suppkey").select("s_suppkey", "s_acctbal", "lat", "lon")
 
 
-def _edges(spark, d):
-    return joins.neighbour_edges(placed(table(spark, d, "supplier"), "s_suppkey"), "s_suppkey", "lat", "lon", 250.0)
-
-
 @query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0::DOUBLE AS average_rank, CAST(rank() OVER (PARTITION BY event_type ORDER BY user_id) AS BIGINT) AS min_rank FROM events")
 def ranks(spark, d):
     return windows.average_ranks(table(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_type"], "user_id").drop("event_type", "user_id")

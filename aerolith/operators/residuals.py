@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.functions.maths import digest
+from aerolith.operators import joins, networks
 from aerolith.session import cut
 
 
@@ -116,6 +117,69 @@ def residual_moran(df: DataFrame, by: list[str], key: str, y: str, xs: list[str]
     return out.select(*(F.col(b).alias(c) for c, b in zip(named, by)), "n", F.lit(k).alias("k"), F.round("i", 6).alias("moran_i"), F.round("expected", 6).alias("expected"), F.round("variance", 6).alias("variance"), F.round(z, 4).alias("z"), F.when(F.col("i").isNotNull(), F.round("p", 6)).alias("p"))
 
 
+def residual_moran_within(df: DataFrame, by: list[str], key: str, y: str, xs: list[str], km: float, lat: str = "lat", lon: str = "lon", draws: int = 99, seed: int = 1) -> DataFrame:
+    """As `residual_moran` over all points at most km apart, by sums over places: no edge between two points is made, no draw is written for each point.
+
+    Weights are 1 / degree, so all traces follow from the symmetric adjacency times columns (`joins.neighbour_sums`). Keys are unique in a group.
+    """
+    k = len(xs) + 1
+    cells = [(i, j) for i in range(k) for j in range(k)]
+    x = ["__x0", *(f"__x{i + 1}" for i in range(len(xs)))]
+    named, by = by, [f"__by{i}" for i in range(len(by))]
+    places = [F.col(c).cast("double").alias(n) for c, n in ((lat, "__lat"), (lon, "__lon"))]
+    rows = df.dropna(subset=[key, y, *xs]).select(*(F.col(c).alias(b) for c, b in zip(named, by)), F.col(key).alias("__key"), F.col(y).cast("double").alias("__y"), F.lit(1.0).alias("__x0"), *(F.col(c).cast("double").alias(x[i + 1]) for i, c in enumerate(xs)), *places)
+    types = dict(rows.dtypes)
+    head = "".join(f"{c} {types[c]}, " for c in by)
+    dot = lambda array, names, at=0: sum((F.col(array)[at + i] * F.col(n) for i, n in enumerate(names)), F.lit(0.0))
+    grams = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col(x[i]) * F.col(x[j])) for i, j in cells)).alias("g"), F.array(*(F.sum(F.col(c) * F.col("__y")) for c in x)).alias("b"))
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            p = p[p["n"] > k]
+            inverse = [np.linalg.pinv(np.array(g, dtype=float).reshape(k, k)) for g in p["g"]]
+            yield p[[*by, "n"]].assign(a=[m.ravel() for m in inverse], beta=[m @ np.array(b, dtype=float) for m, b in zip(inverse, p["b"])])
+
+    fits = cut(grams.mapInPandas(invert, f"{head}n long, a array<double>, beta array<double>"))
+    pairs = joins.place_pairs(rows, "__lat", "__lon", km)
+    rows = cut(_on(rows, fits, by).select(*by, "__key", "__lat", "__lon", *x, (F.col("__y") - dot("beta", x)).alias("__e")))
+    near = joins.neighbour_sums(pairs, rows, by, ["__e", *x]).where("near___x0 > 0").withColumn("__w", 1.0 / F.col("near___x0"))
+    near = joins.neighbour_sums(pairs, near.withColumns({f"__v{i}": F.col("__w") * F.col(c) for i, c in enumerate(x)}), by, [f"__v{i}" for i in range(k)])
+    near = cut(near.withColumns({f"__l{i}": F.col("__w") * F.col(f"near_{c}") for i, c in enumerate(x)}).withColumnsRenamed({f"near___v{i}": f"__b{i}" for i in range(k)}))
+    w, of = F.col("__w"), lambda p, q: F.array(*(F.sum(F.col(p(i)) * F.col(q(j))) for i, j in cells))
+    own, lag, pull = (lambda i: x[i]), (lambda i: f"__l{i}"), (lambda i: f"__b{i}")
+    over = near.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("double").alias("s0"), F.sum("__w").alias("wwt"), F.sum(w * F.col("__b0")).alias("ww"), F.sum(w * F.col("__e") * F.col("near___e")).alias("num"),
+        of(own, lag).alias("xwx"), of(lag, lag).alias("lags"), of(pull, pull).alias("backs"), of(pull, lag).alias("cross"),
+    )
+    den = rows.groupBy(*by).agg(F.sum(F.col("__e") * F.col("__e")).alias("den"))
+    sums = _on(fits.drop("beta"), den, by)
+    sums = (sums.join(over, by, "left") if by else sums.crossJoin(over)).withColumn("s0", F.when(F.col("s0") > 0, F.col("s0")))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square = lambda v: np.array(v, dtype=float).reshape(k, k)
+        for p in batches:
+            told = [moments(*(square(r[c]) for c in ("a", "xwx", "lags", "backs", "cross")), r["s0"], r["ww"], r["wwt"], int(r["n"])) if r["s0"] > 0 else (None, None) for r in p.to_dict("records")]
+            yield p[[*by, "n", "s0", "num", "den"]].assign(expected=[t[0] for t in told], variance=[t[1] for t in told])
+
+    real = sums.mapInPandas(judge, f"{head}n long, s0 double, num double, den double, expected double, variance double")
+    real = cut(real).withColumn("i", F.when(F.col("den") > 1e-12, F.col("n") / F.col("s0") * F.col("num") / F.col("den")))
+    # points are few beside their draws, so the tasks follow from the draws
+    tasks = 1 + int((fits.agg(F.sum("n")).first()[0] or 0) * draws // 250_000)
+    noise = rows.repartition(min(tasks, 4096), "__key").select(*by, "__key", "__lat", "__lon", *x, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    noise = noise.withColumn("__e", normal(*(F.col(c) for c in by), F.col("__key"), F.col("draw"), seed))
+    xe = noise.groupBy(*by, "draw").agg(*(F.sum(F.col(c) * F.col("__e")).alias(f"e{i}") for i, c in enumerate(x)))
+    part = cut(_on(xe, fits.select(*by, "a"), by).select(*by, "draw", *(dot("a", [f"e{j}" for j in range(k)], i * k).alias(f"c{i}") for i in range(k))))
+    drawn = noise.join(part, [*by, "draw"]).withColumn("r", F.col("__e") - sum((F.col(f"c{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0)))
+    weights = near.groupBy(*by, "__lat", "__lon").agg(F.max("__w").alias("__w"))
+    null = networks.products(pairs, drawn.select(*by, "__lat", "__lon", "draw", "r"), weights, by, "r").where("den > 1e-12")
+    null = _on(null.select(*by, F.col("num").alias("dnum"), F.col("den").alias("dden")), real, by)
+    far = F.abs(F.col("n") / F.col("s0") * F.col("dnum") / F.col("dden") - F.col("expected")) >= F.abs(F.col("i") - F.col("expected"))
+    p = null.groupBy(*by).agg(((F.count_if(far) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    out = _on(real, p, by) if not by else real.join(p, by, "left")
+    z = F.when(F.col("variance") > 0, (F.col("i") - F.col("expected")) / F.sqrt("variance"))
+    return out.select(*(F.col(b).alias(c) for c, b in zip(named, by)), "n", F.lit(k).alias("k"), F.round("i", 6).alias("moran_i"), F.round("expected", 6).alias("expected"), F.round("variance", 6).alias("variance"), F.round(z, 4).alias("z"), F.when(F.col("i").isNotNull(), F.round("p", 6)).alias("p"))
+
+
 def t_tail(t: float, df: float) -> float:
     """Two-sided p of Student's t: the regularised incomplete beta at df / (df + t^2), by its continued fraction."""
     x, a, b = df / (df + t * t), df / 2, 0.5

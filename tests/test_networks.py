@@ -43,3 +43,13 @@ def test_many_points_of_one_place_make_no_edges(spark):
     got = networks.morans_i(df, "k", "v", 10.0).collect()[0]
     assert got["n"] == n and abs(got["moran_i"] + 1 / (n - 1)) < 2e-6
     assert {r["neighbours"] for r in networks.idw_leave_one_out(df, "k", "v", 10.0).select("neighbours").distinct().collect()} == {n - 1}
+
+
+def test_residuals_over_places_equal_those_over_edges(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.operators import residuals
+
+    df = _town(spark).where("NOT isnan(lat)").withColumn("x", F.col("k") % 5).withColumn("g", F.col("k") % 2).cache()
+    edges = joins.neighbour_edges(df, "k", "lat", "lon", 80.0).cache()
+    _same(residuals.residual_moran_within(df, ["g"], "k", "v", ["x"], 80.0, draws=12), residuals.residual_moran(df, ["g"], "k", "v", ["x"], edges, draws=12))
