@@ -1,8 +1,8 @@
 """Held-out interpolation: every point predicted from points beyond a buffer, by nearest, inverse distances, mean and ordinary kriging.
 
 Radius 0 is plain leave-one-out; wider buffers ask what an empty stretch of map would ask. Points
-meet their neighbours through grid cells (`joins.neighbour_edges`), so work grows with points times
-neighbours. The variogram is fitted inside each fold on its own training points: one fitted on all
+meet place by place (`joins.place_pairs`), so work grows with places times neighbouring places, and
+points of one place are predicted once. The variogram is fitted inside each fold on its own training points: one fitted on all
 would have seen the point it is judged by. A fold that can't be predicted stays, with the reason.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.maths import EARTH_KM
 from aerolith.operators import joins
+from aerolith.session import cut
 
 # Variogram shapes of distance over range, from 0 at 0 to 1 (the hole effect overshoots); a range is where about 95% is reached.
 SHAPES = {
@@ -42,18 +43,31 @@ def training_rows(values: DataFrame, by: list[str], key: str, value: str, buffer
     return met.withColumn("buffer_km", F.explode(beyond))
 
 
-def _folds(values: DataFrame, by: list[str], key: str, value: str, buffers: list[float]) -> DataFrame:
-    known = values.where(F.col(value).isNotNull())
-    return known.select(*by, key, F.col(value).cast("double").alias("observed"), F.explode(F.array(*(F.lit(float(b)) for b in buffers))).alias("buffer_km"))
+def _known(values: DataFrame, by: list[str], key: str, value: str, buffers: list[float], lat: str, lon: str) -> DataFrame:
+    """Observed points: by, __k, __lat, __lon, __z. A buffer reaches at least the fold's own place, so all points of a place learn from the same rows."""
+    if min(buffers) < 0:
+        raise ValueError("a buffer is at least 0 km")
+    return values.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("__k"), F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"), F.col(value).cast("double").alias("__z"))
 
 
 def interpolate_held_out(values: DataFrame, by: list[str], key: str, value: str, buffers: list[float], search_km: float, least: int = 8) -> DataFrame:
-    """by, key, buffer_km, observed, n_train, method, predicted, failed: nearest (ties to the smaller key), idw2 (under 0.1 km counts as that) and mean of each fold; `too_few` under `least` training points."""
-    fold = [*by, key, "buffer_km"]
+    """by, key, buffer_km, observed, n_train, method, predicted, failed: nearest (ties to the smaller key), idw2 (under 0.1 km counts as that) and mean of each fold; `too_few` under `least` training points.
+
+    Folds are told place by place, from sums over the places within search_km: points of one place share theirs.
+    """
+    fold, spot = [*by, key, "buffer_km"], [*by, "__lat", "__lon"]
+    known = _known(values, by, key, value, buffers, "lat", "lon")
+    at = known.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.sum("__z").alias("s"), F.min(F.struct("__k", "__z")).alias("first")).withColumnsRenamed({"__lat": "__lat2", "__lon": "__lon2"})
+    met = joins.place_pairs(known, "__lat", "__lon", search_km).where(F.col("km") > min(buffers)).join(at, ["__lat2", "__lon2"])
     w = 1 / F.pow(F.greatest(F.col("km"), F.lit(0.1)), 2)
-    met = training_rows(values, by, key, value, buffers, search_km).groupBy(*fold)
-    told = met.agg(F.count(F.lit(1)).alias("n_train"), F.min_by("__z", F.struct("km", "neighbour")).alias("nearest"), (F.sum(w * F.col("__z")) / F.sum(w)).alias("idw2"), F.avg("__z").alias("mean"))
-    rows = _folds(values, by, key, value, buffers).join(told, fold, "left").withColumn("n_train", F.coalesce("n_train", F.lit(0)))
+    told = []
+    for i, b in enumerate(buffers):
+        of = lambda f, c, b=b: f(F.when(F.col("km") > float(b), c))
+        told += [of(F.sum, F.col("n")).alias(f"n{i}"), of(F.sum, F.col("s")).alias(f"s{i}"), of(F.sum, w * F.col("s")).alias(f"ws{i}"), of(F.sum, w * F.col("n")).alias(f"wn{i}"), of(F.min, F.struct("km", "first")).alias(f"near{i}")]
+    cells = [F.struct(F.lit(float(b)).alias("buffer_km"), F.col(f"n{i}").alias("n_train"), F.col(f"near{i}.first.__z").alias("nearest"), (F.col(f"ws{i}") / F.col(f"wn{i}")).alias("idw2"), (F.col(f"s{i}") / F.col(f"n{i}")).alias("mean")) for i, b in enumerate(buffers)]
+    told = met.groupBy(*spot).agg(*told).select(*spot, F.explode(F.array(*cells)).alias("c")).select(*spot, "c.*")
+    folds = known.select(*by, F.col("__k").alias(key), "__lat", "__lon", F.col("__z").alias("observed"), F.explode(F.array(*(F.lit(float(b)) for b in buffers))).alias("buffer_km"))
+    rows = folds.join(told, [*spot, "buffer_km"], "left").withColumn("n_train", F.coalesce("n_train", F.lit(0)))
     method = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("predicted")) for m in ("nearest", "idw2", "mean"))))
     few = F.col("n_train") < least
     return rows.withColumn("m", method).select(*fold, "observed", "n_train", "m.method", F.when(~few, F.col("m.predicted")).alias("predicted"), F.when(few, "too_few").alias("failed"))
@@ -114,28 +128,37 @@ def krige(lat: np.ndarray, lon: np.ndarray, z: np.ndarray, to_lat: float, to_lon
 
 def krige_held_out(values: DataFrame, by: list[str], key: str, value: str, buffers: list[float], search_km: float, families: list[str], neighbours: int = 32, least: int = 8, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """As `interpolate_held_out`, with sd: ordinary kriging from the `neighbours` nearest training points (a moving neighbourhood), one row for each family of variograms."""
-    fold = [*by, key, "buffer_km"]
-    near = F.row_number().over(Window.partitionBy(*fold).orderBy("km", "neighbour"))
-    kept = training_rows(values, by, key, value, buffers, search_km, lat, lon).withColumn("__r", near).where(F.col("__r") <= neighbours)
-    held = kept.groupBy(*fold).agg(F.sort_array(F.collect_list(F.struct("__r", "__lat", "__lon", "__z"))).alias("t"))
-    held = held.select(*fold, *(F.col(f"t.{c}").alias(c) for c in ("__lat", "__lon", "__z")))
-    spots = values.where(F.col(value).isNotNull()).select(*by, key, F.col(lat).cast("double").alias("__to_lat"), F.col(lon).cast("double").alias("__to_lon"))
-    rows = _folds(values, by, key, value, buffers).join(spots, [*by, key]).join(held, fold, "left")
+    spot = [*by, "__lat", "__lon"]
+    known = _known(values, by, key, value, buffers, lat, lon)
+    # a place's first `neighbours` points by key, and the nearest so many places: what lies beyond can't be among the nearest points
+    first = known.withColumn("__i", F.row_number().over(Window.partitionBy(*spot).orderBy("__k"))).where(F.col("__i") <= neighbours)
+    first = first.groupBy(*spot).agg(F.sort_array(F.collect_list(F.struct("__k", "__z"))).alias("points")).withColumnsRenamed({"__lat": "__lat2", "__lon": "__lon2"})
+    beyond = F.filter(F.array(*(F.lit(float(b)) for b in buffers)), lambda b: F.col("km") > b)
+    met = joins.place_pairs(known, "__lat", "__lon", search_km).join(first.select(*by, "__lat2", "__lon2", F.col("points")[0]["__k"].alias("least")), ["__lat2", "__lon2"]).withColumn("buffer_km", F.explode(beyond))
+    ranked = lambda df, tie: df.withColumn("__r", F.row_number().over(Window.partitionBy(*spot, "buffer_km").orderBy("km", tie))).where(F.col("__r") <= neighbours)
+    met = ranked(met, "least").drop("__r").join(first, [*by, "__lat2", "__lon2"]).withColumn("p", F.explode("points"))
+    met = ranked(met.select(*spot, "buffer_km", "km", "__lat2", "__lon2", F.col("p.__k").alias("tie"), F.col("p.__z").alias("__z")), "tie")
+    held = cut(met.groupBy(*spot, "buffer_km").agg(F.sort_array(F.collect_list(F.struct("__r", F.col("__lat2").alias("lat"), F.col("__lon2").alias("lon"), F.col("__z").alias("z")))).alias("t")))
+    held = held.repartition(1 + held.count() // 128, *spot, "buffer_km").select(*spot, "buffer_km", *(F.col(f"t.{c}").alias(f"__{c}s") for c in ("lat", "lon", "z")))
     types = dict(values.dtypes)
-    head = [*by, key, "observed", "buffer_km"]
+    head = [*spot, "buffer_km"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                z = np.array([] if r["__z"] is None else r["__z"], dtype=float)
+                z = np.array(r["__zs"], dtype=float)
                 for family in families:
-                    told = (None, None, "too_few") if len(z) < least else krige(np.array(r["__lat"]), np.array(r["__lon"]), z, r["__to_lat"], r["__to_lon"], SHAPES[family])
+                    told = (None, None, "too_few") if len(z) < least else krige(np.array(r["__lats"]), np.array(r["__lons"]), z, r["__lat"], r["__lon"], SHAPES[family])
                     out.append((*(r[c] for c in head), len(z), f"kriging_{family}", *told))
             yield pd.DataFrame(out, columns=[*head, "n_train", "method", "predicted", "sd", "failed"])
 
-    schema = ", ".join(f"{c} {types[c]}" for c in (*by, key))
-    return rows.mapInPandas(run, f"{schema}, observed double, buffer_km double, n_train long, method string, predicted double, sd double, failed string")
+    told = held.mapInPandas(run, "".join(f"{c} {types[c]}, " for c in by) + "__lat double, __lon double, buffer_km double, n_train long, method string, predicted double, sd double, failed string")
+    each = F.explode(F.array(*(F.struct(F.lit(float(b)).alias("b"), F.lit(f"kriging_{f}").alias("f")) for b in buffers for f in families)))
+    folds = known.select(*by, F.col("__k").alias(key), "__lat", "__lon", F.col("__z").alias("observed"), each.alias("c")).withColumn("buffer_km", F.col("c.b")).withColumn("method", F.col("c.f"))
+    rows = folds.join(told, [*spot, "buffer_km", "method"], "left")
+    failed = F.when(F.col("n_train").isNull(), "too_few").otherwise(F.col("failed"))
+    return rows.select(*by, key, "observed", "buffer_km", F.coalesce("n_train", F.lit(0)).cast("long").alias("n_train"), "method", "predicted", "sd", failed.alias("failed"))
 
 
 def fold_errors(folds: DataFrame) -> DataFrame:

@@ -53,3 +53,12 @@ def test_residuals_over_places_equal_those_over_edges(spark):
     df = _town(spark).where("NOT isnan(lat)").withColumn("x", F.col("k") % 5).withColumn("g", F.col("k") % 2).cache()
     edges = joins.neighbour_edges(df, "k", "lat", "lon", 80.0).cache()
     _same(residuals.residual_moran_within(df, ["g"], "k", "v", ["x"], 80.0, draws=12), residuals.residual_moran(df, ["g"], "k", "v", ["x"], edges, draws=12))
+
+
+def test_folds_are_told_by_place(spark):
+    """20,000 points at 8 places 11 km apart: 350 million training rows are never made."""
+    from aerolith.operators import kriging
+
+    df = spark.range(20000).selectExpr("id AS k", "25.0D + (id % 8) / 10.0D AS lat", "121.0D AS lon", "CAST(id % 8 AS DOUBLE) AS v")
+    got = {tuple(r) for r in kriging.interpolate_held_out(df, [], "k", "v", [0.0, 15.0], 30.0).where("k % 8 = 0 AND method = 'mean'").select("buffer_km", "n_train", "predicted").distinct().collect()}
+    assert got == {(0.0, 5000, 1.5), (15.0, 2500, 2.0)}
