@@ -92,6 +92,7 @@ def _pairs(spark, d):
 
     s = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     s = s.groupBy(F.col("c_nationkey").alias("k"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("t")).agg(F.avg("o_totalprice").alias("v"))
+    s = cut(s)  # a row for each nation and month, which all that follows starts from
     met = s.join(s.select(F.col("k").alias("nb"), "t", F.col("v").alias("w")), "t").where("k <> nb")
     return met.groupBy("k", "nb").agg((1 - correlation("v", "w")).alias("d")), s
 
