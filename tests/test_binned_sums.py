@@ -98,3 +98,20 @@ def test_p_values():
             area = lambda a: sum(math.cos(a + (math.pi / 2 - a) * (i + 0.5) / n) ** (freedom - 1) for i in range(n)) * (math.pi / 2 - a) / n
             assert stats.two_sided_p(t, freedom) == pytest.approx(area(lo) / area(0.0), rel=1e-6, abs=1e-12)
     assert stats.two_sided_p(1.959964, 1e7) == pytest.approx(0.05, abs=1e-6) and stats.two_sided_p(1e9, 5.0) < 1e-30
+
+
+@pytest.mark.parametrize("reach", [0.002, 1e-9])
+def test_descriptive_puts_no_column_through_one_task(spark, reach):
+    import statistics
+
+    rng = random.Random(5)
+    xs = [rng.choice([7.0, None, rng.random() * 1e6, -rng.random()]) for _ in range(3001)]
+    rows = [(x, i % 5, None) for i, x in enumerate(xs)]
+    out = aggregate.descriptive(spark.createDataFrame(rows, "a double, b int, c double").repartition(7), ["a", "b", "c"], reach)
+    assert "median(" not in plan(out) and "percentile(" not in plan(out)
+    got = {r["variable"]: r for r in out.collect()}
+    known = [x for x in xs if x is not None]
+    assert got["a"]["median"] == pytest.approx(statistics.median(known), abs=1e-6) and (got["a"]["n"], got["a"]["min"], got["a"]["max"]) == (len(known), min(known), max(known))
+    assert got["b"]["median"] == 2.0 and (got["c"]["n"], got["c"]["median"], got["c"]["sd"]) == (0, None, None)
+    # a column without rows keeps its row, as in SQL
+    assert [(r["variable"], r["n"]) for r in aggregate.descriptive(spark.createDataFrame([], "a double"), ["a"], reach).collect()] == [("a", 0)]
