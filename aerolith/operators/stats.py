@@ -33,24 +33,29 @@ def two_sided_p(t: float, freedom: float) -> float:
     return float(min(1.0, max(0.0, 1 - share if turned else share)))
 
 
-def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """term, coef, se, t, p (two-sided, Student's t), vif, r2, n of least squares with intercept over rows without nulls; all sums in one pass."""
-    rows = df.select(y, *xs).dropna()
-    names = ["intercept", *xs]
+def least_squares_sums(y: str, xs: list[str]) -> list:
+    """Aggregates for `least_squares` with intercept, over rows that know y and all of xs (as dropna: neither null nor NaN)."""
+    known = F.lit(True)
+    for c in (y, *xs):
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     terms = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
     yc = F.col(y).cast("double")
     k = len(terms)
-    aggs = [F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)] + [F.sum(t * yc) for t in terms] + [F.sum(yc * yc)]
-    got = [float(v or 0) for v in rows.agg(*aggs).first()]
+    products = [terms[i] * terms[j] for i in range(k) for j in range(i, k)] + [t * yc for t in terms] + [yc * yc]
+    return [F.sum(F.when(known, p)) for p in products]
+
+
+def least_squares(names: list[str], sums) -> list[dict]:
+    """term, coef, se, t, p, vif, r2, n of each name (the intercept first) from their sums; none where rows are no more than names."""
+    got = [float(v or 0) for v in sums]
+    k = len(names)
     a = np.zeros((k, k))
     a[np.triu_indices(k)] = got[: k * (k + 1) // 2]
     a = a + np.triu(a, 1).T
     b, yy = np.array(got[k * (k + 1) // 2 : -1]), got[-1]
     n = a[0, 0]
-    spark = df.sparkSession
-    schema = "term string, coef double, se double, t double, p double, vif double, r2 double, n long"
     if n <= k:
-        return spark.createDataFrame([], schema)
+        return []
     inv = np.linalg.pinv(a)
     coef = inv @ b
     rss, tss = yy - coef @ b, yy - b[0] ** 2 / n
@@ -58,8 +63,16 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     mean = a[0, 1:] / n
     cov = a[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.diag(cov))
-    vif = [None, *np.diag(np.linalg.pinv(cov / np.outer(sd, sd)))] if len(xs) else [None]
-    return spark.createDataFrame([(m, float(c), float(s), float(c / s) if s else None, two_sided_p(float(c / s), float(n - k)) if s else None, None if v is None else float(v), float(1 - rss / tss) if tss else None, int(n)) for m, c, s, v in zip(names, coef, se, vif)], schema)
+    vif = [None, *np.diag(np.linalg.pinv(cov / np.outer(sd, sd)))] if k > 1 else [None]
+    rows = [(m, float(c), float(s), float(c / s) if s else None, two_sided_p(float(c / s), float(n - k)) if s else None, None if v is None else float(v), float(1 - rss / tss) if tss else None, int(n)) for m, c, s, v in zip(names, coef, se, vif)]
+    return [dict(zip(("term", "coef", "se", "t", "p", "vif", "r2", "n"), r)) for r in rows]
+
+
+def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """term, coef, se, t, p (two-sided, Student's t), vif, r2, n of least squares with intercept over rows without nulls; all sums in one pass."""
+    rows = df.select(y, *xs).dropna()
+    fit = least_squares(["intercept", *xs], rows.agg(*least_squares_sums(y, xs)).first())
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in fit], "term string, coef double, se double, t double, p double, vif double, r2 double, n long")
 
 
 def segmented_slopes(df: DataFrame, by: list[str], x: str, y: str, at: float) -> DataFrame:
