@@ -105,14 +105,16 @@ def pair_diagnostics(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
         F.count_if(F.col(a) > F.col(b)).alias("impossible"),
         F.count_if(F.col(a) == F.col(b)).alias("identical"),
         F.count_if(F.col(b) <= 0).alias("zero"),
-        F.round(F.median("__ratio"), 6).alias("median_ratio"),
     )
-    tails = order_statistics(pairs, by, "__ratio", {"p05": 0.05, "p95": 0.95}).withColumns({c: F.round(c, 6) for c in ("p05", "p95")})
+    # the median lies between the two middle places
+    last = F.col("__all") - 1
+    places = {"p05": F.floor(0.05 * last + 0.5), "p95": F.floor(0.95 * last + 0.5), "__low": F.floor(last / 2), "__high": F.floor(F.col("__all") / 2)}
+    tails = at_places(pairs, by, "__ratio", places).withColumn("median_ratio", F.col("__low") * 0.5 + F.col("__high") * 0.5).withColumns({c: F.round(c, 6) for c in ("median_ratio", "p05", "p95")})
     keys = [F.col(k).alias(f"__{k}") for k in by]
     same = F.lit(True)
     for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return out.join(tails.select(*keys, "p05", "p95"), same, "left").select(*out.columns, "p05", "p95")
+    return out.join(tails.select(*keys, "median_ratio", "p05", "p95"), same, "left").select(*out.columns, "median_ratio", "p05", "p95")
 
 
 def before_after(df: DataFrame, moments: DataFrame, ts: str, value: str) -> DataFrame:
@@ -181,8 +183,8 @@ def shares_of_total(df: DataFrame, by: str, amount: Column) -> DataFrame:
     return out.select(by, "n", "total", F.round(F.col("n") / F.sum("n").over(w), 6).alias("n_share"), F.round(F.col("total") / F.sum("total").over(w), 6).alias("total_share"))
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Per key, for each named q, the order statistic nearest to it: the one at round(q * (n - 1)), halves up.
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Per key, for each named place (from 0, told from `__all`, the count of the key's values), the value there in order.
 
     Values are counted first, then summed in bins, so no task holds all of a key's values; nulls don't count.
     """
@@ -191,12 +193,16 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     rows = cumulated(counts, keys, value)
     found = []
-    for name, q in quantiles.items():
-        at = F.floor(q * (F.col("__all") - 1) + 0.5)
+    for name, at in places.items():
         found.append(F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at), F.col(value))).alias(name))
     return rows.groupBy(*keys).agg(*found)
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Per key, for each named q, the order statistic nearest to it: the one at round(q * (n - 1)), halves up."""
+    return at_places(df, keys, value, {name: F.floor(q * (F.col("__all") - 1) + 0.5) for name, q in quantiles.items()})
+
+
 def nearest_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
     """Per key the order statistic nearest to q."""
     return order_statistics(df, keys, value, {name: q})

@@ -115,3 +115,18 @@ def test_descriptive_puts_no_column_through_one_task(spark, reach):
     assert got["b"]["median"] == 2.0 and (got["c"]["n"], got["c"]["median"], got["c"]["sd"]) == (0, None, None)
     # a column without rows keeps its row, as in SQL
     assert [(r["variable"], r["n"]) for r in aggregate.descriptive(spark.createDataFrame([], "a double"), ["a"], reach).collect()] == [("a", 0)]
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_median_ratios_come_from_bins(spark, by):
+    import statistics
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", None]), rng.random() * 9, rng.choice([0.0, 2.0, rng.random()])) for _ in range(1501)] + [("lone", 3.0, 2.0), ("none", 1.0, 0.0)]
+    out = aggregate.pair_diagnostics(spark.createDataFrame(rows, "k string, a double, b double"), by, "a", "b")
+    assert "median(" not in plan(out) and "percentile(" not in plan(out)
+    got = {r["k"] if by else None: r["median_ratio"] for r in out.collect()}
+    for k in got:
+        ratios = [a / b for q, a, b in rows if b > 0 and (not by or q == k)]
+        assert got[k] == (pytest.approx(statistics.median(ratios), abs=1e-6) if ratios else None)
+    assert len(got) == (4 if by else 1)
