@@ -184,7 +184,7 @@ def shares_of_total(df: DataFrame, by: str, amount: Column) -> DataFrame:
 
 
 def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """Per key, for each named place (from 0, told from `__all`, the count of the key's values), the value there in order.
+    """Per key, for each named place (from 0, told from `__all`, the count of the key's values), the value there in order; and `__all`.
 
     Values are counted first, then summed in bins, so no task holds all of a key's values; nulls don't count.
     """
@@ -195,12 +195,21 @@ def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Colu
     found = []
     for name, at in places.items():
         found.append(F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at), F.col(value))).alias(name))
-    return rows.groupBy(*keys).agg(*found)
+    return rows.groupBy(*keys).agg(*found, F.max("__all").alias("__all"))
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Per key, for each named q, the order statistic nearest to it: the one at round(q * (n - 1)), halves up."""
-    return at_places(df, keys, value, {name: F.floor(q * (F.col("__all") - 1) + 0.5) for name, q in quantiles.items()})
+    return at_places(df, keys, value, {name: F.floor(q * (F.col("__all") - 1) + 0.5) for name, q in quantiles.items()}).drop("__all")
+
+
+def linear_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """Per key the quantile as `F.percentile` finds it, linear between two places, of keys too long for one task."""
+    place = q * (F.col("__all") - 1)
+    low, high = F.col("__low").cast("double"), F.col("__high").cast("double")
+    between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+    found = at_places(df, keys, value, {"__low": F.floor(place), "__high": F.ceil(place)})
+    return found.select(*keys, F.when(low == high, low).otherwise(between).alias(name))
 
 
 def nearest_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:

@@ -76,9 +76,10 @@ def cbpf(df: DataFrame, speed: str, bearing: str, value: str, quantile: float, s
     """
     from aerolith.functions.domain import wind_sector
     from aerolith.functions.maths import right_closed
+    from aerolith.operators.aggregate import linear_quantile
 
     known = df.dropna(subset=[speed, bearing, value])
-    high = known.agg(F.percentile(value, quantile).alias("threshold"))
+    high = linear_quantile(known, [], value, quantile, "threshold")
     moving = known.where(F.col(speed) > calm)
     rows = moving.crossJoin(F.broadcast(high)).withColumn("sector", wind_sector(F.col(bearing), sector).cast("long")).withColumn("speed_bin", right_closed(F.col(speed), speeds))
     out = rows.groupBy("sector", "speed_bin").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) > F.col("threshold")).alias("n_high"))

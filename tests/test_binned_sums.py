@@ -130,3 +130,15 @@ def test_median_ratios_come_from_bins(spark, by):
         ratios = [a / b for q, a, b in rows if b > 0 and (not by or q == k)]
         assert got[k] == (pytest.approx(statistics.median(ratios), abs=1e-6) if ratios else None)
     assert len(got) == (4 if by else 1)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.75, 1.0])
+def test_linear_quantiles_are_those_of_percentile(spark, rows, q):
+    from pyspark.sql import functions as F
+
+    from aerolith.operators import panels
+
+    df = spark.createDataFrame([r for r in rows if r[0] != "nan"], "k string, v double")
+    assert aggregate.linear_quantile(df, [], "v", q).first()[0] == df.agg(F.percentile("v", q)).first()[0]
+    wind = df.select(F.lit(1.0).alias("speed"), F.lit(90.0).alias("bearing"), "v")
+    assert "percentile(" not in plan(panels.cbpf(wind, "speed", "bearing", "v", q, 30.0, [0.5], 1))
