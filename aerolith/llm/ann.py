@@ -14,8 +14,11 @@ nearest to it, as many as the sample's own neighbours need for a recall of RECAL
 neighbours know no partitions, as among random vectors, that is all of them, and the search a
 scan of all blocks of one partition. A table of 16 products for each subspace and query gives the approximate
 scores of a block by look-up; the best of each block, RERANK or the share that the sample's own
-neighbours need, are scored exactly in double precision, and each block sends on its best k for
-each query.
+neighbours need, are scored exactly in double precision.
+
+Blocks of a partition make tiles, and queries meet tiles, both by a shuffle: a query is copied once
+for each tile that it visits, and a tile sends on its best k for each query. The sample is fitted in
+one task. To the driver come the centres alone, which the sample bounds, never queries or blocks.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part. Ids may repeat; a query never finds rows of its own id; empty tables
@@ -26,15 +29,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import stored
+from aerolith.llm.common import ranges, stored
 
 NEAREST = 5
 SAMPLE_ROWS = 20_000
 BLOCK = 4096
 QUERY_BLOCK = 256
+#: Bytes of blocks, and of queries, that meet in one Python call, about.
+CELL_BYTES = 32 << 20
+#: Tasks in which they meet, at most.
+CELL_TASKS = 2000
 RERANK = 96
 SUBSPACE = 2
 CENTRES = 16
@@ -185,9 +192,39 @@ def _valid(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.where(f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x <> 0)")
 
 
+_FITTED = "coarse binary, means binary, centres binary, n_visits int, share double"
+
+
+def _fit(dimensions: int, total: int, k: int, exact: bool):
+    """Batches of the sample's vectors -> one row of what it taught; none for no vectors."""
+
+    def run(batches):
+        sample = [np.stack(pdf["v"].to_numpy()).astype(np.float64) for pdf in batches if len(pdf)]
+        if not sample:
+            return
+        v = np.concatenate(sample)
+        units = _units(v[np.lexsort(v.T[::-1])])
+        coarse = partitions(units, max(1, min(len(units) // SAMPLED_EACH, total // PART)))
+        n_visits = len(coarse) if exact else visits(units, coarse, k)
+        if n_visits == len(coarse):
+            coarse, n_visits = partitions(units, 1), 1
+        means = averages(units, coarse)
+        centres = train(units, means[(units @ coarse.T).argmax(axis=1)])
+        share = DEEPER * depth(units, coarse, means, centres, k)
+        yield pd.DataFrame([(coarse.tobytes(), means.tobytes(), centres.tobytes(), n_visits, share)], columns=["coarse", "means", "centres", "n_visits", "share"])
+
+    return run
+
+
+def tiles(n_blocks: list[int], block_bytes: int, least: int) -> tuple[int, list[int]]:
+    """Blocks of a tile, and each partition's first tile: as few tiles as leave `least` tasks work and keep a tile within CELL_BYTES."""
+    each = max(1, min(CELL_BYTES // block_bytes, sum(n_blocks) // least))
+    return each, np.cumsum([0, *(-(-n // each) for n in n_blocks)]).tolist()
+
+
 def _pack_block(centres: np.ndarray, means: np.ndarray, weight: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, rows = int(pdf["block"].iloc[0]), []
+        tile, rows = int(pdf["tile"].iloc[0]), []
         for a in range(0, len(pdf), BLOCK):
             part = pdf.iloc[a : a + BLOCK]
             v = np.stack(part["v"].to_numpy()).astype(np.float64)
@@ -195,21 +232,21 @@ def _pack_block(centres: np.ndarray, means: np.ndarray, weight: float):
             if codes.shape[1] % 2:
                 codes = np.pad(codes, ((0, 0), (0, 1)))
             ids = [np.asarray(x, dtype=np.int64) for x in part["ids"]]
-            rows.append((b, (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8).tobytes(), v.tobytes(), np.concatenate(ids).tobytes(), np.array([len(x) for x in ids], dtype=np.int64).tobytes(), len(part)))
-        return pd.DataFrame(rows, columns=["block", "codes", "vectors", "ids", "sizes", "n"])
+            rows.append((tile, (codes[:, ::2] << 4 | codes[:, 1::2]).astype(np.uint8).tobytes(), v.tobytes(), np.concatenate(ids).tobytes(), np.array([len(x) for x in ids], dtype=np.int64).tobytes(), len(part)))
+        return pd.DataFrame(rows, columns=["tile", "codes", "vectors", "ids", "sizes", "n"])
 
     return run
 
 
-_QUERIES = "part int, q_vectors binary, q_ids binary"
+_QUERIES = "part int, of int, q_vectors binary, q_ids binary"
 
 
 def _pack_queries(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for a in range(0, len(pdf), QUERY_BLOCK):
-        part = pdf.iloc[a : a + QUERY_BLOCK]
-        rows.append((int(part["part"].iloc[0]) if "part" in part else -1, np.stack(part["v"].to_numpy()).astype(np.float64).tobytes(), part["id"].to_numpy(dtype=np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["part", "q_vectors", "q_ids"])
+        some = pdf.iloc[a : a + QUERY_BLOCK]
+        rows.append((int(some["part"].iloc[0]), int(some["of"].iloc[0]), np.stack(some["v"].to_numpy()).astype(np.float64).tobytes(), some["id"].to_numpy(dtype=np.int64).tobytes()))
+    return pd.DataFrame(rows, columns=["part", "of", "q_vectors", "q_ids"])
 
 
 def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -221,36 +258,59 @@ def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores with their ids, ties to smaller ids, none twice."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])][: len(ids)]
+    return ids[new][:k], scores[new][:k]
+
+
 def _meet(centres: np.ndarray, dimensions: int, k: int, rerank: int, share: float):
+    """A tile's blocks and the queries that meet it -> the tile's best k for each query."""
     table_of = centres.astype(np.float32)
 
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                v = np.frombuffer(row.vectors).reshape(row.n, dimensions)
-                q = np.frombuffer(row.q_vectors).reshape(-1, dimensions)
-                q_ids = np.frombuffer(row.q_ids, dtype=np.int64)
-                packed = np.frombuffer(row.codes, dtype=np.uint8).reshape(row.n, -1)
-                codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(row.n, -1)[:, : len(centres)]
-                sizes = np.frombuffer(row.sizes, dtype=np.int64)
-                ids = np.frombuffer(row.ids, dtype=np.int64)
-                first = np.cumsum(sizes) - sizes
-                tables = np.einsum("sqd,scd->qsc", _parts(_units(q)).astype(np.float32), table_of)
+    def unpacked(row):
+        v = np.frombuffer(row.vectors).reshape(row.n, dimensions)
+        packed = np.frombuffer(row.codes, dtype=np.uint8).reshape(row.n, -1)
+        codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(row.n, -1)[:, : len(centres)]
+        sizes = np.frombuffer(row.sizes, dtype=np.int64)
+        return codes, v, np.sqrt((v * v).sum(axis=1)), np.frombuffer(row.ids, dtype=np.int64), sizes, np.cumsum(sizes) - sizes
+
+    def run(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        index = [unpacked(row) for row in blocks.itertuples()] if len(asked) else []
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for row in asked.itertuples() if index else ():
+            q = np.frombuffer(row.q_vectors).reshape(-1, dimensions)
+            q_ids, q_norms = np.frombuffer(row.q_ids, dtype=np.int64), np.sqrt((q * q).sum(axis=1))
+            tables = np.einsum("sqd,scd->qsc", _parts(_units(q)).astype(np.float32), table_of)
+            found: list[list] = [[] for _ in q_ids]
+            for codes, v, norms, ids, sizes, first in index:
                 near = scan(codes, tables)
-                take = min(max(rerank, int(share * row.n) + 1), row.n)
-                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                norms, q_norms = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-                out = []
-                for i, at in enumerate(best):
+                take = min(max(rerank, int(share * len(v)) + 1), len(v))
+                for i, at in enumerate(np.argpartition(-near, take - 1, axis=1)[:, :take]):
                     exact = (v[at] * q[i]).sum(axis=1) / (norms[at] * q_norms[i])
-                    order = np.lexsort((ids[first[at]], -exact))[: k + 1]
-                    found = [(-exact[j], int(x)) for j in order for x in ids[first[at[j]] : first[at[j]] + sizes[at[j]]] if x != q_ids[i]]
-                    out += [(int(q_ids[i]), x, -s) for s, x in sorted(found)[:k]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    these, scores = ids[ranges(first[at], sizes[at])], np.repeat(exact, sizes[at])
+                    other = these != q_ids[i]
+                    found[i].append(_best(these[other], scores[other], k))
+            for own, each in zip(q_ids, found):
+                these, scores = _best(*map(np.concatenate, zip(*each)), k)
+                out.append((np.full(len(these), own), these, scores))
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], map(np.concatenate, zip(*out)))))
 
     return run
 
 
+def learned(vectors: DataFrame, dimensions: int, total: int, k: int, sample_rows: int, exact: bool) -> Row:
+    """What a sample of the distinct vectors v teaches; it is fitted in one task."""
+    share = min(1.0, sample_rows / total)
+    sample = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(2 * sample_rows)
+    # a limit that holds anyway is dropped at run time, and with it the one partition that it makes
+    fits = (x.repartition(1).mapInPandas(_fit(dimensions, total, k, exact), _FITTED) for x in (sample, vectors.limit(1)))
+    (one,) = next(filter(None, (x.collect() for x in fits)))
+    return one
+
+
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEAREST, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest rows of vectors by cosine; exact: visiting all partitions."""
     spark = vectors.sparkSession
@@ -263,33 +323,32 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     # of copies, the least ids: k, and one more that may be the query's own
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = valid.distinct().withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    share = min(1.0, sample_rows / total)
-    sample = valid.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").distinct().limit(2 * sample_rows).collect()
-    sample = sample or valid.select("v").limit(1).collect()
-    units = _units(np.array(sorted(r[0] for r in sample)))
-    coarse = partitions(units, max(1, min(len(units) // SAMPLED_EACH, total // PART)))
-    n_visits = len(coarse) if exact else visits(units, coarse, k)
-    if n_visits == len(coarse):
-        coarse, n_visits = partitions(units, 1), 1
-    means = averages(units, coarse)
-    centres = train(units, means[(units @ coarse.T).argmax(axis=1)])
-    share = DEEPER * depth(units, coarse, means, centres, k)
+    *arrays, n_visits, share = learned(valid.select("v"), d, total, k, sample_rows, exact)
+    coarse, means, centres = (np.frombuffer(x).reshape(shape) for x, shape in zip(arrays, [(-1, d), (-1, d), (-1, CENTRES, SUBSPACE)]))
     dealt = stored(distinct.withColumn("part", _visited(coarse, 1)("v")[0]), "dealt")
     sizes = dict(map(tuple, dealt.groupBy("part").count().collect()))  # one row for each partition
     n_blocks = [-(-sizes.get(i, 0) // BLOCK) for i in range(len(coarse))]
     first = np.cumsum([0, *n_blocks]).tolist()
     of_part = lambda values: F.element_at(F.lit(values), F.col("part") + 1)
     block = (of_part(first) + F.pmod(F.xxhash64("v"), of_part([max(1, n) for n in n_blocks]).cast("long"))).cast("int")
-    index = stored(dealt.withColumn("block", block).groupBy("block").applyInPandas(_pack_block(centres, means, eta(d)), "block int, codes binary, vectors binary, ids binary, sizes binary, n int"), "index")
+    each, first_tile = tiles(n_blocks, BLOCK * (8 * d + -(-d // 4) + 16), 4 * spark.sparkContext.defaultParallelism)
+    tile = (of_part(first_tile) + F.floor((F.col("block") - of_part(first)) / each)).cast("int")
+    blocks = dealt.withColumn("block", block).withColumn("tile", tile).groupBy("tile", "block")
+    index = stored(blocks.applyInPandas(_pack_block(centres, means, eta(d)), "tile int, codes binary, vectors binary, ids binary, sizes binary, n int"), "index")
     asked = _valid(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), "v").where((F.size("v") == d) & F.col("id").isNotNull())
     asked = stored(asked, "queries")
-    of = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK))))
-    if len(coarse) == 1:
-        packed = asked.groupBy(of).applyInPandas(_pack_queries, _QUERIES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, first[-1] - 1)))))
-    else:
-        met = asked.withColumn("part", F.explode(_visited(coarse, n_visits)("v"))).groupBy("part", of).applyInPandas(_pack_queries, _QUERIES)
-        packed = met.where(of_part(n_blocks) > 0).withColumn("block", F.explode(F.sequence(of_part(first), of_part(first) + of_part(n_blocks) - 1)))
-    found = index.join(packed, "block").mapInPandas(_meet(centres, d, k, rerank, share), "query_id long, vec_id long, score double")
+    n_asked = asked.count()
+    of = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-n_asked // QUERY_BLOCK)))).cast("int")
+    part = F.explode(_visited(coarse, n_visits)("v")) if len(coarse) > 1 else F.lit(0)
+    packed = asked.withColumn("part", part).withColumn("of", of).groupBy("part", "of").applyInPandas(_pack_queries, _QUERIES)
+    # cells: a tile, and a share of the queries that one Python call can hold
+    shares = max(1, -(-n_asked * 8 * (d + 1) // CELL_BYTES))
+    n_cells = max(1, min(CELL_TASKS, first_tile[-1] * shares))
+    tile = F.explode(F.sequence(of_part(first_tile), of_part(first_tile[1:]) - 1))
+    packed = packed.where(of_part(n_blocks) > 0).select(tile.alias("tile"), F.pmod("of", F.lit(shares)).alias("cell"), "q_vectors", "q_ids")
+    index = index.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    left, right = (x.repartition(n_cells, "tile", "cell").groupBy("tile", "cell") for x in (index, packed))
+    found = left.cogroup(right).applyInPandas(_meet(centres, d, k, rerank, share), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -46,6 +47,62 @@ def test_few_or_none(spark):
     assert ann.search(df, df.limit(0)).collect() == []
 
 
+def test_own_id_over_many_vectors(spark):
+    """Rows of the query's own id, nearer than any other, leave its k places to others."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(40, 6)).astype(np.float32)
+    near = (v[0] + rng.normal(0, 1e-3, (9, 6))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)] + [(0, x.tolist(), 1) for x in near], SCHEMA)
+    got = ann.search(df, df.limit(0).union(spark.createDataFrame([(0, v[0].tolist(), 1)], SCHEMA))).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == brute(range(40), v.astype(float), [0], v[:1].astype(float))[0]
+
+
+def test_nothing_is_broadcast(spark):
+    """Copies of queries and of blocks grow with the square of the rows; a broadcast would bring them to the driver."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(rng.normal(size=(300, 8)))], SCHEMA)
+    got = ann.search(df, df.where("vec_id % 50 = 0"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 30
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_tiles_of_blocks_and_shares_of_queries(spark, monkeypatch, exact):
+    """Many blocks in a tile, many tiles, several shares of the queries: as brute force, whatever partitions there are."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "PART", 400)
+    block = 16 * (8 * 6 + 2 + 16)
+    monkeypatch.setattr(ann, "CELL_BYTES", 3 * block)
+    rng = np.random.default_rng(4)
+    v = np.eye(6)[rng.integers(0, 6, 2000)] * 9 + rng.normal(0, 0.3, (2000, 6))
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, score int")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 10 = 0"), rerank=2000, exact=exact).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(range(2000), v, range(0, 2000, 10), v[::10])
+    assert set(got) == set(want)
+    assert np.mean([len({*got[i]} & {*want[i]}) / 5 for i in want]) >= (1 if exact else 0.95)
+
+
+def test_tiles_leave_tasks_work_and_fit_a_call():
+    assert ann.tiles([1, 0, 2], 1 << 20, 48) == (1, [0, 1, 1, 3])
+    assert ann.tiles([151], 1 << 21, 48) == (3, [0, 51])
+    each, first = ann.tiles([3670], 1 << 21, 48)
+    assert each == ann.CELL_BYTES >> 21 and first == [0, -(-3670 // each)]
+
+
+def test_sample_is_fitted_whole(spark):
+    """One fit of all sampled rows, whatever partitions they come from."""
+    v = np.random.default_rng(6).normal(size=(3000, 8))
+    df = spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>").repartition(7)
+    got = ann.learned(df, 8, len(v), 5, ann.SAMPLE_ROWS, False)
+    (want,) = ann._fit(8, len(v), 5, False)([pd.DataFrame({"v": list(v)})])
+    assert got["n_visits"] == want["n_visits"][0] and got["share"] == want["share"][0]
+    assert np.allclose(np.frombuffer(got["centres"]), np.frombuffer(want["centres"][0]), atol=1e-9)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
